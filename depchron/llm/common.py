@@ -57,3 +57,19 @@ def running_sum(df: DataFrame, groups: list[str], part: str, order: list[str], v
     )
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.join(offsets, keys).withColumn(cum, F.col("__before") + F.sum(value).over(inside)).drop("__before")
+
+
+def prefix_sums(values: Column, block: int = 64) -> Column:
+    """Inclusive prefix sums of an array of whole numbers, in blocks, so that the work grows with its length and not its square."""
+
+    def total(part: Column) -> Column:
+        return F.aggregate(part, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def of(v: Column) -> Column:
+        n = F.size(v)
+        blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: total(F.slice(v, b * block + 1, F.lit(block))))
+        before = lambda sums: F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        one = lambda base, b: F.transform(F.sequence(F.lit(1), F.least(F.lit(block), n - b * block)), lambda i: F.get(base, b) + total(F.slice(v, b * block + 1, i)))
+        return let(before(blocks), lambda base: F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: one(base, b))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from depchron.llm import mixing, sharding
+from depchron.llm import chat, mixing, quality, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op3_quality": quality.op3_quality,
     "op9_sharding": sharding.op9_sharding,
+    "op10_chat": chat.op10_chat,
 }
 
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op3_quality": quality.OP3_SQL,
+    "op10_chat": chat.OP10_SQL,
 }
