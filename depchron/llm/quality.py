@@ -123,8 +123,8 @@ OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT id, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
-g AS (SELECT id, unnest(range(1, len(w) - 6)) AS p, w FROM w WHERE len(w) >= 8),
-k AS (SELECT id, p, count(*) OVER (PARTITION BY id, array_to_string(w[p:p + 7], ' ')) AS n FROM g),
+g AS (SELECT id, unnest(range(1, len(w) - 6)) AS p, unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) AS g FROM w WHERE len(w) >= 8),
+k AS (SELECT id, p, count(*) OVER (PARTITION BY id, g) AS n FROM g),
 r AS (SELECT id, count(DISTINCT q) AS n_repeat_words FROM (SELECT id, unnest(range(p, p + 8)) AS q FROM k WHERE n > 1) GROUP BY id),
 m AS (SELECT w.id, doc_id, source, len(w)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
              len(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
