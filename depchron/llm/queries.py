@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, mixing, quality, sharding
+from depchron.llm import chat, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
