@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, mixing, quality, secrets, sharding
+from depchron.llm import chat, decontamination, mixing, quality, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
+    "op4_decontamination": decontamination.op4_decontamination,
+    "op7_tokens": tokens.op7_tokens,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
 }
@@ -15,5 +17,6 @@ QUERIES = {
 SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_quality": quality.OP3_SQL,
+    "op4_decontamination": decontamination.OP4_SQL,
     "op10_chat": chat.OP10_SQL,
 }
