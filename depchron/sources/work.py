@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,3 +34,17 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def shipped(spark: SparkSession) -> SparkSession:
+    """The session, with this package on the path of its Python workers; called before Python code goes to executors."""
+    context = spark.sparkContext
+    if getattr(shipped, "to", None) != context.applicationId:
+        root = Path(__file__).resolve().parent.parent
+        archive = Path(tempfile.mkdtemp(prefix="spark-"), f"{root.name}.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for path in sorted(root.rglob("*.py")):
+                out.write(path, path.relative_to(root.parent))
+        context.addPyFile(str(archive))
+        shipped.to = context.applicationId
+    return spark
