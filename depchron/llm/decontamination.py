@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depchron.sources.work import table, written
+from depchron.sources.work import shipped, table, written
 
 N = 13
 #: Bytes of benchmark text whose windows are broadcast at a time.
@@ -112,7 +112,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "tex
     A null text has no words. Benchmark rows without id or words have no windows; rows that share an id are one
     item. Repeated documents are scanned each. Empty tables on either side give no hits.
     """
-    spark = docs.sparkSession
+    spark = shipped(docs.sparkSession)
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     parts = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, decontamination, mixing, quality, secrets, sharding, tokens
+from depchron.llm import chat, decontamination, language, mixing, quality, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_decontamination": decontamination.op4_decontamination,
     "op7_tokens": tokens.op7_tokens,
+    "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
 }

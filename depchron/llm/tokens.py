@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from depchron.sources.work import table
+from depchron.sources.work import shipped, table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens remembered per task, and the longest that is.
@@ -146,6 +146,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
     kept = [c for c in docs.columns if c.lower() != "n_tokens" and (keep_text or c != text_col)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("__text"))
     schema = T.StructType([rows.schema["row"], T.StructField("n_tokens", T.LongType())])
+    shipped(docs.sparkSession)
     return rows.mapInArrow(_counter(path or public_tokenizers.path(VOCABULARY)), schema).select("row.*", "n_tokens")
 
 
