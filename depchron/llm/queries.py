@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, decontamination, language, mixing, quality, secrets, sharding, tokens
+from depchron.llm import chat, decontamination, language, mixing, quality, scoring, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_secrets": secrets.op2_secrets,
     "op3_quality": quality.op3_quality,
     "op4_decontamination": decontamination.op4_decontamination,
+    "op5_scoring": scoring.op5_scoring,
     "op7_tokens": tokens.op7_tokens,
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
