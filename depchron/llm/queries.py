@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, decontamination, language, mixing, quality, scoring, secrets, sharding, tokens
+from depchron.llm import chat, decontamination, language, mixing, neardup, quality, scoring, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_decontamination": decontamination.op4_decontamination,
     "op5_scoring": scoring.op5_scoring,
+    "op6_neardup": neardup.op6_neardup,
     "op7_tokens": tokens.op7_tokens,
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
