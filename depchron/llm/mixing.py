@@ -114,6 +114,19 @@ def token_count(text: Column) -> Column:
     return F.size(common.words(text)).cast("long")
 
 
+def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
+    """The mix itself: every document as often as its taken words fill it, the last one begun in full, with its own columns.
+
+    Rows that share an id come equally often; documents without words or id are no part of a mix. Only ids and
+    numbers go through the queues; the texts move once, when the repeats are joined back.
+    """
+    narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), token_count(F.col(text_col)).alias("__n")).filter("__id IS NOT NULL")
+    taken = mix(narrow, F.col("__n"), id_col="__id", source_col="__s", **options).filter("taken > 0")
+    times = written(taken.groupBy("__id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")), "mix-repeats")
+    joined = docs.join(times, docs[id_col] == times["__id"])
+    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150% of their words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")

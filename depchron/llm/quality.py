@@ -21,6 +21,8 @@ MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
 #: Salts of the join that brings verdicts back: a host that holds a third of all rows is dealt out over so many keys.
 SALTS = 16
+#: Hosts up to which verdicts are broadcast; beyond, they are joined by (host, salt).
+BROADCAST_HOSTS = 50_000
 
 
 def _repeat_words(w: Column) -> Column:
@@ -86,9 +88,10 @@ def host_verdicts(marked: DataFrame, limit: float) -> DataFrame:
     return hosts.select("__host", "__none", worst.alias("worst_rate"), (worst > limit).alias("host_failed"))
 
 
-def judge(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host_col: str = "source", drop_text: bool = False) -> DataFrame:
+def judge(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host_col: str = "source", drop_text: bool = False, thin: bool = False) -> DataFrame:
     """``docs`` with the measures, ``base_failed``, ``worst_rate`` (the host's) and ``kept``.
 
+    ``thin`` leaves the columns of ``docs`` null where a document fails by itself, so that its text isn't carried on.
     A null or empty text has no words and fails; a null host is a host of its own; repeated rows each count.
     Columns of ``docs`` with the names of added ones are replaced. An empty table gives no rows.
     """
@@ -100,17 +103,23 @@ def judge(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host
         F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.col(host_col).isNull().alias("__none"),
         "__w.*", "__l.*", "word_chars", "n_symbols", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in narrow]), F.lit(SALTS)).cast("int").alias("__salt"),
     )
-    marked = written(marked.withColumns({f"__f_{k}": v for k, v in failures().items()}), "quality")
-    hosts = host_verdicts(marked, host_limit).withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     failed = F.col("__f_few_words") | F.col("__f_repeats")
-    return marked.join(hosts, ["__host", "__none", "__salt"], "left").select(
+    marked = marked.withColumns({f"__f_{k}": v for k, v in failures().items()})
+    marked = written(marked.withColumn("__row", F.when(~failed, F.col("__row"))) if thin else marked, "quality")
+    hosts = written(host_verdicts(marked, host_limit), "hosts")
+    if hosts.count() <= BROADCAST_HOSTS:
+        joined = marked.join(F.broadcast(hosts), ["__host", "__none"], "left")
+    else:
+        salted = hosts.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = marked.join(salted, ["__host", "__none", "__salt"], "left")
+    return joined.select(
         "__row.*", *MEASURES, "n_lines", failed.alias("base_failed"), "worst_rate", (~failed & ~F.col("host_failed")).alias("kept")
     )
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
     """The documents that pass, with their own columns."""
-    return judge(docs, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return judge(docs, thin=True, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
