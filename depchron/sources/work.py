@@ -23,10 +23,15 @@ def work_dir(spark: SparkSession) -> str:
     return shared
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing has used yet."""
+    return f"{work_dir(spark).rstrip('/')}/depchron-{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str = "stage") -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back, so its lineage ends here."""
     spark = df.sparkSession
-    path = f"{work_dir(spark).rstrip('/')}/depchron-{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
