@@ -9,12 +9,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from depchron.functions.order import numbered
 
 KEY = ("branch_id", "path", "name")
-BY_POS = Window.partitionBy(*KEY).orderBy("pos")
+
+
+def by_pos() -> WindowSpec:
+    return Window.partitionBy(*KEY).orderBy("pos")
 
 
 def differs(a: Column, b: Column) -> Column:
@@ -50,7 +53,7 @@ def changes(observations: DataFrame, track_integrity: bool = False) -> DataFrame
     Modified means that version or scope differ; a change of the integrity alone counts only with
     ``track_integrity``. ``requirement`` is the version, and for removals the one that was removed.
     """
-    before = {c: F.lag(c).over(BY_POS) for c in ("version", "scope", "integrity")}
+    before = {c: F.lag(c).over(by_pos()) for c in ("version", "scope", "integrity")}
     seen = observations.withColumns({f"__{c}": v for c, v in before.items()})
     moved = differs(F.col("version"), F.col("__version")) | differs(F.col("scope"), F.col("__scope"))
     if track_integrity:
@@ -90,5 +93,5 @@ def manifest_removed(intervals: DataFrame, deletions: DataFrame) -> DataFrame:
 
 def state_intervals(events: DataFrame) -> DataFrame:
     """Each event opens an interval [pos_from, pos_to) that the next event of its key closes; removals open none."""
-    ends = events.select(*KEY, "ecosystem", "kind", "version", "scope", "integrity", "change_type", F.col("pos").alias("pos_from"), F.lead("pos").over(BY_POS).alias("pos_to"))
+    ends = events.select(*KEY, "ecosystem", "kind", "version", "scope", "integrity", "change_type", F.col("pos").alias("pos_from"), F.lead("pos").over(by_pos()).alias("pos_to"))
     return ends.filter("change_type != 'removed'").drop("change_type")

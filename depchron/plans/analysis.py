@@ -11,7 +11,7 @@ from depchron.operators import policy, sbom, sinks, state, vulns
 from depchron.plans.core import day
 from depchron.plans.registry import query
 from depchron.sources.binding import AS_OF, Views
-from depchron.sources.work import new_folder
+from depchron.sources.work import new_folder, written
 from depchron.streaming import changes as stream
 
 V = "list_transform(string_split({}, '.'), lambda x: x::BIGINT)"
@@ -394,10 +394,10 @@ def export_csv(v: Views) -> DataFrame:
 def changes_stream(v: Views) -> DataFrame:
     """All observations as three batches of files in order of position, drained as a stream."""
     source = new_folder(v.spark, "observations")
-    rows = v.observations.select("branch_id", "path", "name", "pos", "version", "scope")
+    rows = written(v.observations.select("branch_id", "path", "name", "pos", "version", "scope"), "observations")
     top = rows.agg(F.max("pos")).first()[0] or 0
     for k in range(3):
-        rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3)).coalesce(1).write.mode("append").parquet(source)
+        rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3)).repartition(1).write.mode("append").parquet(source)
     read = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
     return stream.drained(stream.changes_stream(read), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from depchron.operators.changes import KEY
+from depchron.sources.work import shipped
 
 EVENTS = "branch_id long, path string, name string, pos long, change_type string, requirement string, previous_version string"
 STATE = "pos long, version string, scope string, late long"
@@ -17,18 +18,19 @@ STATE = "pos long, version string, scope string, late long"
 
 def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last, version, scope, late = state.get if state.exists else (-1, None, None, 0)
+    rows = [x for f in frames for x in zip(f["pos"].tolist(), f["version"].tolist(), f["scope"].tolist(), strict=True)]
     out = []
-    for row in pd.concat(list(frames)).sort_values("pos", kind="stable").itertuples(index=False):
-        if row.pos <= last:
+    for pos, now, of in sorted(rows, key=lambda x: x[0]):
+        if pos <= last:
             late += 1
             continue
-        now, of = (None if pd.isna(x) else x for x in (row.version, row.scope))
         if (now, of) != (version, scope) and (now is not None or version is not None):
             kind = "removed" if now is None else "added" if version is None else "modified"
-            out.append((*key, row.pos, kind, now if now is not None else version, version if kind == "modified" else None))
-        last, version, scope = row.pos, now, of
+            out.append((*key, pos, kind, now if now is not None else version, version if kind == "modified" else None))
+        last, version, scope = pos, now, of
     state.update((last, version, scope, late))
-    yield pd.DataFrame(out, columns=["branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version"])
+    if out:
+        yield pd.DataFrame(out, columns=["branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version"])
 
 
 def changes_stream(observations: DataFrame) -> DataFrame:
@@ -37,6 +39,7 @@ def changes_stream(observations: DataFrame) -> DataFrame:
     The state of a key is its last position, version and scope. Positions are a total order, so a row at or before
     the last position is late, and is dropped and counted in the state.
     """
+    shipped(observations.sparkSession)
     return observations.groupBy(*KEY).applyInPandasWithState(_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
