@@ -123,7 +123,7 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), token_count(F.col(text_col)).alias("__n")).filter("__id IS NOT NULL")
     taken = mix(narrow, F.col("__n"), id_col="__id", source_col="__s", **options).filter("taken > 0")
     times = written(taken.groupBy("__id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")), "mix-repeats")
-    joined = docs.join(times, docs[id_col] == times["__id"])
+    joined = docs.join(times.hint("merge"), docs[id_col] == times["__id"])
     return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
