@@ -1,9 +1,9 @@
 """Sharding by proportional stratified interleaving.
 
-Rows are shuffled by a seeded key and ranked within their source; a row's fractional rank is
-(rank - 1/2) / (rows of its source). Sorted by fractional rank every stretch of the order holds the sources in
-their overall proportions, so cutting it into equal stretches gives shards that all match the mixture, with row
-counts at most one apart.
+Rows are shuffled by a seeded key and ranked within their source; a row's fractional rank is (rank - phase) / (rows of
+its source), the phase being a seeded number between 0 and 1 for each source, so that sources of equal size don't
+come in step. Sorted by fractional rank every stretch of the order holds the sources in their overall proportions, so
+cutting it into equal stretches gives shards that all match the mixture, with row counts at most one apart.
 
 No source is ranked in one task (``common.running_sum``), and the global order is cut into ranges of the
 fractional rank, which hold equal shares of rows by construction.
@@ -36,8 +36,9 @@ def shard(docs: DataFrame, n_shards: int = 24, seed: str = "shard-1", id_col: st
         F.xxhash64(*[F.col(f"`{c}`") for c in kept]).alias("__tie"),
     ).withColumn("__part", common.key_range(F.col("__key"), n))
     rows = written(rows, "shard-rows")
+    phase = common.order_key(f"{seed}-phase", F.col("__source")) / F.lit(float(common.KEY_LIMIT))
     ranked = common.running_sum(rows, ["__source", "__none"], "__part", ["__key", "__tie"], F.lit(1), "__rank", "__n").select(
-        "__row", "__source", "__none", "__key", "__tie", ((F.col("__rank") - 0.5) / F.col("__n")).alias("__at")
+        "__row", "__source", "__none", "__key", "__tie", ((F.col("__rank") - phase) / F.col("__n")).alias("__at")
     )
     ranked = written(ranked.withColumn("__bin", F.floor(F.col("__at") * n).cast("int")).withColumn("__all", F.lit(0)), "shard-ranks")
     placed = common.running_sum(ranked, ["__all"], "__bin", ["__at", "__none", "__source", "__key", "__tie"], F.lit(1), "__place", "__total")

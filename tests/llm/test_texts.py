@@ -36,7 +36,7 @@ class TestSecrets:
     def test_random_tokens_are_told_from_structured_ones(self, spark):
         r = random.Random(4)
         keys = ["".join(r.choice(secrets.ALPHABETS["base62"]) for _ in range(40)) for _ in range(30)]
-        plain = ["the_configuration_of_build_2024_release_candidate", "aaaaaaaaaaaaaaaaaaaaaaaa1111111111111111", "user_account_number_1_of_the_table_users"] * 10
+        plain = ["the_configuration_of_build_2024_release_candidate", "zzzzzzzzzzzzzzzzzzzzzzzz1111111111111111", "user_account_number_1_of_the_table_users"] * 10
         got = self.spans(spark, *[f"x {k} y" for k in keys], *[f"x {p} y" for p in plain])
         assert sum(g == [("random", 2, 42)] for g in got[:30]) >= 28
         assert got[30:] == [[]] * 30
