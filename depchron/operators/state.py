@@ -26,14 +26,15 @@ def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET) -> Dat
     """State at each reference (ref, branch_id, pos): the intervals open at its position.
 
     References and intervals meet by (branch, bucket of positions), so the join is an equi-join with the range as
-    its residue, and a branch is split over as many keys as it has buckets. An interval is dealt into the buckets
-    that it touches, an open one up to the last bucket that a reference of its branch asks for.
+    its residue, and a branch is split over as many keys as it has buckets. The buckets that are asked for come as
+    one scalar, at most one number per ``bucket`` positions of the longest branch, and an interval is dealt only
+    into those that it touches.
     """
     asked = refs.select("ref", "branch_id", F.col("pos").alias("at"), F.floor(F.col("pos") / bucket).alias("__b"))
-    last = asked.groupBy("branch_id").agg(F.max("__b").alias("__last"))
-    end = F.least(F.coalesce(F.floor((F.col("pos_to") - 1) / bucket), F.col("__last")), F.col("__last"))
-    dealt = intervals.join(last, "branch_id").withColumn("__first", F.floor(F.col("pos_from") / bucket)).filter(F.col("__first") <= F.col("__last"))
-    dealt = dealt.withColumn("__b", F.explode(F.sequence(F.col("__first"), F.greatest(end, F.col("__first"))))).drop("__first", "__last")
+    buckets = asked.agg(F.collect_set("__b")).scalar()
+    first, last = F.floor(F.col("pos_from") / bucket), F.floor((F.col("pos_to") - 1) / bucket)
+    touched = F.filter("__asked", lambda b: (b >= first) & (last.isNull() | (b <= last)))
+    dealt = intervals.withColumn("__asked", buckets).withColumn("__b", F.explode(touched)).drop("__asked")
     return dealt.join(asked, ["branch_id", "__b"]).filter(open_at(F.col("at"))).drop("__b")
 
 
