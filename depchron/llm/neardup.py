@@ -7,21 +7,24 @@ occurrences of a shingle are dealt into blocks (1, 2, 3-4, 5-8, ...), one proces
 rate; of a block that a text fills in part, the points at occurrences that it lacks are passed over. So a shingle that
 occurs w times costs log2(w) processes and not w, and texts with different w still see the same points.
 
-Candidates: texts that agree in all registers of a band share a bucket. A bucket of m texts doesn't make m^2 pairs:
-its most central texts (those whose buckets are the fullest) become pivots, and every member is compared to these.
-Pairs that pass on the signature are verified on the exact multisets, and classes are the connected components of what
-is verified.
+Candidates: texts that agree in all registers of a band share a bucket. The most central texts of a bucket (those whose
+buckets are the fullest) become pivots, and every member is compared to these first. Then the members that are still in
+different classes are compared with each other, every pair of them, so what the pivots leave is found as well; pairs
+in one class need no further link. Signatures are compared tile by tile within the buckets, so only pairs that pass
+on the signature become rows. These are verified on the exact multisets, and classes are the connected components of
+what is verified.
 
 Copies of a text are collapsed before all this, so they cost nothing further.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -30,15 +33,17 @@ from depchron.sources.work import shipped, table, written
 SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
-#: Pivots per bucket. Buckets of up to one more are compared in full.
+#: Pivots per bucket. Buckets of up to one more are compared in full by these alone.
 PIVOTS = 4
-#: Buckets that a pair must share; at the least similarity it shares 13 on average, and fewer than 2 in one case of a million.
-SHARED = 2
+#: Members of a bucket on each side of a tile, and pairs whose signatures are compared at a time.
+CHUNK, PAIRS = 512, 1 << 15
 #: Share of equal registers below which a pair is dropped unverified: over four standard deviations under SIMILAR.
 LIKELY = 0.64
 #: Bytes of text worked on at a time.
 BLOCK = 1 << 19
 SALTS = 8
+#: Sides of a tile that a row is on.
+LEFT, RIGHT, BOTH = 0, 1, 2
 
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
@@ -186,11 +191,42 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, REGISTERS) for k in ("x", "y"))
-        like = (x == y).mean(1) >= LIKELY
-        yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(like)) for k in ("a", "b")], names=["a", "b"])
+def _tile_pairs(place: np.ndarray, role: np.ndarray, ids: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (smaller id, larger id) that are likely alike, of one left and one right row of the same tile and different classes."""
+    left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
+    count = np.bincount(place[right], minlength=place[-1] + 1)
+    begin, each = (np.cumsum(count) - count)[place[left]], count[place[left]]
+    part = np.cumsum(each) // PAIRS
+    for rows in np.split(np.arange(len(left)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+        n = each[rows]
+        x = np.repeat(left[rows], n)
+        y = right[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        ok = (label[x] != label[y]) & ((role[x] != BOTH) | (role[y] != BOTH) | (ids[x] < ids[y]))
+        x, y = x[ok], y[ok]
+        like = (sig[x] == sig[y]).mean(1) >= LIKELY
+        x, y = ids[x[like]], ids[y[like]]
+        yield np.minimum(x, y), np.maximum(x, y)
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Likely pairs of rows (band, key, i, j, role, id, class, sig) that come sorted by tile (band, key, i, j)."""
+    rest = None
+    for batch in itertools.chain(batches, [None]):  # None: what is left over is whole too
+        if batch is not None:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
+            new.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS))
+            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+        if rest is None:
+            continue
+        place = np.cumsum(np.append(False, np.any([c[1:] != c[:-1] for c in rest[:4]], axis=0)))
+        whole = len(place) if batch is None else int(np.searchsorted(place, place[-1]))
+        if whole:
+            for a, b in _tile_pairs(place[:whole], *[c[:whole] for c in rest[4:]]):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+            rest = [c[whole:] for c in rest]
 
 
 def _verify(similar: float):
@@ -227,19 +263,23 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Verified pairs (a, b) of ids of ``nodes`` (id, bands, sig); ``texts`` (id, text) has the texts, at least of all nodes."""
-    member = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    full = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
-    member = written(member.join(full, ["band", "key"]), "members")
-    central = member.groupBy("id").agg(F.sum("m").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("weight"), "id"))
-    pivots = member.join(central, "id").select("band", "key", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS).select("band", "key", F.col("id").alias("a"))
-    pairs = member.select("band", "key", F.col("id").alias("b")).join(pivots, ["band", "key"]).filter("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= SHARED).select("a", "b")
-    sig = nodes.select("id", "sig")
-    signed = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a")
-    likely = signed.select("a", "b", "x", "y").mapInArrow(_agree, "a long, b long")
-    likely = written(likely.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likely")
+def _chunk(n) -> Column:
+    """The chunk of ``id`` where there are ``n`` of them."""
+    return F.pmod(F.xxhash64("id"), n).cast("int")
+
+
+def _chunks(count: Column) -> Column:
+    return F.ceil(count / CHUNK).cast("int")
+
+
+def _likely(dealt: DataFrame, sig: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b), a < b, that ``_alike`` finds in ``dealt`` (band, key, i, j, role, id, class)."""
+    tile = ["band", "key", "i", "j"]
+    signed = dealt.join(sig, "id").select(*tile, "role", "id", "class", "sig").repartition(*tile).sortWithinPartitions(*tile)
+    return signed.mapInArrow(_alike, "a long, b long").distinct()
+
+
+def _verified(likely: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
     involved = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
     # by merge at every size: the ids are no bounded set
     own = written(texts.join(involved.hint("merge"), "id"), "texts")
@@ -247,6 +287,49 @@ def links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataF
     return written(paired.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a long, b long"), "verified")
 
 
+def _to_pivots(member: DataFrame) -> DataFrame:
+    """Tiles in which all members of a bucket meet its pivots; a tile has one chunk of the members."""
+    central = member.groupBy("id").agg(F.sum("m").alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("weight"), "id"))
+    pivots = member.join(central, "id").select("band", "key", "m", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS)
+    left = member.select("band", "key", _chunk(_chunks(F.col("m"))).alias("i"), F.lit(0).alias("j"), F.lit(LEFT).alias("role"), "id", F.col("id").alias("class"))
+    right = pivots.select("band", "key", F.explode(F.sequence(F.lit(0), _chunks(F.col("m")) - 1)).alias("i"), F.lit(0).alias("j"), F.lit(RIGHT).alias("role"), "id", F.col("id").alias("class"))
+    return left.unionAll(right)
+
+
+def _between_classes(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """Tiles in which members of a bucket that are in different classes meet.
+
+    Members of the bucket's largest class are only dealt to those of others, and not to each other.
+    """
+    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select("band", "key", "id", F.coalesce("class", "id").alias("class"))
+    sizes = labelled.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("m"))
+    split = sizes.filter("main.n < m").select("band", "key", F.col("main.class").alias("main"), _chunks(F.col("m") - F.col("main.n")).alias("others"), _chunks(F.col("main.n")).alias("mains"))
+    rows = written(labelled.join(split, ["band", "key"]), "unresolved")
+    tile = F.col("t")
+    other = rows.filter("class != main").withColumn("c", _chunk(F.col("others"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)))
+    other = other.select("band", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), F.when(tile == F.col("c"), BOTH).when(tile > F.col("c"), LEFT).otherwise(RIGHT).alias("role"), "id", "class")
+    main = rows.filter("class = main").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return other.unionAll(main.select("band", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class"))
+
+
+def links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """Verified pairs (a, b) of ids of ``nodes`` (id, bands, sig); ``texts`` (id, text) has the texts, at least of all nodes.
+
+    Pairs that share a bucket are all compared, but for those that others join in one class already.
+    """
+    sig = nodes.select("id", "sig")
+    member = nodes.select("id", F.posexplode("bands").alias("band", "key"))
+    full = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    member = written(member.join(full, ["band", "key"]), "members")
+    likely = written(_likely(_to_pivots(member), sig), "likely")
+    found = _verified(likely, texts, similar)
+    if member.filter(F.col("m") > PIVOTS + 1).isEmpty():
+        return found
+    more = _likely(_between_classes(member, components(found)), sig).join(likely.hint("merge"), ["a", "b"], "left_anti")
+    return found.unionAll(_verified(written(more, "likely"), texts, similar))
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, class_id, n_copies) for every row of ``docs``: the smallest id of its class, and the rows with this very text.
 

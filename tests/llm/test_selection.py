@@ -164,6 +164,16 @@ class TestNearDuplicates:
         texts = [" ".join(base[:p] + [f"n{r.randrange(10**6)}"] + base[p + 1 :]) for p in (r.randrange(200) for _ in range(400))]
         assert len({c for _, c in rows(neardup.classes(docs(spark, *texts)), "id", "class_id")}) == 1
 
+    def test_links_that_meet_no_pivot(self, spark, monkeypatch):
+        monkeypatch.setattr(neardup, "CHUNK", 50)
+        r, base, texts = random.Random(4), prose(1, 400, 10**6), []
+        for k in range(120):  # few are alike, but all share buckets
+            at = set(r.sample(range(0, 360, 5), 6))
+            one = [f"k{k}-{p}" if p in at else w for p, w in enumerate(base)]
+            texts += [" ".join(one), " ".join(one[:-33] + [f"z{k}-{p}" for p in range(33)])]
+        got = [c for _, c in sorted(rows(neardup.classes(docs(spark, *texts)), "id", "class_id"))]
+        assert got == brute_classes(texts)
+
     def test_odd_rows(self, spark):
         a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
         df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, None), (4, None), (5, b), (2, b)], "doc_id long, text string").withColumn("bands", F.lit(1))
