@@ -26,8 +26,8 @@ from depchron.sources.work import shipped, table
 
 #: Labelled rows learned from, per language (as many as hash below the matching share; the number is met on average).
 SAMPLE = 4000
-#: Most frequent n-grams kept per language, and languages at most.
-GRAMS, LANGUAGES = 6000, 256
+#: Most frequent n-grams kept per language.
+GRAMS = 6000
 #: Bits of a cell's address, and cells per n-gram.
 ADDRESS, MIXERS = 18, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Bytes looked at at a time.
@@ -105,26 +105,24 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model
     """A model from (id, text, lang). Rows without text or language are passed over; no rows give a model without languages.
 
     The sample is taken by a hash of the id and text, so it is the same in any run. What reaches the driver is one
-    row per language and ``keep`` n-grams of each.
+    row per language and ``keep`` n-grams of each, some languages at a time. All languages are learned.
     """
     shipped(labelled.sparkSession)
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], "und", np.zeros((0, 1 << ADDRESS), np.uint64), np.zeros(0))
-    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, sample / r["n"])))]), F.col("lang"))
-    drawn = rows.filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("lang", "text")
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], min(1.0, sample / r["n"])) for r in sizes], "lang string, share double")
+    drawn = rows.join(F.broadcast(shares), "lang").filter(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text")
     counted = drawn.mapInArrow(_count, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     top = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "g"))).filter(F.col("rank") <= keep)
     bits = np.zeros(((len(languages) + 63) // 64, 1 << ADDRESS), np.uint64)
-    by_lang: dict[str, list[int]] = {}
-    for r in top.select("lang", "g").collect():
-        by_lang.setdefault(r["lang"], []).append(r["g"])
-    fill = np.zeros(len(languages))
-    for i, lang in enumerate(languages):
+    fill, place = np.zeros(len(languages)), {lang: i for i, lang in enumerate(languages)}
+    for r in top.groupBy("lang").agg(F.collect_list("g").alias("grams")).toLocalIterator():
+        i = place[r["lang"]]
         own = bits[i // 64]
-        for at in cells(np.array(by_lang.get(lang, []), np.uint32)):
+        for at in cells(np.array(r["grams"], np.uint32)):
             own[at] |= np.uint64(1 << (i % 64))
         fill[i] = np.count_nonzero(own >> np.uint64(i % 64) & np.uint64(1)) / len(own)
     return Model(languages, sizes[0]["lang"], bits, fill ** len(MIXERS))

@@ -128,6 +128,14 @@ class TestLanguage:
         got = language.identify(df, language.learn(df))
         assert got.filter("lang = lang_pred").count() >= 0.95 * len(full)
 
+    def test_no_language_is_left_out(self, spark):
+        words = {f"l{k:03}": [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}q" for x in "abc"] for k in range(300)}
+        full = [(i, " ".join(words[lang]), lang) for i, lang in enumerate(words)]
+        df = spark.createDataFrame([*full, *[(1000 + i, t, lang) for i, t, lang in full[:256]]], "id long, text string, lang string")
+        model = language.learn(df)
+        got = language.identify(df.filter("lang >= 'l256'"), model)
+        assert model.languages == sorted(words) and got.filter("lang = lang_pred").count() == 44
+
     def test_nothing_to_learn(self, spark):
         model = language.learn(self.labelled(spark).limit(0))
         assert rows(language.identify(docs(spark, "some text"), model), "lang_pred", "score") == [("und", 0.0)]
