@@ -1,7 +1,8 @@
 """Advisories: from OSV records to interval rows, and how versions meet intervals.
 
 An interval row is (id, ecosystem, name, lo, hi, hi_inclusive, ...): ``lo`` null or "0" has no lower end, ``hi`` null no upper
-one. ``fixed`` is exclusive, ``last_affected`` inclusive. A row without both means all versions.
+one. ``fixed`` is exclusive, ``last_affected`` inclusive. A row without both means all versions, or those of its list
+``versions`` if it has one.
 """
 
 from __future__ import annotations
@@ -75,12 +76,16 @@ def advisory_packages(osv: DataFrame) -> DataFrame:
 
 
 def in_range(version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None) -> Column:
-    """Whether a version is affected: it is listed, or in the interval; without an interval every version is."""
+    """Whether a version is affected: it is listed, or in the interval; without interval and list every version is."""
     key, low, high = version_key(version), version_key(lo), version_key(hi)
     above = F.coalesce(lo, F.lit("0")).isin("0", "") | (key >= low)
     below = hi.isNull() | (key < high) | (inclusive & (key == high))
-    inside = F.coalesce((lo.isNull() & hi.isNull()) | (above & below & key.isNotNull()), F.lit(False))
-    return inside if listed is None else inside | F.coalesce(F.array_contains(listed, version), F.lit(False))
+    free = lo.isNull() & hi.isNull()
+    if listed is None:
+        return F.coalesce(free | (above & below & key.isNotNull()), F.lit(False))
+    some = F.coalesce(F.size(listed) > 0, F.lit(False))
+    inside = F.when(free, ~some).otherwise(F.coalesce(above & below & key.isNotNull(), F.lit(False)))
+    return inside | F.coalesce(F.array_contains(listed, version), F.lit(False))
 
 
 def fixed_version(fixed_versions: Column) -> Column:
@@ -91,13 +96,15 @@ def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
     """Rows with (ecosystem, name, version) joined to the advisories that affect them: an equi-join with the range as its residue.
 
     A row that several intervals of an advisory hold comes once for each; ``id`` and the advisory's severity are added.
+    The list ``versions`` of an advisory counts where there is such a column.
     """
+    listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
     a = advisories.select(
-        F.col("id"), ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), "lo", "hi", "hi_inclusive", "severity", "cvss_score"
+        F.col("id"), ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), "lo", "hi", "hi_inclusive", listed.alias("__listed"), "severity", "cvss_score"
     )
     keyed = rows.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
-    hit = keyed.join(a, ["__e", "__n"]).filter(in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive")))
-    return hit.drop("__e", "__n", "lo", "hi", "hi_inclusive")
+    hit = keyed.join(a, ["__e", "__n"]).filter(in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive"), F.col("__listed")))
+    return hit.drop("__e", "__n", "__listed", "lo", "hi", "hi_inclusive")
 
 
 def stored_vuln_count(advisories: DataFrame) -> DataFrame:

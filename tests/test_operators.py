@@ -156,6 +156,16 @@ class TestAdvisories:
         assert rows(adv.advisory_table(osv), "id", "severity", "cvss_score") == [("X", "moderate", None)]
         assert rows(adv.advisory_packages(osv), "name", "lo", "hi", "hi_inclusive") == [("a", "0", "1.2", False), ("a", "2.0", "2.3", True), ("a", "4.0", None, False), ("b", None, None, False)]
 
+    def test_listed_versions(self, spark):
+        record = """{"id": "X", "affected": [
+          {"package": {"ecosystem": "npm", "name": "a"}, "versions": ["9.0", "odd"], "ranges": [{"type": "SEMVER", "events": [{"introduced": "1.0"}, {"fixed": "2.0"}]}]},
+          {"package": {"ecosystem": "npm", "name": "b"}, "versions": ["3.0"]}, {"package": {"ecosystem": "npm", "name": "c"}, "versions": []}]}"""
+        osv = adv.parsed(spark.createDataFrame([(record,)], "record string"))
+        advisories = adv.advisory_packages(osv).join(adv.advisory_table(osv).select("id", "severity", "cvss_score"), "id")
+        used = spark.createDataFrame([("npm", n, v) for n in "abc" for v in ("1.5", "3.0", "9.0", "odd", None)], "ecosystem string, name string, version string")
+        want = [("a", "1.5"), ("a", "9.0"), ("a", "odd"), ("b", "3.0"), *[("c", v) for v in ("1.5", "3.0", "9.0", "odd", None)]]
+        assert rows(adv.affected(used, advisories), "name", "version") == sorted(want, key=repr)
+
     def test_severities(self, spark):
         df = spark.createDataFrame([("critical",), ("Moderate",), ("odd",), (None,)], "s string")
         assert [r[0] for r in df.select(names.severity_rank(F.col("s"))).collect()] == [0, 2, 4, 4]
