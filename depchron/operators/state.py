@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from depchron.functions.names import same_text
+from depchron.functions.order import numbered
 
 STATE = ("branch_id", "path", "name", "ecosystem", "kind", "version", "scope", "integrity")
 #: Positions per bucket where many references meet intervals.
@@ -38,12 +38,16 @@ def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET) -> Dat
     return dealt.join(asked, ["branch_id", "__b"]).filter(open_at(F.col("at"))).drop("__b")
 
 
+#: Positions of a branch whose changed commits are numbered in one task.
+PART = 10_000
+
+
 def checkpoints(events: DataFrame, every: int = 100) -> DataFrame:
     """(branch_id, pos) of every ``every``-th changed commit and of the last one of each branch."""
-    changed = events.select("branch_id", "pos").distinct()
-    order = Window.partitionBy("branch_id").orderBy("pos")
-    ranked = changed.withColumns({"n": F.row_number().over(order), "next": F.lead("pos").over(order)})
-    return ranked.filter((F.col("n") % every == 0) | F.col("next").isNull()).select("branch_id", "pos")
+    changed = events.select("branch_id", "pos").distinct().withColumn("part", F.floor(F.col("pos") / PART))
+    last = changed.groupBy("branch_id").agg(F.max("pos").alias("last"))
+    ranked = numbered(changed, ["branch_id"], "part", ["pos"], "n").join(last, "branch_id")
+    return ranked.filter((F.col("n") % every == 0) | (F.col("pos") == F.col("last"))).select("branch_id", "pos")
 
 
 def snapshot_materialize(intervals: DataFrame, events: DataFrame, every: int = 100) -> DataFrame:

@@ -139,6 +139,15 @@ class TestVersions:
         assert spark.createDataFrame([(a, b)], "a string, b string").select(update_type(F.col("a"), F.col("b"))).first()[0] == kind
 
 
+class TestCheckpoints:
+    def test_numbered_in_parts(self, spark, monkeypatch):
+        monkeypatch.setattr(state, "PART", 4)
+        events = spark.range(40).select((F.col("id") % 2).alias("branch_id"), F.col("id").alias("pos")).filter("pos not in (6, 7, 8)")
+        events = events.unionAll(events)
+        want = [(b, x) for b in (0, 1) for own in [[p for p in range(b, 40, 2) if p not in (6, 7, 8)]] for k, x in enumerate(own, 1) if k % 5 == 0 or k == len(own)]
+        assert rows(state.checkpoints(events, 5), "branch_id", "pos") == sorted(want, key=repr)
+
+
 class TestAdvisories:
     @pytest.mark.parametrize("version,lo,hi,inclusive,want", [
         ("1.0.0", "1.0.0", "2.0.0", False, True), ("2.0.0", "1.0.0", "2.0.0", False, False), ("2.0.0", "1.0.0", "2.0.0", True, True), ("0.1", "0", "1.0.0", False, True),
