@@ -10,11 +10,12 @@ occurs w times costs log2(w) processes and not w, and texts with different w sti
 Candidates: texts that agree in all registers of a band share a bucket. The most central texts of a bucket (those whose
 buckets are the fullest) become pivots, and every member is compared to these first. Then the members that are still in
 different classes are compared with each other, every pair of them, so what the pivots leave is found as well; pairs
-in one class need no further link. Signatures are compared tile by tile within the buckets, so only pairs that pass
-on the signature become rows. These are verified on the exact multisets, and classes are the connected components of
-what is verified.
+in one class need no further link. Buckets are cut into tiles of bounded numbers and bytes. A pair is looked at in the
+first band that it shares and in no other: signatures first, then, for the members of a tile that are likely alike, the
+exact multisets. A tile hands on only links that join what it has not joined yet, so no group of texts ever becomes
+rows of pairs. Classes are the connected components of the links.
 
-Copies of a text are collapsed before all this, so they cost nothing further.
+Copies of a text are signed once as long as a task remembers them, and are collapsed before all else.
 """
 
 from __future__ import annotations
@@ -35,12 +36,12 @@ BANDS, ROWS = 32, 4
 REGISTERS = BANDS * ROWS
 #: Pivots per bucket. Buckets of up to one more are compared in full by these alone.
 PIVOTS = 4
-#: Members of a bucket on each side of a tile, and pairs whose signatures are compared at a time.
-CHUNK, PAIRS = 512, 1 << 15
+#: Members of a bucket on each side of a tile, bytes of their texts, and pairs whose signatures are compared at a time.
+CHUNK, CHUNK_BYTES, PAIRS = 512, 4 << 20, 1 << 15
 #: Share of equal registers below which a pair is dropped unverified: over four standard deviations under SIMILAR.
 LIKELY = 0.64
-#: Bytes of text worked on at a time.
-BLOCK = 1 << 19
+#: Bytes of text worked on at a time, and signatures of texts that a task remembers.
+BLOCK, MEMORY = 1 << 19, 20_000
 SALTS = 8
 #: Sides of a tile that a row is on.
 LEFT, RIGHT, BOTH = 0, 1, 2
@@ -77,16 +78,26 @@ class Hasher:
     def __init__(self):
         self.up = self.down = np.ones(0, np.uint64)
 
+    def words(self, text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, hash) of the words of a text whose white space is spaces and that ends in one, a block at a time."""
+        start = 0
+        while start < len(text):
+            end = len(text)
+            if end - start > BLOCK:
+                end = text.rfind(b" ", start, start + BLOCK) + 1 or text.index(b" ", start) + 1
+            a = np.frombuffer(text, np.uint8, end - start, start)
+            if len(a) > len(self.up):
+                self.up, self.down = _powers(BASE, 2 * len(a)), _powers(BASE_INVERSE, 2 * len(a))
+            edges = np.flatnonzero(np.diff(np.concatenate(([False], a != 0x20)).astype(np.int8)))
+            starts, ends = edges[::2], edges[1::2]
+            sums = np.concatenate(([np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.up[: len(a)], dtype=np.uint64)))
+            yield start + starts, mix((sums[ends] - sums[starts]) * self.down[starts])
+            start = end
+
     def shingles(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(hash, place of its text) of every shingle, in order."""
-        a = np.frombuffer(b"".join([b" " + t.translate(PLAIN) + b" " for t in texts]), np.uint8)
-        if len(a) > len(self.up):
-            self.up, self.down = _powers(BASE, 2 * len(a)), _powers(BASE_INVERSE, 2 * len(a))
-        word = a != 0x20
-        edges = np.flatnonzero(word[1:] != word[:-1]) + 1
-        starts, ends = edges[::2], edges[1::2]
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((a.astype(np.uint64) + np.uint64(1)) * self.up[: len(a)], dtype=np.uint64)))
-        words = mix((sums[ends] - sums[starts]) * self.down[starts])
+        blocks = [*self.words(b"".join([b" " + t.translate(PLAIN) + b" " for t in texts]))]
+        starts, words = (np.concatenate([b[k] for b in blocks]) if blocks else np.zeros(0, t) for k, t in enumerate((np.int64, np.uint64)))
         owner = np.searchsorted(np.cumsum([len(t) + 2 for t in texts]), starts, side="right")
         n = np.bincount(owner, minlength=len(texts))
         first = np.concatenate(([0], np.cumsum(n)))[:-1]
@@ -145,17 +156,38 @@ def signatures(h: np.ndarray, own: np.ndarray, n: np.ndarray, texts: int) -> np.
     return name.reshape(texts, REGISTERS)
 
 
+class Multisets:
+    """The shingles of some texts, to compare one text with many."""
+
+    def __init__(self, h: np.ndarray, own: np.ndarray, n: np.ndarray, texts: int):
+        self.feature, self.n = np.unique(h, return_inverse=True)[1], n
+        self.edges = np.searchsorted(own, np.arange(texts + 1))
+        self.size = np.bincount(own, n, texts)
+        self.mark = np.zeros(len(h) + 1, np.int64)
+
+    @classmethod
+    def of(cls, hasher: Hasher, texts: list[bytes]) -> Multisets:
+        parts = [(a, *hasher.multisets(texts[a:b])) for a, b in _slices(texts)]
+        return cls(*[np.concatenate(x) for x in zip(*[(h, own + a, n) for a, h, own, n in parts], strict=True)], len(texts))
+
+    def similarity(self, x: int, others: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard similarity of text ``x`` with others."""
+        mine = slice(self.edges[x], self.edges[x + 1])
+        self.mark[self.feature[mine]] = self.n[mine]
+        count = self.edges[others + 1] - self.edges[others]
+        ends = np.cumsum(count)
+        at = np.repeat(self.edges[others] - ends + count, count) + np.arange(count.sum())
+        sums = np.concatenate(([0], np.cumsum(np.minimum(self.mark[self.feature[at]], self.n[at]))))
+        both = sums[ends] - sums[ends - count]
+        self.mark[self.feature[mine]] = 0
+        total = self.size[x] + self.size[others] - both
+        return np.divide(both, total, out=np.zeros(len(others)), where=total > 0)
+
+
 def similarity(h: np.ndarray, own: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     """Weighted Jaccard similarity of pairs (a, b) of texts of ``multisets``."""
-    edges = np.searchsorted(own, np.arange(pairs.max() + 2)) if len(pairs) else []
-    out = np.zeros(len(pairs))
-    for k, (a, b) in enumerate(pairs):
-        x, y = slice(edges[a], edges[a + 1]), slice(edges[b], edges[b + 1])
-        _, i, j = np.intersect1d(h[x], h[y], assume_unique=True, return_indices=True)
-        both = np.minimum(n[x][i], n[y][j]).sum()
-        total = n[x].sum() + n[y].sum() - both
-        out[k] = both / total if total else 0.0
-    return out
+    sets = Multisets(h, own, n, int(pairs.max()) + 1 if len(pairs) else 0)
+    return np.array([sets.similarity(a, np.array([b]))[0] for a, b in pairs])
 
 
 def _bytes(column: pa.Array) -> list[bytes]:
@@ -174,72 +206,112 @@ def _slices(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, md5, text) -> (id, md5, size, sig). Registers go on as 16 bits each, so a band of four is a number of 64 bits."""
     hasher = Hasher()
-    mixers = _powers(BASE, ROWS + 1)[1:]
+    known: dict[str, bytes] = {}
     for batch in batches:
-        texts = _bytes(batch.column(batch.num_columns - 1))
-        for a, b in _slices(texts):
-            h, own, n = hasher.multisets(texts[a:b])
-            names = signatures(h, own, n, b - a)
+        md5s, texts = batch.column(1).to_pylist(), _bytes(batch.column(2))
+        new = {m: t for m, t in zip(md5s, texts, strict=True) if m not in known}
+        if len(known) + len(new) > MEMORY:
+            known = {m: known[m] for m in md5s if m in known}
+        names, todo = list(new), list(new.values())
+        for a, b in _slices(todo):
+            h, own, n = hasher.multisets(todo[a:b])
+            short = (signatures(h, own, n, b - a) >> np.uint64(40)).astype("<u2")
             some = np.bincount(own, minlength=b - a) > 0
-            bands = mix((names.reshape(b - a, BANDS, ROWS) * mixers).sum(2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-            short = (names >> np.uint64(40)).astype(np.uint16)
-            rows = batch.slice(a, b - a)
-            yield pa.RecordBatch.from_arrays(
-                [*rows.columns[:-1], pa.array([x.tolist() if ok else [] for x, ok in zip(bands, some, strict=True)], pa.list_(pa.int64())), pa.array([x.tobytes() if ok else b"" for x, ok in zip(short, some, strict=True)], pa.binary())],
-                names=[*batch.schema.names[:-1], "bands", "sig"],
-            )
-
-
-def _tile_pairs(place: np.ndarray, role: np.ndarray, ids: np.ndarray, label: np.ndarray, sig: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs (smaller id, larger id) that are likely alike, of one left and one right row of the same tile and different classes."""
-    left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
-    count = np.bincount(place[right], minlength=place[-1] + 1)
-    begin, each = (np.cumsum(count) - count)[place[left]], count[place[left]]
-    part = np.cumsum(each) // PAIRS
-    for rows in np.split(np.arange(len(left)), np.flatnonzero(part[1:] != part[:-1]) + 1):
-        n = each[rows]
-        x = np.repeat(left[rows], n)
-        y = right[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        ok = (label[x] != label[y]) & ((role[x] != BOTH) | (role[y] != BOTH) | (ids[x] < ids[y]))
-        x, y = x[ok], y[ok]
-        like = (sig[x] == sig[y]).mean(1) >= LIKELY
-        x, y = ids[x[like]], ids[y[like]]
-        yield np.minimum(x, y), np.maximum(x, y)
-
-
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Likely pairs of rows (band, key, i, j, role, id, class, sig) that come sorted by tile (band, key, i, j)."""
+            known.update((m, x.tobytes() if ok else b"") for m, x, ok in zip(names[a:b], short, some, strict=True))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:2], pa.array(map(len, texts), pa.int64()), pa.array([known[m] for m in md5s], pa.binary())], names=["id", "md5", "size", "sig"]
+        )
+
+
+#: Rows of tiles: a member of a bucket in band ``band``, in the tile (i, j), with its class so far. The bucket's key is in ``sig``.
+MEMBER = "band int, i int, j int, role int, id long, class long, sig binary"
+
+
+class Tiles:
+    """Rows of whole tiles as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        self.batch = batch
+        self.band, i, j, self.role, self.id, self.label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("band", "i", "j", "role", "id", "class"))
+        self.sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        key = self.sig.view("<i8")[np.arange(len(self.band)), self.band]
+        self.place = np.cumsum(np.append(False, np.any([c[1:] != c[:-1] for c in (self.band, key, i, j)], axis=0)))
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Likely pairs (left, right) of rows of one tile and different classes, in the first band that they share, by left."""
+        place, role = self.place, self.role
+        left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
+        count = np.bincount(place[right], minlength=place[-1] + 1)
+        begin, each = (np.cumsum(count) - count)[place[left]], count[place[left]]
+        part = np.cumsum(each) // PAIRS
+        for rows in np.split(np.arange(len(left)), np.flatnonzero(part[1:] != part[:-1]) + 1):
+            n = each[rows]
+            x = np.repeat(left[rows], n)
+            y = right[np.repeat(begin[rows] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            ok = (self.label[x] != self.label[y]) & ((role[x] != BOTH) | (role[y] != BOTH) | (self.id[x] < self.id[y]))
+            x, y = x[ok], y[ok]
+            same = self.sig[x] == self.sig[y]
+            like = np.flatnonzero(np.count_nonzero(same, axis=1) >= LIKELY * REGISTERS)
+            bands = same[like].reshape(-1, BANDS, ROWS).all(2)
+            like = like[bands.argmax(1) == self.band[x[like]]]
+            yield x[like], y[like]
+
+
+def _whole_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[Tiles]:
+    """Rows that come sorted by tile, all rows of a tile together."""
     rest = None
     for batch in itertools.chain(batches, [None]):  # None: what is left over is whole too
         if batch is not None:
             if not batch.num_rows:
                 continue
-            new = [batch.column(k).to_numpy(zero_copy_only=False) for k in range(7)]
-            new.append(np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint16).reshape(-1, REGISTERS))
-            rest = new if rest is None else [np.concatenate(x) for x in zip(rest, new, strict=True)]
+            rest = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
         if rest is None:
-            continue
-        place = np.cumsum(np.append(False, np.any([c[1:] != c[:-1] for c in rest[:4]], axis=0)))
+            return
+        place = Tiles(rest).place
         whole = len(place) if batch is None else int(np.searchsorted(place, place[-1]))
         if whole:
-            for a, b in _tile_pairs(place[:whole], *[c[:whole] for c in rest[4:]]):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            rest = [c[whole:] for c in rest]
+            yield Tiles(rest.slice(0, whole))
+            rest = rest.slice(whole)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of each tile, those that are in a likely pair."""
+    for tiles in _whole_tiles(batches):
+        some = np.zeros(len(tiles.id), bool)
+        for x, y in tiles.pairs():
+            some[x] = some[y] = True
+        yield tiles.batch.filter(pa.array(some))
+
+
+def joining(sets: Multisets, label: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]], similar: float) -> Iterator[tuple[int, int]]:
+    """Of some pairs (x, y), sorted by x, those that are alike and join two labels not yet joined; ``label`` is changed."""
+    for xs, ys in pairs:
+        edges = np.flatnonzero(np.diff(xs)) + 1
+        for x, others in zip(xs[np.append(0, edges)].tolist() if len(xs) else (), np.split(ys, edges), strict=False):
+            others = others[label[others] != label[x]]
+            if not len(others):
+                continue
+            others = others[sets.similarity(x, others) >= similar]
+            if len(others):
+                found, at = np.unique(label[others], return_index=True)
+                yield from ((x, y) for y in others[at].tolist())
+                label[np.isin(label, found)] = label[x]
 
 
 def _verify(similar: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of tiles with their texts -> links (a, b), a tree for what is joined in each tile."""
         hasher = Hasher()
-        for batch in batches:
-            x, y = _bytes(batch.column("x")), _bytes(batch.column("y"))
-            for a, b in _slices([s + t for s, t in zip(x, y, strict=True)]):
-                places: dict[bytes, int] = {}
-                pairs = np.array([(places.setdefault(s, len(places)), places.setdefault(t, len(places))) for s, t in zip(x[a:b], y[a:b], strict=True)])
-                ok = similarity(*hasher.multisets(list(places)), pairs) >= similar
-                rows = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([rows.column(k).filter(pa.array(ok)) for k in ("a", "b")], names=["a", "b"])
+        for tiles in _whole_tiles(batches):
+            edges = [*np.searchsorted(tiles.place, np.arange(tiles.place[-1] + 1)), len(tiles.place)]
+            for a, b in itertools.pairwise(edges):
+                tile = Tiles(tiles.batch.slice(a, b - a))
+                sets = Multisets.of(hasher, _bytes(tile.batch.column("text")))
+                found = np.array([*joining(sets, tile.label.copy(), tile.pairs(), similar)], np.int64).reshape(-1, 2)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array(tile.id[found].min(1)), pa.array(tile.id[found].max(1))], names=["a", "b"])
 
     return verify
 
@@ -263,38 +335,24 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _chunk(n) -> Column:
+def _chunk(n: Column) -> Column:
     """The chunk of ``id`` where there are ``n`` of them."""
     return F.pmod(F.xxhash64("id"), n).cast("int")
 
 
-def _chunks(count: Column) -> Column:
-    return F.ceil(count / CHUNK).cast("int")
-
-
-def _likely(dealt: DataFrame, sig: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b), a < b, that ``_alike`` finds in ``dealt`` (band, key, i, j, role, id, class)."""
-    tile = ["band", "key", "i", "j"]
-    signed = dealt.join(sig, "id").select(*tile, "role", "id", "class", "sig").repartition(*tile).sortWithinPartitions(*tile)
-    return signed.mapInArrow(_alike, "a long, b long").distinct()
-
-
-def _verified(likely: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    involved = likely.select(F.col("a").alias("id")).unionAll(likely.select(F.col("b").alias("id"))).distinct()
-    # by merge at every size: the ids are no bounded set
-    own = written(texts.join(involved.hint("merge"), "id"), "texts")
-    paired = likely.join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a")
-    return written(paired.select("a", "b", "x", "y").mapInArrow(_verify(similar), "a long, b long"), "verified")
+def _chunks(count: Column, size: Column) -> Column:
+    """Chunks for so many members with texts of so many bytes."""
+    return F.greatest(F.ceil(count / CHUNK), F.ceil(size / CHUNK_BYTES), F.lit(1)).cast("int")
 
 
 def _to_pivots(member: DataFrame) -> DataFrame:
     """Tiles in which all members of a bucket meet its pivots; a tile has one chunk of the members."""
     central = member.groupBy("id").agg(F.sum("m").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("weight"), "id"))
-    pivots = member.join(central, "id").select("band", "key", "m", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS)
-    left = member.select("band", "key", _chunk(_chunks(F.col("m"))).alias("i"), F.lit(0).alias("j"), F.lit(LEFT).alias("role"), "id", F.col("id").alias("class"))
-    right = pivots.select("band", "key", F.explode(F.sequence(F.lit(0), _chunks(F.col("m")) - 1)).alias("i"), F.lit(0).alias("j"), F.lit(RIGHT).alias("role"), "id", F.col("id").alias("class"))
-    return left.unionAll(right)
+    pivots = member.join(central, "id").select("band", "key", "m", "bytes", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS)
+    n = _chunks(F.col("m"), F.col("bytes"))
+    row = lambda i, role: ("band", "key", i.alias("i"), F.lit(0).alias("j"), F.lit(role).alias("role"), "id", F.col("id").alias("class"))
+    return member.select(*row(_chunk(n), LEFT)).unionAll(pivots.select(*row(F.explode(F.sequence(F.lit(0), n - 1)), RIGHT)))
 
 
 def _between_classes(member: DataFrame, labels: DataFrame) -> DataFrame:
@@ -302,32 +360,48 @@ def _between_classes(member: DataFrame, labels: DataFrame) -> DataFrame:
 
     Members of the bucket's largest class are only dealt to those of others, and not to each other.
     """
-    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select("band", "key", "id", F.coalesce("class", "id").alias("class"))
-    sizes = labelled.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("band", "key").agg(F.max(F.struct("n", "class")).alias("main"), F.sum("n").alias("m"))
-    split = sizes.filter("main.n < m").select("band", "key", F.col("main.class").alias("main"), _chunks(F.col("m") - F.col("main.n")).alias("others"), _chunks(F.col("main.n")).alias("mains"))
+    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select("band", "key", "id", "size", F.coalesce("class", "id").alias("class"))
+    by_class = labelled.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    sizes = by_class.groupBy("band", "key").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("m"), F.sum("bytes").alias("bytes"))
+    split = sizes.filter("main.n < m").select(
+        "band", "key", F.col("main.class").alias("main"),
+        _chunks(F.col("m") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others"), _chunks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
+    )
     rows = written(labelled.join(split, ["band", "key"]), "unresolved")
     tile = F.col("t")
     other = rows.filter("class != main").withColumn("c", _chunk(F.col("others"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)))
-    other = other.select("band", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), F.when(tile == F.col("c"), BOTH).when(tile > F.col("c"), LEFT).otherwise(RIGHT).alias("role"), "id", "class")
+    role = F.when(tile == F.col("c"), BOTH).when(tile > F.col("c"), LEFT).otherwise(RIGHT)
+    other = other.select("band", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), role.alias("role"), "id", "class")
     main = rows.filter("class = main").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     return other.unionAll(main.select("band", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class"))
 
 
+def _linked(dealt: DataFrame, sig: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """Links (a, b) among the rows of each tile of ``dealt`` (band, key, i, j, role, id, class)."""
+    tile = ["band", "key", "i", "j"]
+    by_tile = lambda df, *more: df.repartition(*tile).sortWithinPartitions(*tile).select("band", "i", "j", "role", "id", "class", "sig", *more)
+    likely = written(by_tile(dealt.join(sig, "id")).mapInArrow(_likely, MEMBER), "likely")
+    key = F.substring("sig", 8 * F.col("band") + 1, F.lit(8))
+    both = likely.withColumn("key", key).join(texts, "id")
+    return written(by_tile(both, "text").mapInArrow(_verify(similar), "a long, b long"), "links")
+
+
 def links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Verified pairs (a, b) of ids of ``nodes`` (id, bands, sig); ``texts`` (id, text) has the texts, at least of all nodes.
+    """Links (a, b) between ids of ``nodes`` (id, size, sig) that are alike; ``texts`` (id, text) has the texts, at least of all nodes.
 
     Pairs that share a bucket are all compared, but for those that others join in one class already.
     """
     sig = nodes.select("id", "sig")
-    member = nodes.select("id", F.posexplode("bands").alias("band", "key"))
-    full = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", 8 * b + 1, F.lit(8)))
+    member = nodes.select("id", "size", F.posexplode(keys).alias("band", "key"))
+    full = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
     member = written(member.join(full, ["band", "key"]), "members")
-    likely = written(_likely(_to_pivots(member), sig), "likely")
-    found = _verified(likely, texts, similar)
+    # by merge at every size: the ids are no bounded set
+    own = written(texts.join(member.select("id").distinct().hint("merge"), "id").dropDuplicates(["id", "text"]), "texts")
+    found = _linked(_to_pivots(member), sig, own, similar)
     if member.filter(F.col("m") > PIVOTS + 1).isEmpty():
         return found
-    more = _likely(_between_classes(member, components(found)), sig).join(likely.hint("merge"), ["a", "b"], "left_anti")
-    return found.unionAll(_verified(written(more, "likely"), texts, similar))
+    return found.unionAll(_linked(_between_classes(member, components(found)), sig, own, similar))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -340,10 +414,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     spark = shipped(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     given = rows.filter("id IS NOT NULL AND text IS NOT NULL")
-    signed = given.select("id", F.md5("text").alias("md5"), "text").mapInArrow(_sign, "id long, md5 string, bands array<long>, sig binary")
+    signed = given.select("id", F.md5("text").alias("md5"), "text").mapInArrow(_sign, "id long, md5 string, size long, sig binary")
     signed = written(signed, "signatures")
-    nodes = written(signed.groupBy("md5").agg(F.min(F.struct("id", "bands", "sig")).alias("s"), F.count(F.lit(1)).alias("copies")).select("md5", "copies", "s.*"), "nodes")
-    found = links(nodes.filter(F.size("bands") > 0), given.select("id", "text"), similar)
+    nodes = written(signed.groupBy("md5").agg(F.min(F.struct("id", "size", "sig")).alias("s"), F.count(F.lit(1)).alias("copies")).select("md5", "copies", "s.*"), "nodes")
+    found = links(nodes.filter(F.octet_length("sig") > 0), given.select("id", "text"), similar)
     shared = signed.groupBy("id").agg(F.min("md5").alias("x"), F.max("md5").alias("y")).filter("x != y")
     if not shared.isEmpty():
         of = nodes.select("md5", F.col("id").alias("n"))
