@@ -40,12 +40,19 @@ def key_range(key: Column, n: int) -> Column:
     return F.floor(key / F.lit(float(KEY_LIMIT // n + 1))).cast("int")
 
 
-def running_sum(df: DataFrame, groups: list[str], part: str, order: list[str], value: Column, cum: str, total: str) -> DataFrame:
+def word_count(text: Column) -> Column:
+    """Number of words; a null text has none. Each word becomes one letter, so no array of words is built."""
+    rest = F.ltrim(F.coalesce(text, F.lit("")), F.lit("\x20\x09\x0a\x0b\x0c\x0d"))
+    return F.length(F.regexp_replace(rest, rf"{WORD}[{SPACE}]*+", "w")).cast("long")
+
+
+def running_sum(df: DataFrame, groups: list[str], part: str, order: list[str], value: Column, cum: str, total: str, of_group: DataFrame | None = None) -> DataFrame:
     """Adds ``cum``, the running sum of ``value`` in each group by (``part``, ``order``), and ``total``, the group's sum.
 
     ``part`` must rise with ``order``. Each (group, part) is summed on its own, with partial sums before the
     shuffle, and the sums of earlier parts are joined back as offsets, so a group that holds a third of all rows
-    is spread over as many tasks as it has parts. ``groups`` must hold no nulls.
+    is spread over as many tasks as it has parts. ``groups`` must hold no nulls. The columns of ``of_group``, one
+    row per group, come along with the offsets, so no row meets its group under a hot key.
     """
     keys = [*groups, part]
     sums = df.groupBy(*keys).agg(F.sum(value).cast("long").alias("__sum"))
@@ -55,6 +62,8 @@ def running_sum(df: DataFrame, groups: list[str], part: str, order: list[str], v
         F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"),
         F.sum("__sum").over(Window.partitionBy(*groups)).alias(total),
     )
+    if of_group is not None:
+        offsets = offsets.join(of_group, groups)
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.join(offsets, keys).withColumn(cum, F.col("__before") + F.sum(value).over(inside)).drop("__before")
 

@@ -1,13 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing.
 
 Every source is a flow that sends its documents in a seeded random order, up to ``epochs`` times over. A document's
-virtual finish time is the source's tokens sent so far, itself included, divided by the source's weight. Taking
-documents by finish time until the budget is spent gives each source tokens in proportion to its weight; a source
-that has sent all its epochs leaves, and the others share what it leaves by weight.
-
-The cut is found without sorting the corpus: finish times fall into ranges around the level at which the budget
-runs out (known exactly from the source totals), ranges wholly below the cut are taken whole, those above not at
-all, and only the range that the cut crosses is sorted.
+virtual finish time is the source's tokens sent so far, itself included, divided by the source's weight. In the queue
+of all sources, sorted by finish time, the budget is spent at one level of virtual time: up to it each source has sent
+tokens in proportion to its weight. A source that has sent all its epochs leaves, and the others share what it leaves by
+weight, which raises the level.
+
+The level follows from the totals of the sources alone, so the queue is cut there by comparing finish times, without
+sorting it. A document that is being sent when the level is reached counts with the words sent until then, so
+each source meets its target to less than a word. ``in_order`` sorts what was taken by ranges of finish time.
 """
 
 from __future__ import annotations
@@ -21,54 +22,51 @@ from depchron.sources.work import table, written
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Ranges of finish time between 0 and the level of the cut.
-STEPS = 4096
+#: Most rounds of resharing; every round but the last fills at least one source, and nearly always many.
+ROUNDS = 10_000
 
 
 def levels(sizes: DataFrame, weights: tuple[int, ...], per_cent: int, epochs: int) -> DataFrame:
-    """(source, none, size) -> rank, weight, target and the level v at which the budget runs out; one row per source.
+    """(source, none, size) -> weight, source_size, target and ``send``, the target in whole tokens; one row per source.
 
-    A source is full if the level reaches its cap, ``epochs`` times its size. Sorted by cap / weight, the full
-    ones are a prefix; all comparisons are between whole numbers (decimals of scale 0).
+    Sources are ranked by ranges of their names, and the level is found by sums over all sources, a row a round: those whose
+    cap, ``epochs`` times their size, lies below it leave, until none does. All comparisons are between whole numbers.
+    Targets are cut to whole tokens, and what that leaves of the budget goes to those that lost most, a token each.
     """
-    whole = lambda c: F.col(c).cast("decimal(38,0)")
-    ranked = sizes.withColumn("rank", F.row_number().over(Window.orderBy("none", "source")).cast("long"))
+    n = common.ranges(sizes.sparkSession)
+    dealt = written(sizes.repartitionByRange(n, "none", "source").withColumn("__part", F.spark_partition_id()).withColumn("__all", F.lit(0)), "mix-sources")
+    ranked = common.running_sum(dealt, ["__all"], "__part", ["none", "source"], F.lit(1), "rank", "__n")
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
-    ranked = ranked.withColumns({"weight": weight, "cap": epochs * F.col("size")})
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), "rank")
-    up_to, after = by_cap.rowsBetween(Window.unboundedPreceding, 0), by_cap.rowsBetween(1, Window.unboundedFollowing)
-    ranked = ranked.withColumns({
-        "caps": F.sum("cap").over(up_to),
-        "rest": F.coalesce(F.sum("weight").over(after), F.lit(0)),
-        "total": F.sum("size").over(Window.partitionBy()),
-    })
-    full = 100 * (whole("weight") * whole("caps") + whole("cap") * whole("rest")) <= per_cent * whole("total") * whole("weight")
-    ranked = ranked.withColumn("full", full)
-    whole_table = Window.partitionBy()
-    ranked = ranked.withColumns({
-        "over": per_cent * F.col("total") - 100 * F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(whole_table), F.lit(0)),
-        "under": 100 * F.coalesce(F.sum(F.when(~F.col("full"), F.col("weight"))).over(whole_table), F.lit(0)),
-    })
-    shared = (F.col("weight") * F.col("over")).cast("double") / F.nullif(F.col("under"), F.lit(0))
-    return ranked.select(
-        "source", "none", "rank", "weight", F.col("size").alias("source_size"), "total",
-        F.when(F.col("full"), F.col("cap").cast("double")).otherwise(shared).alias("target"),
-        F.coalesce(F.col("over").cast("double") / F.nullif(F.col("under"), F.lit(0)), F.lit(0.0)).alias("level"),
-    )
+    ranked = written(ranked.select("__all", "source", "none", "rank", "size", weight.alias("weight"), (epochs * F.col("size")).alias("cap")), "mix-sources")
+    total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
+    over = under = 0  # 100 x the level is over / under
+    full = F.lit(False)
+    for _ in range(ROUNDS):
+        r = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("caps"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weights")).first()
+        found = (per_cent * total - 100 * r["caps"], r["weights"])
+        if found == (over, under):
+            break
+        over, under = found
+        # decimals of scale 0: these products pass 2^63
+        full = F.col("cap").cast("decimal(38,0)") * F.lit(100 * under).cast("decimal(38,0)") <= F.col("weight").cast("decimal(38,0)") * F.lit(over).cast("decimal(38,0)") if under else F.lit(True)
+    target = F.when(full, F.col("cap").cast("double")).otherwise((F.col("weight") * F.lit(over).cast("long")).cast("double") / F.lit(100.0 * (under or 1)))
+    whole = written(ranked.select("*", full.alias("full"), target.alias("target")).withColumn("lost", F.col("target") - F.floor("target")), "mix-targets")
+    spare = per_cent * total // 100 - (whole.agg(F.sum(F.floor("target"))).first()[0] or 0)
+    by_loss = common.running_sum(whole.withColumn("__part", F.floor((1 - F.col("lost")) * n)), ["__all"], "__part", [F.desc("lost"), "rank"], F.lit(1), "place", "__n")
+    send = F.floor("target") + (~F.col("full") & (F.col("place") <= spare)).cast("long")
+    return by_loss.select("source", "none", "weight", F.col("size").alias("source_size"), "target", send.alias("send"))
 
 
 def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, per_cent: int = 150, epochs: int = 2, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
-    """``docs`` with size, source_size, target (the source's), taken (tokens the mix takes, repeats counted).
+    """``docs`` with size, source_size, target (the source's), taken (tokens the mix takes, repeats counted) and finish.
 
-    The budget is ``per_cent`` of all sizes, rounded down, and is spent exactly; no document gives more than
-    ``epochs`` times its size. A null source is a source of its own, last in order. Documents of size 0 stay, with
-    taken 0. Repeated rows are documents of their own. Columns of ``docs`` with these four names are replaced.
-    An empty table gives no rows.
+    The targets add up to ``per_cent`` of all sizes and each source meets its own but for rounding; no document gives
+    more than ``epochs`` times its size. ``finish`` is the virtual finish time when the document is first sent. A null
+    source is a source of its own, last in order; a null or empty text has size 0, stays, and is taken 0 times. A null id
+    is like any value. Repeated rows are documents of their own; of equal ids the smaller size is sent first. Columns
+    of ``docs`` with these five names are replaced. An empty table gives no rows.
     """
-    if epochs != 2:
-        raise ValueError("two epochs are built in")
-    spark = docs.sparkSession
-    n, out = common.ranges(spark), ("size", "source_size", "target", "taken")
+    n, out = common.ranges(docs.sparkSession), ("size", "source_size", "target", "taken", "finish")
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in out]).alias("__row"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -79,46 +77,24 @@ def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, per_c
     ).withColumn("__part", common.key_range(F.col("__key"), n))
     rows = written(rows, "mix-rows")
     plan = levels(rows.groupBy("source", "none").agg(F.sum("size").cast("long").alias("size")), weights, per_cent, epochs)
-    sent = common.running_sum(rows, ["source", "none"], "__part", ["__key", "__id", "size"], F.col("size"), "__cum", "__sent")
-    sent = sent.withColumn("__at", F.row_number().over(Window.partitionBy("source", "none", "__part").orderBy("__key", "__id", "size")))
-    sent = sent.join(plan.withColumnRenamed("source", "s").withColumnRenamed("none", "no"), (F.col("source") == F.col("s")) & (F.col("none") == F.col("no")))
-    times = [((F.col("__cum") + e * F.col("source_size")) / F.col("weight")).cast("double") for e in range(epochs)]
-    step = lambda v: F.when(F.col("level") > 0, F.least(F.floor(v / F.col("level") * STEPS), F.lit(2 * STEPS))).otherwise(0).cast("int")
-    sent = sent.select("__row", "size", "source_size", "target", "total", "rank", "__part", "__at", "__key", "__id", *[v.alias(f"v{e}") for e, v in enumerate(times)], *[step(v).alias(f"b{e}") for e, v in enumerate(times)])
-    sent = written(sent, "mix-times")
-
-    by_step = sent.select("size", "total", F.explode(F.array("b0", "b1")).alias("b")).groupBy("b").agg(F.sum("size").alias("sum"), F.max("total").alias("total"))
-    cut = (
-        by_step.withColumn("upto", F.sum("sum").over(Window.orderBy("b")))
-        .select("b", (F.col("upto") - F.col("sum")).alias("before"), (F.col("upto") * 100 >= F.col("total") * per_cent - 99).alias("over"), F.floor(F.col("total") * per_cent / 100).alias("budget"))
-        .filter("over").orderBy("b").first()
-    )
-    b, before, budget = (cut["b"], cut["before"], cut["budget"]) if cut else (0, 0, 0)
-    whole = F.col("size") * ((F.col("b0") < b).cast("long") + (F.col("b1") < b).cast("long"))
-    crossed = (F.col("b0") == b) | (F.col("b1") == b)
-    here = (
-        sent.filter(crossed).withColumn("__whole", whole)
-        .withColumn("e", F.explode(F.filter(F.array(*[F.when(F.col(f"b{i}") == b, F.struct(F.col(f"v{i}").alias("v"), F.lit(i).alias("i"))) for i in range(epochs)]), lambda x: x.isNotNull())))
-    )
-    so_far = F.sum("size").over(Window.orderBy("e.v", "rank", "e.i", "__key", "__id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.lit(budget - before) - (so_far - F.col("size"))))
-    here = here.withColumn("__taken", part).groupBy("rank", "__part", "__at").agg(
-        *[F.first(c).alias(c) for c in ("__row", "size", "source_size", "target", "__whole")], F.sum("__taken").alias("__taken")
-    )
-    end = lambda df, taken: df.select("__row.*", "size", "source_size", "target", taken.cast("long").alias("taken"))
-    return end(sent.filter(~crossed), whole).unionAll(end(here, F.col("__whole") + F.col("__taken")))
+    sent = common.running_sum(rows, ["source", "none"], "__part", ["__key", "__id", "size"], F.col("size"), "__cum", "__sent", plan)
+    rest = F.pmod(F.col("send"), F.greatest("source_size", F.lit(1))) - (F.col("__cum") - F.col("size"))
+    times = F.floor(F.col("send") / F.greatest("source_size", F.lit(1)))
+    taken = times * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
+    return sent.select("__row.*", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("__cum") / F.col("weight")).alias("finish"))
 
 
 def token_count(text: Column) -> Column:
     """Words of the text; a null text has none."""
-    return F.size(common.words(text)).cast("long")
+    return common.word_count(text)
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mix itself: every document as often as its taken words fill it, the last one begun in full, with its own columns.
 
     Rows that share an id come equally often; documents without words or id are no part of a mix. Only ids and
-    numbers go through the queues; the texts move once, when the repeats are joined back.
+    numbers go through the queues; the texts move once, when the repeats are joined back. Columns of any other name are
+    carried along, whatever they are called. An empty table gives no rows.
     """
     narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), token_count(F.col(text_col)).alias("__n")).filter("__id IS NOT NULL")
     taken = mix(narrow, F.col("__n"), id_col="__id", source_col="__s", **options).filter("taken > 0")
@@ -127,11 +103,17 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
+def in_order(taken: DataFrame, partitions: int | None = None) -> DataFrame:
+    """What ``mix`` took as one queue: rows with taken words, sorted over all partitions by ranges of finish time."""
+    rows = taken.filter("taken > 0")
+    return (rows.repartitionByRange(partitions, "finish") if partitions else rows.repartitionByRange("finish")).sortWithinPartitions("finish")
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to 150% of their words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mix(docs.select("doc_id", "source", token_count(F.col("text")).alias("n")), F.col("n")).select(
-        "doc_id", "size", "source_size", "target", "taken", "source"
+        "doc_id", "size", "source_size", "target", "taken", "source", "finish"
     )
 
 
@@ -147,15 +129,14 @@ c AS (SELECT *, sum(cap) OVER o AS caps, coalesce(sum(weight) OVER (ORDER BY cap
 f AS (SELECT *, 100 * (weight * caps + cap * rest) <= 150 * total * weight AS is_full FROM c),
 t AS (SELECT *, 150 * total - 100 * coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS above,
              100 * coalesce(sum(weight) FILTER (NOT is_full) OVER (), 0) AS below FROM f),
-g AS (SELECT source, r, source_size, weight, total,
-             CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * above)::DOUBLE / nullif(below, 0)::DOUBLE END AS target FROM t),
-q AS (SELECT d.doc_id, d.source, d.size, d.k, g.r, g.source_size, g.weight, g.total, g.target,
-             sum(d.size) OVER (PARTITION BY g.r ORDER BY d.k, d.doc_id::VARCHAR, d.size ROWS UNBOUNDED PRECEDING) AS cum,
-             row_number() OVER (PARTITION BY g.r ORDER BY d.k, d.doc_id::VARCHAR, d.size) AS n
-      FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
-e AS (SELECT *, (cum + x.i * source_size)::DOUBLE / weight AS v FROM q, (VALUES (0), (1)) AS x(i)),
-z AS (SELECT *, sum(size) OVER (ORDER BY v, r, i, k, doc_id::VARCHAR, size ROWS UNBOUNDED PRECEDING) AS upto FROM e)
-SELECT doc_id, any_value(size)::BIGINT AS size, any_value(source_size)::BIGINT AS source_size, any_value(target) AS target,
-       sum(greatest(0, least(size, (total * 150) // 100 - (upto - size))))::BIGINT AS taken, any_value(source) AS source
-FROM z GROUP BY doc_id, r, n
+g AS (SELECT source, r, source_size, weight,
+             is_full, CASE WHEN is_full THEN cap::DOUBLE ELSE (weight * above)::DOUBLE / nullif(below, 0)::DOUBLE END AS target, total FROM t),
+h AS (SELECT *, floor(target)::BIGINT + CASE WHEN NOT is_full AND row_number() OVER (ORDER BY target - floor(target) DESC, r)
+                                                  <= 150 * total // 100 - sum(floor(target)::BIGINT) OVER () THEN 1 ELSE 0 END AS send FROM g),
+q AS (SELECT d.doc_id, d.source, d.size, h.source_size, h.weight, h.target, h.send,
+             sum(d.size) OVER (PARTITION BY h.r ORDER BY d.k, d.doc_id::VARCHAR, d.size ROWS UNBOUNDED PRECEDING) AS cum
+      FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, source, cum::DOUBLE / weight AS finish,
+       (send // greatest(source_size, 1) * size + greatest(0, least(size, send % greatest(source_size, 1) - (cum - size))))::BIGINT AS taken
+FROM q
 """

@@ -21,5 +21,6 @@ SQL = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_quality": quality.OP3_SQL,
     "op4_decontamination": decontamination.OP4_SQL,
+    "op9_sharding": sharding.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
 }

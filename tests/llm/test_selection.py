@@ -45,6 +45,27 @@ class TestMixing:
         assert rows(mixing.mix(df.limit(0), mixing.token_count(F.col("text")))) == []
         assert all(r[0] == 0 for r in rows(mixing.mix(df.filter("text is null"), F.lit(0)), "taken"))
 
+    def test_every_source_meets_its_target(self, spark):
+        r = random.Random(6)
+        df = docs(spark, *[(" ".join(prose(i, r.randrange(1, 90))), "hot" if i % 3 == 0 else f"s{r.randrange(9)}") for i in range(300)], ("long " * 4000, "big"))
+        by = defaultdict(list)
+        for s, size, target, taken in rows(mixing.mix(df, mixing.token_count(F.col("text"))), "source", "size", "target", "taken"):
+            by[s, target].append((size, taken))
+        assert all(abs(sum(k for _, k in x) - t) < 1 and all(k <= 2 * n for n, k in x) for (_, t), x in by.items())
+        assert sum(k for x in by.values() for _, k in x) == sum(n for x in by.values() for n, _ in x) * 3 // 2
+
+    def test_the_queue_is_cut_at_one_finish_time(self, spark):
+        df = docs(spark, *[(" ".join(prose(i, 1 + i % 17)), "abc"[i % 3]) for i in range(300)]).withColumn("finish", F.lit("mine"))
+        got = mixing.mix(df, mixing.token_count(F.col("text")), epochs=3, per_cent=40)
+        whole, none = (got.filter(c).agg(F.max("finish"), F.min("finish")).first() for c in ("taken = size", "taken = 0"))
+        assert whole[0] <= none[1] + 1e-9
+        queue = [x["finish"] for x in mixing.in_order(got, 4).collect()]
+        assert queue == sorted(queue) and len(queue) == got.filter("taken > 0").count()
+
+    def test_word_counts(self, spark):
+        texts = [None, "", " ", "a", " a ", "\x0b\x0ca\tb\n\nc ", "\x1c x\u00a0y", "w " * 50_000, "x" * 5_000_000]
+        assert [n for _, n in sorted(rows(docs(spark, *texts).select("doc_id", mixing.token_count(F.col("text")))))] == [0, 0, 0, 1, 1, 3, 2, 50_000, 1]
+
     def test_reruns_agree_whatever_the_partitions(self, spark):
         df = docs(spark, *[(" ".join(prose(i, i % 9)), f"s{i % 4}") for i in range(200)])
         first = rows(mixing.mix(df, mixing.token_count(F.col("text"))), "doc_id", "taken")
@@ -87,6 +108,27 @@ class TestSharding:
         sharding.write_shards(docs(spark, *"abcdef"), str(tmp_path / "s"), n_shards=2)
         assert rows(spark.read.parquet(str(tmp_path / "s")).groupBy("shard").count()) == [(0, 3), (1, 3)]
 
+    def test_many_files_a_shard(self, spark, tmp_path):
+        import pyarrow.parquet as pq
+
+        df = docs(spark, *[("x", f"s{i % 5}") for i in range(500)]).withColumn("slot", F.lit("mine"))
+        sharding.write_shards(df, str(tmp_path / "s"), n_shards=3, rows_per_file=20)
+        files = [pq.ParquetFile(f).read().column("slot").to_pylist() for f in (tmp_path / "s").rglob("*.parquet")]
+        assert len(files) == 27 and all(f == sorted(f) for f in files) and sum(map(len, files)) == 500
+        sharding.write_shards(df.limit(0), str(tmp_path / "none"))
+
+    def test_against_a_plain_sort(self, spark):
+        import hashlib
+
+        df = docs(spark, *[("x", "hot" if i % 3 else f"s{i % 7}") for i in range(400)])
+        key = lambda *x: int(hashlib.md5(":".join(map(str, x)).encode()).hexdigest()[:15], 16)
+        by = defaultdict(list)
+        for i, s in rows(df, "doc_id", "source"):
+            by[s].append((key("shard-1", i), i))
+        order = sorted(((r - key("shard-1-phase", s) / 2**60) / len(x), s, i) for s, x in by.items() for r, (_, i) in enumerate(sorted(x), 1))
+        want = {i: divmod(p, 17) if p < 272 else (16 + (p - 272) // 16, (p - 272) % 16) for p, (_, _, i) in enumerate(order)}
+        assert {i: (s, k) for i, s, k in rows(sharding.shard(df), "doc_id", "shard", "slot")} == want
+
 
 def repeat_words(text):
     w = text.split()
