@@ -3,8 +3,9 @@
 Every document is measured against a set of rules in one pass over its text. Failures are counted per host and
 rule, with partial sums before the shuffle. A host's failure rate is shrunk towards the rate of all hosts by a beta
 prior whose strength is fitted to the spread between hosts (method of moments for the beta-binomial), so a host of
-three documents is not condemned by two of them. A host whose shrunk rate passes the limit for some rule is
-rejected, and its verdict is joined back to its documents.
+three documents is not condemned by two of them. What decides is the posterior: a host is rejected where, for some rule, its
+rate is beyond the limit with a probability of ``SURE``. The limit is ``ODDS`` times the odds of the rate of all hosts, or ``LEAST``
+if that is more, so it follows the corpus. A host's verdict is joined back to its documents.
 """
 
 from __future__ import annotations
@@ -19,6 +20,10 @@ WINDOW = 8
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rules that count against a host; the first two also fail the document itself.
 RULES = ("few_words", "repeats", "symbols", "dup_lines", "word_length")
+#: A host fails a rule where its rate is over ODDS times the odds of all hosts, and over LEAST, with a probability of SURE.
+ODDS, LEAST, SURE = 4.0, 0.1, 0.95
+#: The posterior is summed in steps of so many standard deviations of its logit, so many to each side.
+STEP, STEPS = 0.1, 120
 #: Salts of the join that brings verdicts back: a host that holds a third of all rows is dealt out over so many keys.
 SALTS = 16
 #: Hosts up to which verdicts are broadcast; beyond, they are joined by (host, salt).
@@ -28,15 +33,16 @@ BROADCAST_HOSTS = 50_000
 def _repeat_words(w: Column) -> Column:
     """Words inside windows of eight that occur twice or more in the array ``w``.
 
-    Hashes show cheaply that most texts have no such window; the others are settled on the windows themselves.
+    Hashes show cheaply that most texts have no such window; where two are equal, the windows themselves are compared.
     """
     places = F.sequence(F.lit(1), F.size(w) - (WINDOW - 1))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice(w, i, F.lit(WINDOW))))
-    grams = F.array_sort(F.transform(places, lambda i: F.struct(F.array_join(F.slice(w, i, F.lit(WINDOW)), " ").alias("g"), i.alias("p"))))
-    twice = lambda s: F.sort_array(F.filter(F.transform(s, lambda x, k: F.when((F.get(s, k - 1)["g"] == x["g"]) | (F.get(s, k + 1)["g"] == x["g"]), x["p"])), lambda p: p.isNotNull()))
+    hashes = common.let(F.transform(w, lambda x: F.xxhash64(x)), lambda v: F.transform(places, lambda i: F.xxhash64(F.slice(v, i, F.lit(WINDOW)))))
+    window = lambda x: F.array_join(F.slice(w, x["p"], F.lit(WINDOW)), " ")
+    same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (window(x) == window(y)), F.lit(False))
+    twice = lambda s: F.sort_array(F.filter(F.transform(s, lambda x, k: F.when(same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x), x["p"])), lambda p: p.isNotNull()))
     covered = lambda d: F.aggregate(F.transform(d, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(d, k + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
-    settled = common.let(common.let(grams, twice), covered)
-    found = common.let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), settled).otherwise(F.lit(0).cast("long")))
+    settled = lambda h: common.let(common.let(F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), (k + 1).alias("p")))), twice), covered)
+    found = common.let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), settled(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(w) > WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
@@ -66,8 +72,21 @@ def failures() -> dict[str, Column]:
     }
 
 
-def host_verdicts(marked: DataFrame, limit: float) -> DataFrame:
-    """(host, host_none, worst_rate, host_failed) for each host; ``worst_rate`` is its largest shrunk failure rate.
+def tail(a: Column, b: Column, limit: Column) -> Column:
+    """P(rate > limit) where the rate has the beta distribution (a, b): a sum over its logit, where the density is smooth."""
+    mean = a / (a + b)
+    middle, width = F.log(mean / (1 - mean)), 1 / F.sqrt((a + b) * mean * (1 - mean))
+    density = lambda t: a * t - (a + b) * F.log1p(F.exp(t))
+    at = F.transform(F.sequence(F.lit(-STEPS), F.lit(STEPS)), lambda k: middle + k * STEP * width)
+    points = F.transform(at, lambda t: F.struct(t.alias("t"), F.exp(density(t) - density(middle)).alias("p")))
+    total = lambda v, of: F.aggregate(v, F.lit(0.0), lambda s, x: s + of(x))
+    beyond = lambda x: F.when(x["t"] > F.log(limit / (1 - limit)), x["p"]).otherwise(0.0)
+    return common.let(points, lambda v: total(v, beyond) / total(v, lambda x: x["p"]))
+
+
+def host_verdicts(marked: DataFrame, odds: float = ODDS, least: float = LEAST, sure: float = SURE) -> DataFrame:
+    """(host, host_none, worst_rate, risk, host_failed) for each host: its largest shrunk failure rate, and the probability
+    that its rate for some rule is beyond the limit (the largest over the rules).
 
     The prior needs four sums over hosts for each rule: one row, which is all that the driver sees.
     """
@@ -76,26 +95,30 @@ def host_verdicts(marked: DataFrame, limit: float) -> DataFrame:
         F.count(F.lit(1)).alias("hosts"), F.sum("n").alias("docs"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"),
         *[F.sum(r).alias(r) for r in RULES], *[F.sum(F.col(r).cast("double") * F.col(r) / F.col("n")).alias(f"{r}_2") for r in RULES],
     ).first()
-    rates = []
+    rates, risks = [], []
     for r in RULES:
         mean = (sums[r] or 0) / max(1, sums["docs"] or 0)
         spread = (sums[f"{r}_2"] or 0.0) - mean * (sums[r] or 0) - (sums["hosts"] - 1) * mean * (1 - mean)
         room = (sums["docs"] or 0) - (sums["squares"] or 0) / max(1, sums["docs"] or 0)
         between = spread / room if room > 0 else 0.0
         strength = min(1e9, max(1.0, mean * (1 - mean) / between - 1)) if between > 0 else 1e9 if sums["hosts"] > 1 else 1.0
-        rates.append((F.col(r) + mean * strength) / (F.col("n") + strength))
-    worst = F.greatest(*rates)
-    return hosts.select("__host", "__none", worst.alias("worst_rate"), (worst > limit).alias("host_failed"))
+        a, b = F.col(r) + mean * strength, F.col("n") - F.col(r) + (1 - mean) * strength
+        rates.append(a / (a + b))
+        if 0 < mean < 1:
+            limit = max(least, odds * mean / (1 - mean + odds * mean))
+            risks.append(F.when(F.col(r) > 0, tail(a, b, F.lit(limit))).otherwise(0.0))
+    worst, risk = F.greatest(*rates), F.greatest(F.lit(0.0), F.lit(0.0), *risks)
+    return hosts.select("__host", "__none", worst.alias("worst_rate"), risk.alias("risk")).withColumn("host_failed", F.col("risk") > sure)
 
 
-def judge(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host_col: str = "source", drop_text: bool = False, thin: bool = False) -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, ``worst_rate`` (the host's) and ``kept``.
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", drop_text: bool = False, thin: bool = False, **limits) -> DataFrame:
+    """``docs`` with the measures, ``base_failed``, ``worst_rate`` and ``risk`` (the host's) and ``kept``.
 
     ``thin`` leaves the columns of ``docs`` null where a document fails by itself, so that its text isn't carried on.
     A null or empty text has no words and fails; a null host is a host of its own; repeated rows each count.
     Columns of ``docs`` with the names of added ones are replaced. An empty table gives no rows.
     """
-    added = {*MEASURES, "n_lines", "base_failed", "worst_rate", "kept"}
+    added = {*MEASURES, "n_lines", "base_failed", "worst_rate", "risk", "kept"}
     row = [c for c in docs.columns if c.lower() not in added]
     narrow = [c for c in row if not (drop_text and c == text_col)]
     marked = measured(docs.select(*[F.col(f"`{c}`") for c in row]), text_col).select(
@@ -106,14 +129,14 @@ def judge(docs: DataFrame, host_limit: float = 0.5, text_col: str = "text", host
     failed = F.col("__f_few_words") | F.col("__f_repeats")
     marked = marked.withColumns({f"__f_{k}": v for k, v in failures().items()})
     marked = written(marked.withColumn("__row", F.when(~failed, F.col("__row"))) if thin else marked, "quality")
-    hosts = written(host_verdicts(marked, host_limit), "hosts")
+    hosts = written(host_verdicts(marked, **limits), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         joined = marked.join(F.broadcast(hosts), ["__host", "__none"], "left")
     else:
         salted = hosts.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         joined = marked.join(salted, ["__host", "__none", "__salt"], "left")
     return joined.select(
-        "__row.*", *MEASURES, "n_lines", failed.alias("base_failed"), "worst_rate", (~failed & ~F.col("host_failed")).alias("kept")
+        "__row.*", *MEASURES, "n_lines", failed.alias("base_failed"), "worst_rate", "risk", (~failed & ~F.col("host_failed")).alias("kept")
     )
 
 
@@ -146,7 +169,12 @@ s AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(n::DOUBLE * n)
 b AS (SELECT *, x / docs AS mean, (x2 - x * x / docs - (hosts - 1) * (x / docs) * (1 - x / docs)) / nullif(docs - squares / docs, 0) AS between_hosts FROM s),
 p AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(1e9, greatest(1.0, mean * (1 - mean) / between_hosts - 1))
                               WHEN hosts > 1 THEN 1e9 ELSE 1.0 END AS strength FROM b),
-v AS (SELECT source, max((x + mean * strength) / (n + strength)) > 0.5 AS host_failed FROM h JOIN p ON h.rule = p.rule GROUP BY source)
+y AS (SELECT source, x, x + mean * strength AS a, n - x + (1 - mean) * strength AS b, mean, greatest(0.1, 4.0 * mean / (1 - mean + 4.0 * mean)) AS top FROM h JOIN p ON h.rule = p.rule),
+o AS (SELECT *, ln(a / b) AS middle, 1 / sqrt(a / (a + b) * b) AS width, ln(top / (1 - top)) AS cut FROM y WHERE x > 0 AND mean < 1),
+q AS (SELECT *, list_transform(range(-120, 121), lambda k: middle + k * 0.1 * width) AS points FROM o),
+z AS (SELECT source, list_sum(list_transform(points, lambda t: CASE WHEN t > cut THEN exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))) ELSE 0 END))
+                     / list_sum(list_transform(points, lambda t: exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))))) AS risk FROM q),
+v AS (SELECT h.source, coalesce(max(risk), 0) > 0.95 AS host_failed FROM (SELECT DISTINCT source FROM h) h LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source GROUP BY h.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND NOT host_failed AS kept, f.source, n_lines
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

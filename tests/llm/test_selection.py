@@ -157,6 +157,30 @@ class TestQuality:
         assert all(k == (not f) for s, f, k in got if s != "spam")
         assert rows(quality.keep(df).select("source").distinct().filter("source = 'spam'")) == [] and quality.keep(df).columns == df.columns
 
+    def test_posterior_tail(self, spark):
+        from math import comb
+
+        # for whole numbers the beta distribution's tail is a binomial sum
+        exact = lambda a, b, x: sum(comb(a + b - 1, k) * x**k * (1 - x) ** (a + b - 1 - k) for k in range(a))
+        cases = [(a, b, x) for a in (1, 3, 40) for b in (1, 5, 200) for x in (0.05, 0.2, 0.5, 0.9)]
+        df = spark.createDataFrame([(float(a), float(b), x) for a, b, x in cases], "a double, b double, x double")
+        got = [r[0] for r in df.select(quality.tail(F.col("a"), F.col("b"), F.col("x"))).collect()]
+        assert got == pytest.approx([exact(*c) for c in cases], abs=0.03)
+
+    def test_planted_hosts(self, spark):
+        """Hosts that fail one rule in most of their documents go if they are large enough to tell; others stay."""
+        good, odd = " ".join(prose(1, 60)), " ".join(prose(2, 60)) + " " + "#" * 40
+        hosts = {"h3": (3, 3), "h12": (12, 9), "h40": (40, 26), "h200": (200, 110), "fair": (200, 12), "lucky": (3, 2)}
+        df = docs(spark, *[(odd if i < k else good, h) for h, (n, k) in hosts.items() for i in range(n)], *[(odd if i % 25 == 0 else good, f"ok{i % 30}") for i in range(900)])
+        got = rows(quality.judge(df, drop_text=True), "source", "base_failed", "kept")
+        assert not any(f for _, f, _ in got)
+        assert {s for s, _, k in got if not k} == {"h12", "h40", "h200"}
+
+    def test_a_long_text(self, spark):
+        one, same = "x" * 5_000_000, "a b c d e f g h\n" * 60_000
+        got = rows(quality.judge(docs(spark, one, same, " ".join(prose(1, 200_000, 10**6))), drop_text=True), "doc_id", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed")
+        assert got[:2] == [(0, 1, 5_000_000, 0, 0, True), (1, 480_000, 480_000, 59_999, 480_000, True)] and got[2][-1] is False
+
     def test_salted_join_gives_the_same(self, spark, monkeypatch):
         df = docs(spark, *[(" ".join(prose(i, 30)), f"s{i % 3}" if i % 5 else None) for i in range(60)]).withColumn("kept", F.lit(1))
         want = rows(quality.judge(df), "doc_id", "kept", "worst_rate")
