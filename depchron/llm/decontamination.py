@@ -34,14 +34,14 @@ FOUND = T.StructType().add("n_words", "long").add("hits", T.ArrayType(T.StructTy
 class Windows:
     """The windows of some items: vocabulary, and items by window."""
 
-    def __init__(self, items: list[tuple[str, str]], n: int = N):
+    def __init__(self, items: list[tuple[str | None, str]], n: int = N):
         self.ids: dict[bytes, int] = {}
         self.found: dict[tuple[int, ...], list[str]] = {}
         for item, text in items:
             words = [self.ids.setdefault(w, len(self.ids) + 1) for w in normal_words(text)]
             size = min(n, len(words))
             for window in {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} if size else ():
-                self.found.setdefault(window, []).append(item)
+                self.found.setdefault(window, []).extend([item] if item is not None else [])
         self.sizes = sorted({len(w) for w in self.found})
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], list[str]]:
@@ -58,7 +58,7 @@ class Windows:
             run = known[a:b].tolist()
             for size in self.sizes:
                 for i in range(b - a - size + 1):
-                    if of := self.found.get(tuple(run[i : i + size])):
+                    if (of := self.found.get(tuple(run[i : i + size]))) is not None:
                         hits.append((a + i, a + i + size))
                         items.update(of)
         return len(words), merged(hits), sorted(items)
@@ -109,11 +109,12 @@ def _scanner(windows):
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "text", keep_text: bool = True, part_bytes: int = PART_BYTES) -> DataFrame:
     """``docs`` as struct ``row`` with n_words, ``hits`` (merged stretches of words, in order) and ``items`` (sorted ids).
 
-    A null text has no words. Benchmark rows without id or words have no windows; rows that share an id are one
-    item. Repeated documents are scanned each. Empty tables on either side give no hits.
+    A null text has no words. Benchmark rows without words have no windows; the windows of rows without an id hit, but are
+    in no list of items; rows that share an id are one item. Repeated documents are scanned each. Empty tables on
+    either side give no hits.
     """
     spark = shipped(docs.sparkSession)
-    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
+    items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
     parts = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / part_bytes))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text_col])
     rows = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("__text"))
@@ -151,7 +152,7 @@ def contaminated():
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged."""
+    """The documents that are not contaminated, unchanged: those with null or empty texts, repeated rows and columns of any name too."""
     return hits(docs, benchmark, **options).filter(~contaminated()).select("row.*")
 
 
@@ -178,7 +179,10 @@ def _cutter(at: int):
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """All documents, with the hit words cut out of their texts, and what stands between the words of a stretch."""
+    """All documents, with the hit words cut out of their texts, and what stands between the words of a stretch.
+
+    Null and empty texts stay as they are, and columns of any other name; an empty table gives no rows.
+    """
     found = hits(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("hits").alias("__hits"))
     return found.mapInArrow(_cutter(docs.columns.index(text_col)), docs.schema)
 
@@ -201,7 +205,7 @@ d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(co
 x AS (SELECT id, size, unnest(range(1, len(w) - size + 2)) AS p, unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p:p + size - 1], ' '))) AS g FROM d, s WHERE len(w) >= size),
 h AS (SELECT id, p, size, item FROM x JOIN b ON x.g = b.g),
 n AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT id, p, size FROM h)) GROUP BY id),
-t AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM h) GROUP BY id)
+t AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM h WHERE item IS NOT NULL) GROUP BY id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN n ON d.id = n.id LEFT JOIN t ON d.id = t.id

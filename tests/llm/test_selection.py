@@ -278,6 +278,13 @@ class TestDecontamination:
         got = rows(found.select("row.doc_id", "n_words", decontamination.n_hit().alias("h"), "items", decontamination.contaminated().alias("c")))
         assert got == [(0, 8, 6, ["2"], True), (1, 13, 13, ["1"], True), (2, 12, 0, [], False), (3, 303, 3, ["2"], False), (4, 0, 0, [], False), (5, 0, 0, [], False), (6, 2, 0, [], False)]
 
+    def test_items_without_id_and_long_texts(self, spark):
+        item = "The quick brown fox jumps over the lazy dog and then runs far away"
+        df = docs(spark, "never mind this", "x" * 5_000_000, "never mind this " * 100_000, f"{item} " * 20_000)
+        found = decontamination.hits(df, self.bench(spark), keep_text=False)
+        got = rows(found.select("row.doc_id", "n_words", decontamination.n_hit().alias("h"), "items"))
+        assert got == [(0, 3, 3, []), (1, 1, 0, []), (2, 300_000, 300_000, []), (3, 280_000, 280_000, ["1"])]
+
     def test_removal(self, spark):
         df = docs(spark, "x short one here y", "clean").withColumn("hits", F.lit(1)).withColumn("row", F.lit(2))
         assert rows(decontamination.remove_documents(df, self.bench(spark)), "doc_id", "hits", "row") == [(1, 1, 2)]
