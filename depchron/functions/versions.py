@@ -5,26 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Numeric parts are padded to so many, since a shorter array sorts before a longer one that it begins.
-PARTS = 8
-FORMAT = r"^[vV]?[0-9]+(\.[0-9]+)*(-[0-9A-Za-z.-]+)?(\+.*)?$"
+FORMAT = r"^[vV]?[0-9]+(\.[0-9]+)*(-[0-9A-Za-z.-]+|[._]?[A-Za-z][0-9A-Za-z._-]*)?(\+.*)?$"
+#: Suffixes without a hyphen: those that mean the release itself, and those that come after it; all others come before.
+SAME, AFTER = r"(?i)^(final|ga|release)$", r"(?i)^(post|sp|patch)[0-9.]*$"
 
 
 def version_key(version: Column) -> Column:
     """struct(numbers, release, pre) that sorts as versions do; null if the text is no version.
 
-    A leading ``v`` and what follows ``+`` don't count. A release sorts after its prereleases, whose identifiers
-    compare as numbers if they are, and numbers before words.
+    A leading ``v``, what follows ``+`` and zeros at the end of the numbers don't count. A release sorts after its
+    prereleases, whose identifiers compare as numbers if they are, and numbers before words. Suffixes without a
+    hyphen (1.0rc1, 7.1.0.rc1, 1.0.Final, 1.0.post1) are cut into letters and numbers.
     """
     plain = F.regexp_replace(F.regexp_replace(version, r"^[vV]", ""), r"\+.*$", "")
-    numbers = F.transform(F.split(F.regexp_extract(plain, r"^([0-9.]+)", 1), r"\."), lambda x: x.try_cast("bigint"))
-    padded = F.slice(F.concat(numbers, F.array_repeat(F.lit(0).cast("bigint"), PARTS)), 1, PARTS)
-    suffix = F.regexp_extract(plain, r"^[0-9.]+-(.*)$", 1)
+    numbers = F.transform(F.split(F.regexp_extract(plain, r"^([0-9]+(?:\.[0-9]+)*)", 1), r"\."), lambda x: x.try_cast("bigint"))
+    last = F.array_max(F.transform(numbers, lambda x, i: F.when(x != 0, i + 1).otherwise(0)))
+    hyphen, loose = F.regexp_extract(plain, r"^[0-9.]+-(.*)$", 1), F.regexp_extract(plain, r"^[0-9]+(?:\.[0-9]+)*[._]?([A-Za-z].*)$", 1)
+    cut = F.regexp_replace(F.regexp_replace(loose, "[._-]+", "."), "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])", ".")
+    suffix = F.when(loose == "", hyphen).when(loose.rlike(SAME), "").otherwise(F.lower(cut))
+    release = F.when(suffix == "", 1).when(loose.rlike(AFTER), 2).otherwise(0)
     pre = F.transform(
         F.filter(F.split(suffix, r"\."), lambda x: x != ""),
         lambda x: F.struct(x.try_cast("bigint").isNull().cast("int").alias("word"), F.coalesce(x.try_cast("bigint"), F.lit(0)).alias("number"), F.when(x.try_cast("bigint").isNull(), x).otherwise("").alias("text")),
     )
-    key = F.struct(padded.alias("numbers"), (suffix == "").cast("int").alias("release"), pre.alias("pre"))
+    key = F.struct(F.slice(numbers, 1, last).alias("numbers"), release.alias("release"), pre.alias("pre"))
     fits = version.rlike(FORMAT) & ~F.exists(numbers, lambda x: x.isNull())
     return F.when(fits, key)
 
@@ -32,7 +36,7 @@ def version_key(version: Column) -> Column:
 def update_type(current: Column, latest: Column) -> Column:
     """major, minor or patch for a newer ``latest``; a release after its prerelease is a patch; else null."""
     a, b = version_key(current), version_key(latest)
-    part = lambda k, i: k["numbers"][i]
+    part = lambda k, i: F.when(k.isNotNull(), F.coalesce(F.get(k["numbers"], F.lit(i)), F.lit(0)))
     return (
         F.when(part(b, 0) > part(a, 0), "major")
         .when(part(b, 0) < part(a, 0), None)

@@ -86,9 +86,10 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def manifest_removed(intervals: DataFrame, deletions: DataFrame) -> DataFrame:
     """A removal for every package that a deleted manifest (branch_id, pos, path) held just before ``pos``."""
-    held = intervals.join(deletions.select("branch_id", "path", "pos"), ["branch_id", "path"])
-    held = held.filter((F.col("pos_from") < F.col("pos")) & (F.col("pos_to").isNull() | (F.col("pos_to") >= F.col("pos"))))
-    return held.select("branch_id", "pos", "path", "name", F.lit("removed").alias("change_type"), F.col("version").alias("requirement"))
+    from depchron.operators.state import open_intervals
+
+    held = open_intervals(intervals, deletions.select("branch_id", "path", (F.col("pos") - 1).alias("at")), ["branch_id", "path"])
+    return held.select("branch_id", (F.col("at") + 1).alias("pos"), "path", "name", F.lit("removed").alias("change_type"), F.col("version").alias("requirement"))
 
 
 def state_intervals(events: DataFrame) -> DataFrame:

@@ -23,8 +23,10 @@ def replace_keys(base: DataFrame, new: DataFrame, keys: list[str], touched: Data
 
 
 def insert_ignore(base: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """``base`` and the rows of ``new`` whose key it lacks, one per key."""
-    return base.unionByName(new.dropDuplicates(keys).join(base.select(*keys), keys, "left_anti"))
+    """``base`` and the rows of ``new`` whose key it lacks; of several with one key the least by its columns, in their order."""
+    row = [c for c in new.columns if c not in keys]
+    one = new.groupBy(*keys).agg(F.min(F.struct(*row)).alias("__r")).select(*keys, "__r.*") if row else new.distinct()
+    return base.unionByName(one.join(base.select(*keys), keys, "left_anti"))
 
 
 def append_history(commits: DataFrame, links: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from depchron.functions.names import same_text
 from depchron.functions.order import numbered
@@ -22,20 +23,34 @@ def latest_state(intervals: DataFrame) -> DataFrame:
     return intervals.filter("pos_to IS NULL")
 
 
-def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """State at each reference (ref, branch_id, pos): the intervals open at its position.
+def open_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
+    """Each of ``points`` (keys, at, ...) with the intervals of its key that are open there.
 
-    References and intervals meet by (branch, bucket of positions), so the join is an equi-join with the range as
-    its residue, and a branch is split over as many keys as it has buckets. The buckets that are asked for come as
-    one scalar, at most one number per ``bucket`` positions of the longest branch, and an interval is dealt only
-    into those that it touches.
+    Points and intervals meet by (key, bucket of positions), so the join is an equi-join with the range as its residue,
+    and a hot key is split over as many buckets as it has. The buckets of a key that are asked for are numbered, and two
+    joins tell an interval the first and last number that it touches: it is dealt into these alone, so the work
+    goes by the rows that come out and not by the length of the history.
     """
-    asked = refs.select("ref", "branch_id", F.col("pos").alias("at"), F.floor(F.col("pos") / bucket).alias("__b"))
-    buckets = asked.agg(F.collect_set("__b")).scalar()
-    first, last = F.floor(F.col("pos_from") / bucket), F.floor((F.col("pos_to") - 1) / bucket)
-    touched = F.filter("__asked", lambda b: (b >= first) & (last.isNull() | (b <= last)))
-    dealt = intervals.withColumn("__asked", buckets).withColumn("__b", F.explode(touched)).drop("__asked")
-    return dealt.join(asked, ["branch_id", "__b"]).filter(open_at(F.col("at"))).drop("__b")
+    asked = points.withColumn("__b", F.floor(F.col("at") / bucket))
+    first, after = F.floor(F.col("pos_from") / bucket), F.floor((F.col("pos_to") - 1) / bucket) + 1
+    # a row per bucket that is asked for, or that an interval begins in or ends before
+    marks = asked.select(*keys, "__b", F.lit(1).alias("n")).unionAll(intervals.select(*keys, first.alias("__b"), F.lit(0)))
+    marks = marks.unionAll(intervals.filter("pos_to IS NOT NULL").select(*keys, after.alias("__b"), F.lit(0))).groupBy(*keys, "__b").agg(F.max("n").alias("n"))
+    by_key = Window.partitionBy(*keys)
+    before = by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    marks = marks.select(*keys, "__b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__k"), F.sum("n").over(by_key).alias("__all"))
+    low = marks.select(*keys, F.col("__b").alias("__first"), F.col("__k").alias("__low"), "__all")
+    high = marks.select(*keys, F.col("__b").alias("__after"), F.col("__k").alias("__high"))
+    placed = intervals.withColumns({"__first": first, "__after": after}).join(low, [*keys, "__first"]).join(high, [*keys, "__after"], "left")
+    end = F.coalesce("__high", "__all")
+    dealt = placed.filter(end > F.col("__low")).withColumn("__k", F.explode(F.sequence(F.col("__low"), end - 1))).drop("__first", "__after", "__low", "__high", "__all")
+    numbers = marks.filter("n = 1").select(*keys, "__b", "__k")
+    return dealt.join(asked.join(numbers, [*keys, "__b"]).drop("__b"), [*keys, "__k"]).filter(open_at(F.col("at"))).drop("__k")
+
+
+def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """State at each reference (ref, branch_id, pos): the intervals open at its position ``at``."""
+    return open_intervals(intervals, refs.select("ref", "branch_id", F.col("pos").alias("at")), ["branch_id"], bucket)
 
 
 #: Positions of a branch whose changed commits are numbered in one task.
@@ -59,7 +74,11 @@ def snapshot_materialize(intervals: DataFrame, events: DataFrame, every: int = 1
 def snapshot_asof(snapshots: DataFrame, refs: DataFrame) -> DataFrame:
     """The stored snapshot at or nearest before each reference; references before the first one have no rows."""
     stored = snapshots.select("branch_id", "at").distinct()
-    nearest = refs.join(stored, "branch_id").filter(F.col("at") <= F.col("pos")).groupBy("ref", "branch_id").agg(F.max("at").alias("at"))
+    both = stored.select("branch_id", F.col("at").alias("pos"), "at", F.lit(None).cast("string").alias("ref"))
+    both = both.unionAll(refs.select("branch_id", "pos", F.lit(None).cast("long"), "ref"))
+    # of equal positions the snapshot comes first
+    so_far = Window.partitionBy("branch_id").orderBy("pos", F.col("ref").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = both.withColumn("at", F.max("at").over(so_far)).filter("ref IS NOT NULL AND at IS NOT NULL").select("ref", "branch_id", "at")
     return snapshots.join(nearest, ["branch_id", "at"])
 
 

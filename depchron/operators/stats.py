@@ -21,26 +21,36 @@ def by_ecosystem(state: DataFrame) -> DataFrame:
     return rows.select(F.when(F.col("g") == 1, "*").otherwise(F.col("ecosystem")).alias("ecosystem"), "dependencies")
 
 
-def by_type(events: DataFrame) -> DataFrame:
-    """Changes per type, and in all (type ``*``), in one pass."""
+def chosen(events: DataFrame, commits: DataFrame | None, filters: dict) -> DataFrame:
+    """Events that pass the filters of ``history.filtered``; commits are joined only where there are any."""
+    if not any(x is not None for x in filters.values()):
+        return events
+    kept = filtered(with_commits(events, commits), **filters)
+    return kept.select(*events.columns)
+
+
+def by_type(events: DataFrame, commits: DataFrame | None = None, **filters) -> DataFrame:
+    """Changes that pass the filters per type, and in all (type ``*``), in one pass."""
+    events = chosen(events, commits, filters)
     rows = events.rollup("change_type").agg(F.count(F.lit(1)).alias("changes"), F.grouping("change_type").alias("g"))
     return rows.select(F.when(F.col("g") == 1, "*").otherwise(F.col("change_type")).alias("change_type"), "changes")
 
 
-def top_changed(events: DataFrame, k: int = 10) -> DataFrame:
-    """The k most changed names; of equals the first by name."""
+def top_changed(events: DataFrame, k: int = 10, commits: DataFrame | None = None, **filters) -> DataFrame:
+    """The k names with most changes that pass the filters; of equals the first by name."""
+    events = chosen(events, commits, filters)
     return events.groupBy("name").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "name").limit(k)
 
 
-def top_authors(events: DataFrame, commits: DataFrame, k: int = 10) -> DataFrame:
-    """The k authors of most changes."""
-    return with_commits(events, commits).groupBy("author_name").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "author_name").limit(k)
+def top_authors(events: DataFrame, commits: DataFrame, k: int = 10, **filters) -> DataFrame:
+    """The k authors of most changes that pass the filters."""
+    return filtered(with_commits(events, commits), **filters).groupBy("author_name").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "author_name").limit(k)
 
 
-def author_stats(events: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per author: commits, changes, and changes of each type."""
+def author_stats(events: DataFrame, commits: DataFrame, **filters) -> DataFrame:
+    """Per author: commits, changes that pass the filters, and these of each type."""
     is_type = lambda t: F.count_if(F.col("change_type") == t).alias(t)
-    return with_commits(events, commits).groupBy("author_name", "author_email").agg(
+    return filtered(with_commits(events, commits), **filters).groupBy("author_name", "author_email").agg(
         F.countDistinct("commit_id").alias("commits"), F.count(F.lit(1)).alias("changes"), is_type("added"), is_type("modified"), is_type("removed")
     )
 

@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from depchron.functions.names import REPORT_SCORES, SEVERITIES, looked_up, severity_rank
+from depchron.functions.names import REPORT_SCORES, SEVERITIES, looked_up, same_text, severity_rank
 from depchron.operators.advisories import affected
-from depchron.operators.history import blame
-from depchron.operators.state import open_at
+from depchron.operators.history import blame, filtered
+from depchron.operators.state import open_intervals
 
 
 def scan(state: DataFrame, advisories: DataFrame, min_severity: str | None = None) -> DataFrame:
@@ -50,9 +50,24 @@ LOG_KEY = ["branch_id", "id", "name", "version"]
 PRAISE_KEY = ["branch_id", "id", "name"]
 
 
-def vuln_log(found: DataFrame, commits: DataFrame) -> DataFrame:
-    """Per commit, what it introduced and fixed; a change between two affected versions is both."""
-    rows = events(found, LOG_KEY).join(commits.select("branch_id", "pos", "sha", "author_name", "committed_at"), ["branch_id", "pos"])
+def vuln_log(
+    found: DataFrame, commits: DataFrame, ecosystem: str | None = None, min_severity: str | None = None, author: str | None = None, since: str | None = None, until: str | None = None,
+    only: str | None = None, limit: int | None = None,
+) -> DataFrame:
+    """Per commit, what it introduced and fixed; a change between two affected versions is both.
+
+    Filters: ecosystem and least severity of a hit, author (part of name or email) and time of a commit, ``only`` one of
+    introduced and fixed; ``limit`` leaves the newest commits, of equals the first by branch.
+    """
+    found = found.filter(same_text(F.col("ecosystem"), ecosystem)) if ecosystem else found
+    found = found.filter(severity_rank(F.col("severity")) <= SEVERITIES.index(min_severity)) if min_severity else found
+    rows = events(found, LOG_KEY)
+    rows = rows.filter(F.col("event") == only) if only else rows
+    chosen = filtered(commits, author=author, since=since, until=until).select("branch_id", "pos", "sha", "author_name", "committed_at")
+    if limit:
+        newest = chosen.join(rows.select("branch_id", "pos").distinct(), ["branch_id", "pos"]).orderBy(F.desc("pos"), "branch_id").limit(limit)
+        chosen = newest
+    rows = rows.join(chosen, ["branch_id", "pos"])
     return rows.groupBy("branch_id", "pos", "sha", "author_name", "committed_at").agg(
         F.count_if(F.col("event") == "introduced").alias("introduced"), F.count_if(F.col("event") == "fixed").alias("fixed"),
         F.array_sort(F.collect_list(F.struct("event", "id", "name", "version"))).alias("events"),
@@ -103,20 +118,21 @@ def vuln_exposure_summary(exposed: DataFrame) -> DataFrame:
     )
 
 
-def vuln_show(state: DataFrame, advisories: DataFrame, ids: list[str]) -> DataFrame:
-    """Per advisory asked for: its package and severity, how many dependencies of the state it affects, and the first by branch and manifest."""
-    asked = advisories.filter(F.col("id").isin(ids))
-    hit = scan(state, asked).groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("branch_id", "path", "version")).alias("f"))
+def vuln_show(state: DataFrame, advisories: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """Per advisory, or per one in ``ids`` (id): its package and severity, how many dependencies of the state it affects, and the first by branch and manifest."""
+    asked = advisories if ids is None else advisories.join(ids.select("id").distinct(), "id", "left_semi")
+    hit = scan(state, asked).groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("branch_id", "path", "name", "version")).alias("f"))
     return asked.select("id", "ecosystem", "name", "severity").join(hit, "id", "left").select("id", "ecosystem", "name", "severity", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("f.path").alias("first_path"), F.col("f.version").alias("first_version"))
 
 
-def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame, package: str) -> DataFrame:
-    """For one package, at every commit that changed it: each manifest's version there and the advisories that affect it."""
-    own = intervals.filter(F.col("name") == package)
-    points = changes.filter(F.col("name") == package).select("branch_id", F.col("pos").alias("at")).distinct()
-    at = own.join(points, "branch_id").filter(open_at(F.col("at")))
-    hit = hits(own, advisories).groupBy("branch_id", "path", "pos_from").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return at.join(hit, ["branch_id", "path", "pos_from"], "left").select("branch_id", "at", "path", "version", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame, packages: DataFrame | None = None) -> DataFrame:
+    """For every package, or those in ``packages`` (name), at every commit that changed it: each manifest's version there and the advisories that affect it."""
+    if packages is not None:
+        intervals, changes = (df.join(packages.select("name").distinct(), "name", "left_semi") for df in (intervals, changes))
+    points = changes.select("branch_id", "name", F.col("pos").alias("at")).distinct()
+    at = open_intervals(intervals, points, ["branch_id", "name"])
+    hit = hits(intervals, advisories).groupBy("branch_id", "path", "name", "pos_from").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    return at.join(hit, ["branch_id", "path", "name", "pos_from"], "left").select("branch_id", "name", "at", "path", "version", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
 
 
 def vuln_stats(found: DataFrame) -> DataFrame:

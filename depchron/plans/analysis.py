@@ -181,6 +181,11 @@ def stored_vuln_count(v: Views) -> DataFrame:
     return adv.stored_vuln_count(v.advisories)
 
 
+@query(KEYED + "SELECT id, CASE WHEN k % 7 <> 0 THEN hi END AS fixed_version FROM a")
+def fixed_version(v: Views) -> DataFrame:
+    return adv.advisory_packages(adv.parsed(records(v))).select("id", adv.fixed_version(F.col("fixed_versions")).alias("fixed_version"))
+
+
 # Vulnerabilities
 
 HIT = ("branch_id", "path", "name", "version", "id", "severity")
@@ -199,9 +204,9 @@ def vuln_at_ref(v: Views) -> DataFrame:
 
 @query("""
 SELECT a.id, a.ecosystem, a.name, a.severity, count(h.path)::BIGINT AS hits, min_by(h.path, (h.branch_id, h.path)) AS first_path, min_by(h.version, (h.branch_id, h.path)) AS first_version
-FROM advisories a LEFT JOIN (SELECT * FROM hits WHERE pos_to IS NULL) h ON a.id = h.id WHERE a.id IN ('VULN-1', 'VULN-2', 'VULN-3', 'VULN-4', 'VULN-5', 'VULN-7') GROUP BY ALL""")
+FROM advisories a LEFT JOIN (SELECT * FROM hits WHERE pos_to IS NULL) h ON a.id = h.id GROUP BY ALL""")
 def vuln_show(v: Views) -> DataFrame:
-    return vulns.vuln_show(v.latest, v.advisories, [f"VULN-{k}" for k in (1, 2, 3, 4, 5, 7)])
+    return vulns.vuln_show(v.latest, v.advisories)
 
 
 @query(f""", o AS (SELECT DISTINCT branch_id, id, name, version FROM {AT_REF} WHERE ref = 'v200'), n AS (SELECT DISTINCT branch_id, id, name, version FROM {AT_REF} WHERE ref = 'head')
@@ -251,14 +256,25 @@ def vuln_log(v: Views) -> DataFrame:
     return found.select("branch_id", "pos", "sha", "author_name", day("committed_at", "committed_on"), "introduced", "fixed", text.alias("events"))
 
 
+@query(EVENTS.format(keys="branch_id, id, name, version").replace("FROM hits))", "FROM hits WHERE ecosystem <> 'cargo' AND rank <= 2))") + """
+, chosen AS (SELECT e.*, sha FROM events e JOIN commits c ON e.branch_id = c.branch_id AND e.pos = c.pos WHERE event = 'introduced' AND committed_at >= TIMESTAMP '1993-01-01' AND committed_at <= TIMESTAMP '2000-12-31'),
+top AS (SELECT DISTINCT branch_id, pos FROM chosen ORDER BY pos DESC, branch_id LIMIT 40)
+SELECT c.branch_id, c.pos, sha, count(*)::BIGINT AS introduced, string_agg(id || ' ' || name || ' ' || version, ',' ORDER BY id, name, version) AS events FROM chosen c JOIN top t ON c.branch_id = t.branch_id AND c.pos = t.pos GROUP BY ALL""")
+def vuln_log_filtered(v: Views) -> DataFrame:
+    hit = vulns.hits(v.intervals.filter("ecosystem <> 'cargo'"), v.advisories)
+    found = vulns.vuln_log(hit, v.commits, min_severity="medium", since="1993-01-01", until="2000-12-31", only="introduced", limit=40)
+    text = F.array_join(F.transform("events", lambda e: F.concat_ws(" ", e["id"], e["name"], e["version"])), ",")
+    return found.select("branch_id", "pos", "sha", "introduced", text.alias("events"))
+
+
 @query("""
-SELECT p.branch_id, p.pos, i.path, i.version, coalesce(string_agg(DISTINCT h.id, ',' ORDER BY h.id), '') AS ids
-FROM (SELECT DISTINCT branch_id, pos FROM changes WHERE name = 'pkg-7') p
-JOIN (SELECT * FROM intervals WHERE name = 'pkg-7') i ON i.branch_id = p.branch_id AND i.pos_from <= p.pos AND (i.pos_to IS NULL OR i.pos_to > p.pos)
+SELECT p.branch_id, p.name, p.pos, i.path, i.version, coalesce(string_agg(DISTINCT h.id, ',' ORDER BY h.id), '') AS ids
+FROM (SELECT DISTINCT branch_id, name, pos FROM changes) p
+JOIN intervals i ON i.branch_id = p.branch_id AND i.name = p.name AND i.pos_from <= p.pos AND (i.pos_to IS NULL OR i.pos_to > p.pos)
 LEFT JOIN hits h ON h.branch_id = i.branch_id AND h.path = i.path AND h.name = i.name AND h.pos_from = i.pos_from GROUP BY ALL""")
 def vuln_history(v: Views) -> DataFrame:
-    found = vulns.vuln_history(v.intervals, v.changes, v.advisories, "pkg-7")
-    return found.select("branch_id", F.col("at").alias("pos"), "path", "version", F.array_join("ids", ",").alias("ids"))
+    found = vulns.vuln_history(v.intervals, v.changes, v.advisories)
+    return found.select("branch_id", "name", F.col("at").alias("pos"), "path", "version", F.array_join("ids", ",").alias("ids"))
 
 
 @query(BLAMED + f"SELECT {', '.join(HIT)}, date_diff('day', committed_at::DATE, DATE '2001-12-31')::BIGINT AS days FROM blamed")
@@ -396,9 +412,12 @@ def changes_stream(v: Views) -> DataFrame:
     source = new_folder(v.spark, "observations")
     rows = written(v.observations.select("branch_id", "path", "name", "pos", "version", "scope"), "observations")
     top = rows.agg(F.max("pos")).first()[0] or 0
+    files = v.spark.sparkContext.defaultParallelism
     for k in range(3):
-        rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3)).repartition(1).write.mode("append").parquet(source)
-    read = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        # a key's rows of a batch are in one file, so they come in order however files meet in triggers
+        part = rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3))
+        part.repartition(files, "branch_id", "path", "name").write.mode("append").parquet(source)
+    read = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
     return stream.drained(stream.changes_stream(read), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
 
 

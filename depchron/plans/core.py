@@ -43,10 +43,21 @@ def manifest_parse(v: Views) -> DataFrame:
     return ingest.manifest_parse(v.manifest_json)
 
 
-@query("SELECT user_id || '/' || event_type AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement FROM (SELECT *, unnest(json_keys(props)) AS k FROM events WHERE event_id % 50 = 7)", False)
+@query("SELECT user_id AS commit, event_type || '/' || event_id AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)", False)
 def deps_from_tree(v: Views) -> DataFrame:
-    listing = v.manifest_json.withColumn("commit", F.col("commit") % 50)
-    return ingest.deps_from_tree(listing, 7).select("path", "name", "requirement")
+    """Every user's events as the tree of a commit."""
+    return ingest.deps_from_tree(v.trees)
+
+
+@query("""
+SELECT event_id AS commit, 'u' || user_id || '/package' || CASE WHEN event_id % 2 = 0 THEN '-lock' ELSE '' END || '.json' AS path, 'npm' AS ecosystem,
+       CASE WHEN event_id % 2 = 0 THEN 'lockfile' ELSE 'manifest' END AS kind, k AS name,
+       CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.' || k) ELSE '^' || json_extract_string(props, '$.' || k) END AS requirement,
+       CASE WHEN event_type = 'click' THEN 'development' ELSE 'runtime' END AS scope, CASE WHEN event_id % 2 = 0 THEN 'sha512-' || md5(props) END AS integrity
+FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)""", False)
+def manifests_parse(v: Views) -> DataFrame:
+    """The events as npm manifests and lockfiles, in turn."""
+    return ingest.manifests_parse(v.npm_files)
 
 
 @query("""
@@ -101,11 +112,13 @@ def changes(v: Views) -> DataFrame:
 
 
 @query("""
+, gone AS (SELECT branch_id, pos, path FROM observations GROUP BY ALL HAVING count(version) = 0 AND count(*) > 1)
 SELECT i.branch_id, c.pos, i.path, i.name, 'removed' AS change_type, i.version AS requirement
-FROM intervals i JOIN commits c ON i.branch_id = c.branch_id AND c.pos % 1000 = 0 AND i.path = 'app0/lock' AND i.pos_from < c.pos AND (i.pos_to IS NULL OR i.pos_to >= c.pos)""")
+FROM intervals i JOIN gone c ON i.branch_id = c.branch_id AND i.path = c.path AND i.pos_from < c.pos AND (i.pos_to IS NULL OR i.pos_to >= c.pos)""")
 def manifest_removed(v: Views) -> DataFrame:
-    deleted = v.commits.filter(F.col("pos") % 1000 == 0).select("branch_id", "pos", F.lit("app0/lock").alias("path"))
-    return ch.manifest_removed(v.intervals, deleted)
+    """A commit deletes a manifest if it says of two packages of it or more that they are gone, and of none that it is there."""
+    seen = v.observations.groupBy("branch_id", "pos", "path").agg(F.count("version").alias("there"), F.count(F.lit(1)).alias("n"))
+    return ch.manifest_removed(v.intervals, seen.filter("there = 0 AND n > 1"))
 
 
 @query("""
@@ -186,9 +199,9 @@ def show_commit(v: Views) -> DataFrame:
 
 @query("""
 SELECT sha, count(*)::BIGINT AS n, string_agg(path || ' ' || name || ' ' || change_type, ',' ORDER BY path, name, change_type) AS changes
-FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE c.commit_id % 100 = 0 GROUP BY ALL""")
+FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL""")
 def changes_for_commits(v: Views) -> DataFrame:
-    found = state.changes_for_commits(v.changes, v.commits, v.commits.filter(F.col("commit_id") % 100 == 0).select("sha"))
+    found = state.changes_for_commits(v.changes, v.commits, v.commits.select("sha"))
     return found.select("sha", F.size("changes").cast("long").alias("n"), F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", c["path"], c["name"], c["change_type"])), ",").alias("changes"))
 
 
@@ -297,6 +310,24 @@ def author_stats(v: Views) -> DataFrame:
     return stats.author_stats(v.changes, v.commits)
 
 
+@query(f"SELECT coalesce(change_type, '*') AS change_type, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY ROLLUP (change_type)")
+def stats_by_type_filtered(v: Views) -> DataFrame:
+    return stats.by_type(v.changes, v.commits, **FILTERS)
+
+
+@query(f"SELECT name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY name ORDER BY changes DESC, name LIMIT 10")
+def stats_top_changed_filtered(v: Views) -> DataFrame:
+    return stats.top_changed(v.changes, commits=v.commits, **FILTERS)
+
+
+@query(f"""
+SELECT author_name, author_email, count(DISTINCT c.commit_id)::BIGINT AS commits, count(*)::BIGINT AS changes, count_if(change_type = 'added')::BIGINT AS added,
+       count_if(change_type = 'modified')::BIGINT AS modified, count_if(change_type = 'removed')::BIGINT AS removed
+FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY ALL""")
+def author_stats_filtered(v: Views) -> DataFrame:
+    return stats.author_stats(v.changes, v.commits, **FILTERS)
+
+
 @query("SELECT path, ecosystem, count(*)::BIGINT AS changes FROM changes GROUP BY ALL")
 def manifest_change_counts(v: Views) -> DataFrame:
     return stats.manifest_change_counts(v.changes)

@@ -16,9 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the setting is absent (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only in local mode (tests), where all share it."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or getattr(work_dir, "own", None)
     if not shared:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
         work_dir.own = shared = tempfile.mkdtemp(prefix="spark-")
     return shared
 
@@ -36,6 +38,15 @@ def written(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes what this package has written to the shared folder; for the end of a job, when no result is still to be read."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{work_dir(spark).rstrip('/')}/depchron-*")
+    files = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in files.globStatus(pattern) or []:
+        files.delete(found.getPath(), True)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One of the given Parquet tables."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -88,6 +88,23 @@ class TestState:
             assert rows(state.state_at(i, refs, bucket), "ref", "version") == [("1", "1"), ("2", "1"), ("3", "2"), ("4", "2")]
         assert rows(state.latest_state(i)) == []
 
+    @pytest.mark.parametrize("bucket", [1, 3, 50])
+    def test_open_intervals_against_all_pairs(self, spark, bucket):
+        import random
+
+        r = random.Random(bucket)
+        full = [(r.randrange(3), f"n{i}", a, r.choice([None, a + r.randrange(1, 60)])) for i in range(150) for a in [r.randrange(100)]]
+        points = [(r.randrange(4), r.randrange(-5, 160), f"p{i}") for i in range(40)]
+        i = spark.createDataFrame(full, "k long, name string, pos_from long, pos_to long")
+        p = spark.createDataFrame([*points, points[0]], "k long, at long, ref string")
+        want = [(ref, n) for k, at, ref in [*points, points[0]] for j, n, a, b in full if j == k and a <= at and (b is None or b > at)]
+        assert rows(state.open_intervals(i, p, ["k"], bucket), "ref", "name") == sorted(want, key=repr)
+        assert rows(state.open_intervals(i, p.limit(0), ["k"], bucket)) == rows(state.open_intervals(i.limit(0), p, ["k"], bucket)) == []
+
+    def test_no_step_is_linear_in_buckets(self, v):
+        plan = state.state_at(v.intervals, v.refs)._jdf.queryExecution().executedPlan().toString()
+        assert "collect_set" not in plan and "NestedLoop" not in plan
+
     def test_snapshots(self, spark):
         o = observations(spark, *[(p, "G", f"n{p}", "1") for p in range(1, 6)])
         c = ch.changes(o)
@@ -126,7 +143,15 @@ class TestVersions:
         df = spark.createDataFrame([(i, x) for i, x in enumerate(self.ORDER)], "i int, v string")
         assert [r[0] for r in df.orderBy(version_key(F.col("v"))).collect()] == list(range(len(self.ORDER)))
 
-    @pytest.mark.parametrize("a,b", [("1.2", "1.2.0"), ("v1", "1.0.0"), ("1.0+x", "1.0+y")])
+    @pytest.mark.parametrize("order", [
+        ["1.0.dev1", "1.0"], ["1.0a1", "1.0a2", "1.0b1", "1.0rc1", "1.0rc10", "1.0", "1.0.post1", "1.0.1"], ["7.1.0.beta1", "7.1.0.rc1", "7.1.0.rc2", "7.1.0", "7.1.0.1"],
+        ["1.0-SNAPSHOT", "1.0.Final", "1.1.Final"], ["1.2.3.4.5.6.7.8.1", "1.2.3.4.5.6.7.8.2", "1.2.3.4.5.6.7.8.10"], ["0", "0.0.1"],
+    ])
+    def test_order_of_other_forms(self, spark, order):
+        df = spark.createDataFrame([(i, x) for i, x in enumerate(order)], "i int, v string")
+        assert [r[0] for r in df.orderBy(version_key(F.col("v")), F.desc("i")).collect()] == list(range(len(order)))
+
+    @pytest.mark.parametrize("a,b", [("1.0.Final", "1"), ("0.0", "0"), ("1.2.3.4.5.6.7.8.0", "1.2.3.4.5.6.7.8"), ("1.2", "1.2.0"), ("v1", "1.0.0"), ("1.0+x", "1.0+y")])
     def test_equal(self, spark, a, b):
         assert spark.createDataFrame([(a, b)], "a string, b string").select(version_key(F.col("a")) == version_key(F.col("b"))).first()[0]
 
@@ -220,6 +245,22 @@ class TestIngest:
         df = spark.createDataFrame([(1, "Gemfile", "h", text), (2, "Gemfile", "h", text), (3, "Gemfile", "n", None)], "commit long, path string, blob string, text string")
         assert rows(ingest.manifest_parse(df, "lines")) == [(c, "Gemfile", *x) for c in (1, 2) for x in (("puma", None), ("rails", "~> 7.0"))]
 
+    def test_npm_and_ruby_files(self, spark):
+        npm = """{"name": "app", "version": "1.0.0", "dependencies": {"express": "^4.18.0", "lodash": "^4.17.21"}, "devDependencies": {"jest": "^29.0.0"}}"""
+        lock = """{"name": "app", "lockfileVersion": 3, "packages": {"": {"name": "app", "dependencies": {"express": "^4.18.0"}},
+          "node_modules/express": {"version": "4.18.2", "integrity": "sha512-abc"}, "node_modules/@a/b": {"version": "1.0.0"}, "node_modules/x/node_modules/jest": {"version": "29.7.0", "dev": true}}}"""
+        old = """{"lockfileVersion": 1, "dependencies": {"left-pad": {"version": "1.3.0", "integrity": "sha1-x", "dev": true}}}"""
+        gems = "GEM\n  remote: https://rubygems.org/\n  specs:\n    rails (7.0.4)\n      activesupport (= 7.0.4)\n    puma (6.0.0)\n\nDEPENDENCIES\n  rails (~> 7.0)\n"
+        files = [("package.json", npm), ("web/package-lock.json", lock), ("old/package-lock.json", old), ("Gemfile.lock", gems), ("Gemfile", 'gem "rails", "~> 7.0"\n'), ("bad/package.json", "{oops"), ("notes.txt", npm), ("none/package.json", None)]
+        df = spark.createDataFrame([(1, p, f"h{i}", t) for i, (p, t) in enumerate(files)], "commit long, path string, blob string, text string")
+        assert rows(ingest.manifests_parse(df), "path", "kind", "name", "requirement", "scope", "integrity") == sorted([
+            ("package.json", "manifest", "express", "^4.18.0", "runtime", None), ("package.json", "manifest", "lodash", "^4.17.21", "runtime", None), ("package.json", "manifest", "jest", "^29.0.0", "development", None),
+            ("web/package-lock.json", "lockfile", "express", "4.18.2", "runtime", "sha512-abc"), ("web/package-lock.json", "lockfile", "@a/b", "1.0.0", "runtime", None), ("web/package-lock.json", "lockfile", "jest", "29.7.0", "development", None),
+            ("old/package-lock.json", "lockfile", "left-pad", "1.3.0", "development", "sha1-x"), ("Gemfile.lock", "lockfile", "rails", "7.0.4", "runtime", None), ("Gemfile.lock", "lockfile", "puma", "6.0.0", "runtime", None),
+            ("Gemfile", "manifest", "rails", "~> 7.0", "runtime", None),
+        ], key=repr)
+        assert rows(ingest.manifests_parse(df.limit(0))) == []
+
     def test_broken_json(self, spark):
         df = spark.createDataFrame([(1, "p", "h", "{oops"), (1, "p", "i", '{"a": "1"}')], "commit long, path string, blob string, text string")
         assert rows(ingest.deps_from_tree(df, 1)) == [(1, "p", "a", "1")]
@@ -235,6 +276,10 @@ class TestSinks:
         base, new = (spark.createDataFrame(x, "k string, t int, v string") for x in ([("a", 1, "old"), ("b", 5, "old")], [("a", 2, "new"), ("b", 4, "new"), ("c", None, "new")]))
         assert rows(sinks.upsert_latest(base, new, ["k"], "t"), "k", "v") == [("a", "new"), ("b", "old"), ("c", "new")]
 
+    def test_insert_ignore_takes_the_least_of_several(self, spark):
+        base, new = (spark.createDataFrame(x, "k string, v string") for x in ([("a", "old")], [("b", "y"), ("b", "x"), ("a", "new")]))
+        assert rows(sinks.insert_ignore(base, new, ["k"])) == [("a", "old"), ("b", "x")]
+
     def test_append(self, spark, tmp_path):
         df = observations(spark, (1, "G", "a", "1"))
         for _ in range(2):
