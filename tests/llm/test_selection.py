@@ -293,6 +293,30 @@ class TestDecontamination:
         assert rows(decontamination.remove_spans(df.limit(0), self.bench(spark))) == []
 
 
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids, texts and sources, an empty text, a very long one, repeated rows, and columns with the stages' own names."""
+    good = [" ".join(prose(300 + k, 60)) for k in range(12)]
+    full = [(k, t, "en", f"s{k % 2}", len(t)) for k, t in enumerate(good)]
+    full += [full[0], full[0], (None, good[1], "en", "s0", 1), (50, None, "en", "s0", 0), (51, "", None, "s1", 0), (52, " ".join(prose(77, 300_000, 10**6)), None, None, None), (53, "x" * 2_000_000, "en", "s1", 1)]
+    names = ["size", "taken", "kept", "shard", "bands", "hits", "row", "id", "class_id", "text_", "__id_"]
+    df = spark.createDataFrame(full, DOCS).withColumns({c: F.lit(i) for i, c in enumerate(names)})
+    bench = spark.createDataFrame([(1, "no such words here at all"), (None, None)], "item_id long, text string")
+    for folder, docs_, items in (("odd", df, bench), ("none", df.limit(0), bench), ("free", df, bench.limit(0))):
+        at = tmp_path / folder
+        docs_.write.parquet(str(at / "documents.parquet"))
+        items.write.parquet(str(at / "benchmark.parquet"))
+        now = spark.read.parquet(str(at / "documents.parquet"))
+        for name, stage in corpus_pipeline.STAGES[:4]:
+            now = stage(spark, now, str(at))
+            assert now.columns == df.columns, name
+            if name == "benchmark decontamination" and folder != "none":
+                got = [r[0] for r in rows(now, "doc_id")]
+                assert set(got) == {*range(12), 52, None} and len(got) == 14
+                assert [r[0] for r in rows(now.select(*names).distinct(), "size")] == [0]
+        ids = {r[0] for r in rows(corpus_pipeline.run(spark, str(at)), "doc_id")}
+        assert ids <= {*range(12), 52} and (52 in ids) == (folder != "none")
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     """A small corpus whose near-duplicates lie far from the threshold, so that the stages can be worked out by hand."""
     r, texts = random.Random(3), []
