@@ -1,7 +1,8 @@
 """The corpus pipeline: documents to a mixed, sharded training set.
 
 Each stage is written as Parquet and read again before the next one. All but the last return the columns of
-``documents``; the last says where every kept (and, by the mix, perhaps repeated) document goes.
+``documents``; the last says where every kept (and, by the mix, perhaps repeated) document goes. Stages carry columns of any
+other name along, give no rows for an empty table, and read whole texts of any length.
 """
 
 from __future__ import annotations
@@ -13,27 +14,27 @@ from depchron.sources.work import table, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and whose host passes them."""
+    """Documents that pass the rules and whose host passes them. A null or empty text fails; a null source is a host; repeated rows each count."""
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates, that of the smallest id. Rows with a null id or text stay; of rows that share an id, one."""
     return neardup.keep_first(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which less than a twentieth is benchmark text."""
+    """Documents of which less than a twentieth is benchmark text. Null texts stay; with an empty benchmark all do."""
     return decontamination.remove_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed to their weights; a document comes up to twice."""
+    """Sources mixed to their weights; a document comes up to twice. Rows without id or words are no part of a mix."""
     return mixing.mixed(docs)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Shard and slot of each document of the mix."""
+    """Shard and slot of each document of the mix; repeats get places of their own. Null sources are a source."""
     return sharding.shard(docs.select("doc_id", "source", "lang", "n_chars"))
 
 
