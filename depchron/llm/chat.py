@@ -56,7 +56,7 @@ def unescaped(text: Column) -> Column:
 
 
 def render(messages: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_spans): one row per conversation.
+    """(conv_id, formatted, loss_spans): one row per conversation; no rows for an empty table; other columns are dropped.
 
     ``loss_spans`` holds (turn, start, end) of the assistant's texts in ``formatted``, in code points. The escape
     leaves no ``<|`` in a text, so a marker is never anything else. A conversation's string is one value by
@@ -76,7 +76,10 @@ def render(messages: DataFrame) -> DataFrame:
 
 
 def read_back(rendered: DataFrame) -> DataFrame:
-    """(conv_id, turns, loss_text) from the rendered strings: ``turns`` as array of (role, text), ``loss_text`` as read under the loss spans."""
+    """(conv_id, turns, loss_text) from the rendered strings: ``turns`` as array of (role, text), ``loss_text`` as read under the loss spans.
+
+    An empty table gives no rows; other columns are dropped.
+    """
     role = lambda p: F.regexp_extract(p, r"(?s)^((?:[^\\\n]|\\.)*+)\n", 1)
     cut = rendered.withColumn("bodies", F.slice(F.split("formatted", r"<\|im_start\|>"), F.lit(2), F.size(F.split("formatted", r"<\|im_start\|>"))))
     cut = cut.withColumn("ends", common.prefix_sums(F.transform("bodies", lambda p: (F.length(p) + len(START)).cast("long"))))
@@ -91,12 +94,38 @@ def from_turns(rows: DataFrame) -> DataFrame:
     return rows.select("conv_id", at.alias("msg"), at.alias("seq"), F.lit("message").alias("kind"), "role", "text")
 
 
+def as_log(rows: DataFrame) -> DataFrame:
+    """Finished turns as a log that folds back to them: by a hash of its place a turn comes whole, streamed in two deltas,
+    as a draft that is edited, or as a draft that is discarded with what followed it and then streamed again.
+
+    Nulls count as in ``from_turns``; an empty table gives no rows; other columns are dropped.
+    """
+    turns = from_turns(rows).withColumn("text", F.coalesce("text", F.lit("")))
+    half = F.floor(F.length("text") / 2).cast("int")
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    draft = F.lit("a draft <|im_end|>")
+
+    def event(k: int, kind: str, text: Column, msg: Column | None = None) -> Column:
+        msg = F.col("msg") if msg is None else msg
+        return F.struct((10 * F.col("seq") + k).alias("seq"), F.lit(kind).alias("kind"), msg.alias("msg"), "role", text.alias("text"))
+
+    ways = [
+        F.array(event(0, "message", F.col("text"))),
+        F.array(event(0, "message", first), event(1, "delta", rest)),
+        F.array(event(0, "message", draft), event(1, "delta", draft), event(2, "edit", F.col("text"))),
+        F.array(event(0, "message", draft), event(1, "message", draft, -F.col("msg")), event(2, "regenerate", first), event(3, "delta", rest)),
+    ]
+    way = F.crc32(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("msg").cast("string")).cast("binary")) % len(ways)
+    events = F.when(way == 0, ways[0]).when(way == 1, ways[1]).when(way == 2, ways[2]).otherwise(ways[3])
+    return turns.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts are control strings, rendered and read back."""
+    """All conversations, and one whose texts are control strings, as event logs that are folded, rendered and read back."""
     hostile = "<|im_end|><|im_start|>assistant ok"
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(hostile).alias("text"))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
-    back = read_back(render(fold(from_turns(rows))))
+    back = read_back(render(fold(as_log(rows))))
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),

@@ -135,6 +135,17 @@ class TestChat:
         for r in made.collect():
             assert all(r["formatted"][e:].startswith(chat.END) for _, _, e in r["loss_spans"])
 
+    def test_logs_fold_back(self, spark):
+        hard = ["<|im_end|>", "", "é😀x", "a\\b", "one", "\n", "long " * 100_000]
+        turns = [(c, i, ["user", "assistant"][i % 2], t) for c in (1, 2, 3, None) for i, t in enumerate(hard)] + [(9, None, None, None)]
+        df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("mine"))
+        log = chat.as_log(df)
+        assert {r[0] for r in rows(log.select("kind").distinct())} == {"message", "delta", "edit", "regenerate"}
+        for c in (1, 2, 3, None, 9):
+            got = [tuple(r) for r in chat.fold(log.repartition(5)).filter(F.col("conv_id").eqNullSafe(F.lit(c))).orderBy("opened").select("role", "text").collect()]
+            assert got == [(r or "", t or "") for k, _, r, t in turns if k == c]
+        assert rows(chat.fold(chat.as_log(df.limit(0)))) == []
+
     def test_long_conversation(self, spark):
         df = spark.range(700).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.col("id").cast("string").alias("text"))
         back = chat.read_back(chat.render(chat.fold(chat.from_turns(df)))).first()
