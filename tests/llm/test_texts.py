@@ -194,6 +194,28 @@ class TestLanguage:
         assert all(0 <= x[2] <= 1 for x in got) and [x[2] for x in got[3:]] == [0.0] * 5
         assert rows(language.identify(df.limit(0), model)) == []
 
+    def test_filter_against_sets(self, spark):
+        plain = lambda text: [w[i : i + 4] for w in [" " + " ".join(re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", text.lower())) + " "] for i in range(len(w) - 3)]
+        df = self.labelled(spark)
+        model = language.learn(df)
+        sets = {lang: {g for r in df.filter(F.col("lang") == lang).filter("text IS NOT NULL").collect() for g in plain(r["text"])} for lang in model.languages}
+        r = random.Random(5)
+        texts = [" ".join(r.choices([w for ws in self.WORDS.values() for w in ws] + ["zebra", "quick", "vox"], k=12)) for _ in range(60)]
+        for text in texts:
+            g, _ = language.grams([text.encode()])
+            assert [bytes(x) for x in g.astype("<u4").view("u1").reshape(-1, 4)] == [x.encode() for x in plain(text)]
+            bits = model.filter[0][language.cells(g)[0]]
+            for at in language.cells(g)[1:]:
+                bits = bits & model.filter[0][at]
+            for i, lang in enumerate(model.languages):
+                found, true = [bool(int(b) >> i & 1) for b in bits], [x in sets[lang] for x in plain(text)]
+                assert all(f for f, t in zip(found, true, strict=True) if t) and sum(found) - sum(true) <= 1
+            counts = [sum(x in sets[lang] for x in plain(text)) for lang in model.languages]
+            best, share = model.predict([text.encode()])
+            if sorted(counts)[-1] > sorted(counts)[-2] + 1:
+                assert best == [counts.index(max(counts))]
+            assert share[0] == pytest.approx(max(counts) / sum(counts), abs=0.05)
+
     def test_many_languages(self, spark):
         import string
 
