@@ -8,6 +8,7 @@ own, so a round per rank and sequence gives what merging one pair at a time give
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -24,8 +25,8 @@ from depchron.sources.work import shipped, table
 VOCABULARY = "byte_bpe_50k.json"
 #: Pre-tokens remembered per task, and the longest that is.
 MEMORY, LONGEST = 400_000, 64
-#: Symbols merged at a time.
-BLOCK = 2_000_000
+#: Symbols merged at a time; a pre-token of more than INDEXED bytes is merged by an index of its pairs.
+BLOCK, INDEXED = 2_000_000, 4096
 
 
 def byte_letters() -> list[str]:
@@ -48,6 +49,7 @@ class Counter:
         into = np.array([vocab[a + b] for a, b in pairs], np.int64)
         order = np.argsort(keys, kind="stable")
         self.n, self.keys, self.ranks, self.into = n, keys[order], order.astype(np.int64), into
+        self.left, self.right = keys // n, keys % n
         self.none = len(pairs)
         letters = byte_letters()
         self.byte_ids = np.array([vocab[c] for c in letters], np.int64)
@@ -55,6 +57,12 @@ class Counter:
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.memory: dict[str, int] = {}
 
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of symbols; ``none`` where the vocabulary has no such pair."""
+        pair = left * self.n + right
+        at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
+        return np.where(self.keys[at] == pair, self.ranks[at], self.none)
+
     def merge(self, tokens: list[bytes]) -> np.ndarray:
         """Symbols left of each token."""
         lengths = np.array([len(t) for t in tokens], np.int64)
@@ -63,19 +71,13 @@ class Counter:
         counts = lengths.copy()
         while len(symbols) > 1:
             inner = owner[1:] == owner[:-1]
-            pair = symbols[:-1] * self.n + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
-            rank = np.where(inner & (self.keys[at] == pair), self.ranks[at], self.none)
-            rank = np.append(rank, self.none)
+            rank = np.append(np.where(inner, self.rank(symbols[:-1], symbols[1:]), self.none), self.none)
             first = np.flatnonzero(np.append(True, ~inner))
             lowest = np.minimum.reduceat(rank, first)
             lowest = np.repeat(lowest, np.diff(np.append(first, len(symbols))))
             go = (rank == lowest) & (rank < self.none)
-            # of neighbouring pairs that share a symbol, every second one merges, from the left
-            start = go & ~np.append(False, go[:-1])
-            place = np.arange(len(go))
-            go &= (place - np.maximum.accumulate(np.where(start, place, 0))) % 2 == 0
-            merged = np.flatnonzero(go)
+            place = np.flatnonzero(go)
+            merged = self.every_second(place, place + 1)
             symbols[merged] = self.into[rank[merged]]
             gone = np.zeros(len(symbols), bool)
             gone[merged + 1] = True
@@ -84,6 +86,57 @@ class Counter:
             symbols, owner = symbols[stay], owner[stay]
         return counts
 
+    @staticmethod
+    def every_second(places: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The pairs that merge, of those that lie from ``places`` to ``ends``: where neighbours share a symbol every second one, from the left."""
+        at = np.arange(len(places))
+        alone = np.append(True, places[1:] != ends[:-1])[: len(places)]
+        return places[(at - np.maximum.accumulate(np.where(alone, at, 0))) % 2 == 0]
+
+    def merge_one(self, token: bytes) -> int:
+        """Symbols left of one long pre-token. The rounds are the same, but each looks only at the places that hold its pair."""
+        symbols = self.byte_ids[np.frombuffer(token, np.uint8)]
+        n = count = len(symbols)
+        before, after, there = np.arange(-1, n - 1, dtype=np.int32), np.arange(1, n + 1, dtype=np.int32), np.ones(n, bool)
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def wait(places: np.ndarray) -> None:
+            places = places[after[places] < n]
+            ranks = self.rank(symbols[places], symbols[after[places]])
+            known = ranks < self.none
+            places, ranks = places[known], ranks[known]
+            order = np.argsort(ranks, kind="stable")
+            places, ranks = places[order], ranks[order]
+            cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                r = int(ranks[a])
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(heap, r)
+                waiting[r].append(places[a:b])
+
+        wait(np.arange(n, dtype=np.int32))
+        while heap:
+            r = heapq.heappop(heap)
+            places = np.unique(np.concatenate(waiting.pop(r)))
+            places = places[there[places] & (after[places] < n)]
+            # pairs that other merges have changed since are no longer there
+            places = places[(symbols[places] == self.left[r]) & (symbols[after[places]] == self.right[r])]
+            if not len(places):
+                continue
+            places = self.every_second(places, after[places])
+            gone = after[places]
+            symbols[places], there[gone], after[places] = self.into[r], False, after[gone]
+            count -= len(places)
+            inner = after[places] < n
+            before[after[places[inner]]] = places[inner]
+            earlier = before[places]
+            wait(np.unique(np.concatenate([earlier[earlier >= 0], places])))
+        return count
+
     def learn(self, tokens: list[str]) -> dict[str, int]:
         """Counts of new pre-tokens, some blocks at a time."""
         known: dict[str, int] = {}
@@ -93,7 +146,9 @@ class Counter:
             if block and (t is None or size > BLOCK):
                 known.update(zip(block, self.merge([b.encode() for b in block]).tolist(), strict=True))
                 block, size = [], 0
-            if t is not None:
+            if t is not None and len(t) > INDEXED:
+                known[t] = self.merge_one(t.encode())
+            elif t is not None:
                 block.append(t)
                 size += len(t)
         return known
