@@ -36,6 +36,8 @@ HEAD = 200_000
 FLUSH = 200_000
 #: Longest word that goes through the recursion for many words at a time, and words at a time.
 LONGEST, BATCH = 64, 20_000
+#: Bytes of a longer word whose arcs are held at a time, and words a task works out.
+STRETCH, TASK = 1 << 16, 50_000
 #: Added to each expected piece count.
 SMOOTH = 0.1
 #: The token that ends a text; no word is empty.
@@ -113,25 +115,58 @@ class Lattice:
             total += np.bincount(piece, weights[rows] * np.exp(alpha[rows, i] + through - alpha[rows, -1]), len(total))
         return total
 
+    def arcs_of(self, word: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, ends, pieces) of the arcs of one word that start from ``first`` to before ``last``, by start and end."""
+        at, h, found = np.arange(first, last), np.zeros(last - first, np.uint64), []
+        for d in range(self.deepest):
+            inside = at + d < len(word)
+            at, h = at[inside], h[inside]
+            h = h * MULTIPLIER + word[at + d] + np.uint64(1)
+            k = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+            alive = self.keys[k] == h
+            at, h, k = at[alive], h[alive], k[alive]
+            if not len(at):
+                break
+            piece = self.piece[k]
+            whole = piece >= 0
+            found.append((at[whole], at[whole] + d + 1, piece[whole]))
+        starts, ends, pieces = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((ends, starts))
+        return starts[order], ends[order], pieces[order]
+
+    def stretches(self, word: bytes) -> tuple[np.ndarray, list[tuple[int, int]]]:
+        """One word of any length as numbers, and the stretches of starts whose arcs are held at a time."""
+        return np.frombuffer(word, np.uint8).astype(np.uint64), [(a, min(a + STRETCH, len(word))) for a in range(0, len(word), STRETCH)]
+
+    def walk(self, sums: list[float], to: np.ndarray, of: np.ndarray, scores: np.ndarray) -> None:
+        """Adds arcs to the log sums in the order given: ``of`` must be final when its arcs come."""
+        for j, i, s in zip(to.tolist(), of.tolist(), scores.tolist(), strict=True):
+            a, b = sums[j], sums[i] + s
+            if a == -math.inf:
+                sums[j] = b
+            elif a > b:
+                sums[j] = a + math.log1p(math.exp(b - a))
+            else:
+                sums[j] = b + math.log1p(math.exp(a - b))
+
     def long_forward(self, word: bytes) -> list[float]:
-        """log alpha of one word of any length."""
+        """log alpha of one word of any length: arcs found for a stretch of starts at a time, then one step an arc."""
+        letters, stretches = self.stretches(word)
         alpha = [0.0] + [-math.inf] * len(word)
-        for i in range(len(word)):
-            for j in range(i + 1, min(len(word), i + self.deepest) + 1):
-                if (p := self.by_bytes.get(word[i:j])) is not None:
-                    a, b = alpha[j], alpha[i] + self.scores[p]
-                    alpha[j] = b if a == -math.inf else max(a, b) + math.log1p(math.exp(-abs(a - b)))
+        for first, last in stretches:
+            starts, ends, pieces = self.arcs_of(letters, first, last)
+            self.walk(alpha, ends, starts, self.scores[pieces])
         return alpha
 
     def long_expected(self, word: bytes, weight: float, total: np.ndarray) -> None:
-        alpha, beta = self.long_forward(word), [-math.inf] * len(word) + [0.0]
-        for i in range(len(word) - 1, -1, -1):
-            for j in range(i + 1, min(len(word), i + self.deepest) + 1):
-                if (p := self.by_bytes.get(word[i:j])) is not None:
-                    through = self.scores[p] + beta[j]
-                    a = beta[i]
-                    beta[i] = through if a == -math.inf else max(a, through) + math.log1p(math.exp(-abs(a - through)))
-                    total[p] += weight * math.exp(alpha[i] + through - alpha[-1])
+        letters, stretches = self.stretches(word)
+        alpha, beta = np.array(self.long_forward(word)), [-math.inf] * len(word) + [0.0]
+        for first, last in reversed(stretches):
+            starts, ends, pieces = self.arcs_of(letters, first, last)
+            scores = self.scores[pieces]
+            self.walk(beta, starts[::-1], ends[::-1], scores[::-1])
+            reached = np.array(beta[first : last + self.deepest + 1])
+            total += np.bincount(pieces, weight * np.exp(alpha[starts] + scores + reached[ends - first] - alpha[-1]), len(total))
 
     @staticmethod
     def matrices(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -258,6 +293,8 @@ def lexicon(docs: DataFrame, path: str | None = None, rounds: int = 1) -> DataFr
     path = path or public_tokenizers.path(VOCABULARY)
     counts = docs.select("train", "text").mapInArrow(_count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     counts = written(counts, "lm-counts")
+    # a few files hold many words, and the recursion is dear: tasks by words and not by bytes
+    counts = counts.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), counts.count() // TASK), "word")
     n_pieces = len(Lattice(path).scores)
     scores = spark.sparkContext.broadcast(Lattice.first(n_pieces - 1))
     for _ in range(rounds):
