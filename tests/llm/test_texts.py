@@ -167,6 +167,20 @@ class TestTokens:
         got = tokens.token_counts(docs(spark, *own).withColumn("n_tokens", F.lit("x"))).orderBy("doc_id").collect()
         assert [r["n_tokens"] for r in got] == want
 
+    def test_long_pretokens_against_the_library(self):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        r = random.Random(12)
+        letters = "".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5_000_000))
+        own = ["a" * 100_001, "ab" * 30_000, "é" * 9000, " " * 50_000 + "x", "".join(r.choices("ßabé中", k=30_000)), letters]
+        c = tokens.Counter(public_tokenizers.path(tokens.VOCABULARY))
+        library = Tokenizer.from_file(public_tokenizers.path(tokens.VOCABULARY))
+        assert c.counts(own) == [len(library.encode(t, add_special_tokens=False).ids) for t in own]
+        for n in range(1, 200):
+            t = "".join(r.choices("abeto", k=n)).encode()
+            assert c.merge_one(t) == c.merge([t])[0]
+
     def test_null_and_memory(self, spark, monkeypatch):
         assert rows(tokens.token_counts(docs(spark, None, "", "a b")), "n_tokens") == [(0,), (0,), (2,)]
         assert rows(tokens.token_counts(docs(spark, "x").limit(0))) == []
@@ -273,6 +287,43 @@ class TestScoring:
         lengths = np.array([len(p) for p in m.pieces])
         assert (total[:-1] * lengths).sum() == pytest.approx(sum((len(w) + 1) * k for w, k in zip(words, weights, strict=True)))
 
+    def test_expected_counts_against_all_segmentations(self):
+        import public_tokenizers
+
+        def all_of(word):
+            return [[]] if not word else [[x, *rest] for n in range(1, len(word) + 1) if (x := word[:n]) in m.by_bytes for rest in all_of(word[n:])]
+
+        np = scoring.np
+        m = scoring.Lattice(public_tokenizers.path(scoring.VOCABULARY))
+        words, weights = [b"then", b"cats"], np.array([2.0, 5.0])
+        want = np.zeros(len(m.scores))
+        for w, k in zip(words, weights, strict=True):
+            ways = all_of(b" " + w)
+            p = np.array([math.exp(sum(m.scores[m.by_bytes[x]] for x in way)) for way in ways])
+            for way, q in zip(ways, p / p.sum(), strict=True):
+                for x in way:
+                    want[m.by_bytes[x]] += k * q
+        assert m.expectations(words, weights) == pytest.approx(want)
+
+    def test_long_words_go_the_same_way(self, monkeypatch):
+        """A word in stretches of a few starts, and the same word in a matrix."""
+        import public_tokenizers
+
+        np, r = scoring.np, random.Random(13)
+        m = scoring.Lattice(public_tokenizers.path(scoring.VOCABULARY))
+        monkeypatch.setattr(scoring, "STRETCH", 7)
+        for w in [b"a" * 64, b"-" * 64, "".join(r.choices("etaoin01", k=60)).encode(), "é中".encode() * 12]:
+            assert m.long_forward(b" " + w)[-1] / scoring.LOG10 == pytest.approx(m.likelihoods([w])[0])
+            total = np.zeros(len(m.scores))
+            m.long_expected(b" " + w, 3.0, total)
+            assert total == pytest.approx(m.expectations([w], np.array([3.0])))
+
+    def test_a_word_of_five_million_letters(self, spark):
+        word = "".join(random.Random(14).choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=5_000_000))
+        df = spark.createDataFrame([(1, word, True), (2, word, False), (3, "a " * 2_000_000, False)], "doc_id long, text string, train boolean")
+        got = rows(scoring.score(df, rounds=1), "doc_id", "n_tokens", "n_known", "score")
+        assert [x[:3] for x in got] == [(1, 2, 2), (2, 2, 2), (3, 2_000_001, 1)] and got[0][3] == pytest.approx(got[1][3]) and got[0][3] < -1_000_000
+
     @pytest.mark.parametrize("head", [0, 3, 10**6])
     def test_base_scores(self, spark, head):
         texts = ["The cat the CAT", "a dog", None, "", "unseen cat", "É é \x0b x", "x" * 100]
