@@ -326,7 +326,7 @@ class TestScoring:
 
     @pytest.mark.parametrize("head", [0, 3, 10**6])
     def test_base_scores(self, spark, head):
-        texts = ["The cat the CAT", "a dog", None, "", "unseen cat", "É é \x0b x", "x" * 100]
+        texts = ["The cat the CAT", "a dog", None, "", "unseen cat", "É é \x0b x " + "y" * 70, "x" * 100 + " " + "y" * 70]
         train = [True, True, True, True, False, True, False]
         df = spark.createDataFrame([(i, t, k) for i, (t, k) in enumerate(zip(texts, train, strict=True))], "doc_id long, text string, train boolean").withColumn("score", F.lit(0))
         low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
