@@ -75,9 +75,14 @@ def advisory_packages(osv: DataFrame) -> DataFrame:
     return rows.select("id", "ecosystem", "name", "versions", "fixed_versions", "i.lo", "i.hi", F.coalesce("i.hi_inclusive", F.lit(False)).alias("hi_inclusive"))
 
 
-def in_range(version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None) -> Column:
-    """Whether a version is affected: it is listed, or in the interval; without interval and list every version is."""
-    key, low, high = version_key(version), version_key(lo), version_key(hi)
+def in_range(
+    version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None, keys: tuple[Column, Column, Column] | None = None
+) -> Column:
+    """Whether a version is affected: it is listed, or in the interval; without interval and list every version is.
+
+    ``keys`` are the version keys of version, lo and hi, where these are known already.
+    """
+    key, low, high = keys or (version_key(version), version_key(lo), version_key(hi))
     above = F.coalesce(lo, F.lit("0")).isin("0", "") | (key >= low)
     below = hi.isNull() | (key < high) | (inclusive & (key == high))
     free = lo.isNull() & hi.isNull()
@@ -93,18 +98,21 @@ def fixed_version(fixed_versions: Column) -> Column:
 
 
 def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Rows with (ecosystem, name, version) joined to the advisories that affect them: an equi-join with the range as its residue.
+    """Rows with (ecosystem, name, version) joined to the advisories that affect them: an equi-join with the ranges as its residue.
 
-    A row that several intervals of an advisory hold comes once for each; ``id`` and the advisory's severity are added.
-    The list ``versions`` of an advisory counts where there is such a column.
+    A row comes once for each advisory, however many of its intervals hold the version, so the result needs no further
+    shuffle; ``id`` and the advisory's severity are added. The list ``versions`` of an advisory counts where there is
+    such a column.
     """
     listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
-    a = advisories.select(
-        F.col("id"), ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), "lo", "hi", "hi_inclusive", listed.alias("__listed"), "severity", "cvss_score"
-    )
+    ends = F.struct("lo", "hi", "hi_inclusive", listed.alias("listed"), version_key(F.col("lo")).alias("low"), version_key(F.col("hi")).alias("high"))
+    of_package = advisories.select("id", ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), ends.alias("ends"), "severity", "cvss_score")
+    of_package = of_package.groupBy("id", "__e", "__n").agg(F.collect_list("ends").alias("__all"), F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score"))
     keyed = rows.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
-    hit = keyed.join(a, ["__e", "__n"]).filter(in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive"), F.col("__listed")))
-    return hit.drop("__e", "__n", "__listed", "lo", "hi", "hi_inclusive")
+    inside = lambda k: lambda i: in_range(F.col("version"), i["lo"], i["hi"], i["hi_inclusive"], i["listed"], (k, i["low"], i["high"]))
+    # an array of one, so that the version is parsed once and not for every end
+    hit = F.exists(F.array(version_key(F.col("version"))), lambda k: F.exists("__all", inside(k)))
+    return keyed.join(of_package, ["__e", "__n"]).filter(hit).drop("__e", "__n", "__all")
 
 
 def stored_vuln_count(advisories: DataFrame) -> DataFrame:

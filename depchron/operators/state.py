@@ -71,14 +71,22 @@ def snapshot_materialize(intervals: DataFrame, events: DataFrame, every: int = 1
     return state_at(intervals, points).drop("ref")
 
 
-def snapshot_asof(snapshots: DataFrame, refs: DataFrame) -> DataFrame:
-    """The stored snapshot at or nearest before each reference; references before the first one have no rows."""
-    stored = snapshots.select("branch_id", "at").distinct()
-    both = stored.select("branch_id", F.col("at").alias("pos"), "at", F.lit(None).cast("string").alias("ref"))
-    both = both.unionAll(refs.select("branch_id", "pos", F.lit(None).cast("long"), "ref"))
+def snapshot_asof(snapshots: DataFrame, refs: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """The stored snapshot at or nearest before each reference; references before the first one have no rows.
+
+    ``stored`` (branch_id, pos) are the positions that have a snapshot, if they are known without reading all of them.
+    A branch is cut into stretches of positions: within one the nearest is a running maximum, and the last snapshot of the
+    stretches before it stands in where there is none.
+    """
+    points = snapshots.select("branch_id", F.col("at").alias("pos")) if stored is None else stored.select("branch_id", "pos")
+    both = points.distinct().select("branch_id", "pos", F.col("pos").alias("at"), F.lit(None).cast("string").alias("ref"))
+    both = both.unionAll(refs.select("branch_id", "pos", F.lit(None).cast("long"), "ref")).withColumn("part", F.floor(F.col("pos") / PART))
+    earlier = Window.partitionBy("branch_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = both.groupBy("branch_id", "part").agg(F.max("at").alias("last")).select("branch_id", "part", F.max("last").over(earlier).alias("before"))
     # of equal positions the snapshot comes first
-    so_far = Window.partitionBy("branch_id").orderBy("pos", F.col("ref").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    nearest = both.withColumn("at", F.max("at").over(so_far)).filter("ref IS NOT NULL AND at IS NOT NULL").select("ref", "branch_id", "at")
+    so_far = Window.partitionBy("branch_id", "part").orderBy("pos", F.col("ref").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    nearest = both.withColumn("at", F.max("at").over(so_far)).filter("ref IS NOT NULL").join(parts, ["branch_id", "part"])
+    nearest = nearest.select("ref", "branch_id", F.coalesce("at", "before").alias("at")).filter("at IS NOT NULL")
     return snapshots.join(nearest, ["branch_id", "at"])
 
 

@@ -19,15 +19,14 @@ from depchron.operators.state import open_intervals
 def scan(state: DataFrame, advisories: DataFrame, min_severity: str | None = None) -> DataFrame:
     """Lockfile dependencies with a version that an advisory affects; one row per dependency and advisory, with ``rank``."""
     rows = state.filter("kind = 'lockfile' AND version <> ''")
-    found = affected(rows, advisories).dropDuplicates(["branch_id", "path", "name", "id", *(["ref"] if "ref" in state.columns else [])])
-    found = found.withColumn("rank", severity_rank(F.col("severity")))
+    found = affected(rows, advisories).withColumn("rank", severity_rank(F.col("severity")))
     return found.filter(F.col("rank") <= SEVERITIES.index(min_severity)) if min_severity else found
 
 
 def hits(intervals: DataFrame, advisories: DataFrame) -> DataFrame:
     """Affected intervals of lockfiles, once per interval and advisory."""
     rows = intervals.filter("kind = 'lockfile' AND version <> ''")
-    return affected(rows, advisories).dropDuplicates(["branch_id", "path", "name", "pos_from", "id"])
+    return affected(rows, advisories)
 
 
 def islands(found: DataFrame, keys: list[str]) -> DataFrame:

@@ -107,13 +107,14 @@ def enrich_licenses(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT branch_id, x.unnest['name'] AS name, x.unnest['version'] AS version, 'pkg:' || x.unnest['ecosystem'] || '/' || x.unnest['name'] AS purl
-FROM (SELECT branch_id, unnest(list({'name': name, 'version': version, 'ecosystem': ecosystem})) AS unnest FROM latest GROUP BY branch_id) x""")
+SELECT branch_id, l.name, version, 'pkg:' || l.ecosystem || '/' || l.name AS purl, license
+FROM latest l LEFT JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name""")
 def sbom_cyclonedx(v: Views) -> DataFrame:
     """The components as read back from the JSON documents."""
     documents = sbom.sbom_cyclonedx(sbom.components(v.latest, v.packages), f"{AS_OF}T00:00:00Z")
-    read = F.from_json("document", "components array<struct<name:string,version:string,purl:string>>")
-    return documents.select("branch_id", F.explode(read["components"]).alias("c")).select("branch_id", "c.name", "c.version", "c.purl")
+    read = F.from_json("document", "components array<struct<name:string,version:string,purl:string,licenses:array<struct<license:struct<id:string>>>>>")
+    listed = documents.select("branch_id", F.explode(read["components"]).alias("c"))
+    return listed.select("branch_id", "c.name", "c.version", "c.purl", F.get("c.licenses", F.lit(0))["license"]["id"].alias("license"))
 
 
 @query("""
@@ -304,13 +305,23 @@ def vuln_praise_summary(v: Views) -> DataFrame:
     return vulns.vuln_praise_summary(vulns.vuln_praise(vulns.hits(v.intervals, v.advisories), v.commits))
 
 
-@query("SELECT branch_id, id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, name || '@' || version || ' is vulnerable' AS message, path AS uri FROM hits WHERE pos_to IS NULL")
+RULE = "struct<id:string,properties:struct<`security-severity`:double>>"
+RESULT = "struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>"
+
+
+@query("""
+SELECT branch_id, id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, name || '@' || version || ' is vulnerable' AS message, path AS uri,
+       CASE severity WHEN 'critical' THEN 9.0 WHEN 'high' THEN 7.0 WHEN 'medium' THEN 4.0 WHEN 'low' THEN 1.0 ELSE 0.0 END::DOUBLE AS score
+FROM hits WHERE pos_to IS NULL""")
 def sarif_report(v: Views) -> DataFrame:
-    """The results as read back from the JSON documents."""
+    """The results, each with the score of its rule, as read back from the JSON documents."""
     documents = vulns.sarif_report(vulns.scan(v.latest, v.advisories))
-    read = F.from_json("document", "runs array<struct<results:array<struct<ruleId:string,level:string,message:struct<text:string>,locations:array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>>>>>>>>")
-    rows = documents.select("branch_id", F.explode(read["runs"][0]["results"]).alias("r"))
-    return rows.select("branch_id", F.col("r.ruleId").alias("rule"), "r.level", F.col("r.message.text").alias("message"), F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"].alias("uri"))
+    run = F.from_json("document", f"runs array<struct<tool:struct<driver:struct<rules:array<{RULE}>>>,results:array<{RESULT}>>>")["runs"][0]
+    # a rule that were listed twice would be an error here: keys of a map are distinct
+    scores = F.map_from_entries(F.transform(run["tool"]["driver"]["rules"], lambda r: F.struct(r["id"], r["properties"]["security-severity"])))
+    rows = documents.select("branch_id", scores.alias("scores"), F.explode(run["results"]).alias("r"))
+    uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
+    return rows.select("branch_id", F.col("r.ruleId").alias("rule"), "r.level", F.col("r.message.text").alias("message"), uri.alias("uri"), F.element_at("scores", F.col("r.ruleId")).alias("score"))
 
 
 @query("SELECT rank, severity, count(*)::BIGINT AS hits, count(DISTINCT id)::BIGINT AS advisories, array_to_string(list_sort(list(DISTINCT CASE WHEN length(summary) > 80 THEN left(summary, 77) || '...' ELSE summary END)), '|') AS summaries FROM hits WHERE pos_to IS NULL GROUP BY ALL")
@@ -357,19 +368,20 @@ def replace_partition(v: Views) -> DataFrame:
 @query("SELECT path, kind FROM manifests UNION ALL SELECT DISTINCT path || '.new', 'manifest' FROM manifests")
 def insert_ignore(v: Views) -> DataFrame:
     new = v.manifests.select(F.concat("path", F.lit(".new")).alias("path"), F.lit("manifest").alias("kind"))
-    again = v.manifests.select("path", F.lit("again").alias("kind"))
-    return sinks.insert_ignore(v.manifests.select("path", "kind"), new.unionByName(new).unionByName(again), ["path"])
+    later, again = new.withColumn("kind", F.lit("other")), v.manifests.select("path", F.lit("again").alias("kind"))
+    return sinks.insert_ignore(v.manifests.select("path", "kind"), later.unionByName(new).unionByName(new).unionByName(again), ["path"])
 
 
-@query("SELECT branch_id, count(*)::BIGINT AS links, (SELECT count(DISTINCT sha) FROM commits)::BIGINT AS commits FROM (SELECT branch_id FROM commits UNION ALL SELECT 99 FROM commits WHERE branch_id = 0) GROUP BY ALL")
+@query("""
+SELECT branch_id, pos, sha, author_name FROM commits UNION ALL SELECT 99, pos, sha, author_name FROM commits WHERE branch_id = 0
+UNION ALL SELECT 98, pos, md5(sha), author_name FROM commits WHERE branch_id = 1""")
 def append_history(v: Views) -> DataFrame:
-    """A second branch that shares all commits of branch 0: only links are added."""
+    """A second branch that shares all commits of branch 0, which are only linked, and a rewritten branch 1 with commits of its own."""
     known = v.commits.select("sha", "author_name")
     links = v.commits.select("branch_id", "sha", "pos")
-    batch = v.commits.filter("branch_id = 0").select(F.lit(99).cast("long").alias("branch_id"), "pos", "sha", "author_name")
-    commits, linked = sinks.append_history(known, links, batch)
-    n = commits.agg(F.countDistinct("sha").alias("commits"), F.lit(1).alias("one"))
-    return linked.groupBy("branch_id").agg(F.count(F.lit(1)).alias("links"), F.lit(1).alias("one")).join(n, "one").drop("one")
+    of = lambda branch, number, sha: v.commits.filter(F.col("branch_id") == branch).select(F.lit(number).cast("long").alias("branch_id"), "pos", sha.alias("sha"), "author_name")
+    commits, linked = sinks.append_history(known, links, of(0, 99, F.col("sha")).unionByName(of(1, 98, F.md5("sha"))))
+    return linked.join(commits, "sha").select("branch_id", "pos", "sha", "author_name")
 
 
 @query(", marks AS (SELECT branch_id, max(pos) * 19 // 20 AS mark FROM commits GROUP BY ALL) SELECT c.branch_id, pos, path, name, change_type, requirement, previous_version FROM changes c JOIN marks m ON c.branch_id = m.branch_id WHERE pos > mark")
@@ -380,9 +392,9 @@ def incremental_update(v: Views) -> DataFrame:
     return sinks.incremental_update(known, v.observations, mark).select("branch_id", "pos", "path", "name", "change_type", "requirement", "previous_version")
 
 
-@query("SELECT branch_id, count(*)::BIGINT AS links FROM commits WHERE branch_id <> 1 GROUP BY ALL")
+@query("SELECT branch_id, sha, pos FROM commits WHERE branch_id <> 1")
 def branch_remove(v: Views) -> DataFrame:
-    return sinks.branch_remove(v.commits.select("branch_id", "sha", "pos"), v.branches.filter("branch_id = 1")).groupBy("branch_id").agg(F.count(F.lit(1)).alias("links"))
+    return sinks.branch_remove(v.commits.select("branch_id", "sha", "pos"), v.branches.filter("branch_id = 1"))
 
 
 @query("SELECT branch_id, path, name, version, scope FROM latest")

@@ -27,6 +27,27 @@ def commit_log(v: Views) -> DataFrame:
     return ch.commit_log(v.unnumbered, since=known).select("branch_id", "pos", "sha", "author_name", day("committed_at", "committed_on"))
 
 
+@query("""
+SELECT branch_id, row_number() OVER (PARTITION BY branch_id ORDER BY committed_at, commit_id)::BIGINT AS pos, sha
+FROM commits WHERE message <> '1-URGENT'""")
+def commit_log_without_merges(v: Views) -> DataFrame:
+    """Urgent orders as commits of two parents, which the log leaves out."""
+    parents = F.when(F.col("message") == "1-URGENT", F.array("sha", "author_name")).otherwise(F.array("sha"))
+    log = ch.commit_log(ch.without_merges(v.unnumbered.withColumn("parents", parents)))
+    return log.select("branch_id", F.col("pos").cast("long").alias("pos"), "sha")
+
+
+@query("""
+SELECT branch_id, pos, path, name, raw_version AS version, raw_integrity AS integrity
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, path, name ORDER BY l_linenumber DESC, l_quantity DESC, raw_version DESC, raw_integrity DESC) AS rn FROM lines)
+JOIN commits ON l_orderkey = commit_id WHERE rn = 1""")
+def observations_deduplicated(v: Views) -> DataFrame:
+    """Of the line items that name a package of a manifest in one commit, the last."""
+    seen = v.lines.join(v.commits.select("branch_id", "commit_id", "pos"), F.col("l_orderkey") == F.col("commit_id"))
+    one = ch.deduplicated(seen, ["l_linenumber", "l_quantity", "raw_version", "raw_integrity"])
+    return one.select("branch_id", "pos", "path", "name", F.col("raw_version").alias("version"), F.col("raw_integrity").alias("integrity"))
+
+
 @query("""
 SELECT commit_id, path, CASE WHEN path LIKE '%/lock' THEN 'npm' ELSE 'pypi' END AS ecosystem, CASE WHEN path LIKE '%/lock' THEN 'lockfile' ELSE 'manifest' END AS kind,
        ['A', 'M', 'D'][commit_id % 4 + 1] AS status
@@ -165,7 +186,8 @@ SELECT r.ref, s.branch_id, s."at", s.path, s.name, s.version FROM snapshots s
 JOIN (SELECT ref, r.branch_id, max("at") AS "at" FROM refs r JOIN points p ON r.branch_id = p.branch_id AND "at" <= pos GROUP BY ALL) r ON s.branch_id = r.branch_id AND s."at" = r."at"
 """)
 def snapshot_asof(v: Views) -> DataFrame:
-    return state.snapshot_asof(state.snapshot_materialize(v.intervals, v.changes), v.refs).select("ref", "branch_id", "at", "path", "name", "version")
+    snapshots = state.snapshot_materialize(v.intervals, v.changes)
+    return state.snapshot_asof(snapshots, v.refs, state.checkpoints(v.changes)).select("ref", "branch_id", "at", "path", "name", "version")
 
 
 @query("SELECT branch_id, path, name, version FROM latest WHERE ecosystem = 'npm' AND contains(path, 'lock') AND scope = 'runtime'")
@@ -320,6 +342,13 @@ def stats_top_changed_filtered(v: Views) -> DataFrame:
     return stats.top_changed(v.changes, commits=v.commits, **FILTERS)
 
 
+@query(f"""
+SELECT author_name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id
+WHERE {FILTERED} GROUP BY author_name ORDER BY changes DESC, author_name LIMIT 10""")
+def stats_top_authors_filtered(v: Views) -> DataFrame:
+    return stats.top_authors(v.changes, v.commits, **FILTERS)
+
+
 @query(f"""
 SELECT author_name, author_email, count(DISTINCT c.commit_id)::BIGINT AS commits, count(*)::BIGINT AS changes, count_if(change_type = 'added')::BIGINT AS added,
        count_if(change_type = 'modified')::BIGINT AS modified, count_if(change_type = 'removed')::BIGINT AS removed

@@ -113,6 +113,17 @@ class TestState:
         refs = spark.createDataFrame([("a", 1, 1), ("b", 1, 3)], "ref string, branch_id long, pos long")
         assert rows(state.snapshot_asof(s, refs).groupBy("ref", "at").count()) == [("b", 2, 2)]
 
+    @pytest.mark.parametrize("part", [1, 3, 100])
+    def test_nearest_snapshot_across_stretches(self, spark, monkeypatch, part):
+        monkeypatch.setattr(state, "PART", part)
+        have = {0: [4, 5, 17], 1: [9]}
+        s = spark.createDataFrame([(b, p, f"n{p}") for b, own in have.items() for p in own], "branch_id long, at long, name string")
+        asked = [(f"r{p}", b, p) for b in (0, 1, 2) for p in range(0, 25, 2)]
+        refs = spark.createDataFrame(asked, "ref string, branch_id long, pos long")
+        want = [(r, b, max(own), f"n{max(own)}") for r, b, p in asked for own in [[x for x in have.get(b, []) if x <= p]] if own]
+        for stored in (None, s.select("branch_id", F.col("at").alias("pos"))):
+            assert rows(state.snapshot_asof(s, refs, stored), "ref", "branch_id", "at", "name") == sorted(want, key=repr)
+
     def test_difference_leads_to_the_later_state(self, v):
         d = state.diff_refs(v.intervals, v.refs, "v100", "v200")
         at = state.state_at(v.intervals, v.refs).select("ref", "branch_id", "path", "name", "version")
@@ -200,6 +211,13 @@ class TestAdvisories:
         want = [("a", "1.5"), ("a", "9.0"), ("a", "odd"), ("b", "3.0"), *[("c", v) for v in ("1.5", "3.0", "9.0", "odd", None)]]
         assert rows(adv.affected(used, advisories), "name", "version") == sorted(want, key=repr)
 
+    def test_one_row_per_advisory_however_many_intervals_hold_the_version(self, spark):
+        ends = [("X", "npm", "a", "0", "2.0", False), ("X", "NPM", "A", "1.0", None, False), ("Y", "npm", "a", None, None, False), ("Z", "npm", "a", "1.0", "1.5", True)]
+        a = spark.createDataFrame([(*e, "low", 1.0) for e in ends], "id string, ecosystem string, name string, lo string, hi string, hi_inclusive boolean, severity string, cvss_score double")
+        used = spark.createDataFrame([(i, "npm", "a", x) for i, x in enumerate(["1.5", "3.0", "odd", None])], "i int, ecosystem string, name string, version string")
+        assert rows(adv.affected(used, a), "i", "id") == [(0, "X"), (0, "Y"), (0, "Z"), (1, "X"), (1, "Y"), (2, "Y"), (3, "Y")]
+        assert rows(adv.affected(used, a.limit(0))) == rows(adv.affected(used.limit(0), a)) == []
+
     def test_severities(self, spark):
         df = spark.createDataFrame([("critical",), ("Moderate",), ("odd",), (None,)], "s string")
         assert [r[0] for r in df.select(names.severity_rank(F.col("s"))).collect()] == [0, 2, 4, 4]
