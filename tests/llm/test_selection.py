@@ -247,6 +247,13 @@ class TestNearDuplicates:
         assert rows(neardup.keep_first(df), "doc_id") == sorted([(1,), (None,), (3,), (4,)], key=repr)
         assert rows(neardup.classes(df.limit(0))) == []
 
+    def test_long_texts(self, spark):
+        word, same, long = "x" * 5_000_000, "never mind this " * 300_000, prose(3, 700_000, 10**6)
+        near = [w if k % 100 else "new" for k, w in enumerate(long)]
+        texts = [word, word + "y", word.upper(), same, same + "this", " ".join(long), " ".join(near), " ".join(reversed(long))]
+        got = [c for _, c in sorted(rows(neardup.classes(docs(spark, *texts)), "id", "class_id"))]
+        assert got == [0, 1, 0, 3, 3, 5, 5, 7]
+
     def test_estimates_weighted_similarity(self):
         texts = [" ".join(prose(1, 150) + ["x"] * 40).encode(), " ".join(prose(1, 120) + prose(2, 30) + ["x"] * 10).encode()]
         h, own, n = neardup.Hasher().multisets(texts)

@@ -247,6 +247,12 @@ class TestLanguage:
         got = language.identify(df.filter("lang >= 'l256'"), model)
         assert model.languages == sorted(words) and got.filter("lang = lang_pred").count() == 44
 
+    def test_long_texts(self, spark):
+        words = " ".join(self.WORDS["bb"]) + " "
+        df = docs(spark, words * 150_000, "e" * 5_000_000, "1 2 " * 1_000_000, " " * 4_000_000 + "les une pour")
+        got = rows(language.identify(df, language.learn(self.labelled(spark))), "doc_id", "lang_pred")
+        assert got == [(0, "bb"), (1, "aa"), (2, "und"), (3, "cc")]
+
     def test_nothing_to_learn(self, spark):
         model = language.learn(self.labelled(spark).limit(0))
         assert rows(language.identify(docs(spark, "some text"), model), "lang_pred", "score") == [("und", 0.0)]
