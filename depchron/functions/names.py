@@ -8,16 +8,30 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Package URL types, advisory names and registry hosts of ecosystems, by lower-case name.
-PURL_TYPES = {"npm": "npm", "gem": "gem", "rubygems": "gem", "pypi": "pypi", "cargo": "cargo", "go": "golang", "golang": "golang", "maven": "maven", "nuget": "nuget", "composer": "composer", "packagist": "composer", "hex": "hex", "pub": "pub", "cocoapods": "cocoapods"}
-ADVISORY_NAMES = {"gem": "RubyGems", "rubygems": "RubyGems", "npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go", "golang": "Go", "maven": "Maven", "nuget": "NuGet", "composer": "Packagist", "packagist": "Packagist", "hex": "Hex", "pub": "Pub", "cocoapods": "CocoaPods"}
-REGISTRY_HOSTS = {"npm": "npmjs.org", "gem": "rubygems.org", "rubygems": "rubygems.org", "pypi": "pypi.org", "cargo": "crates.io", "go": "proxy.golang.org", "golang": "proxy.golang.org", "maven": "repo1.maven.org", "nuget": "nuget.org", "composer": "packagist.org", "packagist": "packagist.org", "hex": "hex.pm", "pub": "pub.dev", "cocoapods": "cocoapods.org"}
+PURL_TYPES = {
+    "npm": "npm", "gem": "gem", "rubygems": "gem", "pypi": "pypi", "cargo": "cargo", "go": "golang", "golang": "golang", "maven": "maven",
+    "nuget": "nuget", "composer": "composer", "packagist": "composer", "hex": "hex", "pub": "pub", "cocoapods": "cocoapods"
+}
+ADVISORY_NAMES = {
+    "gem": "RubyGems", "rubygems": "RubyGems", "npm": "npm", "pypi": "PyPI", "cargo": "crates.io", "go": "Go", "golang": "Go",
+    "maven": "Maven", "nuget": "NuGet", "composer": "Packagist", "packagist": "Packagist", "hex": "Hex", "pub": "Pub",
+    "cocoapods": "CocoaPods"
+}
+REGISTRY_HOSTS = {
+    "npm": "npmjs.org", "gem": "rubygems.org", "rubygems": "rubygems.org", "pypi": "pypi.org", "cargo": "crates.io",
+    "go": "proxy.golang.org", "golang": "proxy.golang.org", "maven": "repo1.maven.org", "nuget": "nuget.org", "composer": "packagist.org",
+    "packagist": "packagist.org", "hex": "hex.pm", "pub": "pub.dev", "cocoapods": "cocoapods.org"
+}
 
 # Severities in order of rank, and the score each stands for in reports.
 SEVERITIES = ("critical", "high", "medium", "low", "unknown")
 REPORT_SCORES = {"critical": 9.0, "high": 7.0, "medium": 4.0, "low": 1.0}
 
 # Licences that count as permissive and as copyleft.
-PERMISSIVE = ("MIT", "MIT License", "Apache-2.0", "Apache 2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense", "WTFPL", "Zlib", "PostgreSQL", "BlueOak-1.0.0")
+PERMISSIVE = (
+    "MIT", "MIT License", "Apache-2.0", "Apache 2.0", "BSD-2-Clause", "BSD-3-Clause", "ISC", "0BSD", "CC0-1.0", "Unlicense", "WTFPL",
+    "Zlib", "PostgreSQL", "BlueOak-1.0.0"
+)
 COPYLEFT = ("GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-1.0", "EPL-2.0", "CDDL-1.0", "GPL-2.0-only", "GPL-3.0-only")
 
 

@@ -26,7 +26,10 @@ def version_key(version: Column) -> Column:
     release = F.when(suffix == "", 1).when(loose.rlike(AFTER), 2).otherwise(0)
     pre = F.transform(
         F.filter(F.split(suffix, r"\."), lambda x: x != ""),
-        lambda x: F.struct(x.try_cast("bigint").isNull().cast("int").alias("word"), F.coalesce(x.try_cast("bigint"), F.lit(0)).alias("number"), F.when(x.try_cast("bigint").isNull(), x).otherwise("").alias("text")),
+        lambda x: F.struct(
+            x.try_cast("bigint").isNull().cast("int").alias("word"), F.coalesce(x.try_cast("bigint"), F.lit(0)).alias("number"),
+            F.when(x.try_cast("bigint").isNull(), x).otherwise("").alias("text")
+        ),
     )
     key = F.struct(F.slice(numbers, 1, last).alias("numbers"), release.alias("release"), pre.alias("pre"))
     fits = version.rlike(FORMAT) & ~F.exists(numbers, lambda x: x.isNull())

@@ -28,7 +28,10 @@ def parsed(records: DataFrame, column: str = "record") -> DataFrame:
 
 def score(severity: Column) -> Column:
     """The numeric CVSS_V3 score, null if there is none or it is a vector."""
-    return F.get(F.filter(F.transform(F.filter(severity, lambda s: s["type"] == "CVSS_V3"), lambda s: s["score"].try_cast("double")), lambda x: x.isNotNull()), F.lit(0))
+    return F.get(
+        F.filter(F.transform(F.filter(severity, lambda s: s["type"] == "CVSS_V3"), lambda s: s["score"].try_cast("double")), lambda x: x.isNotNull()),
+        F.lit(0)
+    )
 
 
 def severity_level(severity: Column, specific: Column) -> Column:
@@ -68,11 +71,17 @@ def range_build(events: Column) -> Column:
 def advisory_packages(osv: DataFrame) -> DataFrame:
     """Interval rows of all affected packages, with the fixed versions of the entry; entries without a usable range mean all versions."""
     entry = osv.select("id", F.explode("affected").alias("a")).select("id", "a.package.ecosystem", "a.package.name", "a.versions", "a.ranges")
-    usable = F.filter(F.coalesce("ranges", F.array().cast("array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")), lambda r: r["type"].isin("SEMVER", "ECOSYSTEM"))
+    usable = F.filter(
+        F.coalesce("ranges", F.array().cast("array<struct<type:string,events:array<struct<introduced:string,fixed:string,last_affected:string>>>>")),
+        lambda r: r["type"].isin("SEMVER", "ECOSYSTEM")
+    )
     intervals = F.flatten(F.transform(usable, lambda r: range_build(r["events"])))
     fixed = F.filter(F.flatten(F.transform(usable, lambda r: F.transform(r["events"], lambda e: e["fixed"]))), lambda x: x.isNotNull())
     rows = entry.select("id", "ecosystem", "name", "versions", fixed.alias("fixed_versions"), F.explode_outer(intervals).alias("i"))
-    return rows.select("id", "ecosystem", "name", "versions", "fixed_versions", "i.lo", "i.hi", F.coalesce("i.hi_inclusive", F.lit(False)).alias("hi_inclusive"))
+    return rows.select(
+        "id", "ecosystem", "name", "versions", "fixed_versions", "i.lo", "i.hi",
+        F.coalesce("i.hi_inclusive", F.lit(False)).alias("hi_inclusive")
+    )
 
 
 def in_range(
@@ -106,8 +115,12 @@ def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
     """
     listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
     ends = F.struct("lo", "hi", "hi_inclusive", listed.alias("listed"), version_key(F.col("lo")).alias("low"), version_key(F.col("hi")).alias("high"))
-    of_package = advisories.select("id", ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), ends.alias("ends"), "severity", "cvss_score")
-    of_package = of_package.groupBy("id", "__e", "__n").agg(F.collect_list("ends").alias("__all"), F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score"))
+    of_package = advisories.select(
+        "id", ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), ends.alias("ends"), "severity", "cvss_score"
+    )
+    of_package = of_package.groupBy("id", "__e", "__n").agg(
+        F.collect_list("ends").alias("__all"), F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score")
+    )
     keyed = rows.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
     inside = lambda k: lambda i: in_range(F.col("version"), i["lo"], i["hi"], i["hi_inclusive"], i["listed"], (k, i["low"], i["high"]))
     # an array of one, so that the version is parsed once and not for every end

@@ -80,7 +80,9 @@ def manifest_changes(before: DataFrame, after: DataFrame) -> DataFrame:
         .when(differs(F.col("version"), F.col("old_version")) | differs(F.col("scope"), F.col("old_scope")), "modified")
     )
     return both.withColumn("change_type", kind).filter("change_type IS NOT NULL").select(
-        *keys, "change_type", F.coalesce("version", "old_version").alias("requirement"), F.when(F.col("change_type") == "modified", F.col("old_version")).alias("previous_version")
+        *keys, "change_type", F.coalesce("version", "old_version").alias("requirement"), F.when(
+            F.col("change_type") == "modified", F.col("old_version")
+        ).alias("previous_version")
     )
 
 
@@ -89,10 +91,16 @@ def manifest_removed(intervals: DataFrame, deletions: DataFrame) -> DataFrame:
     from depchron.operators.state import open_intervals
 
     held = open_intervals(intervals, deletions.select("branch_id", "path", (F.col("pos") - 1).alias("at")), ["branch_id", "path"])
-    return held.select("branch_id", (F.col("at") + 1).alias("pos"), "path", "name", F.lit("removed").alias("change_type"), F.col("version").alias("requirement"))
+    return held.select(
+        "branch_id", (F.col("at") + 1).alias("pos"), "path", "name", F.lit("removed").alias("change_type"),
+        F.col("version").alias("requirement")
+    )
 
 
 def state_intervals(events: DataFrame) -> DataFrame:
     """Each event opens an interval [pos_from, pos_to) that the next event of its key closes; removals open none."""
-    ends = events.select(*KEY, "ecosystem", "kind", "version", "scope", "integrity", "change_type", F.col("pos").alias("pos_from"), F.lead("pos").over(by_pos()).alias("pos_to"))
+    ends = events.select(
+        *KEY, "ecosystem", "kind", "version", "scope", "integrity", "change_type", F.col("pos").alias("pos_from"),
+        F.lead("pos").over(by_pos()).alias("pos_to")
+    )
     return ends.filter("change_type != 'removed'").drop("change_type")

@@ -15,7 +15,10 @@ def with_commits(events: DataFrame, commits: DataFrame) -> DataFrame:
     return events.join(commits.select("commit_id", "branch_id", "sha", "message", "author_name", "author_email", "committed_at"), ["commit_id", "branch_id"])
 
 
-def filtered(rows: DataFrame, branch_id: int | None = None, ecosystem: str | None = None, author: str | None = None, since: str | None = None, until: str | None = None) -> DataFrame:
+def filtered(
+    rows: DataFrame, branch_id: int | None = None, ecosystem: str | None = None, author: str | None = None, since: str | None = None,
+    until: str | None = None
+) -> DataFrame:
     """Rows of ``with_commits`` by branch, ecosystem, author (part of name or email, in either case) and time."""
     conditions: list[Column] = []
     if branch_id is not None:
@@ -94,6 +97,8 @@ def search(state: DataFrame, events: DataFrame, commits: DataFrame, pattern: str
     rows = rows.filter("kind = 'manifest'") if direct else rows
     seen = with_commits(events.filter(F.col("name").ilike(f"%{pattern}%")), commits)
     by_name = seen.groupBy("branch_id", "name").agg(
-        F.min("committed_at").alias("first_seen"), F.max("committed_at").alias("last_changed"), F.min_by("sha", F.when(F.col("change_type") == "added", F.col("pos"))).alias("added_in")
+        F.min("committed_at").alias("first_seen"), F.max("committed_at").alias("last_changed"), F.min_by(
+            "sha", F.when(F.col("change_type") == "added", F.col("pos"))
+        ).alias("added_in")
     )
     return rows.join(by_name, ["branch_id", "name"], "left")

@@ -23,7 +23,10 @@ def file_change_classify(files: DataFrame, patterns: dict[str, tuple[str, str]])
     ``patterns`` is a short fixed list, tried in order as one CASE expression, so the files are scanned once and
     nothing is joined.
     """
-    found = reduce(lambda rest, x: F.when(basename(F.col("path")).rlike(x[0]), F.struct(F.lit(x[1][0]).alias("ecosystem"), F.lit(x[1][1]).alias("kind"))).otherwise(rest), reversed(patterns.items()), F.lit(None).cast("struct<ecosystem:string,kind:string>"))
+    found = reduce(
+        lambda rest, x: F.when(basename(F.col("path")).rlike(x[0]), F.struct(F.lit(x[1][0]).alias("ecosystem"), F.lit(x[1][1]).alias("kind"))).otherwise(rest),
+        reversed(patterns.items()), F.lit(None).cast("struct<ecosystem:string,kind:string>")
+    )
     rows = files.filter(F.col("status").isin("A", "M", "D")).withColumn("__m", found).filter("__m IS NOT NULL")
     return rows.select(*files.columns, "__m.ecosystem", "__m.kind")
 
@@ -38,8 +41,13 @@ def manifest_parse(files: DataFrame, form: str = "json") -> DataFrame:
     if form == "json":
         entries = once.select("blob", "path", F.explode(F.from_json("text", "map<string,string>")).alias("name", "requirement"))
     else:
-        pairs = F.arrays_zip(F.regexp_extract_all("text", F.lit(LINE), F.lit(1)).alias("name"), F.regexp_extract_all("text", F.lit(LINE), F.lit(2)).alias("requirement"))
-        entries = once.select("blob", "path", F.explode(pairs).alias("e")).select("blob", "path", "e.name", F.nullif("e.requirement", F.lit("")).alias("requirement"))
+        pairs = F.arrays_zip(
+            F.regexp_extract_all("text", F.lit(LINE), F.lit(1)).alias("name"),
+            F.regexp_extract_all("text", F.lit(LINE), F.lit(2)).alias("requirement")
+        )
+        entries = once.select("blob", "path", F.explode(pairs).alias("e")).select(
+            "blob", "path", "e.name", F.nullif("e.requirement", F.lit("")).alias("requirement")
+        )
     return files.select("commit", "path", "blob").join(entries, ["blob", "path"]).select("commit", "path", "name", "requirement")
 
 
@@ -70,8 +78,13 @@ def _entries(text: Column, name: Column) -> Column:
     # newer lockfiles list packages by folder, the root one under an empty name
     locked = F.coalesce(F.map_entries(lock["packages"]), F.map_entries(lock["dependencies"]), F.array().cast(f"array<struct<key:string,value:{LOCKED}>>"))
     scope = lambda v: F.when(v["dev"], "development").otherwise("runtime")
-    pinned = F.transform(F.filter(locked, lambda e: e["key"] != ""), lambda e: row(F.regexp_replace(e["key"], "^.*node_modules/", ""), e["value"]["version"], scope(e["value"]), e["value"]["integrity"]))
-    pairs = lambda pattern: F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("r"))
+    pinned = F.transform(
+        F.filter(locked, lambda e: e["key"] != ""),
+        lambda e: row(F.regexp_replace(e["key"], "^.*node_modules/", ""), e["value"]["version"], scope(e["value"]), e["value"]["integrity"])
+    )
+    pairs = lambda pattern: F.arrays_zip(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("r")
+    )
     gems = lambda pattern: F.transform(pairs(pattern), lambda e: row(e["n"], F.nullif(e["r"], F.lit("")), F.lit("runtime")))
     forms = {"package.json": declared, "package-lock.json": pinned, "Gemfile": gems(LINE), "Gemfile.lock": gems(SPEC)}
     return reduce(lambda rest, x: F.when(name == x[0], x[1].cast(ENTRY)).otherwise(rest), forms.items(), F.lit(None).cast(ENTRY))
@@ -93,7 +106,9 @@ def where(texts: DataFrame, package: str, context: int = 0) -> DataFrame:
     """Lines that contain ``package`` in either case: path, ecosystem, line number from 1, the line, and the lines around it."""
     lines = F.split("text", "\n")
     rows = texts.filter(~F.col("path").rlike(SKIPPED) & F.contains(F.lower("text"), F.lit(package.lower())))
-    hit = rows.select("path", "ecosystem", lines.alias("lines"), F.posexplode(lines).alias("i", "line")).filter(F.contains(F.lower("line"), F.lit(package.lower())))
+    hit = rows.select(
+        "path", "ecosystem", lines.alias("lines"), F.posexplode(lines).alias("i", "line")
+    ).filter(F.contains(F.lower("line"), F.lit(package.lower())))
     start = F.greatest(F.lit(1), F.col("i") + 1 - context)
     around = F.slice("lines", start, F.col("i") + 1 + context - start + 1)
     return hit.select("path", "ecosystem", (F.col("i") + 1).cast("long").alias("line_number"), "line", F.array_join(around, "\n").alias("context"))
@@ -105,7 +120,10 @@ REGISTRY = "ecosystem string, name string, latest_version string, licenses strin
 def registry_ingest(records: DataFrame, column: str = "record") -> DataFrame:
     """(ecosystem, name, latest_version, license) from registry JSON: the first normalised licence, else the raw one."""
     rows = records.select(F.from_json(column, REGISTRY).alias("r")).filter("r.name IS NOT NULL").select("r.*")
-    return rows.select("ecosystem", "name", "latest_version", F.coalesce(F.get("normalized_licenses", F.lit(0)), F.nullif("licenses", F.lit(""))).alias("license"))
+    return rows.select(
+        "ecosystem", "name", "latest_version",
+        F.coalesce(F.get("normalized_licenses", F.lit(0)), F.nullif("licenses", F.lit(""))).alias("license")
+    )
 
 
 def fresh_cache_scan(wanted: DataFrame, cache: DataFrame, as_of: str, hours: int = 24) -> DataFrame:

@@ -37,7 +37,9 @@ def latest_at(versions: DataFrame, date: str) -> DataFrame:
 def outdated(state: DataFrame, latest: DataFrame, major_only: bool = False, minor_up: bool = False) -> DataFrame:
     """Lockfile dependencies, every one, whose latest version is greater, with ``update`` as major, minor or patch."""
     rows = state.filter("kind = 'lockfile'").join(latest.select("ecosystem", "name", "latest_version"), ["ecosystem", "name"])
-    rows = rows.filter(version_key(F.col("version")) < version_key(F.col("latest_version"))).withColumn("update", update_type(F.col("version"), F.col("latest_version")))
+    rows = rows.filter(
+        version_key(F.col("version")) < version_key(F.col("latest_version"))
+    ).withColumn("update", update_type(F.col("version"), F.col("latest_version")))
     rows = rows.filter("update IS NOT NULL")
     if major_only:
         rows = rows.filter("update = 'major'")
@@ -48,9 +50,14 @@ def _in(values: list[str] | tuple[str, ...], column: Column) -> Column:
     return F.array_contains(F.array(*map(F.lit, values)), column) if values else F.lit(False)
 
 
-def licenses(state: DataFrame, packages: DataFrame, allow: list[str] = (), deny: list[str] = (), permissive: bool = False, copyleft: bool = False, unknown: bool = False) -> DataFrame:
+def licenses(
+    state: DataFrame, packages: DataFrame, allow: list[str] = (), deny: list[str] = (), permissive: bool = False, copyleft: bool = False,
+    unknown: bool = False
+) -> DataFrame:
     """Direct dependencies with ``license`` (``Unknown`` without one), ``flagged`` and ``reason``: of several reasons the last of allow, deny, permissive, copyleft."""
-    rows = state.filter("kind = 'manifest'").join(packages.select("ecosystem", "name", F.nullif("license", F.lit("")).alias("__l")), ["ecosystem", "name"], "left")
+    rows = state.filter("kind = 'manifest'").join(
+        packages.select("ecosystem", "name", F.nullif("license", F.lit("")).alias("__l")), ["ecosystem", "name"], "left"
+    )
     lic, low = F.col("__l"), F.lower("__l")
     text = lambda what: F.concat(F.lit('license "'), lic, F.lit(f'" {what}'))
     checks = [F.when(lic.isNull() & F.lit(unknown), "unknown license")]
@@ -82,7 +89,10 @@ def integrity_drift(rows: DataFrame) -> DataFrame:
 
     The rows of one package version meet in one aggregate, of distinct values only, combined before the shuffle.
     """
-    found = rows.filter("integrity <> ''").groupBy("name", "version").agg(F.array_sort(F.collect_set("integrity")).alias("hashes"), F.array_sort(F.collect_set(F.struct("path", "integrity"))).alias("manifests"))
+    found = rows.filter("integrity <> ''").groupBy("name", "version").agg(
+        F.array_sort(F.collect_set("integrity")).alias("hashes"),
+        F.array_sort(F.collect_set(F.struct("path", "integrity"))).alias("manifests")
+    )
     return found.filter(F.size("hashes") > 1)
 
 

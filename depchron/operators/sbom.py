@@ -21,12 +21,18 @@ def sbom_cyclonedx(parts: DataFrame, created: str, form: str = "json") -> DataFr
     licenses = F.when(F.col("license").isNotNull(), F.array(F.struct(F.struct(F.col("license").alias("id")).alias("license"))))
     component = F.struct(F.lit("library").alias("type"), F.col("purl").alias("bom-ref"), "name", "version", "purl", licenses.alias("licenses"))
     listed = parts.groupBy("branch_id").agg(F.array_sort(F.collect_list(F.struct("path", "name", component.alias("c")))).alias("all"))
-    meta = F.struct(F.lit(created).alias("timestamp"), F.array(F.struct(F.lit(TOOL).alias("vendor"), F.lit(TOOL).alias("name"), F.lit("1.0.0").alias("version"))).alias("tools"))
+    meta = F.struct(
+        F.lit(created).alias("timestamp"),
+        F.array(F.struct(F.lit(TOOL).alias("vendor"), F.lit(TOOL).alias("name"), F.lit("1.0.0").alias("version"))).alias("tools")
+    )
     document = F.struct(
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), meta.alias("metadata"), F.transform("all", lambda x: x["c"]).alias("components")
     )
     if form == "xml":
-        flat = F.struct(F.lit("1.5").alias("specVersion"), F.struct(F.transform("all", lambda x: x["c"].dropFields("licenses")).alias("component")).alias("components"))
+        flat = F.struct(
+            F.lit("1.5").alias("specVersion"),
+            F.struct(F.transform("all", lambda x: x["c"].dropFields("licenses")).alias("component")).alias("components")
+        )
         return listed.select("branch_id", F.to_xml(flat, {"rowTag": "bom"}).alias("document"))
     return listed.select("branch_id", F.to_json(document).alias("document"))
 
@@ -36,13 +42,24 @@ def sbom_spdx(parts: DataFrame, name: str, created: str) -> DataFrame:
     number = F.row_number().over(Window.partitionBy("branch_id").orderBy("path", "name")) - 1
     none = F.lit("NOASSERTION")
     license = F.coalesce(F.nullif("license", F.lit("")), none)
-    refs = F.when(F.col("purl").isNotNull(), F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator"))))
+    refs = F.when(
+        F.col("purl").isNotNull(),
+        F.array(F.struct(F.lit("PACKAGE-MANAGER").alias("referenceCategory"), F.lit("purl").alias("referenceType"), F.col("purl").alias("referenceLocator")))
+    )
     package = F.struct(
-        F.concat(F.lit("SPDXRef-Package-"), F.col("i").cast("string")).alias("SPDXID"), "name", F.col("version").alias("versionInfo"), none.alias("downloadLocation"),
+        F.concat(
+            F.lit("SPDXRef-Package-"), F.col("i").cast("string")
+        ).alias("SPDXID"), "name", F.col("version").alias("versionInfo"), none.alias("downloadLocation"),
         license.alias("licenseConcluded"), license.alias("licenseDeclared"), refs.alias("externalRefs"),
     )
     listed = parts.withColumn("i", number).groupBy("branch_id").agg(F.array_sort(F.collect_list(F.struct("i", package.alias("p")))).alias("all"))
-    relation = F.transform("all", lambda x: F.struct(F.lit("SPDXRef-Package-root").alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"), x["p"]["SPDXID"].alias("relatedSpdxElement")))
+    relation = F.transform(
+        "all",
+        lambda x: F.struct(
+            F.lit("SPDXRef-Package-root").alias("spdxElementId"), F.lit("DEPENDS_ON").alias("relationshipType"),
+            x["p"]["SPDXID"].alias("relatedSpdxElement")
+        )
+    )
     document = F.struct(
         F.lit("SPDX-2.3").alias("spdxVersion"), F.lit("CC0-1.0").alias("dataLicense"), F.lit("SPDXRef-DOCUMENT").alias("SPDXID"), F.lit(name).alias("name"),
         F.struct(F.lit(created).alias("created"), F.array(F.lit(f"Tool: {TOOL}-1.0.0")).alias("creators")).alias("creationInfo"),

@@ -43,7 +43,9 @@ def open_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], buc
     high = marks.select(*keys, F.col("__b").alias("__after"), F.col("__k").alias("__high"))
     placed = intervals.withColumns({"__first": first, "__after": after}).join(low, [*keys, "__first"]).join(high, [*keys, "__after"], "left")
     end = F.coalesce("__high", "__all")
-    dealt = placed.filter(end > F.col("__low")).withColumn("__k", F.explode(F.sequence(F.col("__low"), end - 1))).drop("__first", "__after", "__low", "__high", "__all")
+    dealt = placed.filter(end > F.col("__low")).withColumn(
+        "__k", F.explode(F.sequence(F.col("__low"), end - 1))
+    ).drop("__first", "__after", "__low", "__high", "__all")
     numbers = marks.filter("n = 1").select(*keys, "__b", "__k")
     return dealt.join(asked.join(numbers, [*keys, "__b"]).drop("__b"), [*keys, "__k"]).filter(open_at(F.col("at"))).drop("__k")
 
@@ -105,7 +107,9 @@ def tree(state: DataFrame) -> DataFrame:
     A manifest's dependencies are one value by definition; they're gathered per type first.
     """
     leaf = F.struct("name", "version")
-    by_type = state.withColumn("type", F.coalesce(F.nullif("scope", F.lit("")), F.lit("runtime"))).groupBy("branch_id", "path", "type").agg(F.array_sort(F.collect_list(leaf)).alias("dependencies"))
+    by_type = state.withColumn(
+        "type", F.coalesce(F.nullif("scope", F.lit("")), F.lit("runtime"))
+    ).groupBy("branch_id", "path", "type").agg(F.array_sort(F.collect_list(leaf)).alias("dependencies"))
     return by_type.groupBy("branch_id", "path").agg(F.array_sort(F.collect_list(F.struct("type", "dependencies"))).alias("types"))
 
 
@@ -114,8 +118,12 @@ def diff_states(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("b
     old = before.select(*keys, F.col("version").alias("from_version"), F.col("ecosystem").alias("__e"), F.lit(1).alias("__old"))
     new = after.select(*keys, F.col("version").alias("to_version"), "ecosystem", F.lit(1).alias("__new"))
     both = old.join(new, list(keys), "full_outer")
-    kind = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(~F.col("from_version").eqNullSafe(F.col("to_version")), "modified")
-    return both.withColumn("change", kind).filter("change IS NOT NULL").select(*keys, F.coalesce("ecosystem", "__e").alias("ecosystem"), "change", "from_version", "to_version")
+    kind = F.when(F.col("__old").isNull(), "added").when(F.col("__new").isNull(), "removed").when(
+        ~F.col("from_version").eqNullSafe(F.col("to_version")), "modified"
+    )
+    return both.withColumn("change", kind).filter("change IS NOT NULL").select(
+        *keys, F.coalesce("ecosystem", "__e").alias("ecosystem"), "change", "from_version", "to_version"
+    )
 
 
 def diff_refs(intervals: DataFrame, refs: DataFrame, before: str, after: str, ecosystem: str | None = None) -> DataFrame:

@@ -44,7 +44,9 @@ def top_changed(events: DataFrame, k: int = 10, commits: DataFrame | None = None
 
 def top_authors(events: DataFrame, commits: DataFrame, k: int = 10, **filters) -> DataFrame:
     """The k authors of most changes that pass the filters."""
-    return filtered(with_commits(events, commits), **filters).groupBy("author_name").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "author_name").limit(k)
+    return filtered(
+        with_commits(events, commits), **filters
+    ).groupBy("author_name").agg(F.count(F.lit(1)).alias("changes")).orderBy(F.desc("changes"), "author_name").limit(k)
 
 
 def author_stats(events: DataFrame, commits: DataFrame, **filters) -> DataFrame:

@@ -33,14 +33,22 @@ def islands(found: DataFrame, keys: list[str]) -> DataFrame:
     """Hits of one key, whatever the manifest, as disjoint stretches [pos_from, pos_to): overlapping and touching ones are merged."""
     w = Window.partitionBy(*keys).orderBy("pos_from", F.coalesce("pos_to", F.lit(2**62)))
     reach = F.max(F.coalesce("pos_to", F.lit(2**62))).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = found.select(*keys, "pos_from", "pos_to", "severity", reach.alias("__r")).withColumn("__i", F.sum(F.when(F.col("__r").isNull() | (F.col("pos_from") > F.col("__r")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = marked.groupBy(*keys, "__i").agg(F.min("pos_from").alias("pos_from"), F.max(F.coalesce("pos_to", F.lit(2**62))).alias("__to"), F.first("severity").alias("severity"))
+    marked = found.select(*keys, "pos_from", "pos_to", "severity", reach.alias("__r")).withColumn(
+        "__i",
+        F.sum(F.when(F.col("__r").isNull() | (F.col("pos_from") > F.col("__r")), 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    )
+    merged = marked.groupBy(*keys, "__i").agg(
+        F.min("pos_from").alias("pos_from"), F.max(F.coalesce("pos_to", F.lit(2**62))).alias("__to"), F.first("severity").alias("severity")
+    )
     return merged.select(*keys, "severity", "pos_from", F.when(F.col("__to") < 2**62, F.col("__to")).alias("pos_to"))
 
 
 def events(found: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, pos, event): ``introduced`` where a stretch begins and ``fixed`` where it ends."""
-    both = F.array(F.struct(F.lit("introduced").alias("event"), F.col("pos_from").alias("pos")), F.struct(F.lit("fixed").alias("event"), F.col("pos_to").alias("pos")))
+    both = F.array(
+        F.struct(F.lit("introduced").alias("event"), F.col("pos_from").alias("pos")),
+        F.struct(F.lit("fixed").alias("event"), F.col("pos_to").alias("pos"))
+    )
     rows = islands(found, keys).select(*keys, "severity", F.explode(both).alias("e"))
     return rows.select(*keys, "severity", "e.event", "e.pos").filter("pos IS NOT NULL")
 
@@ -121,7 +129,10 @@ def vuln_show(state: DataFrame, advisories: DataFrame, ids: DataFrame | None = N
     """Per advisory, or per one in ``ids`` (id): its package and severity, how many dependencies of the state it affects, and the first by branch and manifest."""
     asked = advisories if ids is None else advisories.join(ids.select("id").distinct(), "id", "left_semi")
     hit = scan(state, asked).groupBy("id").agg(F.count(F.lit(1)).alias("hits"), F.min(F.struct("branch_id", "path", "name", "version")).alias("f"))
-    return asked.select("id", "ecosystem", "name", "severity").join(hit, "id", "left").select("id", "ecosystem", "name", "severity", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("f.path").alias("first_path"), F.col("f.version").alias("first_version"))
+    return asked.select("id", "ecosystem", "name", "severity").join(hit, "id", "left").select(
+        "id", "ecosystem", "name", "severity", F.coalesce("hits", F.lit(0)).alias("hits"), F.col("f.path").alias("first_path"),
+        F.col("f.version").alias("first_version")
+    )
 
 
 def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame, packages: DataFrame | None = None) -> DataFrame:
@@ -131,12 +142,16 @@ def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame
     points = changes.select("branch_id", "name", F.col("pos").alias("at")).distinct()
     at = open_intervals(intervals, points, ["branch_id", "name"])
     hit = hits(intervals, advisories).groupBy("branch_id", "path", "name", "pos_from").agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    return at.join(hit, ["branch_id", "path", "name", "pos_from"], "left").select("branch_id", "name", "at", "path", "version", F.coalesce("ids", F.array().cast("array<string>")).alias("ids"))
+    return at.join(hit, ["branch_id", "path", "name", "pos_from"], "left").select(
+        "branch_id", "name", "at", "path", "version", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
+    )
 
 
 def vuln_stats(found: DataFrame) -> DataFrame:
     """Distinct advisories per branch and severity; an empty severity is unknown."""
-    return found.withColumn("severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown"))).groupBy("branch_id", "severity").agg(F.countDistinct("id").alias("advisories"))
+    return found.withColumn(
+        "severity", F.coalesce(F.nullif("severity", F.lit("")), F.lit("unknown"))
+    ).groupBy("branch_id", "severity").agg(F.countDistinct("id").alias("advisories"))
 
 
 def vuln_sync_candidates(changes: DataFrame) -> DataFrame:
@@ -147,21 +162,27 @@ def vuln_sync_candidates(changes: DataFrame) -> DataFrame:
 def vuln_group_by_severity(found: DataFrame, summary: str = "summary") -> DataFrame:
     """Per severity, in rank order: hits, advisories, and the summaries clipped to 80 characters as a sorted array."""
     text = F.when(F.length(summary) > 80, F.concat(F.left(F.col(summary), F.lit(77)), F.lit("..."))).otherwise(F.col(summary))
-    return found.groupBy("rank", "severity").agg(F.count(F.lit(1)).alias("hits"), F.countDistinct("id").alias("advisories"), F.array_sort(F.collect_set(text)).alias("summaries"))
+    return found.groupBy("rank", "severity").agg(
+        F.count(F.lit(1)).alias("hits"), F.countDistinct("id").alias("advisories"), F.array_sort(F.collect_set(text)).alias("summaries")
+    )
 
 
 def sarif_results(found: DataFrame) -> DataFrame:
     """(branch_id, rule, level, message, uri, score) of each hit."""
     return found.select(
         "branch_id", F.col("id").alias("rule"), F.when(F.col("severity").isin("critical", "high"), "error").otherwise("warning").alias("level"),
-        F.concat("name", F.lit("@"), "version", F.lit(" is vulnerable")).alias("message"), F.col("path").alias("uri"), F.coalesce(looked_up(REPORT_SCORES, F.col("severity")), F.lit(0.0)).alias("score"),
+        F.concat("name", F.lit("@"), "version", F.lit(" is vulnerable")).alias("message"), F.col("path").alias("uri"), F.coalesce(
+            looked_up(REPORT_SCORES, F.col("severity")), F.lit(0.0)
+        ).alias("score"),
     )
 
 
 def sarif_report(found: DataFrame) -> DataFrame:
     """(branch_id, document): SARIF 2.1.0 with each rule once and each hit as a result."""
     rows = sarif_results(found)
-    rules = rows.groupBy("branch_id").agg(F.array_sort(F.collect_set(F.struct(F.col("rule").alias("id"), F.struct(F.col("score").alias("security-severity")).alias("properties")))).alias("rules"))
+    rules = rows.groupBy("branch_id").agg(
+        F.array_sort(F.collect_set(F.struct(F.col("rule").alias("id"), F.struct(F.col("score").alias("security-severity")).alias("properties")))).alias("rules")
+    )
     location = F.array(F.struct(F.struct(F.struct("uri").alias("artifactLocation")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations"))
     results = rows.groupBy("branch_id").agg(F.array_sort(F.collect_list(result)).alias("results"))

@@ -23,23 +23,32 @@ NEWER = f"{V.format('version')} < {V.format('latest_version')}"
 # Versions
 
 
-@query("SELECT v.ecosystem, v.name, v.version AS latest_version, n AS n_versions FROM ranked_versions v JOIN (SELECT ecosystem, name, count(*)::BIGINT AS n FROM registry_versions GROUP BY ALL) c ON v.ecosystem = c.ecosystem AND v.name = c.name WHERE rn = 1")
+@query("""
+SELECT v.ecosystem, v.name, v.version AS latest_version, n AS n_versions FROM ranked_versions v
+JOIN (SELECT ecosystem, name, count(*)::BIGINT AS n FROM registry_versions GROUP BY ALL) c ON v.ecosystem = c.ecosystem AND v.name = c.name WHERE rn = 1""")
 def version_order(v: Views) -> DataFrame:
     return policy.latest_versions(v.registry_versions)
 
 
-@query(f"SELECT branch_id, l.ecosystem, path, l.name, version, latest_version, {UPDATE} AS update FROM latest l JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name WHERE l.kind = 'lockfile' AND {NEWER}")
+@query(f"""
+SELECT branch_id, l.ecosystem, path, l.name, version, latest_version, {UPDATE} AS update FROM latest l
+JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name WHERE l.kind = 'lockfile' AND {NEWER}""")
 def outdated(v: Views) -> DataFrame:
     return policy.outdated(v.latest, v.packages).select("branch_id", "ecosystem", "path", "name", "version", "latest_version", "update")
 
 
 @query(f""", past AS (SELECT * FROM (SELECT ecosystem, name, version AS latest_version, row_number() OVER (PARTITION BY ecosystem, name ORDER BY published_at DESC, {V.format('version')} DESC) AS rn FROM registry_versions WHERE published_at <= TIMESTAMP '1999-06-30') WHERE rn = 1)
-SELECT * FROM (SELECT branch_id, l.ecosystem, path, l.name, version, latest_version, {UPDATE} AS update FROM latest l JOIN past p ON l.ecosystem = p.ecosystem AND l.name = p.name WHERE l.kind = 'lockfile' AND {NEWER}) WHERE update <> 'patch'""")
+SELECT * FROM (SELECT branch_id, l.ecosystem, path, l.name, version, latest_version, {UPDATE} AS update FROM latest l
+  JOIN past p ON l.ecosystem = p.ecosystem AND l.name = p.name WHERE l.kind = 'lockfile' AND {NEWER}) WHERE update <> 'patch'""")
 def outdated_at(v: Views) -> DataFrame:
-    return policy.outdated(v.latest, policy.latest_at(v.registry_versions, "1999-06-30"), minor_up=True).select("branch_id", "ecosystem", "path", "name", "version", "latest_version", "update")
+    return policy.outdated(v.latest, policy.latest_at(v.registry_versions, "1999-06-30"), minor_up=True).select(
+        "branch_id", "ecosystem", "path", "name", "version", "latest_version", "update"
+    )
 
 
-@query("SELECT DISTINCT ecosystem, name, 'pkg:' || ecosystem || '/' || name AS purl, CASE ecosystem WHEN 'npm' THEN 'npmjs.org' WHEN 'pypi' THEN 'pypi.org' ELSE 'crates.io' END AS host FROM latest")
+@query("""
+SELECT DISTINCT ecosystem, name, 'pkg:' || ecosystem || '/' || name AS purl, CASE ecosystem WHEN 'npm' THEN 'npmjs.org'
+  WHEN 'pypi' THEN 'pypi.org' ELSE 'crates.io' END AS host FROM latest""")
 def purl_build(v: Views) -> DataFrame:
     one = policy.one_per_package(policy.with_purl(v.latest)).select("ecosystem", "name", "purl").distinct()
     return one.withColumn("host", names.registry_host(F.col("ecosystem")))
@@ -61,7 +70,9 @@ def licenses(v: Views) -> DataFrame:
     return policy.licenses(v.latest, v.packages, **RULES).select("branch_id", "ecosystem", "path", "name", "license", "reason", "flagged")
 
 
-@query(LICENSED + "SELECT license, n, array_to_string(names, ',') AS names FROM (SELECT license, count(*)::BIGINT AS n, list_sort(list(DISTINCT name)) AS names FROM licensed GROUP BY license)")
+@query(LICENSED + """
+SELECT license, n, array_to_string(names, ',') AS names
+FROM (SELECT license, count(*)::BIGINT AS n, list_sort(list(DISTINCT name)) AS names FROM licensed GROUP BY license)""")
 def licenses_grouped(v: Views) -> DataFrame:
     return policy.licenses_grouped(policy.licenses(v.latest, v.packages)).withColumn("names", F.array_join("names", ","))
 
@@ -90,18 +101,24 @@ def integrity_drift_history(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT l.ecosystem, l.name, l.version, l.integrity, CASE WHEN r.integrity IS NULL THEN 'skipped' WHEN replace(r.integrity, 'sha256-', '') = replace(l.integrity, 'sha256-', '') THEN 'ok' ELSE 'mismatch' END AS outcome
+SELECT l.ecosystem, l.name, l.version, l.integrity, CASE WHEN r.integrity IS NULL THEN 'skipped'
+  WHEN replace(r.integrity, 'sha256-', '') = replace(l.integrity, 'sha256-', '') THEN 'ok' ELSE 'mismatch' END AS outcome
 FROM (SELECT DISTINCT ecosystem, name, version, integrity FROM latest WHERE kind = 'lockfile') l
-LEFT JOIN (SELECT * FROM registry_versions WHERE published_at < TIMESTAMP '2000-01-01') r ON l.ecosystem = r.ecosystem AND l.name = r.name AND l.version = r.version""")
+LEFT JOIN (SELECT * FROM registry_versions WHERE published_at < TIMESTAMP '2000-01-01') r ON l.ecosystem = r.ecosystem AND l.name = r.name
+  AND l.version = r.version""")
 def integrity_registry_check(v: Views) -> DataFrame:
-    known = v.registry_versions.filter(F.col("published_at") < F.lit("2000-01-01").cast("timestamp_ntz")).withColumn("integrity", F.regexp_replace("integrity", "^sha256-", "sha256:"))
+    known = v.registry_versions.filter(
+        F.col("published_at") < F.lit("2000-01-01").cast("timestamp_ntz")
+    ).withColumn("integrity", F.regexp_replace("integrity", "^sha256-", "sha256:"))
     return policy.integrity_registry_check(v.latest.filter("kind = 'lockfile'"), known).select("ecosystem", "name", "version", "integrity", "outcome")
 
 
 # Bills of materials
 
 
-@query("SELECT branch_id, path, l.name, version, 'pkg:' || l.ecosystem || '/' || l.name AS purl, license FROM latest l LEFT JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name")
+@query("""
+SELECT branch_id, path, l.name, version, 'pkg:' || l.ecosystem || '/' || l.name AS purl, license FROM latest l
+LEFT JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name""")
 def enrich_licenses(v: Views) -> DataFrame:
     return sbom.components(v.latest, v.packages)
 
@@ -118,14 +135,21 @@ def sbom_cyclonedx(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT branch_id, 'SPDXRef-Package-' || (row_number() OVER (PARTITION BY branch_id ORDER BY path, l.name) - 1) AS id, l.name, version, coalesce(license, 'NOASSERTION') AS license, 'DEPENDS_ON' AS relationship
+SELECT branch_id, 'SPDXRef-Package-' || (row_number() OVER (PARTITION BY branch_id ORDER BY path, l.name) - 1) AS id, l.name, version,
+  coalesce(license, 'NOASSERTION') AS license, 'DEPENDS_ON' AS relationship
 FROM latest l LEFT JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name""")
 def sbom_spdx(v: Views) -> DataFrame:
     """Packages with their relationship as read back from the JSON documents."""
     documents = sbom.sbom_spdx(sbom.components(v.latest, v.packages), "fixture", f"{AS_OF}T00:00:00Z")
-    read = F.from_json("document", "packages array<struct<SPDXID:string,name:string,versionInfo:string,licenseDeclared:string>>, relationships array<struct<relatedSpdxElement:string,relationshipType:string>>")
+    read = F.from_json(
+        "document",
+        "packages array<struct<SPDXID:string,name:string,versionInfo:string,licenseDeclared:string>>, relationships array<struct<relatedSpdxElement:string,relationshipType:string>>"
+    )
     both = documents.select("branch_id", F.explode(F.arrays_zip(read["packages"].alias("p"), read["relationships"].alias("r"))).alias("x"))
-    return both.filter("x.p.SPDXID = x.r.relatedSpdxElement").select("branch_id", F.col("x.p.SPDXID").alias("id"), "x.p.name", F.col("x.p.versionInfo").alias("version"), F.col("x.p.licenseDeclared").alias("license"), F.col("x.r.relationshipType").alias("relationship"))
+    return both.filter("x.p.SPDXID = x.r.relatedSpdxElement").select(
+        "branch_id", F.col("x.p.SPDXID").alias("id"), "x.p.name", F.col("x.p.versionInfo").alias("version"),
+        F.col("x.p.licenseDeclared").alias("license"), F.col("x.r.relationshipType").alias("relationship")
+    )
 
 
 # Advisories
@@ -134,23 +158,45 @@ def sbom_spdx(v: Views) -> DataFrame:
 def records(v: Views) -> DataFrame:
     """The advisories as OSV records; one in five has no score but a word of its own, one in seven no range."""
     k = F.substring_index("id", "-", -1).cast("long")
-    ranges = F.array(F.struct(F.lit("SEMVER").alias("type"), F.array(F.struct(F.col("lo").alias("introduced"), F.lit(None).cast("string").alias("fixed")), F.struct(F.lit(None).cast("string").alias("introduced"), F.col("hi").alias("fixed"))).alias("events")))
-    entry = F.struct(F.struct(names.advisory_ecosystem(F.col("ecosystem")).alias("ecosystem"), "name").alias("package"), F.when(k % 7 != 0, ranges).alias("ranges"))
+    ranges = F.array(
+        F.struct(
+            F.lit("SEMVER").alias("type"),
+            F.array(
+                F.struct(F.col("lo").alias("introduced"), F.lit(None).cast("string").alias("fixed")),
+                F.struct(F.lit(None).cast("string").alias("introduced"), F.col("hi").alias("fixed"))
+            ).alias("events")
+        )
+    )
+    entry = F.struct(
+        F.struct(names.advisory_ecosystem(F.col("ecosystem")).alias("ecosystem"), "name").alias("package"),
+        F.when(k % 7 != 0, ranges).alias("ranges")
+    )
     severity = F.when(k % 5 != 0, F.array(F.struct(F.lit("CVSS_V3").alias("type"), F.col("cvss_score").cast("string").alias("score"))))
-    return v.advisories.select(F.to_json(F.struct("id", "summary", severity.alias("severity"), F.struct(F.when(k % 5 == 0, "MODERATE").alias("severity")).alias("database_specific"), F.array(entry).alias("affected"))).alias("record"))
+    return v.advisories.select(
+        F.to_json(
+            F.struct(
+                "id", "summary", severity.alias("severity"),
+                F.struct(F.when(k % 5 == 0, "MODERATE").alias("severity")).alias("database_specific"), F.array(entry).alias("affected")
+            )
+        ).alias("record")
+    )
 
 
 KEYED = ", a AS (SELECT *, string_split(id, '-')[2]::BIGINT AS k, CASE ecosystem WHEN 'pypi' THEN 'PyPI' WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS e FROM advisories) "
 
 
-@query(KEYED + "SELECT id, e AS ecosystem, name, CASE WHEN k % 5 = 0 THEN 'moderate' ELSE severity END AS severity, CASE WHEN k % 7 <> 0 THEN lo END AS lo, CASE WHEN k % 7 <> 0 THEN hi END AS hi, false AS hi_inclusive, CASE WHEN k % 7 <> 0 THEN hi END AS fixed_version FROM a")
+@query(KEYED + """
+SELECT id, e AS ecosystem, name, CASE WHEN k % 5 = 0 THEN 'moderate' ELSE severity END AS severity, CASE WHEN k % 7 <> 0 THEN lo END AS lo,
+  CASE WHEN k % 7 <> 0 THEN hi END AS hi, false AS hi_inclusive, CASE WHEN k % 7 <> 0 THEN hi END AS fixed_version FROM a""")
 def advisory_ingest(v: Views) -> DataFrame:
     osv = adv.parsed(records(v))
     rows = adv.advisory_packages(osv).join(adv.advisory_table(osv).select("id", "severity"), "id")
     return rows.select("id", "ecosystem", "name", "severity", "lo", "hi", "hi_inclusive", adv.fixed_version(F.col("fixed_versions")).alias("fixed_version"))
 
 
-@query(KEYED + "SELECT id, CASE WHEN k % 5 = 0 THEN 'moderate' ELSE severity END AS severity, CASE WHEN k % 5 = 0 THEN 2 ELSE CASE severity WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END END AS rank FROM a")
+@query(KEYED + """
+SELECT id, CASE WHEN k % 5 = 0 THEN 'moderate' ELSE severity END AS severity, CASE WHEN k % 5 = 0 THEN 2 ELSE CASE severity
+  WHEN 'critical' THEN 0 WHEN 'high' THEN 1 WHEN 'medium' THEN 2 ELSE 3 END END AS rank FROM a""")
 def severity_level(v: Views) -> DataFrame:
     return adv.advisory_table(adv.parsed(records(v))).select("id", "severity", names.severity_rank(F.col("severity")).alias("rank"))
 
@@ -168,13 +214,23 @@ def range_build(v: Views) -> DataFrame:
 @query(f"""SELECT r.ecosystem, r.name, r.version, a.id, a.hi AS fixed_version FROM registry_versions r JOIN advisories a ON r.ecosystem = a.ecosystem AND r.name = a.name
 WHERE {V.format('r.version')} >= {V.format('lo')} AND {V.format('r.version')} < {V.format('hi')}""")
 def version_affected(v: Views) -> DataFrame:
-    found = adv.affected(v.registry_versions.select("ecosystem", "name", "version"), v.advisories.select("id", "ecosystem", "name", "lo", "hi", "hi_inclusive", "severity", "cvss_score"))
-    return found.join(v.advisories.select("id", F.array("hi").alias("f")), "id").select("ecosystem", "name", "version", "id", adv.fixed_version(F.col("f")).alias("fixed_version"))
+    found = adv.affected(
+        v.registry_versions.select("ecosystem", "name", "version"),
+        v.advisories.select("id", "ecosystem", "name", "lo", "hi", "hi_inclusive", "severity", "cvss_score")
+    )
+    return found.join(v.advisories.select("id", F.array("hi").alias("f")), "id").select(
+        "ecosystem", "name", "version", "id", adv.fixed_version(F.col("f")).alias("fixed_version")
+    )
 
 
-@query("SELECT DISTINCT ecosystem, CASE ecosystem WHEN 'pypi' THEN 'PyPI' WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS advisory_name, CASE ecosystem WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS join_key FROM manifests")
+@query("""
+SELECT DISTINCT ecosystem, CASE ecosystem WHEN 'pypi' THEN 'PyPI' WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS advisory_name,
+  CASE ecosystem WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS join_key FROM manifests""")
 def ecosystem_normalize(v: Views) -> DataFrame:
-    return v.manifests.select("ecosystem").distinct().select("ecosystem", names.advisory_ecosystem(F.col("ecosystem")).alias("advisory_name"), names.ecosystem_key(F.col("ecosystem")).alias("join_key"))
+    return v.manifests.select("ecosystem").distinct().select(
+        "ecosystem", names.advisory_ecosystem(F.col("ecosystem")).alias("advisory_name"),
+        names.ecosystem_key(F.col("ecosystem")).alias("join_key")
+    )
 
 
 @query("SELECT ecosystem, name, count(DISTINCT id)::BIGINT AS advisories FROM advisories GROUP BY ALL")
@@ -204,7 +260,8 @@ def vuln_at_ref(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT a.id, a.ecosystem, a.name, a.severity, count(h.path)::BIGINT AS hits, min_by(h.path, (h.branch_id, h.path)) AS first_path, min_by(h.version, (h.branch_id, h.path)) AS first_version
+SELECT a.id, a.ecosystem, a.name, a.severity, count(h.path)::BIGINT AS hits, min_by(h.path, (h.branch_id, h.path)) AS first_path,
+  min_by(h.version, (h.branch_id, h.path)) AS first_version
 FROM advisories a LEFT JOIN (SELECT * FROM hits WHERE pos_to IS NULL) h ON a.id = h.id GROUP BY ALL""")
 def vuln_show(v: Views) -> DataFrame:
     return vulns.vuln_show(v.latest, v.advisories)
@@ -224,7 +281,8 @@ def vuln_all_time(v: Views) -> DataFrame:
 
 BLAMED = """, blamed AS (
   SELECT h.branch_id, h.path, h.name, h.version, h.id, h.severity, sha, author_name, committed_at FROM hits h
-  JOIN first_added f ON h.branch_id = f.branch_id AND h.path = f.path AND h.name = f.name JOIN commits c ON c.branch_id = f.branch_id AND c.pos = f.pos WHERE pos_to IS NULL)
+  JOIN first_added f ON h.branch_id = f.branch_id AND h.path = f.path AND h.name = f.name
+  JOIN commits c ON c.branch_id = f.branch_id AND c.pos = f.pos WHERE pos_to IS NULL)
 """
 
 
@@ -241,14 +299,17 @@ EVENTS = """, stretches AS (
   SELECT {keys}, i, min(pos_from) AS pos_from, max(t) AS t, any_value(severity) AS severity FROM (
     SELECT *, sum(CASE WHEN r IS NULL OR pos_from > r THEN 1 ELSE 0 END) OVER (PARTITION BY {keys} ORDER BY pos_from, t ROWS UNBOUNDED PRECEDING) AS i FROM (
       SELECT {keys}, severity, pos_from, coalesce(pos_to, 4611686018427387904) AS t,
-             max(coalesce(pos_to, 4611686018427387904)) OVER (PARTITION BY {keys} ORDER BY pos_from, coalesce(pos_to, 4611686018427387904) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM hits))
+             max(coalesce(pos_to, 4611686018427387904)) OVER (PARTITION BY {keys} ORDER BY pos_from,
+               coalesce(pos_to, 4611686018427387904) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM hits))
   GROUP BY {keys}, i),
-events AS (SELECT {keys}, severity, 'introduced' AS event, pos_from AS pos FROM stretches UNION ALL SELECT {keys}, severity, 'fixed', t FROM stretches WHERE t < 4611686018427387904)
+events AS (SELECT {keys}, severity, 'introduced' AS event, pos_from AS pos FROM stretches UNION ALL SELECT {keys}, severity, 'fixed', t
+  FROM stretches WHERE t < 4611686018427387904)
 """
 
 
 @query(EVENTS.format(keys="branch_id, id, name, version") + """
-SELECT e.branch_id, e.pos, sha, author_name, committed_at::DATE AS committed_on, count_if(event = 'introduced')::BIGINT AS introduced, count_if(event = 'fixed')::BIGINT AS fixed,
+SELECT e.branch_id, e.pos, sha, author_name, committed_at::DATE AS committed_on, count_if(event = 'introduced')::BIGINT AS introduced,
+  count_if(event = 'fixed')::BIGINT AS fixed,
        string_agg(event || ' ' || id || ' ' || name || ' ' || version, ',' ORDER BY event, id, name, version) AS events
 FROM events e JOIN commits c ON e.branch_id = c.branch_id AND e.pos = c.pos GROUP BY ALL""")
 def vuln_log(v: Views) -> DataFrame:
@@ -258,9 +319,12 @@ def vuln_log(v: Views) -> DataFrame:
 
 
 @query(EVENTS.format(keys="branch_id, id, name, version").replace("FROM hits))", "FROM hits WHERE ecosystem <> 'cargo' AND rank <= 2))") + """
-, chosen AS (SELECT e.*, sha FROM events e JOIN commits c ON e.branch_id = c.branch_id AND e.pos = c.pos WHERE event = 'introduced' AND committed_at >= TIMESTAMP '1993-01-01' AND committed_at <= TIMESTAMP '2000-12-31'),
+, chosen AS (SELECT e.*, sha FROM events e JOIN commits c ON e.branch_id = c.branch_id AND e.pos = c.pos
+  WHERE event = 'introduced' AND committed_at >= TIMESTAMP '1993-01-01' AND committed_at <= TIMESTAMP '2000-12-31'),
 top AS (SELECT DISTINCT branch_id, pos FROM chosen ORDER BY pos DESC, branch_id LIMIT 40)
-SELECT c.branch_id, c.pos, sha, count(*)::BIGINT AS introduced, string_agg(id || ' ' || name || ' ' || version, ',' ORDER BY id, name, version) AS events FROM chosen c JOIN top t ON c.branch_id = t.branch_id AND c.pos = t.pos GROUP BY ALL""")
+SELECT c.branch_id, c.pos, sha, count(*)::BIGINT AS introduced,
+  string_agg(id || ' ' || name || ' ' || version, ',' ORDER BY id, name, version) AS events FROM chosen c
+  JOIN top t ON c.branch_id = t.branch_id AND c.pos = t.pos GROUP BY ALL""")
 def vuln_log_filtered(v: Views) -> DataFrame:
     hit = vulns.hits(v.intervals.filter("ecosystem <> 'cargo'"), v.advisories)
     found = vulns.vuln_log(hit, v.commits, min_severity="medium", since="1993-01-01", until="2000-12-31", only="introduced", limit=40)
@@ -284,8 +348,10 @@ def vuln_exposure(v: Views) -> DataFrame:
 
 
 @query(BLAMED + """, d AS (SELECT *, date_diff('day', committed_at::DATE, DATE '2001-12-31')::BIGINT AS days FROM blamed)
-SELECT branch_id, count(*)::BIGINT AS n, sum(days)::BIGINT AS total_days, round(avg(days), 4) AS mean_days, max(days) AS max_days, min(committed_at::DATE) AS oldest,
-       count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high, count_if(severity = 'medium')::BIGINT AS medium, count_if(severity = 'low')::BIGINT AS low, count_if(severity = 'unknown')::BIGINT AS unknown
+SELECT branch_id, count(*)::BIGINT AS n, sum(days)::BIGINT AS total_days, round(avg(days), 4) AS mean_days, max(days) AS max_days,
+  min(committed_at::DATE) AS oldest,
+       count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high,
+         count_if(severity = 'medium')::BIGINT AS medium, count_if(severity = 'low')::BIGINT AS low, count_if(severity = 'unknown')::BIGINT AS unknown
 FROM d GROUP BY branch_id""")
 def vuln_exposure_summary(v: Views) -> DataFrame:
     return vulns.vuln_exposure_summary(vulns.vuln_exposure(blamed(v), AS_OF))
@@ -300,7 +366,8 @@ def vuln_praise(v: Views) -> DataFrame:
 
 
 @query(PRAISE + """SELECT author_name, count(*)::BIGINT AS fixes, count_if(severity = 'critical')::BIGINT AS critical, count_if(severity = 'high')::BIGINT AS high, count_if(severity = 'medium')::BIGINT AS medium,
-  count_if(severity = 'low')::BIGINT AS low, count_if(severity = 'unknown')::BIGINT AS unknown, count(DISTINCT name)::BIGINT AS packages FROM praise GROUP BY author_name""")
+  count_if(severity = 'low')::BIGINT AS low, count_if(severity = 'unknown')::BIGINT AS unknown, count(DISTINCT name)::BIGINT AS packages
+  FROM praise GROUP BY author_name""")
 def vuln_praise_summary(v: Views) -> DataFrame:
     return vulns.vuln_praise_summary(vulns.vuln_praise(vulns.hits(v.intervals, v.advisories), v.commits))
 
@@ -310,7 +377,8 @@ RESULT = "struct<ruleId:string,level:string,message:struct<text:string>,location
 
 
 @query("""
-SELECT branch_id, id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level, name || '@' || version || ' is vulnerable' AS message, path AS uri,
+SELECT branch_id, id AS rule, CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END AS level,
+  name || '@' || version || ' is vulnerable' AS message, path AS uri,
        CASE severity WHEN 'critical' THEN 9.0 WHEN 'high' THEN 7.0 WHEN 'medium' THEN 4.0 WHEN 'low' THEN 1.0 ELSE 0.0 END::DOUBLE AS score
 FROM hits WHERE pos_to IS NULL""")
 def sarif_report(v: Views) -> DataFrame:
@@ -321,10 +389,16 @@ def sarif_report(v: Views) -> DataFrame:
     scores = F.map_from_entries(F.transform(run["tool"]["driver"]["rules"], lambda r: F.struct(r["id"], r["properties"]["security-severity"])))
     rows = documents.select("branch_id", scores.alias("scores"), F.explode(run["results"]).alias("r"))
     uri = F.col("r.locations")[0]["physicalLocation"]["artifactLocation"]["uri"]
-    return rows.select("branch_id", F.col("r.ruleId").alias("rule"), "r.level", F.col("r.message.text").alias("message"), uri.alias("uri"), F.element_at("scores", F.col("r.ruleId")).alias("score"))
+    return rows.select(
+        "branch_id", F.col("r.ruleId").alias("rule"), "r.level", F.col("r.message.text").alias("message"), uri.alias("uri"),
+        F.element_at("scores", F.col("r.ruleId")).alias("score")
+    )
 
 
-@query("SELECT rank, severity, count(*)::BIGINT AS hits, count(DISTINCT id)::BIGINT AS advisories, array_to_string(list_sort(list(DISTINCT CASE WHEN length(summary) > 80 THEN left(summary, 77) || '...' ELSE summary END)), '|') AS summaries FROM hits WHERE pos_to IS NULL GROUP BY ALL")
+@query("""
+SELECT rank, severity, count(*)::BIGINT AS hits, count(DISTINCT id)::BIGINT AS advisories,
+  array_to_string(list_sort(list(DISTINCT CASE WHEN length(summary) > 80 THEN left(summary, 77) || '...' ELSE summary END)),
+    '|') AS summaries FROM hits WHERE pos_to IS NULL GROUP BY ALL""")
 def vuln_group_by_severity(v: Views) -> DataFrame:
     found = vulns.scan(v.latest, v.advisories).join(v.advisories.select("id", "summary"), "id")
     return vulns.vuln_group_by_severity(found).withColumn("summaries", F.array_join("summaries", "|"))
@@ -352,17 +426,23 @@ def _updates(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT purl, CASE WHEN k % 3 = 0 AND k % 6 <> 0 THEN 'Relicensed' ELSE license END AS license FROM (SELECT *, string_split(name, '-')[2]::BIGINT AS k FROM packages)
+SELECT purl, CASE WHEN k % 3 = 0 AND k % 6 <> 0 THEN 'Relicensed' ELSE license END AS license
+FROM (SELECT *, string_split(name, '-')[2]::BIGINT AS k FROM packages)
 UNION ALL SELECT purl || '-new', license FROM packages WHERE name = 'pkg-1'""")
 def upsert_latest(v: Views) -> DataFrame:
     return sinks.upsert_latest(v.packages.select("purl", "license", "enriched_at"), _updates(v), ["purl"], "enriched_at").select("purl", "license")
 
 
-@query("SELECT id, ecosystem, name FROM advisories WHERE ecosystem <> 'npm' UNION ALL SELECT id || '-R', ecosystem, name FROM advisories WHERE ecosystem = 'npm' AND severity = 'low'")
+@query("""
+SELECT id, ecosystem, name FROM advisories WHERE ecosystem <> 'npm' UNION ALL SELECT id || '-R', ecosystem, name FROM advisories
+WHERE ecosystem = 'npm' AND severity = 'low'""")
 def replace_partition(v: Views) -> DataFrame:
     base = v.advisories.select("id", "ecosystem", "name")
     npm = v.advisories.filter("ecosystem = 'npm'")
-    return sinks.replace_keys(base, npm.filter("severity = 'low'").select(F.concat("id", F.lit("-R")).alias("id"), "ecosystem", "name"), ["ecosystem", "name"], touched=npm)
+    return sinks.replace_keys(
+        base, npm.filter("severity = 'low'").select(F.concat("id", F.lit("-R")).alias("id"), "ecosystem", "name"), ["ecosystem", "name"],
+        touched=npm
+    )
 
 
 @query("SELECT path, kind FROM manifests UNION ALL SELECT DISTINCT path || '.new', 'manifest' FROM manifests")
@@ -379,12 +459,16 @@ def append_history(v: Views) -> DataFrame:
     """A second branch that shares all commits of branch 0, which are only linked, and a rewritten branch 1 with commits of its own."""
     known = v.commits.select("sha", "author_name")
     links = v.commits.select("branch_id", "sha", "pos")
-    of = lambda branch, number, sha: v.commits.filter(F.col("branch_id") == branch).select(F.lit(number).cast("long").alias("branch_id"), "pos", sha.alias("sha"), "author_name")
+    of = lambda branch, number, sha: v.commits.filter(F.col("branch_id") == branch).select(
+        F.lit(number).cast("long").alias("branch_id"), "pos", sha.alias("sha"), "author_name"
+    )
     commits, linked = sinks.append_history(known, links, of(0, 99, F.col("sha")).unionByName(of(1, 98, F.md5("sha"))))
     return linked.join(commits, "sha").select("branch_id", "pos", "sha", "author_name")
 
 
-@query(", marks AS (SELECT branch_id, max(pos) * 19 // 20 AS mark FROM commits GROUP BY ALL) SELECT c.branch_id, pos, path, name, change_type, requirement, previous_version FROM changes c JOIN marks m ON c.branch_id = m.branch_id WHERE pos > mark")
+@query("""
+, marks AS (SELECT branch_id, max(pos) * 19 // 20 AS mark FROM commits GROUP BY ALL) SELECT c.branch_id, pos, path, name, change_type,
+  requirement, previous_version FROM changes c JOIN marks m ON c.branch_id = m.branch_id WHERE pos > mark""")
 def incremental_update(v: Views) -> DataFrame:
     """The events of the last twentieth of each branch, from the state before it."""
     mark = v.commits.groupBy("branch_id").agg(F.floor(F.max("pos") * 19 / 20).alias("pos"))
@@ -430,13 +514,17 @@ def changes_stream(v: Views) -> DataFrame:
         part = rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3))
         part.repartition(files, "branch_id", "path", "name").write.mode("append").parquet(source)
     read = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
-    return stream.drained(stream.changes_stream(read), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
+    return stream.drained(
+        stream.changes_stream(read), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")
+    ).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
 
 
 @query("SELECT committed_at::DATE AS day, change_type, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL")
 def changes_per_window(v: Views) -> DataFrame:
     """Changes per day and type, counted by a stream over files of changes."""
-    rows = v.changes.join(v.commits.select("commit_id", "committed_at"), "commit_id").select(F.col("committed_at").cast("timestamp").alias("committed_at"), "change_type")
+    rows = v.changes.join(v.commits.select("commit_id", "committed_at"), "commit_id").select(
+        F.col("committed_at").cast("timestamp").alias("committed_at"), "change_type"
+    )
     source = new_folder(v.spark, "changes")
     rows.write.mode("append").parquet(source)
     counted = stream.changes_per_window(v.spark.readStream.schema(rows.schema).parquet(source))

@@ -39,7 +39,8 @@ def commit_log_without_merges(v: Views) -> DataFrame:
 
 @query("""
 SELECT branch_id, pos, path, name, raw_version AS version, raw_integrity AS integrity
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, path, name ORDER BY l_linenumber DESC, l_quantity DESC, raw_version DESC, raw_integrity DESC) AS rn FROM lines)
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, path, name ORDER BY l_linenumber DESC, l_quantity DESC, raw_version DESC,
+  raw_integrity DESC) AS rn FROM lines)
 JOIN commits ON l_orderkey = commit_id WHERE rn = 1""")
 def observations_deduplicated(v: Views) -> DataFrame:
     """Of the line items that name a package of a manifest in one commit, the last."""
@@ -49,22 +50,29 @@ def observations_deduplicated(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT commit_id, path, CASE WHEN path LIKE '%/lock' THEN 'npm' ELSE 'pypi' END AS ecosystem, CASE WHEN path LIKE '%/lock' THEN 'lockfile' ELSE 'manifest' END AS kind,
+SELECT commit_id, path, CASE WHEN path LIKE '%/lock' THEN 'npm' ELSE 'pypi' END AS ecosystem, CASE WHEN path LIKE '%/lock' THEN 'lockfile'
+  ELSE 'manifest' END AS kind,
        ['A', 'M', 'D'][commit_id % 4 + 1] AS status
 FROM (SELECT DISTINCT commit_id, path FROM observations) WHERE commit_id % 4 < 3""")
 def file_change_classify(v: Views) -> DataFrame:
     status = F.element_at(F.array(*map(F.lit, "AMDR")), (F.col("commit_id") % 4 + 1).cast("int"))
     touched = v.observations.select("commit_id", "path").distinct().withColumn("status", status)
     files = touched.unionByName(touched.withColumn("path", F.concat("path", F.lit(".txt"))))
-    return ingest.file_change_classify(files, {"^lock$": ("npm", "lockfile"), "^manifest$": ("pypi", "manifest")}).select("commit_id", "path", "ecosystem", "kind", "status")
+    return ingest.file_change_classify(
+        files, {"^lock$": ("npm", "lockfile"), "^manifest$": ("pypi", "manifest")}
+    ).select("commit_id", "path", "ecosystem", "kind", "status")
 
 
-@query("SELECT event_id AS commit, user_id || '/' || event_type AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)", False)
+@query("""
+SELECT event_id AS commit, user_id || '/' || event_type AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement
+FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)""", False)
 def manifest_parse(v: Views) -> DataFrame:
     return ingest.manifest_parse(v.manifest_json)
 
 
-@query("SELECT user_id AS commit, event_type || '/' || event_id AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)", False)
+@query("""
+SELECT user_id AS commit, event_type || '/' || event_id AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement
+FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)""", False)
 def deps_from_tree(v: Views) -> DataFrame:
     """Every user's events as the tree of a commit."""
     return ingest.deps_from_tree(v.trees)
@@ -84,7 +92,8 @@ def manifests_parse(v: Views) -> DataFrame:
 @query("""
 WITH l AS (SELECT source || '/' || doc_id AS path, lang AS ecosystem, string_split(text, chr(10)) AS lines FROM documents),
 n AS (SELECT path, ecosystem, lines, unnest(range(1, len(lines) + 1)) AS n, unnest(lines) AS line FROM l)
-SELECT path, ecosystem, n::BIGINT AS line_number, line, array_to_string(lines[greatest(1, n - 1):n + 1], chr(10)) AS context FROM n WHERE contains(lower(line), 'token')""", False)
+SELECT path, ecosystem, n::BIGINT AS line_number, line, array_to_string(lines[greatest(1, n - 1):n + 1], chr(10)) AS context FROM n
+WHERE contains(lower(line), 'token')""", False)
 def where(v: Views) -> DataFrame:
     return ingest.where(v.manifest_text, "Token", context=1)
 
@@ -102,11 +111,18 @@ def fresh_cache_scan(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT 'branches' AS table_name, count(*)::BIGINT AS n_rows FROM region UNION ALL SELECT 'commits', count(*) FROM commits UNION ALL SELECT 'manifests', count(*) FROM manifests
-UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'changes', count(*) FROM changes UNION ALL SELECT 'packages', count(*) FROM packages
+SELECT 'branches' AS table_name, count(*)::BIGINT AS n_rows FROM region UNION ALL SELECT 'commits', count(*) FROM commits
+UNION ALL SELECT 'manifests', count(*) FROM manifests
+UNION ALL SELECT 'observations', count(*) FROM observations UNION ALL SELECT 'changes', count(*) FROM changes
+UNION ALL SELECT 'packages', count(*) FROM packages
 UNION ALL SELECT 'advisories', count(*) FROM advisories""")
 def table_profile(v: Views) -> DataFrame:
-    return stats.table_profile({"branches": v.branches, "commits": v.commits, "manifests": v.manifests, "observations": v.observations, "changes": v.changes, "packages": v.packages, "advisories": v.advisories})
+    return stats.table_profile(
+        {
+            "branches": v.branches, "commits": v.commits, "manifests": v.manifests, "observations": v.observations, "changes": v.changes,
+            "packages": v.packages, "advisories": v.advisories
+        }
+    )
 
 
 @query("SELECT DISTINCT ecosystem FROM (SELECT ecosystem FROM manifests UNION SELECT ecosystem FROM changes)")
@@ -114,7 +130,9 @@ def known_ecosystems(v: Views) -> DataFrame:
     return stats.ecosystems(v.manifests, v.changes)
 
 
-@query("SELECT r_regionkey::BIGINT AS branch_id, r_name AS branch, count(commit_id)::BIGINT AS commits FROM region LEFT JOIN commits ON branch_id = r_regionkey GROUP BY ALL")
+@query("""
+SELECT r_regionkey::BIGINT AS branch_id, r_name AS branch, count(commit_id)::BIGINT AS commits FROM region
+LEFT JOIN commits ON branch_id = r_regionkey GROUP BY ALL""")
 def branch_list(v: Views) -> DataFrame:
     return stats.branch_list(v.branches, v.commits)
 
@@ -145,8 +163,10 @@ def manifest_removed(v: Views) -> DataFrame:
 @query("""
 SELECT branch_id, pos, path, name, CASE WHEN v IS NULL THEN 'removed' WHEN pv IS NULL THEN 'added' ELSE 'modified' END AS change_type,
        coalesce(v, pv) AS requirement, CASE WHEN v IS NOT NULL THEN pv END AS previous_version
-FROM (SELECT coalesce(a.branch_id, b.branch_id) AS branch_id, 200::BIGINT AS pos, coalesce(a.path, b.path) AS path, coalesce(a.name, b.name) AS name, a.version AS pv, b.version AS v, a.scope AS s1, b.scope AS s2
-      FROM (SELECT * FROM at_refs WHERE ref = 'v100') a FULL JOIN (SELECT * FROM at_refs WHERE ref = 'v200') b ON a.branch_id = b.branch_id AND a.path = b.path AND a.name = b.name)
+FROM (SELECT coalesce(a.branch_id, b.branch_id) AS branch_id, 200::BIGINT AS pos, coalesce(a.path, b.path) AS path,
+  coalesce(a.name, b.name) AS name, a.version AS pv, b.version AS v, a.scope AS s1, b.scope AS s2
+      FROM (SELECT * FROM at_refs WHERE ref = 'v100') a
+      FULL JOIN (SELECT * FROM at_refs WHERE ref = 'v200') b ON a.branch_id = b.branch_id AND a.path = b.path AND a.name = b.name)
 WHERE v IS DISTINCT FROM pv OR s1 IS DISTINCT FROM s2""")
 def manifest_changes(v: Views) -> DataFrame:
     at = state.state_at(v.intervals, v.refs)
@@ -170,9 +190,11 @@ def latest_state(v: Views) -> DataFrame:
 
 
 SNAPSHOTS = """,
-changed AS (SELECT branch_id, pos, row_number() OVER w AS n, lead(pos) OVER w AS next FROM (SELECT DISTINCT branch_id, pos FROM changes) WINDOW w AS (PARTITION BY branch_id ORDER BY pos)),
+changed AS (SELECT branch_id, pos, row_number() OVER w AS n, lead(pos) OVER w AS next
+  FROM (SELECT DISTINCT branch_id, pos FROM changes) WINDOW w AS (PARTITION BY branch_id ORDER BY pos)),
 points AS (SELECT branch_id, pos AS "at" FROM changed WHERE n % 100 = 0 OR next IS NULL),
-snapshots AS (SELECT i.*, p."at" FROM intervals i JOIN points p ON i.branch_id = p.branch_id AND i.pos_from <= p."at" AND (i.pos_to IS NULL OR i.pos_to > p."at"))
+snapshots AS (SELECT i.*, p."at" FROM intervals i
+  JOIN points p ON i.branch_id = p.branch_id AND i.pos_from <= p."at" AND (i.pos_to IS NULL OR i.pos_to > p."at"))
 """
 
 
@@ -183,7 +205,8 @@ def snapshot_materialize(v: Views) -> DataFrame:
 
 @query(SNAPSHOTS + """
 SELECT r.ref, s.branch_id, s."at", s.path, s.name, s.version FROM snapshots s
-JOIN (SELECT ref, r.branch_id, max("at") AS "at" FROM refs r JOIN points p ON r.branch_id = p.branch_id AND "at" <= pos GROUP BY ALL) r ON s.branch_id = r.branch_id AND s."at" = r."at"
+JOIN (SELECT ref, r.branch_id, max("at") AS "at" FROM refs r JOIN points p ON r.branch_id = p.branch_id AND "at" <= pos
+  GROUP BY ALL) r ON s.branch_id = r.branch_id AND s."at" = r."at"
 """)
 def snapshot_asof(v: Views) -> DataFrame:
     snapshots = state.snapshot_materialize(v.intervals, v.changes)
@@ -195,7 +218,9 @@ def list_filtered(v: Views) -> DataFrame:
     return state.list_filtered(v.latest, "NPM", "lock", "Runtime").select("branch_id", "path", "name", "version")
 
 
-@query("SELECT branch_id, path, scope AS type, count(*)::BIGINT AS n, string_agg(name || '@' || version, ',' ORDER BY name, version) AS dependencies FROM latest GROUP BY ALL")
+@query("""
+SELECT branch_id, path, scope AS type, count(*)::BIGINT AS n, string_agg(name || '@' || version, ',' ORDER BY name, version) AS dependencies
+FROM latest GROUP BY ALL""")
 def tree(v: Views) -> DataFrame:
     types = state.tree(v.latest).select("branch_id", "path", F.explode("types").alias("t"))
     text = F.array_join(F.transform("t.dependencies", lambda d: F.concat(d["name"], F.lit("@"), d["version"])), ",")
@@ -204,8 +229,10 @@ def tree(v: Views) -> DataFrame:
 
 @query("""
 SELECT coalesce(a.branch_id, b.branch_id) AS branch_id, coalesce(a.path, b.path) AS path, coalesce(a.name, b.name) AS name,
-       CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'modified' END AS change, a.version AS from_version, b.version AS to_version
-FROM (SELECT * FROM at_refs WHERE ref = 'v100') a FULL JOIN (SELECT * FROM at_refs WHERE ref = 'v200') b ON a.branch_id = b.branch_id AND a.path = b.path AND a.name = b.name
+       CASE WHEN a.name IS NULL THEN 'added' WHEN b.name IS NULL THEN 'removed' ELSE 'modified' END AS change, a.version AS from_version,
+         b.version AS to_version
+FROM (SELECT * FROM at_refs WHERE ref = 'v100') a
+FULL JOIN (SELECT * FROM at_refs WHERE ref = 'v200') b ON a.branch_id = b.branch_id AND a.path = b.path AND a.name = b.name
 WHERE a.version IS DISTINCT FROM b.version""")
 def diff_refs(v: Views) -> DataFrame:
     return state.diff_refs(v.intervals, v.refs, "v100", "v200").drop("ecosystem")
@@ -214,7 +241,9 @@ def diff_refs(v: Views) -> DataFrame:
 NEWEST = ", newest AS (SELECT branch_id, max(pos) AS pos FROM changes GROUP BY ALL) "
 
 
-@query(NEWEST + "SELECT sha, c.path, c.name, change_type, requirement FROM changes c JOIN newest n ON c.branch_id = n.branch_id AND c.pos = n.pos JOIN commits m ON c.commit_id = m.commit_id")
+@query(NEWEST + """
+SELECT sha, c.path, c.name, change_type, requirement FROM changes c JOIN newest n ON c.branch_id = n.branch_id AND c.pos = n.pos
+JOIN commits m ON c.commit_id = m.commit_id""")
 def show_commit(v: Views) -> DataFrame:
     return state.show_commits(v.changes, v.commits, v.newest_changed).select("sha", "path", "name", "change_type", "requirement")
 
@@ -224,7 +253,10 @@ SELECT sha, count(*)::BIGINT AS n, string_agg(path || ' ' || name || ' ' || chan
 FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL""")
 def changes_for_commits(v: Views) -> DataFrame:
     found = state.changes_for_commits(v.changes, v.commits, v.commits.select("sha"))
-    return found.select("sha", F.size("changes").cast("long").alias("n"), F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", c["path"], c["name"], c["change_type"])), ",").alias("changes"))
+    return found.select(
+        "sha", F.size("changes").cast("long").alias("n"),
+        F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", c["path"], c["name"], c["change_type"])), ",").alias("changes")
+    )
 
 
 # History and attribution
@@ -235,12 +267,16 @@ FILTERS = {"ecosystem": "npm", "author": "1", "since": "1996-01-01", "until": "2
 
 @query(f""", rows AS (SELECT c.*, sha, author_name, committed_at FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED}),
 top AS (SELECT DISTINCT branch_id, commit_id, pos FROM rows ORDER BY pos DESC, branch_id LIMIT 50)
-SELECT r.branch_id, r.pos, sha, author_name, committed_at::DATE AS committed_on, count(*)::BIGINT AS n, string_agg(name || ' ' || change_type, ',' ORDER BY path, name) AS changes
+SELECT r.branch_id, r.pos, sha, author_name, committed_at::DATE AS committed_on, count(*)::BIGINT AS n,
+  string_agg(name || ' ' || change_type, ',' ORDER BY path, name) AS changes
 FROM rows r JOIN top t ON r.commit_id = t.commit_id GROUP BY ALL""")
 def log(v: Views) -> DataFrame:
     found = history.log(v.changes, v.commits, 50, **FILTERS)
     text = F.array_join(F.transform("changes", lambda c: F.concat_ws(" ", c["name"], c["change_type"])), ",")
-    return found.select("branch_id", "pos", "sha", "author_name", day("committed_at", "committed_on"), F.size("changes").cast("long").alias("n"), text.alias("changes"))
+    return found.select(
+        "branch_id", "pos", "sha", "author_name", day("committed_at", "committed_on"), F.size("changes").cast("long").alias("n"),
+        text.alias("changes")
+    )
 
 
 @query("""
@@ -253,7 +289,8 @@ def package_history(v: Views) -> DataFrame:
 
 @query("""
 SELECT f.branch_id, f.name, f.path, f.pos, sha, author_name, message FROM
-  (SELECT *, row_number() OVER (PARTITION BY branch_id, name ORDER BY pos, path) AS rn FROM changes WHERE change_type = 'added') f JOIN commits m ON f.commit_id = m.commit_id WHERE rn = 1""")
+  (SELECT *, row_number() OVER (PARTITION BY branch_id, name ORDER BY pos, path) AS rn FROM changes WHERE change_type = 'added') f
+  JOIN commits m ON f.commit_id = m.commit_id WHERE rn = 1""")
 def why(v: Views) -> DataFrame:
     return history.why(v.changes, v.commits).select("branch_id", "name", "path", "pos", "sha", "author_name", "message")
 
@@ -263,22 +300,26 @@ BLAMED = ("branch_id", "path", "name", "version", "sha", "author_name", "pos")
 
 @query("""
 SELECT l.branch_id, l.path, l.name, l.version, sha, author_name, f.pos, committed_at::DATE AS added_on
-FROM latest l JOIN first_added f ON l.branch_id = f.branch_id AND l.path = f.path AND l.name = f.name JOIN commits c ON c.branch_id = f.branch_id AND c.pos = f.pos""")
+FROM latest l JOIN first_added f ON l.branch_id = f.branch_id AND l.path = f.path AND l.name = f.name
+JOIN commits c ON c.branch_id = f.branch_id AND c.pos = f.pos""")
 def blame(v: Views) -> DataFrame:
     return history.blame(v.latest, v.changes, v.commits).select(*BLAMED, day("committed_at", "added_on"))
 
 
 @query("""
 SELECT l.branch_id, l.path, l.name, l.version, sha, author_name, f.pos
-FROM latest l JOIN (SELECT branch_id, path, name, max(pos) AS pos FROM changes WHERE change_type = 'added' GROUP BY ALL) f ON l.branch_id = f.branch_id AND l.path = f.path AND l.name = f.name
+FROM latest l JOIN (SELECT branch_id, path, name, max(pos) AS pos FROM changes WHERE change_type = 'added'
+  GROUP BY ALL) f ON l.branch_id = f.branch_id AND l.path = f.path AND l.name = f.name
 JOIN commits c ON c.branch_id = f.branch_id AND c.pos = f.pos""")
 def blame_current(v: Views) -> DataFrame:
     return history.blame_current(v.latest, v.changes, v.commits).select(*BLAMED)
 
 
 @query("""
-SELECT * FROM (SELECT l.branch_id, l.path, l.name, l.version, last_changed::DATE AS last_changed, date_diff('day', coalesce(last_changed::DATE, DATE '2000-01-01'), DATE '2001-12-31')::BIGINT AS days
-FROM latest l LEFT JOIN (SELECT c.branch_id, path, name, max(committed_at) AS last_changed FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL) x
+SELECT * FROM (SELECT l.branch_id, l.path, l.name, l.version, last_changed::DATE AS last_changed,
+  date_diff('day', coalesce(last_changed::DATE, DATE '2000-01-01'), DATE '2001-12-31')::BIGINT AS days
+FROM latest l LEFT JOIN (SELECT c.branch_id, path, name, max(committed_at) AS last_changed FROM changes c
+  JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL) x
   ON l.branch_id = x.branch_id AND l.path = x.path AND l.name = x.name WHERE l.kind = 'lockfile') WHERE days >= 180""")
 def stale(v: Views) -> DataFrame:
     return history.stale(v.latest, v.changes, v.commits, AS_OF, 180).select("branch_id", "path", "name", "version", day("last_changed", "last_changed"), "days")
@@ -286,7 +327,8 @@ def stale(v: Views) -> DataFrame:
 
 @query("""
 SELECT l.branch_id, l.path, l.name, l.version, first_seen::DATE AS first_seen, last_changed::DATE AS last_changed, added_in FROM latest l
-LEFT JOIN (SELECT c.branch_id, name, min(committed_at) AS first_seen, max(committed_at) AS last_changed, min_by(sha, c.pos) FILTER (change_type = 'added') AS added_in
+LEFT JOIN (SELECT c.branch_id, name, min(committed_at) AS first_seen, max(committed_at) AS last_changed,
+  min_by(sha, c.pos) FILTER (change_type = 'added') AS added_in
            FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL) x ON l.branch_id = x.branch_id AND l.name = x.name
 WHERE l.name ILIKE '%kg-1%' AND l.kind = 'manifest'""")
 def search(v: Views) -> DataFrame:
@@ -298,7 +340,8 @@ def search(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT c.branch_id, count(*)::BIGINT AS commits, count(*) FILTER (c.commit_id IN (SELECT commit_id FROM changes WHERE ecosystem = 'npm') AND committed_at >= TIMESTAMP '1996-01-01')::BIGINT AS with_changes
+SELECT c.branch_id, count(*)::BIGINT AS commits,
+  count(*) FILTER (c.commit_id IN (SELECT commit_id FROM changes WHERE ecosystem = 'npm') AND committed_at >= TIMESTAMP '1996-01-01')::BIGINT AS with_changes
 FROM commits c GROUP BY ALL""")
 def stats_commit_counts(v: Views) -> DataFrame:
     return stats.commit_counts(v.changes, v.commits, ecosystem="npm", since="1996-01-01")
@@ -319,7 +362,9 @@ def stats_top_changed(v: Views) -> DataFrame:
     return stats.top_changed(v.changes)
 
 
-@query("SELECT author_name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL ORDER BY changes DESC, author_name LIMIT 10")
+@query("""
+SELECT author_name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id
+GROUP BY ALL ORDER BY changes DESC, author_name LIMIT 10""")
 def stats_top_authors(v: Views) -> DataFrame:
     return stats.top_authors(v.changes, v.commits)
 
@@ -332,12 +377,16 @@ def author_stats(v: Views) -> DataFrame:
     return stats.author_stats(v.changes, v.commits)
 
 
-@query(f"SELECT coalesce(change_type, '*') AS change_type, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY ROLLUP (change_type)")
+@query(f"""
+SELECT coalesce(change_type, '*') AS change_type, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id
+WHERE {FILTERED} GROUP BY ROLLUP (change_type)""")
 def stats_by_type_filtered(v: Views) -> DataFrame:
     return stats.by_type(v.changes, v.commits, **FILTERS)
 
 
-@query(f"SELECT name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY name ORDER BY changes DESC, name LIMIT 10")
+@query(f"""
+SELECT name, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED}
+GROUP BY name ORDER BY changes DESC, name LIMIT 10""")
 def stats_top_changed_filtered(v: Views) -> DataFrame:
     return stats.top_changed(v.changes, commits=v.commits, **FILTERS)
 
@@ -362,6 +411,8 @@ def manifest_change_counts(v: Views) -> DataFrame:
     return stats.manifest_change_counts(v.changes)
 
 
-@query("SELECT branch_id, ecosystem, change_type, count(*)::BIGINT AS changes, grouping(branch_id, ecosystem, change_type)::BIGINT AS g FROM changes GROUP BY CUBE (branch_id, ecosystem, change_type)")
+@query("""
+SELECT branch_id, ecosystem, change_type, count(*)::BIGINT AS changes, grouping(branch_id, ecosystem, change_type)::BIGINT AS g FROM changes
+GROUP BY CUBE (branch_id, ecosystem, change_type)""")
 def branch_rollup(v: Views) -> DataFrame:
     return stats.branch_rollup(v.changes)

@@ -32,10 +32,17 @@ class Views:
 
     @cached_property
     def unnumbered(self) -> DataFrame:
-        places = self.table("customer").join(self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
+        places = self.table("customer").join(
+            self.table("nation").join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey")),
+            F.col("c_nationkey") == F.col("n_nationkey")
+        )
         return self.table("orders").join(places, F.col("o_custkey") == F.col("c_custkey")).select(
-            F.col("r_regionkey").cast("long").alias("branch_id"), F.col("r_name").alias("branch"), F.col("o_orderkey").alias("commit_id"), F.md5(F.col("o_orderkey").cast("string")).alias("sha"),
-            F.col("o_orderpriority").alias("message"), F.col("c_name").alias("author_name"), F.concat(F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")).alias("author_email"),
+            F.col("r_regionkey").cast("long").alias("branch_id"), F.col("r_name").alias("branch"), F.col("o_orderkey").alias("commit_id"), F.md5(
+                F.col("o_orderkey").cast("string")
+            ).alias("sha"),
+            F.col("o_orderpriority").alias("message"), F.col("c_name").alias("author_name"), F.concat(
+                F.lit("c"), F.col("c_custkey").cast("string"), F.lit("@example.com")
+            ).alias("author_email"),
             F.col("o_orderdate").alias("committed_at"),
         )
 
@@ -48,26 +55,43 @@ class Views:
         return ch.commit_log(self.unnumbered)
 
     def _manifest(self, m: Column) -> dict[str, Column]:
-        return {"path": F.concat(F.lit("app"), m.cast("string"), F.when(m % 2 == 0, "/lock").otherwise("/manifest")), "ecosystem": ecosystem_of(m), "kind": F.when(m % 2 == 0, "lockfile").otherwise("manifest")}
+        return {
+            "path": F.concat(F.lit("app"), m.cast("string"), F.when(m % 2 == 0, "/lock").otherwise("/manifest")),
+            "ecosystem": ecosystem_of(m), "kind": F.when(m % 2 == 0, "lockfile").otherwise("manifest")
+        }
 
     @cached_property
     def manifests(self) -> DataFrame:
-        return self.table("supplier").select((F.col("s_suppkey") % 10).alias("m")).distinct().withColumns(self._manifest(F.col("m"))).select("path", "ecosystem", "kind")
+        return self.table("supplier").select(
+            (F.col("s_suppkey") % 10).alias("m")
+        ).distinct().withColumns(self._manifest(F.col("m"))).select("path", "ecosystem", "kind")
 
     @cached_property
     def lines(self) -> DataFrame:
         """Every line item as (commit_id, manifest, package, version, ...)."""
         m = F.col("l_suppkey") % 10
-        rows = self.table("lineitem").select("*", m.alias("m"), F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")).alias("name"), F.concat_ws(".", (F.col("l_quantity").cast("int") % 5).cast("string"), F.col("l_linenumber").cast("string"), F.round(F.col("l_discount") * 100).cast("int").cast("string")).alias("raw_version")).withColumns(self._manifest(F.col("m")))
+        rows = self.table("lineitem").select(
+            "*", m.alias("m"), F.concat(F.lit("pkg-"), F.col("l_partkey").cast("string")).alias("name"),
+            F.concat_ws(
+                ".", (F.col("l_quantity").cast("int") % 5).cast("string"), F.col("l_linenumber").cast("string"),
+                F.round(F.col("l_discount") * 100).cast("int").cast("string")
+            ).alias("raw_version")
+        ).withColumns(self._manifest(F.col("m")))
         hashed = F.concat(F.lit("sha256-"), F.md5(F.concat("name", F.lit("@"), "raw_version", F.when(F.col("l_tax") > 0.065, "-alt").otherwise(""))))
         return rows.withColumn("raw_integrity", hashed)
 
     @cached_property
     def observations(self) -> DataFrame:
         gone = (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "F")
-        row = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.when(~gone, F.col("raw_version")).alias("version"), F.when(~gone, F.when(F.col("l_linestatus") == "O", "runtime").otherwise("development")).alias("scope"), F.when(~gone, F.col("raw_integrity")).alias("integrity"))
+        row = F.struct(
+            "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", F.when(~gone, F.col("raw_version")).alias("version"),
+            F.when(~gone, F.when(F.col("l_linestatus") == "O", "runtime").otherwise("development")).alias("scope"),
+            F.when(~gone, F.col("raw_integrity")).alias("integrity")
+        )
         one = self.lines.groupBy("l_orderkey", "path", "ecosystem", "kind", "name").agg(F.min(row).alias("r"))
-        return one.join(self.commits.select("branch_id", "commit_id", "pos"), F.col("l_orderkey") == F.col("commit_id")).select("branch_id", "commit_id", "pos", "path", "ecosystem", "kind", "name", "r.version", "r.scope", "r.integrity")
+        return one.join(self.commits.select("branch_id", "commit_id", "pos"), F.col("l_orderkey") == F.col("commit_id")).select(
+            "branch_id", "commit_id", "pos", "path", "ecosystem", "kind", "name", "r.version", "r.scope", "r.integrity"
+        )
 
     @cached_property
     def changes(self) -> DataFrame:
@@ -83,12 +107,18 @@ class Views:
 
     @cached_property
     def registry_versions(self) -> DataFrame:
-        return self.lines.groupBy("ecosystem", "name", F.col("raw_version").alias("version")).agg(F.min("l_shipdate").alias("published_at"), F.min("raw_integrity").alias("integrity"))
+        return self.lines.groupBy("ecosystem", "name", F.col("raw_version").alias("version")).agg(
+            F.min("l_shipdate").alias("published_at"), F.min("raw_integrity").alias("integrity")
+        )
 
     @cached_property
     def packages(self) -> DataFrame:
         lic = F.get(F.array(*map(F.lit, LICENSES)), (F.col("p_size") % 6).cast("int"))
-        base = self.table("part").select(F.explode(F.array(F.lit("npm"), F.lit("pypi"), F.lit("cargo"))).alias("ecosystem"), F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string")).alias("name"), lic.alias("license"), (F.lit("2001-12-30").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("p_partkey") % 48).cast("int"))).alias("enriched_at"))
+        base = self.table("part").select(
+            F.explode(F.array(F.lit("npm"), F.lit("pypi"), F.lit("cargo"))).alias("ecosystem"),
+            F.concat(F.lit("pkg-"), F.col("p_partkey").cast("string")).alias("name"), lic.alias("license"),
+            (F.lit("2001-12-30").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("p_partkey") % 48).cast("int"))).alias("enriched_at")
+        )
         base = base.withColumn("purl", names.purl(F.col("ecosystem"), F.col("name")))
         return base.join(policy.latest_versions(self.registry_versions).select("ecosystem", "name", "latest_version"), ["ecosystem", "name"], "left")
 
@@ -97,9 +127,15 @@ class Views:
         k = F.col("s_suppkey")
         score = F.round((F.col("s_acctbal") + 1000) / 1100, 1)
         return self.table("supplier").select(
-            F.concat(F.lit("VULN-"), k.cast("string")).alias("id"), ecosystem_of(k).alias("ecosystem"), F.concat(F.lit("pkg-"), (k * 7).cast("string")).alias("name"),
-            F.concat((k % 2).cast("string"), F.lit(".0.0")).alias("lo"), F.concat((k % 2 + 1 + k % 3).cast("string"), F.lit(".0.0")).alias("hi"), F.lit(False).alias("hi_inclusive"),
-            score.alias("cvss_score"), names.severity_of_score(score).alias("severity"), F.concat(F.lit("Weakness in "), F.col("s_name"), F.lit(" that lets a caller of the affected package read memory it should not see")).alias("summary"),
+            F.concat(F.lit("VULN-"), k.cast("string")).alias("id"), ecosystem_of(k).alias("ecosystem"), F.concat(
+                F.lit("pkg-"), (k * 7).cast("string")
+            ).alias("name"),
+            F.concat((k % 2).cast("string"), F.lit(".0.0")).alias("lo"), F.concat(
+                (k % 2 + 1 + k % 3).cast("string"), F.lit(".0.0")
+            ).alias("hi"), F.lit(False).alias("hi_inclusive"),
+            score.alias("cvss_score"), names.severity_of_score(score).alias("severity"), F.concat(
+                F.lit("Weakness in "), F.col("s_name"), F.lit(" that lets a caller of the affected package read memory it should not see")
+            ).alias("summary"),
         )
 
     @cached_property
@@ -116,17 +152,24 @@ class Views:
 
     @cached_property
     def manifest_text(self) -> DataFrame:
-        return self.table("documents").select(F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("ecosystem"), "text")
+        return self.table("documents").select(
+            F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("lang").alias("ecosystem"), "text"
+        )
 
     @cached_property
     def manifest_json(self) -> DataFrame:
-        return self.table("events").select(F.col("event_id").alias("commit"), F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"), F.md5("props").alias("blob"), F.col("props").alias("text"))
+        return self.table("events").select(
+            F.col("event_id").alias("commit"), F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("path"),
+            F.md5("props").alias("blob"), F.col("props").alias("text")
+        )
 
     @cached_property
     def trees(self) -> DataFrame:
         """Every user's events as the files of a commit."""
         return self.table("events").select(
-            F.col("user_id").alias("commit"), F.concat_ws("/", "event_type", F.col("event_id").cast("string")).alias("path"), F.md5("props").alias("blob"), F.col("props").alias("text")
+            F.col("user_id").alias("commit"), F.concat_ws(
+                "/", "event_type", F.col("event_id").cast("string")
+            ).alias("path"), F.md5("props").alias("blob"), F.col("props").alias("text")
         )
 
     @cached_property
@@ -135,10 +178,26 @@ class Views:
         lock, dev = F.col("event_id") % 2 == 0, F.col("event_type") == "click"
         given = F.from_json("props", "map<string,string>")
         wanted = F.transform_values(given, lambda k, x: F.concat(F.lit("^"), x))
-        manifest = F.to_json(F.struct(F.lit("app").alias("name"), F.lit("1.0.0").alias("version"), F.when(~dev, wanted).alias("dependencies"), F.when(dev, wanted).alias("devDependencies")))
+        manifest = F.to_json(
+            F.struct(
+                F.lit("app").alias("name"), F.lit("1.0.0").alias("version"), F.when(~dev, wanted).alias("dependencies"),
+                F.when(dev, wanted).alias("devDependencies")
+            )
+        )
         hashed = F.concat(F.lit("sha512-"), F.md5("props"))
-        pinned = F.map_from_entries(F.transform(F.map_entries(given), lambda e: F.struct(F.concat(F.lit("node_modules/"), e["key"]), F.struct(e["value"].alias("version"), hashed.alias("integrity"), F.when(dev, True).alias("dev")))))
-        root = F.create_map(F.lit(""), F.struct(F.lit("1.0.0").alias("version"), F.lit(None).cast("string").alias("integrity"), F.lit(None).cast("boolean").alias("dev")))
+        pinned = F.map_from_entries(
+            F.transform(
+                F.map_entries(given),
+                lambda e: F.struct(
+                    F.concat(F.lit("node_modules/"), e["key"]),
+                    F.struct(e["value"].alias("version"), hashed.alias("integrity"), F.when(dev, True).alias("dev"))
+                )
+            )
+        )
+        root = F.create_map(
+            F.lit(""),
+            F.struct(F.lit("1.0.0").alias("version"), F.lit(None).cast("string").alias("integrity"), F.lit(None).cast("boolean").alias("dev"))
+        )
         text = F.when(lock, F.to_json(F.struct(F.lit(3).alias("lockfileVersion"), F.map_concat(root, pinned).alias("packages")))).otherwise(manifest)
         path = F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/package"), F.when(lock, "-lock").otherwise(""), F.lit(".json"))
         return self.table("events").select(F.col("event_id").alias("commit"), path.alias("path"), text.alias("text")).withColumn("blob", F.md5("text"))
@@ -181,7 +240,8 @@ latest AS (SELECT * FROM intervals WHERE pos_to IS NULL),
 registry_versions AS (
   SELECT ecosystem, name, raw_version AS version, min(l_shipdate) AS published_at, min(raw_integrity) AS integrity FROM lines GROUP BY ALL),
 ranked_versions AS (
-  SELECT *, row_number() OVER (PARTITION BY ecosystem, name ORDER BY list_transform(string_split(version, '.'), lambda x: x::BIGINT) DESC) AS rn FROM registry_versions),
+  SELECT *, row_number() OVER (PARTITION BY ecosystem, name
+    ORDER BY list_transform(string_split(version, '.'), lambda x: x::BIGINT) DESC) AS rn FROM registry_versions),
 packages AS (
   SELECT e AS ecosystem, 'pkg-' || p_partkey AS name, ['MIT', 'Apache-2.0', 'GPL-3.0', 'MPL-2.0', 'Custom', NULL][p_size % 6 + 1] AS license,
          TIMESTAMP '2001-12-30' + to_hours(p_partkey % 48) AS enriched_at, 'pkg:' || e || '/pkg-' || p_partkey AS purl, v.version AS latest_version
@@ -190,7 +250,8 @@ packages AS (
 advisories AS (
   SELECT *, CASE WHEN cvss_score >= 9 THEN 'critical' WHEN cvss_score >= 7 THEN 'high' WHEN cvss_score >= 4 THEN 'medium' ELSE 'low' END AS severity
   FROM (SELECT 'VULN-' || s_suppkey AS id, ['npm', 'pypi', 'cargo'][s_suppkey % 3 + 1] AS ecosystem, 'pkg-' || (s_suppkey * 7) AS name,
-               (s_suppkey % 2) || '.0.0' AS lo, (s_suppkey % 2 + 1 + s_suppkey % 3) || '.0.0' AS hi, false AS hi_inclusive, round((s_acctbal + 1000) / 1100, 1) AS cvss_score,
+               (s_suppkey % 2) || '.0.0' AS lo, (s_suppkey % 2 + 1 + s_suppkey % 3) || '.0.0' AS hi, false AS hi_inclusive,
+                 round((s_acctbal + 1000) / 1100, 1) AS cvss_score,
                'Weakness in ' || s_name || ' that lets a caller of the affected package read memory it should not see' AS summary FROM supplier)),
 refs AS (
   SELECT 'head' AS ref, branch_id, max(pos) AS pos FROM commits GROUP BY branch_id
