@@ -46,7 +46,9 @@ def word_count(text: Column) -> Column:
     return F.length(F.regexp_replace(rest, rf"{WORD}[{SPACE}]*+", "w")).cast("long")
 
 
-def running_sum(df: DataFrame, groups: list[str], part: str, order: list[str], value: Column, cum: str, total: str, of_group: DataFrame | None = None) -> DataFrame:
+def running_sum(
+    df: DataFrame, groups: list[str], part: str, order: list[str], value: Column, cum: str, total: str, of_group: DataFrame | None = None
+) -> DataFrame:
     """Adds ``cum``, the running sum of ``value`` in each group by (``part``, ``order``), and ``total``, the group's sum.
 
     ``part`` must rise with ``order``. Each (group, part) is summed on its own, with partial sums before the
@@ -78,7 +80,9 @@ def prefix_sums(values: Column, block: int = 64) -> Column:
         n = F.size(v)
         blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: total(F.slice(v, b * block + 1, F.lit(block))))
         before = lambda sums: F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-        one = lambda base, b: F.transform(F.sequence(F.lit(1), F.least(F.lit(block), n - b * block)), lambda i: F.get(base, b) + total(F.slice(v, b * block + 1, i)))
+        one = lambda base, b: F.transform(
+            F.sequence(F.lit(1), F.least(F.lit(block), n - b * block)), lambda i: F.get(base, b) + total(F.slice(v, b * block + 1, i))
+        )
         return let(before(blocks), lambda base: F.flatten(F.transform(F.sequence(F.lit(0), F.ceil(n / block).cast("int") - 1), lambda b: one(base, b))))
 
     return let(values, lambda v: F.when(F.size(v) > 0, of(v)).otherwise(F.array().cast("array<bigint>")))

@@ -28,7 +28,9 @@ PART_BYTES = 4 << 20
 #: A-Z to a-z; what is no word character to a space. Bytes from 80 on belong to characters beyond ASCII: all word characters.
 NORMAL = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
-FOUND = T.StructType().add("n_words", "long").add("hits", T.ArrayType(T.StructType().add("a", "integer").add("b", "integer"))).add("items", T.ArrayType(T.StringType()))
+FOUND = T.StructType().add("n_words", "long").add(
+    "hits", T.ArrayType(T.StructType().add("a", "integer").add("b", "integer"))
+).add("items", T.ArrayType(T.StringType()))
 
 
 class Windows:
@@ -137,7 +139,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "tex
     last = lambda a: F.get(a, F.size(a) - 1)
     merge = F.aggregate(
         F.array_sort(both("hits", "h", "array<struct<a:int,b:int>>")), F.array().cast("array<struct<a:int,b:int>>"),
-        lambda a, x: F.when((F.size(a) > 0) & (last(a)["b"] >= x["a"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["a"].alias("a"), F.greatest(last(a)["b"], x["b"]).alias("b"))))).otherwise(F.concat(a, F.array(x))),
+        lambda a, x: F.when(
+            (F.size(a) > 0) & (last(a)["b"] >= x["a"]),
+            F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(last(a)["a"].alias("a"), F.greatest(last(a)["b"], x["b"]).alias("b"))))
+        ).otherwise(F.concat(a, F.array(x))),
     )
     return joined.select("row", "n_words", merge.alias("hits"), F.array_sort(F.array_distinct(both("items", "i", "array<string>"))).alias("items"))
 
@@ -198,11 +203,17 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP4_SQL = r"""
-WITH i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT item, len(w) AS m, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1), lambda p: array_to_string(w[p:p + 12], ' '))) AS g FROM i WHERE len(w) > 0),
+WITH i AS (SELECT item_id::VARCHAR AS item,
+  regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item, len(w) AS m, unnest(list_transform(range(1, greatest(len(w) - 12, 1) + 1),
+  lambda p: array_to_string(w[p:p + 12], ' '))) AS g FROM i WHERE len(w) > 0),
 s AS (SELECT DISTINCT least(m, 13) AS size FROM b),
-d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
-x AS (SELECT id, size, unnest(range(1, len(w) - size + 2)) AS p, unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p:p + size - 1], ' '))) AS g FROM d, s WHERE len(w) >= size),
+d AS (SELECT row_number() OVER () AS id, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+x AS (SELECT id, size, unnest(range(1, len(w) - size + 2)) AS p,
+  unnest(list_transform(range(1, len(w) - size + 2), lambda p: array_to_string(w[p:p + size - 1], ' '))) AS g FROM d, s WHERE len(w) >= size),
 h AS (SELECT id, p, size, item FROM x JOIN b ON x.g = b.g),
 n AS (SELECT id, count(DISTINCT q) AS n_hit FROM (SELECT id, unnest(range(p, p + size)) AS q FROM (SELECT DISTINCT id, p, size FROM h)) GROUP BY id),
 t AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, item FROM h WHERE item IS NOT NULL) GROUP BY id)

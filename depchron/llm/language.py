@@ -98,7 +98,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang in sorted(set(langs)):
             for block in _blocks(batch.column(1).filter(pa.array(langs == lang))):
                 g, n = np.unique(grams(block)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "g", "n"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(n.astype(np.int64))],
+                    names=["lang", "g", "n"]
+                )
 
 
 def learn(labelled: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model:
@@ -144,7 +147,10 @@ def _predictor(model):
                 scores += share
             letters = [has_letter(t.as_py()) for t in texts]
             yield pa.RecordBatch.from_arrays(
-                [*others, pa.array([x if ok else "und" for x, ok in zip(langs, letters, strict=True)], pa.string()), pa.array([s if ok else 0.0 for s, ok in zip(scores, letters, strict=True)], pa.float64())],
+                [
+                    *others, pa.array([x if ok else "und" for x, ok in zip(langs, letters, strict=True)], pa.string()),
+                    pa.array([s if ok else 0.0 for s, ok in zip(scores, letters, strict=True)], pa.float64())
+                ],
                 names=[*batch.schema.names[:-1], "lang_pred", "score"],
             )
 

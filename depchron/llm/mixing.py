@@ -42,7 +42,10 @@ def levels(sizes: DataFrame, weights: tuple[int, ...], per_cent: int, epochs: in
     over = under = 0  # 100 x the level is over / under
     full = F.lit(False)
     for _ in range(ROUNDS):
-        r = ranked.agg(F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("caps"), F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weights")).first()
+        r = ranked.agg(
+            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("caps"),
+            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weights")
+        ).first()
         found = (per_cent * total - 100 * r["caps"], r["weights"])
         if found == (over, under):
             break
@@ -52,12 +55,18 @@ def levels(sizes: DataFrame, weights: tuple[int, ...], per_cent: int, epochs: in
     target = F.when(full, F.col("cap").cast("double")).otherwise((F.col("weight") * F.lit(over).cast("long")).cast("double") / F.lit(100.0 * (under or 1)))
     whole = written(ranked.select("*", full.alias("full"), target.alias("target")).withColumn("lost", F.col("target") - F.floor("target")), "mix-targets")
     spare = per_cent * total // 100 - (whole.agg(F.sum(F.floor("target"))).first()[0] or 0)
-    by_loss = common.running_sum(whole.withColumn("__part", F.floor((1 - F.col("lost")) * n)), ["__all"], "__part", [F.desc("lost"), "rank"], F.lit(1), "place", "__n")
+    by_loss = common.running_sum(
+        whole.withColumn("__part", F.floor((1 - F.col("lost")) * n)), ["__all"], "__part", [F.desc("lost"), "rank"], F.lit(1), "place",
+        "__n"
+    )
     send = F.floor("target") + (~F.col("full") & (F.col("place") <= spare)).cast("long")
     return by_loss.select("source", "none", "weight", F.col("size").alias("source_size"), "target", send.alias("send"))
 
 
-def mix(docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, per_cent: int = 150, epochs: int = 2, seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, size: Column, weights: tuple[int, ...] = WEIGHTS, per_cent: int = 150, epochs: int = 2, seed: str = "mix-1",
+    id_col: str = "doc_id", source_col: str = "source"
+) -> DataFrame:
     """``docs`` with size, source_size, target (the source's), taken (tokens the mix takes, repeats counted) and finish.
 
     The targets add up to ``per_cent`` of all sizes and each source meets its own but for rounding; no document gives
@@ -124,7 +133,8 @@ WITH d AS (
   FROM documents),
 s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),
 w AS (SELECT *, [3, 1, 2][(r - 1) % 3 + 1] AS weight, 2 * source_size AS cap, sum(source_size) OVER () AS total FROM s),
-c AS (SELECT *, sum(cap) OVER o AS caps, coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight, r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest
+c AS (SELECT *, sum(cap) OVER o AS caps, coalesce(sum(weight) OVER (ORDER BY cap::DOUBLE / weight,
+  r ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS rest
       FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, r ROWS UNBOUNDED PRECEDING)),
 f AS (SELECT *, 100 * (weight * caps + cap * rest) <= 150 * total * weight AS is_full FROM c),
 t AS (SELECT *, 150 * total - 100 * coalesce(sum(cap) FILTER (is_full) OVER (), 0) AS above,

@@ -329,7 +329,10 @@ def components(links: DataFrame) -> DataFrame:
         lower = both.join(labels.select(F.col("id").alias("b"), "class"), "b").groupBy("a").agg(F.min("class").alias("near")).withColumnRenamed("a", "id")
         one = labels.join(lower, "id").select("id", F.col("class").alias("old"), F.least("class", "near").alias("class"))
         up = labels.select(F.col("id").alias("class"), F.col("class").alias("above"))
-        new = written(one.join(up, "class").select("id", F.least("class", "above").alias("class"), (F.least("class", "above") < F.col("old")).alias("moved")), "labels")
+        new = written(
+            one.join(up, "class").select("id", F.least("class", "above").alias("class"), (F.least("class", "above") < F.col("old")).alias("moved")),
+            "labels"
+        )
         labels = new.select("id", "class")
         if new.filter("moved").isEmpty():
             return labels
@@ -360,20 +363,28 @@ def _between_classes(member: DataFrame, labels: DataFrame) -> DataFrame:
 
     Members of the bucket's largest class are only dealt to those of others, and not to each other.
     """
-    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select("band", "key", "id", "size", F.coalesce("class", "id").alias("class"))
+    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select(
+        "band", "key", "id", "size", F.coalesce("class", "id").alias("class")
+    )
     by_class = labelled.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     sizes = by_class.groupBy("band", "key").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("m"), F.sum("bytes").alias("bytes"))
     split = sizes.filter("main.n < m").select(
         "band", "key", F.col("main.class").alias("main"),
-        _chunks(F.col("m") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("others"), _chunks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
+        _chunks(
+            F.col("m") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")
+        ).alias("others"), _chunks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
     )
     rows = written(labelled.join(split, ["band", "key"]), "unresolved")
     tile = F.col("t")
-    other = rows.filter("class != main").withColumn("c", _chunk(F.col("others"))).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1)))
+    other = rows.filter("class != main").withColumn("c", _chunk(F.col("others"))).withColumn(
+        "t", F.explode(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
+    )
     role = F.when(tile == F.col("c"), BOTH).when(tile > F.col("c"), LEFT).otherwise(RIGHT)
     other = other.select("band", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), role.alias("role"), "id", "class")
     main = rows.filter("class = main").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
-    return other.unionAll(main.select("band", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class"))
+    return other.unionAll(
+        main.select("band", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class")
+    )
 
 
 def _linked(dealt: DataFrame, sig: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
@@ -416,7 +427,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     given = rows.filter("id IS NOT NULL AND text IS NOT NULL")
     signed = given.select("id", F.md5("text").alias("md5"), "text").mapInArrow(_sign, "id long, md5 string, size long, sig binary")
     signed = written(signed, "signatures")
-    nodes = written(signed.groupBy("md5").agg(F.min(F.struct("id", "size", "sig")).alias("s"), F.count(F.lit(1)).alias("copies")).select("md5", "copies", "s.*"), "nodes")
+    nodes = written(
+        signed.groupBy("md5").agg(F.min(F.struct("id", "size", "sig")).alias("s"), F.count(F.lit(1)).alias("copies")).select("md5", "copies", "s.*"),
+        "nodes"
+    )
     found = links(nodes.filter(F.octet_length("sig") > 0), given.select("id", "text"), similar)
     shared = signed.groupBy("id").agg(F.min("md5").alias("x"), F.max("md5").alias("y")).filter("x != y")
     if not shared.isEmpty():
@@ -427,8 +441,12 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
     # copies: only texts that occur more than once need their node looked up, and hot ones are dealt out over salts
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     many = nodes.filter("copies > 1").select("md5", F.col("id").alias("node"), "copies", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
-    placed = signed.select("id", "md5", salt.alias("salt")).join(many, ["md5", "salt"], "left").select("id", F.coalesce("node", "id").alias("node"), F.coalesce("copies", F.lit(1)).alias("n_copies"))
-    placed = placed.join(labels.select(F.col("id").alias("node"), "class"), "node", "left").select("id", F.coalesce("class", "node").alias("class_id"), "n_copies")
+    placed = signed.select("id", "md5", salt.alias("salt")).join(many, ["md5", "salt"], "left").select(
+        "id", F.coalesce("node", "id").alias("node"), F.coalesce("copies", F.lit(1)).alias("n_copies")
+    )
+    placed = placed.join(
+        labels.select(F.col("id").alias("node"), "class"), "node", "left"
+    ).select("id", F.coalesce("class", "node").alias("class_id"), "n_copies")
     alone = rows.filter("id IS NULL OR text IS NULL").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("n_copies"))
     return placed.unionAll(alone)
 

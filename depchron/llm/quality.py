@@ -39,8 +39,13 @@ def _repeat_words(w: Column) -> Column:
     hashes = common.let(F.transform(w, lambda x: F.xxhash64(x)), lambda v: F.transform(places, lambda i: F.xxhash64(F.slice(v, i, F.lit(WINDOW)))))
     window = lambda x: F.array_join(F.slice(w, x["p"], F.lit(WINDOW)), " ")
     same = lambda x, y: F.coalesce((x["h"] == y["h"]) & (window(x) == window(y)), F.lit(False))
-    twice = lambda s: F.sort_array(F.filter(F.transform(s, lambda x, k: F.when(same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x), x["p"])), lambda p: p.isNotNull()))
-    covered = lambda d: F.aggregate(F.transform(d, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(d, k + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"), lambda a, x: a + x)
+    twice = lambda s: F.sort_array(
+        F.filter(F.transform(s, lambda x, k: F.when(same(F.get(s, k - 1), x) | same(F.get(s, k + 1), x), x["p"])), lambda p: p.isNotNull())
+    )
+    covered = lambda d: F.aggregate(
+        F.transform(d, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(d, k + 1) - p, F.lit(WINDOW)))), F.lit(0).cast("long"),
+        lambda a, x: a + x
+    )
     settled = lambda h: common.let(common.let(F.sort_array(F.transform(h, lambda x, k: F.struct(x.alias("h"), (k + 1).alias("p")))), twice), covered)
     found = common.let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), settled(h)).otherwise(F.lit(0).cast("long")))
     return F.when(F.size(w) > WINDOW, found).otherwise(F.lit(0).cast("long"))
@@ -51,7 +56,10 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(rf"[^{common.SPACE}]"))
     by_words = common.let(common.words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words")))
-    by_lines = common.let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
+    by_lines = common.let(
+        lines,
+        lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
+    )
     return docs.withColumns({
         "__w": by_words,
         "__l": by_lines,
@@ -155,7 +163,8 @@ OP3_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, coalesce(text, '') AS text FROM documents),
 w AS (SELECT id, doc_id, source, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
-g AS (SELECT id, unnest(range(1, len(w) - 6)) AS p, unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) AS g FROM w WHERE len(w) >= 8),
+g AS (SELECT id, unnest(range(1, len(w) - 6)) AS p,
+  unnest(list_transform(range(1, len(w) - 6), lambda i: md5(array_to_string(w[i:i + 7], ' ')))) AS g FROM w WHERE len(w) >= 8),
 k AS (SELECT id, p, count(*) OVER (PARTITION BY id, g) AS n FROM g),
 r AS (SELECT id, count(DISTINCT q) AS n_repeat_words FROM (SELECT id, unnest(range(p, p + 8)) AS q FROM k WHERE n > 1) GROUP BY id),
 m AS (SELECT w.id, doc_id, source, len(w)::BIGINT AS n_words, len(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
@@ -165,16 +174,20 @@ f AS (SELECT *, n_words < 20 AS f1, 100 * n_repeat_words > 30 * n_words AS f2, 1
              10 * n_dup_lines > 3 * n_lines AS f4, word_chars < 2 * n_words OR word_chars > 15 * n_words AS f5 FROM m),
 h AS (SELECT source, n, unnest([1, 2, 3, 4, 5]) AS rule, unnest([a, b, c, d, e]) AS x FROM (
         SELECT source, count(*) AS n, count_if(f1) AS a, count_if(f2) AS b, count_if(f3) AS c, count_if(f4) AS d, count_if(f5) AS e FROM f GROUP BY source)),
-s AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(n::DOUBLE * n) AS squares, sum(x)::DOUBLE AS x, sum(x::DOUBLE * x / n) AS x2 FROM h GROUP BY rule),
+s AS (SELECT rule, count(*) AS hosts, sum(n)::DOUBLE AS docs, sum(n::DOUBLE * n) AS squares, sum(x)::DOUBLE AS x,
+  sum(x::DOUBLE * x / n) AS x2 FROM h GROUP BY rule),
 b AS (SELECT *, x / docs AS mean, (x2 - x * x / docs - (hosts - 1) * (x / docs) * (1 - x / docs)) / nullif(docs - squares / docs, 0) AS between_hosts FROM s),
 p AS (SELECT rule, mean, CASE WHEN between_hosts > 0 THEN least(1e9, greatest(1.0, mean * (1 - mean) / between_hosts - 1))
                               WHEN hosts > 1 THEN 1e9 ELSE 1.0 END AS strength FROM b),
-y AS (SELECT source, x, x + mean * strength AS a, n - x + (1 - mean) * strength AS b, mean, greatest(0.1, 4.0 * mean / (1 - mean + 4.0 * mean)) AS top FROM h JOIN p ON h.rule = p.rule),
+y AS (SELECT source, x, x + mean * strength AS a, n - x + (1 - mean) * strength AS b, mean,
+  greatest(0.1, 4.0 * mean / (1 - mean + 4.0 * mean)) AS top FROM h JOIN p ON h.rule = p.rule),
 o AS (SELECT *, ln(a / b) AS middle, 1 / sqrt(a / (a + b) * b) AS width, ln(top / (1 - top)) AS cut FROM y WHERE x > 0 AND mean < 1),
 q AS (SELECT *, list_transform(range(-120, 121), lambda k: middle + k * 0.1 * width) AS points FROM o),
-z AS (SELECT source, list_sum(list_transform(points, lambda t: CASE WHEN t > cut THEN exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))) ELSE 0 END))
+z AS (SELECT source, list_sum(list_transform(points, lambda t: CASE
+  WHEN t > cut THEN exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))) ELSE 0 END))
                      / list_sum(list_transform(points, lambda t: exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))))) AS risk FROM q),
-v AS (SELECT h.source, coalesce(max(risk), 0) > 0.95 AS host_failed FROM (SELECT DISTINCT source FROM h) h LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source GROUP BY h.source)
+v AS (SELECT h.source, coalesce(max(risk), 0) > 0.95 AS host_failed FROM (SELECT DISTINCT source FROM h) h
+  LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source GROUP BY h.source)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f1 OR f2 AS base_failed,
        NOT (f1 OR f2) AND NOT host_failed AS kept, f.source, n_lines
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source

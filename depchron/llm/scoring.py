@@ -230,7 +230,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = [train[w] + rest[w] for w in both]
         train.clear()
         rest.clear()
-        return pa.RecordBatch.from_arrays([pa.array(both, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(both, pa.binary()).cast(pa.string()), pa.array(c, pa.int64()), pa.array(n, pa.int64())], names=["word", "c", "n"]
+        )
 
     for batch in batches:
         for own, text in zip(batch.column(0).to_pylist(), _bytes(batch.column(1)), strict=True):
@@ -260,7 +262,10 @@ def _likelihood(path: str, scores):
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = Lattice(path, scores.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lattice.likelihoods(_bytes(batch.column(0)).to_pylist()), pa.float64())], names=[*batch.schema.names, "p"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(lattice.likelihoods(_bytes(batch.column(0)).to_pylist()), pa.float64())],
+                names=[*batch.schema.names, "p"]
+            )
 
     return likelihood
 
@@ -290,9 +295,15 @@ def _sum(head):
                 rest.append(other)
             columns = [pa.array([s[i] for s in sums], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))]
             flat = [x for other in rest for x in other]
-            pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.binary()).cast(pa.string()), pa.array([x[1] for x in flat], pa.int32())], names=["word", "f"])
+            pairs = pa.StructArray.from_arrays(
+                [pa.array([x[0] for x in flat], pa.binary()).cast(pa.string()), pa.array([x[1] for x in flat], pa.int32())],
+                names=["word", "f"]
+            )
             ends = np.cumsum([0, *map(len, rest)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.ListArray.from_arrays(pa.array(ends), pairs)], names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "model", "rest"])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-1], *columns, pa.ListArray.from_arrays(pa.array(ends), pairs)],
+                names=[*batch.schema.names[:-1], "n_tokens", "n_known", "base", "model", "rest"]
+            )
 
     return score
 
@@ -309,7 +320,9 @@ def lexicon(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> D
     scores = spark.sparkContext.broadcast(Lattice.first(n_pieces - 1))
     for _ in range(rounds):
         expected = np.full(n_pieces, SMOOTH)
-        for r in counts.filter("c > 0").select("word", "c").mapInArrow(_expect(path, scores), "piece long, x double").groupBy("piece").agg(F.sum("x").alias("x")).collect():
+        for r in counts.filter("c > 0").select("word", "c").mapInArrow(
+            _expect(path, scores), "piece long, x double"
+        ).groupBy("piece").agg(F.sum("x").alias("x")).collect():
             expected[r["piece"]] += r["x"]
         scores = spark.sparkContext.broadcast(np.log(expected / expected.sum()))
     schema = T.StructType([*counts.schema.fields, T.StructField("p", T.DoubleType())])
@@ -338,13 +351,18 @@ def score(docs: DataFrame, train: str = "train", text_col: str = "text", path: s
         least = r["s"]
     frequent = [] if least is None else lex.filter(step >= least).select(digest.alias("word"), "c", "p").collect()
     known = docs.sparkSession.sparkContext.broadcast([(bytes(r["word"]), r["c"], r["p"]) for r in frequent])
-    rows = docs.select(F.monotonically_increasing_id().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"), F.col(text_col).cast("string").alias("__text"))
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("__id"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("__row"),
+        F.col(text_col).cast("string").alias("__text")
+    )
     rest = T.ArrayType(T.StructType().add("word", "string").add("f", "integer"))
     schema = T.StructType([*rows.schema.fields[:2]]).add("n_tokens", "long").add("n_known", "long").add("base", "double").add("model", "double").add("rest", rest)
     rows = written(rows.mapInArrow(_sum(known), schema), "lm-sums")
     pairs = rows.select("__id", F.explode("rest").alias("r")).select("__id", "r.word", "r.f").join(lex.select("word", "c", "p"), "word")
     more = pairs.groupBy("__id").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("f")).otherwise(0)).alias("k"), F.sum(F.col("f") * F.log10(F.col("c") + 0.5)).alias("b"), F.sum(F.col("f") * F.col("p")).alias("m")
+        F.sum(
+            F.when(F.col("c") > 0, F.col("f")).otherwise(0)
+        ).alias("k"), F.sum(F.col("f") * F.log10(F.col("c") + 0.5)).alias("b"), F.sum(F.col("f") * F.col("p")).alias("m")
     )
     plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     room = math.log10(sums["n"] + 0.5 * (sums["v"] + 1))
@@ -357,5 +375,7 @@ def score(docs: DataFrame, train: str = "train", text_col: str = "text", path: s
 def op5_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents, learned from those that are not held out. A null id is neither held out nor learned from."""
     part = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), F.coalesce(part != 1, F.lit(False)).alias("train"), "text")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", F.coalesce(part == 1, F.lit(False)).alias("held_out"), F.coalesce(part != 1, F.lit(False)).alias("train"), "text"
+    )
     return score(docs).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -99,7 +99,10 @@ def surprise(token: Column) -> Column:
 def _surprise(body: Column) -> Column:
     fits = lambda abc: F.translate(body, abc, "") == ""
     none = F.lit(None).cast("struct<enc:string,abc:string>")
-    enc = reduce(lambda rest, x: F.when(fits(x[1]), F.struct(F.lit(x[0]).alias("enc"), F.lit(x[1]).alias("abc"))).otherwise(rest), reversed(ALPHABETS.items()), none)
+    enc = reduce(
+        lambda rest, x: F.when(fits(x[1]), F.struct(F.lit(x[0]).alias("enc"), F.lit(x[1]).alias("abc"))).otherwise(rest),
+        reversed(ALPHABETS.items()), none
+    )
 
     def battery(e: Column) -> Column:
         k = F.length(e["abc"]).cast("double")
@@ -144,7 +147,13 @@ def _surprise(body: Column) -> Column:
 def candidates(text: Column, base: Column) -> Column:
     """array of (s, e, enc, n, l): candidates outside the base spans that fit an encoding."""
     found = F.filter(_places(text, CANDIDATE), lambda x: x["m"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
-    tested = F.transform(found, lambda x: common.let(surprise(x["m"]), lambda t: F.struct(x["s"].alias("s"), x["e"].alias("e"), t["enc"].alias("enc"), t["n"].alias("n"), t["l"].alias("l"))))
+    tested = F.transform(
+        found,
+        lambda x: common.let(
+            surprise(x["m"]),
+            lambda t: F.struct(x["s"].alias("s"), x["e"].alias("e"), t["enc"].alias("enc"), t["n"].alias("n"), t["l"].alias("l"))
+        )
+    )
     return F.filter(tested, lambda x: x["enc"].isNotNull())
 
 
@@ -187,7 +196,10 @@ def limits(scanned: DataFrame, q: float) -> dict[str, int]:
     })
     bounded = F.col("m") * (1 + F.col("passed")) <= q * F.col("found") * (1 + F.col("n"))
     rejected = (F.col("above") > 0) & (F.col("own") * F.pow(F.lit(10.0), -F.col("b") * STEP) <= q * F.col("above"))
-    ends = ranked.groupBy("band", "enc").agg(F.max("n").alias("n"), F.max(F.when(bounded, F.col("b") + 1)).alias("bounded"), F.min(F.when(rejected, F.col("b"))).alias("rejected"))
+    ends = ranked.groupBy("band", "enc").agg(
+        F.max("n").alias("n"), F.max(F.when(bounded, F.col("b") + 1)).alias("bounded"),
+        F.min(F.when(rejected, F.col("b"))).alias("rejected")
+    )
     last = F.least(F.when(F.col("n") > 0, F.coalesce("bounded", F.lit(0))), "rejected")
     return {f"{r['band']}:{r['enc']}": r["last"] for r in ends.select("band", "enc", last.alias("last")).filter("last IS NOT NULL").collect()}
 

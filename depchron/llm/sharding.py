@@ -82,8 +82,10 @@ p AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 b AS (SELECT text, hex(encode(text)) AS h FROM (SELECT DISTINCT text FROM p)),
 crc AS (
   SELECT text, xor(list_reduce([4294967295] || list_transform(regexp_extract_all(h, '..'), lambda x: ('0x' || x)::BIGINT),
-                   lambda c, x: xor(xor(c >> 4, t[((xor(c, x) & 15) + 1)::INT]) >> 4, t[((xor(xor(c >> 4, t[((xor(c, x) & 15) + 1)::INT]), x >> 4) & 15) + 1)::INT])), 4294967295) AS crc FROM b, t),
-d AS (SELECT doc_id, source, strlen(text) + 8 AS size, crc, ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k FROM p JOIN crc USING (text)),
+                   lambda c, x: xor(xor(c >> 4, t[((xor(c, x) & 15) + 1)::INT]) >> 4,
+                     t[((xor(xor(c >> 4, t[((xor(c, x) & 15) + 1)::INT]), x >> 4) & 15) + 1)::INT])), 4294967295) AS crc FROM b, t),
+d AS (SELECT doc_id, source, strlen(text) + 8 AS size, crc,
+  ('0x' || substr(md5('shard-1:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS k FROM p JOIN crc USING (text)),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k) AS rank, count(*) OVER (PARTITION BY source) AS n,
              ('0x' || substr(md5('shard-1-phase:' || coalesce(source, '')), 1, 15))::BIGINT / 1152921504606846976.0::DOUBLE AS phase FROM d),
 o AS (SELECT *, row_number() OVER (ORDER BY (rank - phase) / n, source IS NULL, source, k) - 1 AS place, count(*) OVER () AS total FROM r),

@@ -53,7 +53,9 @@ class Counter:
         self.none = len(pairs)
         letters = byte_letters()
         self.byte_ids = np.array([vocab[c] for c in letters], np.int64)
-        self.special = regex.compile("|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))) if spec["added_tokens"] else None
+        self.special = regex.compile(
+            "|".join(regex.escape(t["content"]) for t in sorted(spec["added_tokens"], key=lambda t: -len(t["content"])))
+        ) if spec["added_tokens"] else None
         self.cut = regex.compile(public_tokenizers.PATTERN)
         self.memory: dict[str, int] = {}
 
