@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, decontamination, language, mixing, neardup, quality, scoring, secrets, sharding, tokens
+from depchron.llm import chat, decontamination, language, merkle, mixing, neardup, quality, scoring, search, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_language": language.op8_language,
     "op9_sharding": sharding.op9_sharding,
     "op10_chat": chat.op10_chat,
+    "op11_search": search.op11_search,
+    "op12_merkle": merkle.op12_merkle,
 }
 
 SQL = {
@@ -23,4 +25,6 @@ SQL = {
     "op4_decontamination": decontamination.OP4_SQL,
     "op9_sharding": sharding.OP9_SQL,
     "op10_chat": chat.OP10_SQL,
+    "op11_search": search.OP11_SQL,
+    "op12_merkle": merkle.OP12_SQL,
 }
