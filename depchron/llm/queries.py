@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from depchron.llm import chat, decontamination, language, merkle, mixing, neardup, quality, scoring, search, secrets, sharding, tokens
+from depchron.llm import chat, decontamination, extract, language, merkle, mixing, neardup, quality, scoring, search, secrets, sharding, tokens
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_chat": chat.op10_chat,
     "op11_search": search.op11_search,
     "op12_merkle": merkle.op12_merkle,
+    "op13_extract": extract.op13_extract,
 }
 
 SQL = {
