@@ -26,7 +26,7 @@ from depchron.sources.work import shipped, table, written
 #: Pages of known make that the trees are trained on, the number of trees and their depth.
 PAGES, TREES, DEPTH = 3000, 30, 5
 #: Costs of entering and of leaving the main text; log-odds are cut to this size, so that no node outweighs all others.
-ENTER, LEAVE, MOST = 1.5, 1.5, 5.0
+ENTER, LEAVE, MOST = 1.0, 0.25, 5.0
 #: Tasks of the training; nodes that are scored at a time.
 TASKS, NODES = 8, 50_000
 
