@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from depchron.operators.manifests import basename
+
 #: Folders whose files are not searched.
 SKIPPED = r"(^|/)(\.git|node_modules|vendor)/"
 #: A line such as: gem "name", "requirement"
 LINE = r"""(?m)^\s*gem\s+["']([^"']+)["'](?:\s*,\s*["']([^"']+)["'])?"""
 
 
-def basename(path: Column) -> Column:
-    return F.element_at(F.split(path, "/"), -1)
-
-
 def file_change_classify(files: DataFrame, patterns: dict[str, tuple[str, str]]) -> DataFrame:
     """Added, modified and deleted files (status A, M, D) whose base name fits a pattern, with its (ecosystem, kind).
 
@@ -32,74 +30,18 @@ def file_change_classify(files: DataFrame, patterns: dict[str, tuple[str, str]])
 
 
 def manifest_parse(files: DataFrame, form: str = "json") -> DataFrame:
-    """(commit, path, name, requirement) from files (commit, path, blob, text).
+    """(commit, path, name, requirement) from files (commit, path, text).
 
-    Each distinct (blob, path) is parsed once. JSON manifests are an object of name to requirement; line manifests
-    have a declaration a line. What can't be parsed gives no rows.
+    A file is parsed where it lies, so no text is shuffled and nothing is joined. JSON manifests are an object of name to requirement; line
+    manifests have a declaration a line. What can't be parsed gives no rows.
     """
-    once = files.select("blob", "path", "text").dropDuplicates(["blob", "path"])
     if form == "json":
-        entries = once.select("blob", "path", F.explode(F.from_json("text", "map<string,string>")).alias("name", "requirement"))
-    else:
-        pairs = F.arrays_zip(
-            F.regexp_extract_all("text", F.lit(LINE), F.lit(1)).alias("name"),
-            F.regexp_extract_all("text", F.lit(LINE), F.lit(2)).alias("requirement")
-        )
-        entries = once.select("blob", "path", F.explode(pairs).alias("e")).select(
-            "blob", "path", "e.name", F.nullif("e.requirement", F.lit("")).alias("requirement")
-        )
-    return files.select("commit", "path", "blob").join(entries, ["blob", "path"]).select("commit", "path", "name", "requirement")
-
-
-def deps_from_tree(files: DataFrame, commit: int | None = None, form: str = "json") -> DataFrame:
-    """All dependencies of one commit, or of each, from its files alone; the commit's trees are keyed by ``commit``."""
-    return manifest_parse(files if commit is None else files.filter(F.col("commit") == commit), form)
-
-
-#: Manifests by base name -> (ecosystem, kind).
-FILES = {"package.json": ("npm", "manifest"), "package-lock.json": ("npm", "lockfile"), "Gemfile": ("gem", "manifest"), "Gemfile.lock": ("gem", "lockfile")}
-NPM = "dependencies map<string,string>, devDependencies map<string,string>, optionalDependencies map<string,string>, peerDependencies map<string,string>"
-LOCKED = "struct<version:string,integrity:string,dev:boolean>"
-NPM_LOCK = f"packages map<string,{LOCKED}>, dependencies map<string,{LOCKED}>"
-#: A line of a lockfile's specs such as: four spaces, name (version); deeper lines are requirements of these.
-SPEC = r"(?m)^ {4}([^\s(]+) \(([^)]+)\)$"
-ENTRY = "array<struct<name:string,requirement:string,scope:string,integrity:string>>"
-
-
-def _entries(text: Column, name: Column) -> Column:
-    """array of (name, requirement, scope, integrity) of a manifest, by its base name."""
-    none = F.lit(None).cast("string")
-    row = lambda n, r, s, i=none: F.struct(n.alias("name"), r.alias("requirement"), s.alias("scope"), i.alias("integrity"))
-    npm, lock = F.from_json(text, NPM), F.from_json(text, NPM_LOCK)
-    listed = lambda c: F.coalesce(F.map_entries(c), F.array().cast("array<struct<key:string,value:string>>"))
-    scopes = {"dependencies": "runtime", "devDependencies": "development", "optionalDependencies": "optional", "peerDependencies": "peer"}
-    of_scope = lambda c, s: F.transform(listed(npm[c]), lambda e: row(e["key"], e["value"], F.lit(s)))
-    declared = F.concat(*[of_scope(c, s) for c, s in scopes.items()])
-    # newer lockfiles list packages by folder, the root one under an empty name
-    locked = F.coalesce(F.map_entries(lock["packages"]), F.map_entries(lock["dependencies"]), F.array().cast(f"array<struct<key:string,value:{LOCKED}>>"))
-    scope = lambda v: F.when(v["dev"], "development").otherwise("runtime")
-    pinned = F.transform(
-        F.filter(locked, lambda e: e["key"] != ""),
-        lambda e: row(F.regexp_replace(e["key"], "^.*node_modules/", ""), e["value"]["version"], scope(e["value"]), e["value"]["integrity"])
+        return files.select("commit", "path", F.explode(F.from_json("text", "map<string,string>")).alias("name", "requirement"))
+    pairs = F.arrays_zip(
+        F.regexp_extract_all("text", F.lit(LINE), F.lit(1)).alias("name"),
+        F.regexp_extract_all("text", F.lit(LINE), F.lit(2)).alias("requirement")
     )
-    pairs = lambda pattern: F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("n"), F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("r")
-    )
-    gems = lambda pattern: F.transform(pairs(pattern), lambda e: row(e["n"], F.nullif(e["r"], F.lit("")), F.lit("runtime")))
-    forms = {"package.json": declared, "package-lock.json": pinned, "Gemfile": gems(LINE), "Gemfile.lock": gems(SPEC)}
-    return reduce(lambda rest, x: F.when(name == x[0], x[1].cast(ENTRY)).otherwise(rest), forms.items(), F.lit(None).cast(ENTRY))
-
-
-def manifests_parse(files: DataFrame) -> DataFrame:
-    """(commit, path, ecosystem, kind, name, requirement, scope, integrity) from files (commit, path, blob, text) of the forms in FILES.
-
-    Each distinct (blob, path) is parsed once. Other files, null texts and what can't be parsed give no rows.
-    """
-    name = basename(F.col("path"))
-    known = files.filter(name.isin(*FILES))
-    once = known.select("blob", "path", "text").dropDuplicates(["blob", "path"]).select("blob", "path", F.explode(_entries(F.col("text"), name)).alias("e"))
-    of = lambda i: reduce(lambda rest, x: F.when(name == x[0], x[1][i]).otherwise(rest), FILES.items(), F.lit(None).cast("string"))
-    return known.select("commit", "path", "blob").join(once, ["blob", "path"]).select("commit", "path", of(0).alias("ecosystem"), of(1).alias("kind"), "e.*")
+    return files.select("commit", "path", F.explode(pairs).alias("e")).select("commit", "path", "e.name", F.nullif("e.requirement", F.lit("")).alias("requirement"))
 
 
 def where(texts: DataFrame, package: str, context: int = 0) -> DataFrame:

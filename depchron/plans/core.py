@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depchron.operators import changes as ch
-from depchron.operators import history, ingest, state, stats
+from depchron.operators import history, ingest, manifests, state, stats
 from depchron.plans.registry import query
 from depchron.sources.binding import AS_OF, Views
 
@@ -71,22 +71,35 @@ def manifest_parse(v: Views) -> DataFrame:
 
 
 @query("""
-SELECT user_id AS commit, event_type || '/' || event_id AS path, k AS name, json_extract_string(props, '$.' || k) AS requirement
-FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)""", False)
+WITH e AS (SELECT *, json_extract_string(props, '$.k') AS v, event_type || '/' || event_id AS folder FROM events),
+l AS (SELECT *, unnest(range(1, event_id % 4 + 2)) AS i FROM e WHERE event_id % 3 = 0),
+npm AS (
+  SELECT user_id, folder, 'n' || v || '-' || i AS name, i || '.' || v || '.0' AS requirement, CASE WHEN event_type = 'click' THEN 'development' ELSE 'runtime' END AS scope,
+         array_to_string(list_transform(range(1, i + 1), lambda k: 'node_modules/n' || v || '-' || k), '/') AS location FROM l
+  UNION ALL SELECT user_id, folder, 'w', '0.' || v || '.0', 'runtime', 'node_modules/w' FROM e WHERE event_id % 3 = 1
+  UNION ALL SELECT user_id, folder, 'real-' || v, '1.' || v || '.0', 'runtime', 'node_modules/n' || v FROM e WHERE event_id % 3 = 1
+  UNION ALL SELECT user_id, folder, 'b', '2.' || v || '.0', 'development', 'node_modules/n' || v || '/node_modules/b' FROM e WHERE event_id % 3 = 1),
+gem AS (
+  SELECT user_id, folder, 'a' || v AS name, '~> 1.' || v || ', >= 1.0' AS requirement, 'runtime' AS scope FROM e WHERE event_id % 3 = 2
+  UNION ALL SELECT user_id, folder, 'b' || v, NULL, 'development' FROM e WHERE event_id % 3 = 2
+  UNION ALL SELECT user_id, folder, 'c' || v, '2.' || v, 'test' FROM e WHERE event_id % 3 = 2)
+SELECT user_id AS commit, folder || '/package-lock.json' AS path, 'npm' AS ecosystem, 'lockfile' AS kind, name, requirement, scope, location FROM npm
+UNION ALL SELECT user_id, folder || '/Gemfile', 'gem', 'manifest', name, requirement, scope, NULL FROM gem""", False)
 def deps_from_tree(v: Views) -> DataFrame:
-    """Every user's events as the tree of a commit."""
-    return ingest.deps_from_tree(v.trees)
+    """Every user's events as the tree of a commit: packages in packages, workspaces, links, aliases, groups."""
+    return manifests.deps_from_tree(v.trees).drop("integrity")
 
 
 @query("""
 SELECT event_id AS commit, 'u' || user_id || '/package' || CASE WHEN event_id % 2 = 0 THEN '-lock' ELSE '' END || '.json' AS path, 'npm' AS ecosystem,
        CASE WHEN event_id % 2 = 0 THEN 'lockfile' ELSE 'manifest' END AS kind, k AS name,
        CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.' || k) ELSE '^' || json_extract_string(props, '$.' || k) END AS requirement,
-       CASE WHEN event_type = 'click' THEN 'development' ELSE 'runtime' END AS scope, CASE WHEN event_id % 2 = 0 THEN 'sha512-' || md5(props) END AS integrity
+       CASE WHEN event_type = 'click' THEN 'development' ELSE 'runtime' END AS scope, CASE WHEN event_id % 2 = 0 THEN 'sha512-' || md5(props) END AS integrity,
+       CASE WHEN event_id % 2 = 0 THEN 'node_modules/' || k END AS location
 FROM (SELECT *, unnest(json_keys(props)) AS k FROM events)""", False)
 def manifests_parse(v: Views) -> DataFrame:
     """The events as npm manifests and lockfiles, in turn."""
-    return ingest.manifests_parse(v.npm_files)
+    return manifests.manifests_parse(v.npm_files)
 
 
 @query("""

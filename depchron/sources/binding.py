@@ -165,12 +165,22 @@ class Views:
 
     @cached_property
     def trees(self) -> DataFrame:
-        """Every user's events as the files of a commit."""
-        return self.table("events").select(
-            F.col("user_id").alias("commit"), F.concat_ws(
-                "/", "event_type", F.col("event_id").cast("string")
-            ).alias("path"), F.md5("props").alias("blob"), F.col("props").alias("text")
-        )
+        """Every user's events as the files of a commit: lockfiles with packages in packages, lockfiles with a workspace, a link and an alias, and Gemfiles, in turn."""
+        v, turn = F.get_json_object("props", "$.k"), F.col("event_id") % 3
+        text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+        dev = F.when(F.col("event_type") == "click", ',"dev":true').otherwise("")
+        inner = F.lit("")
+        for i in (4, 3, 2, 1):
+            below = F.when(F.col("event_id") % 4 >= i, text(',"dependencies":{', inner, "}")).otherwise("") if i < 4 else F.lit("")
+            inner = text('"n', v, f'-{i}":{{"version":"{i}.', v, '.0"', dev, below, "}")
+        flat = text(
+            '{"lockfileVersion":3,"packages":{"":{"name":"app"},"packages/w":{"version":"0.', v, '.0"},"node_modules/w":{"resolved":"packages/w","link":true},"node_modules/n', v,
+            '":{"name":"real-', v, '","version":"1.', v, '.0"},"node_modules/n', v, '/node_modules/b":{"version":"2.', v, '.0","devOptional":true}}}'
+        )
+        gems = text('gem "a', v, '", "~> 1.', v, '", ">= 1.0"\ngroup :development, :test do\n  gem "b', v, '"\nend\ngem "c', v, '", "2.', v, '", group: :test\n')
+        whole = F.when(turn == 0, text('{"lockfileVersion":1,"dependencies":{', inner, "}}")).when(turn == 1, flat).otherwise(gems)
+        path = F.concat_ws("/", "event_type", F.col("event_id").cast("string"), F.when(turn == 2, "Gemfile").otherwise("package-lock.json"))
+        return self.table("events").select(F.col("user_id").alias("commit"), path.alias("path"), whole.alias("text"))
 
     @cached_property
     def npm_files(self) -> DataFrame:

@@ -13,7 +13,7 @@ from depchron.functions import names
 from depchron.functions.versions import update_type, version_key
 from depchron.operators import advisories as adv
 from depchron.operators import changes as ch
-from depchron.operators import history, ingest, policy, sbom, sinks, state, stats, vulns
+from depchron.operators import history, ingest, manifests, policy, sbom, sinks, state, stats, vulns
 from depchron.sources.binding import Views
 from depchron.streaming import changes as stream
 
@@ -271,17 +271,75 @@ class TestIngest:
         gems = "GEM\n  remote: https://rubygems.org/\n  specs:\n    rails (7.0.4)\n      activesupport (= 7.0.4)\n    puma (6.0.0)\n\nDEPENDENCIES\n  rails (~> 7.0)\n"
         files = [("package.json", npm), ("web/package-lock.json", lock), ("old/package-lock.json", old), ("Gemfile.lock", gems), ("Gemfile", 'gem "rails", "~> 7.0"\n'), ("bad/package.json", "{oops"), ("notes.txt", npm), ("none/package.json", None)]
         df = spark.createDataFrame([(1, p, f"h{i}", t) for i, (p, t) in enumerate(files)], "commit long, path string, blob string, text string")
-        assert rows(ingest.manifests_parse(df), "path", "kind", "name", "requirement", "scope", "integrity") == sorted([
+        assert rows(manifests.manifests_parse(df), "path", "kind", "name", "requirement", "scope", "integrity") == sorted([
             ("package.json", "manifest", "express", "^4.18.0", "runtime", None), ("package.json", "manifest", "lodash", "^4.17.21", "runtime", None), ("package.json", "manifest", "jest", "^29.0.0", "development", None),
             ("web/package-lock.json", "lockfile", "express", "4.18.2", "runtime", "sha512-abc"), ("web/package-lock.json", "lockfile", "@a/b", "1.0.0", "runtime", None), ("web/package-lock.json", "lockfile", "jest", "29.7.0", "development", None),
             ("old/package-lock.json", "lockfile", "left-pad", "1.3.0", "development", "sha1-x"), ("Gemfile.lock", "lockfile", "rails", "7.0.4", "runtime", None), ("Gemfile.lock", "lockfile", "puma", "6.0.0", "runtime", None),
             ("Gemfile", "manifest", "rails", "~> 7.0", "runtime", None),
         ], key=repr)
-        assert rows(ingest.manifests_parse(df.limit(0))) == []
+        assert rows(manifests.manifests_parse(df.limit(0))) == []
+
+    def parsed(self, spark, path, text):
+        df = spark.createDataFrame([(1, path, text)], "commit long, path string, text string")
+        return rows(manifests.manifests_parse(df), "name", "requirement", "scope", "location")
+
+    def test_packages_in_packages(self, spark):
+        lock = """{"lockfileVersion": 1, "requires": true, "dependencies": {
+          "a": {"version": "1.0.0", "requires": {"b": "^2"}, "dependencies": {"b": {"version": "2.0.0", "dependencies": {"c": {"version": "3.0.0", "dev": true, "dependencies": {}}}}}},
+          "b": {"version": "1.5.0", "optional": true}, "old": {"version": "npm:@x/real@4.0.0"}, "odd": 7}}"""
+        assert self.parsed(spark, "package-lock.json", lock) == sorted([
+            ("a", "1.0.0", "runtime", "node_modules/a"), ("b", "2.0.0", "runtime", "node_modules/a/node_modules/b"), ("b", "1.5.0", "optional", "node_modules/b"),
+            ("c", "3.0.0", "development", "node_modules/a/node_modules/b/node_modules/c"), ("@x/real", "4.0.0", "runtime", "node_modules/old"), ("odd", None, "runtime", "node_modules/odd"),
+        ], key=repr)
+
+    def test_workspaces_links_aliases(self, spark):
+        lock = """{"lockfileVersion": 3, "packages": {"": {"workspaces": ["packages/*"]}, "packages/w": {"name": "@me/w", "version": "0.1.0"},
+          "node_modules/@me/w": {"resolved": "packages/w", "link": true}, "packages/w/node_modules/d": {"version": "1.1.0", "dev": true},
+          "node_modules/lost": {"resolved": "packages/none", "link": true}, "node_modules/alias": {"name": "real", "version": "5.0.0"}},
+          "dependencies": {"alias": {"version": "npm:real@5.0.0"}}}"""
+        assert self.parsed(spark, "x/package-lock.json", lock) == sorted([
+            ("@me/w", "0.1.0", "runtime", "node_modules/@me/w"), ("d", "1.1.0", "development", "packages/w/node_modules/d"), ("lost", None, "runtime", "node_modules/lost"),
+            ("real", "5.0.0", "runtime", "node_modules/alias"),
+        ], key=repr)
+        text = """{"dependencies": {"a": "npm:@s/b@^1.0", "c": "npm:d", "e": "1 - 2"}, "peerDependencies": {"p": "*"}}"""
+        assert [r[:3] for r in self.parsed(spark, "package.json", text)] == [("@s/b", "^1.0", "runtime"), ("d", None, "runtime"), ("e", "1 - 2", "runtime"), ("p", "*", "peer")]
+
+    def test_gemfile_groups_and_requirements(self, spark):
+        text = """source "https://rubygems.org"
+gem "rails", "~> 7.0", ">= 7.0.4", require: "rails/all" # "x"
+gem 'pg', group: :production
+group :development, :test do
+  gem "rspec", "3.1"
+  platforms :ruby do
+    gem "byebug"
+  end
+end
+gem("rake", '13.0')
+  group :test do
+    gem "capybara", :require => false
+  end
+# gem "none"
+gem "rubocop", :group => [:development]
+group :production, :test do
+  gem "both"
+end
+"""
+        assert [r[:3] for r in self.parsed(spark, "Gemfile", text)] == sorted([
+            ("rails", "~> 7.0, >= 7.0.4", "runtime"), ("pg", None, "runtime"), ("rspec", "3.1", "development"), ("byebug", None, "development"), ("rake", "13.0", "runtime"),
+            ("capybara", None, "test"), ("rubocop", None, "development"), ("both", None, "runtime"),
+        ], key=repr)
+        lock = "GEM\n  specs:\n    nokogiri (1.15.4)\n      racc (~> 1.4)\n    nokogiri (1.15.4-x86_64-linux)\n    nokogiri (1.15.4-arm64-darwin)\n    a (1.0.0.rc1)\n"
+        assert [r[:2] for r in self.parsed(spark, "Gemfile.lock", lock)] == [("a", "1.0.0.rc1"), ("nokogiri", "1.15.4")]
+
+    def test_no_text_is_shuffled(self, spark):
+        df = spark.createDataFrame([(1, "Gemfile", "x")], "commit long, path string, text string")
+        assert "Exchange" not in manifests.manifests_parse(df)._jdf.queryExecution().executedPlan().toString()
 
     def test_broken_json(self, spark):
         df = spark.createDataFrame([(1, "p", "h", "{oops"), (1, "p", "i", '{"a": "1"}')], "commit long, path string, blob string, text string")
-        assert rows(ingest.deps_from_tree(df, 1)) == [(1, "p", "a", "1")]
+        assert rows(ingest.manifest_parse(df)) == [(1, "p", "a", "1")]
+        bad = df.withColumn("path", F.concat("blob", F.lit("/package-lock.json")))
+        assert rows(manifests.deps_from_tree(bad, 1)) == [] == rows(manifests.deps_from_tree(bad.withColumn("path", F.lit("package.json")), 2))
 
     def test_where(self, spark):
         df = spark.createDataFrame([("a/Gemfile", "gem", "x\nRails\ny"), ("a/vendor/Gemfile", "gem", "rails"), ("b", "gem", None)], "path string, ecosystem string, text string")
