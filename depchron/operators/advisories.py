@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from depchron.functions.names import ecosystem_key, severity_of_score
 from depchron.functions.versions import version_key
+from depchron.sources.work import written
 
 OSV = (
     "id string, aliases array<string>, summary string, details string, published string, modified string, withdrawn string,"
@@ -85,13 +88,10 @@ def advisory_packages(osv: DataFrame) -> DataFrame:
 
 
 def in_range(
-    version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None, keys: tuple[Column, Column, Column] | None = None
+    version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None, ecosystem: Column | None = None
 ) -> Column:
-    """Whether a version is affected: it is listed, or in the interval; without interval and list every version is.
-
-    ``keys`` are the version keys of version, lo and hi, where these are known already.
-    """
-    key, low, high = keys or (version_key(version), version_key(lo), version_key(hi))
+    """Whether a version is affected: it is listed, or in the interval; without interval and list every version is."""
+    key, low, high = version_key(version, ecosystem), version_key(lo, ecosystem), version_key(hi, ecosystem)
     above = F.coalesce(lo, F.lit("0")).isin("0", "") | (key >= low)
     below = hi.isNull() | (key < high) | (inclusive & (key == high))
     free = lo.isNull() & hi.isNull()
@@ -106,26 +106,68 @@ def fixed_version(fixed_versions: Column) -> Column:
     return F.get(fixed_versions, F.lit(0))
 
 
-def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
-    """Rows with (ecosystem, name, version) joined to the advisories that affect them: an equi-join with the ranges as its residue.
+PACKAGE = ["__e", "__n"]
+
 
-    A row comes once for each advisory, however many of its intervals hold the version, so the result needs no further
-    shuffle; ``id`` and the advisory's severity are added. The list ``versions`` of an advisory counts where there is
-    such a column.
+def _of_package(df: DataFrame) -> DataFrame:
+    return df.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
+
+
+def swept(versions: DataFrame, entries: DataFrame) -> DataFrame:
+    """(package, version, id): which of the distinct ``versions`` of a package lie in which of its intervals, by one sweep for each package.
+
+    Versions and ends of intervals are sorted together, each key computed once; the number of versions passed so far makes an integer of every
+    version and of every end. An interval is then a run of integers, and meets its versions by equality: the work goes by what is sorted and
+    what comes out, never by pairs of version and interval.
     """
-    listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
-    ends = F.struct("lo", "hi", "hi_inclusive", listed.alias("listed"), version_key(F.col("lo")).alias("low"), version_key(F.col("hi")).alias("high"))
-    of_package = advisories.select(
-        "id", ecosystem_key(F.col("ecosystem")).alias("__e"), F.lower("name").alias("__n"), ends.alias("ends"), "severity", "cvss_score"
+    free = F.coalesce("lo", F.lit("0")).isin("0", "")
+    ends = entries.filter("lo IS NOT NULL OR hi IS NOT NULL").withColumns(
+        {"__low": F.when(~free, version_key(F.col("lo"), F.col("__e"))), "__high": version_key(F.col("hi"), F.col("__e")), "__free": free}
     )
-    of_package = of_package.groupBy("id", "__e", "__n").agg(
-        F.collect_list("ends").alias("__all"), F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score")
+    ends = ends.filter((F.col("__free") | F.col("__low").isNotNull()) & (F.col("hi").isNull() | F.col("__high").isNotNull()))
+    # where a point stands: before all versions (-1), at its key, after all (1); at its key before (-1) or after (1) the versions there
+    point = lambda which, place, key, side: F.struct(
+        F.lit(which).alias("which"), place.cast("int").alias("place"), key.alias("key"), side.cast("int").alias("side")
     )
-    keyed = rows.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
-    inside = lambda k: lambda i: in_range(F.col("version"), i["lo"], i["hi"], i["hi_inclusive"], i["listed"], (k, i["low"], i["high"]))
-    # an array of one, so that the version is parsed once and not for every end
-    hit = F.exists(F.array(version_key(F.col("version"))), lambda k: F.exists("__all", inside(k)))
-    return keyed.join(of_package, ["__e", "__n"]).filter(hit).drop("__e", "__n", "__all")
+    both = F.array(
+        point("low", F.when(F.col("__free"), -1).otherwise(0), F.col("__low"), F.lit(-1)),
+        point("high", F.when(F.col("hi").isNull(), 1).otherwise(0), F.col("__high"), F.when(F.coalesce("hi_inclusive", F.lit(False)), 1).otherwise(-1))
+    )
+    interval = F.struct("id", "lo", "hi", "hi_inclusive").alias("interval")
+    points = ends.select(*PACKAGE, interval, F.explode(both).alias("p")).select(*PACKAGE, F.lit(None).cast("string").alias("version"), "interval", "p.*")
+    own = versions.select(*PACKAGE, "version", version_key(F.col("version"), F.col("__e")).alias("key")).filter("key IS NOT NULL")
+    at = own.select(
+        *PACKAGE, "version", F.lit(None).cast(points.schema["interval"].dataType).alias("interval"), F.lit(None).cast("string").alias("which"), F.lit(0).alias("place"),
+        "key", F.lit(0).alias("side")
+    )
+    order = Window.partitionBy(*PACKAGE).orderBy("place", "key", "side")
+    new = (F.col("side") == 0) & ~(F.lag("key").over(order).eqNullSafe(F.col("key")) & F.coalesce(F.lag("side").over(order) == 0, F.lit(False)))
+    passed = at.unionByName(points).withColumn("new", new.cast("long"))
+    passed = written(passed.withColumn("rank", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("new", "key"), "versions")
+    of = lambda which: F.max(F.when(F.col("which") == which, F.col("rank")))
+    runs = passed.filter("which IS NOT NULL").groupBy(*PACKAGE, "interval").agg((of("low") + 1).alias("low"), of("high").alias("high")).filter("low <= high")
+    reached = runs.select(*PACKAGE, "interval.id", F.explode(F.sequence("low", "high")).alias("rank")).distinct()
+    return reached.join(passed.filter("which IS NULL").select(*PACKAGE, "version", "rank"), [*PACKAGE, "rank"]).drop("rank")
+
+
+def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
+    """Rows with (ecosystem, name, version) joined to the advisories that affect them, once for each advisory, however many of its intervals hold the version.
+
+    Rows of packages without advisories are left out first; the distinct versions of the others are swept (``swept``), and rows meet
+    their hits by (package, version). ``id`` and the advisory's severity are added. The list ``versions`` of an advisory counts where there is such a
+    column; an entry without interval and list means all versions, those that no order knows too. A null version is affected by nothing.
+    """
+    listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
+    entries = _of_package(advisories.select("id", "ecosystem", "name", "lo", "hi", "hi_inclusive", listed.alias("listed"), "severity", "cvss_score"))
+    known = entries.groupBy("id", *PACKAGE).agg(F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score"))
+    own = written(_of_package(rows).join(known.select(*PACKAGE).distinct(), PACKAGE, "left_semi"), "affected")
+    versions = own.select(*PACKAGE, "version").filter("version IS NOT NULL").distinct()
+    some = F.coalesce(F.size("listed") > 0, F.lit(False))
+    every = entries.filter(F.col("lo").isNull() & F.col("hi").isNull() & ~some).select(*PACKAGE, "id").distinct()
+    named = entries.filter(some).select(*PACKAGE, "id", F.explode("listed").alias("version")).distinct()
+    columns = [*PACKAGE, "version", "id"]
+    hits = swept(versions, entries).select(columns).unionAll(versions.join(every, PACKAGE).select(columns)).unionAll(versions.join(named, [*PACKAGE, "version"]).select(columns))
+    return own.join(hits.distinct().join(known, ["id", *PACKAGE]), [*PACKAGE, "version"]).select(*rows.columns, "id", "severity", "cvss_score")
 
 
 def stored_vuln_count(advisories: DataFrame) -> DataFrame:

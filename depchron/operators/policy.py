@@ -22,25 +22,35 @@ def one_per_package(state: DataFrame) -> DataFrame:
     return state.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
 
 
+def version_ranks(versions: DataFrame) -> DataFrame:
+    """(ecosystem, name, version, rank): each distinct version's place in its package's order, from 1; versions that are equal share one.
+
+    Texts that are no version of the ecosystem have none. With ranks, versions compare as integers.
+    """
+    keyed = versions.select("ecosystem", "name", "version").distinct().withColumn("__k", version_key(F.col("version"), F.col("ecosystem")))
+    rank = F.dense_rank().over(Window.partitionBy("ecosystem", "name").orderBy("__k"))
+    return keyed.filter("__k IS NOT NULL").withColumn("rank", rank).drop("__k")
+
+
 def latest_versions(versions: DataFrame) -> DataFrame:
-    """(ecosystem, name, latest_version, n_versions): the greatest version of each package; texts that are no version don't count."""
-    keyed = versions.select("ecosystem", "name", "version", version_key(F.col("version")).alias("__k")).filter("__k IS NOT NULL")
-    return keyed.groupBy("ecosystem", "name").agg(F.max_by("version", "__k").alias("latest_version"), F.count(F.lit(1)).alias("n_versions"))
+    """(ecosystem, name, latest_version, n_versions): the greatest version of each package, of equal ones the greatest text; texts that are no version don't count."""
+    keyed = versions.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("__k")).filter("__k IS NOT NULL")
+    return keyed.groupBy("ecosystem", "name").agg(
+        F.max_by("version", F.struct("__k", "version")).alias("latest_version"), F.count(F.lit(1)).alias("n_versions")
+    )
 
 
 def latest_at(versions: DataFrame, date: str) -> DataFrame:
     """The version of each package published last on or before a date; of equals the greatest."""
     past = versions.filter(F.col("published_at") <= F.lit(date).cast("timestamp_ntz"))
-    return past.groupBy("ecosystem", "name").agg(F.max_by("version", F.struct("published_at", version_key(F.col("version")))).alias("latest_version"))
+    last = F.struct("published_at", version_key(F.col("version"), F.col("ecosystem")), "version")
+    return past.groupBy("ecosystem", "name").agg(F.max_by("version", last).alias("latest_version"))
 
 
 def outdated(state: DataFrame, latest: DataFrame, major_only: bool = False, minor_up: bool = False) -> DataFrame:
-    """Lockfile dependencies, every one, whose latest version is greater, with ``update`` as major, minor or patch."""
+    """Lockfile dependencies, every one, whose latest version is greater in its ecosystem's order, with ``update`` as major, minor or patch."""
     rows = state.filter("kind = 'lockfile'").join(latest.select("ecosystem", "name", "latest_version"), ["ecosystem", "name"])
-    rows = rows.filter(
-        version_key(F.col("version")) < version_key(F.col("latest_version"))
-    ).withColumn("update", update_type(F.col("version"), F.col("latest_version")))
-    rows = rows.filter("update IS NOT NULL")
+    rows = rows.withColumn("update", update_type(F.col("version"), F.col("latest_version"), F.col("ecosystem"))).filter("update IS NOT NULL")
     if major_only:
         rows = rows.filter("update = 'major'")
     return rows.filter("update <> 'patch'") if minor_up else rows

@@ -10,7 +10,7 @@ from depchron.operators import advisories as adv
 from depchron.operators import policy, sbom, sinks, state, vulns
 from depchron.plans.core import day
 from depchron.plans.registry import query
-from depchron.sources.binding import AS_OF, Views
+from depchron.sources.binding import AS_OF, PRERELEASES, SUFFIXES, Views
 from depchron.sources.work import new_folder, written
 from depchron.streaming import changes as stream
 
@@ -46,6 +46,23 @@ def outdated_at(v: Views) -> DataFrame:
     )
 
 
+@query(PRERELEASES + "SELECT ecosystem, name, version, dense_rank() OVER (PARTITION BY ecosystem, name ORDER BY key)::INT AS rank FROM prereleases")
+def version_ranks(v: Views) -> DataFrame:
+    """Versions with suffixes of five ecosystems, each ranked in its package by its ecosystem's order."""
+    return policy.version_ranks(v.prereleases)
+
+
+@query(PRERELEASES + """
+, best AS (SELECT ecosystem, name, version AS latest_version, key AS latest FROM prereleases
+  QUALIFY row_number() OVER (PARTITION BY ecosystem, name ORDER BY key DESC, version DESC) = 1)
+SELECT ecosystem, name, version, latest_version, CASE WHEN latest[1] > key[1] THEN 'major' WHEN latest[2] > key[2] THEN 'minor' ELSE 'patch' END AS update
+FROM prereleases JOIN best USING (ecosystem, name) WHERE key < latest""")
+def outdated_prereleases(v: Views) -> DataFrame:
+    """Every version with a suffix against the latest of its package, by its ecosystem's order."""
+    state = v.prereleases.withColumn("kind", F.lit("lockfile"))
+    return policy.outdated(state, policy.latest_versions(v.prereleases)).select("ecosystem", "name", "version", "latest_version", "update")
+
+
 @query("""
 SELECT DISTINCT ecosystem, name, 'pkg:' || ecosystem || '/' || name AS purl, CASE ecosystem WHEN 'npm' THEN 'npmjs.org'
   WHEN 'pypi' THEN 'pypi.org' ELSE 'crates.io' END AS host FROM latest""")
@@ -223,6 +240,28 @@ def version_affected(v: Views) -> DataFrame:
     )
 
 
+def _before_releases(v: Views) -> DataFrame:
+    """Advisories whose intervals begin and end at prereleases, in five ecosystems; a quarter have no end, an eighth neither."""
+    k = F.substring_index("id", "-", -1).cast("long")
+    of = lambda i: F.element_at(F.create_map(*[F.lit(x) for e, own in SUFFIXES.items() for x in (e, own[i])]), F.col("ecosystem"))
+    each = v.advisories.drop("ecosystem").withColumn("ecosystem", F.explode(F.array(*map(F.lit, SUFFIXES))))
+    return each.select(
+        F.concat("id", F.lit("-"), "ecosystem").alias("id"), "ecosystem", F.upper("name").alias("name"), F.when(k % 8 != 0, F.concat("lo", of(1))).alias("lo"),
+        F.when(k % 4 != 0, F.concat("hi", of(3))).alias("hi"), (k % 2 == 0).alias("hi_inclusive"), "severity", "cvss_score"
+    )
+
+
+@query(PRERELEASES + """
+, a AS (SELECT id, e AS ecosystem, name, string_split(id, '-')[2]::BIGINT AS k, list_append(list_transform(string_split(lo, '.'), lambda x: x::BIGINT), 1) AS low,
+    list_append(list_transform(string_split(hi, '.'), lambda x: x::BIGINT), 3) AS high, severity
+  FROM (SELECT * EXCLUDE (ecosystem), unnest(['npm', 'pypi', 'maven', 'gem', 'composer']) AS e FROM advisories))
+SELECT p.ecosystem, p.name, version, id || '-' || p.ecosystem AS id, severity FROM prereleases p JOIN a ON a.ecosystem = p.ecosystem AND a.name = p.name
+WHERE (k % 8 = 0 OR key >= low) AND (k % 4 = 0 OR key < high OR (k % 2 = 0 AND key = high))""")
+def version_affected_prereleases(v: Views) -> DataFrame:
+    """Versions with suffixes against intervals that begin and end at prereleases."""
+    return adv.affected(v.prereleases, _before_releases(v)).select("ecosystem", "name", "version", "id", "severity")
+
+
 @query("""
 SELECT DISTINCT ecosystem, CASE ecosystem WHEN 'pypi' THEN 'PyPI' WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS advisory_name,
   CASE ecosystem WHEN 'cargo' THEN 'crates.io' ELSE ecosystem END AS join_key FROM manifests""")

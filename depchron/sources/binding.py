@@ -17,6 +17,13 @@ from depchron.sources.work import table
 
 AS_OF = "2001-12-31"
 LICENSES = ("MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0", "Custom")
+# Suffixes of derived versions by ecosystem, in order; those of ``EQUAL`` are equal to the one before.
+SUFFIXES = {
+    "npm": ("-alpha.2", "-alpha.10", "-beta", "-rc.1", "", "+b1"), "pypi": (".dev1", "a1", "b2", "rc1", "", ".post1"),
+    "maven": ("-alpha-1", "-beta-2", "-beta-10", "-SNAPSHOT", "", "-sp1"), "gem": (".a", ".beta2", ".beta10", ".rc1", "", ".0"),
+    "composer": ("-dev", "-alpha1", "-beta2", "-RC1", "", "-patch1"),
+}
+EQUAL = ("npm", "gem")
 
 
 def ecosystem_of(number: Column) -> Column:
@@ -111,6 +118,15 @@ class Views:
             F.min("l_shipdate").alias("published_at"), F.min("raw_integrity").alias("integrity")
         )
 
+    @cached_property
+    def prereleases(self) -> DataFrame:
+        """(ecosystem, name, version) in five ecosystems: the versions of line items with suffixes that come before, at and after the release."""
+        m = (F.col("l_suppkey") % 5).cast("int")
+        suffix = F.element_at(F.element_at(F.array(*[F.array(*map(F.lit, x)) for x in SUFFIXES.values()]), m + 1), (F.col("l_orderkey") % 6 + 1).cast("int"))
+        return self.lines.select(
+            F.element_at(F.array(*map(F.lit, SUFFIXES)), m + 1).alias("ecosystem"), "name", F.concat("raw_version", suffix).alias("version")
+        ).distinct()
+
     @cached_property
     def packages(self) -> DataFrame:
         lic = F.get(F.array(*map(F.lit, LICENSES)), (F.col("p_size") % 6).cast("int"))
@@ -213,6 +229,15 @@ class Views:
         return self.table("events").select(F.col("event_id").alias("commit"), path.alias("path"), text.alias("text")).withColumn("blob", F.md5("text"))
 
 
+_LISTS = "[" + ", ".join("[" + ", ".join(f"'{x}'" for x in own) + "]" for own in SUFFIXES.values()) + "]"
+#: The derived versions with ``key``, which sorts them: their numbers and the place of their suffix.
+PRERELEASES = f"""
+, prereleases AS (
+  SELECT DISTINCT {list(SUFFIXES)}[l_suppkey % 5 + 1] AS ecosystem, name, raw_version || {_LISTS}[l_suppkey % 5 + 1][l_orderkey % 6 + 1] AS version,
+         list_append(list_transform(string_split(raw_version, '.'), lambda x: x::BIGINT),
+           CASE WHEN l_orderkey % 6 = 5 AND {list(SUFFIXES)}[l_suppkey % 5 + 1] IN {EQUAL} THEN 4 ELSE l_orderkey % 6 END) AS key FROM lines)
+"""
+
 PRELUDE = """
 WITH commits AS (
   SELECT r_regionkey::BIGINT AS branch_id, r_name AS branch, o_orderkey AS commit_id, md5(o_orderkey::VARCHAR) AS sha, o_orderpriority AS message,

@@ -175,6 +175,35 @@ class TestVersions:
         assert spark.createDataFrame([(a, b)], "a string, b string").select(update_type(F.col("a"), F.col("b"))).first()[0] == kind
 
 
+    @pytest.mark.parametrize("ecosystem,order", [
+        ("pypi", ["1.0.dev1", "1.0a1.dev2", "1.0a1", "1.0a1.post1", "1.0a2", "1.0b1", "1.0rc1", "1.0RC2", "1.0", "1.0+abc", "1.0+5", "1.0.post1.dev2", "1.0.post1", "1.0-2", "1.0.1", "2!0.1", "10!0"]),
+        ("maven", ["1.0-alpha-1", "1.0-alpha2", "1.0-beta-2", "1.0-beta10", "1.0-milestone-1", "1.0-m2", "1.0-rc1", "1.0-SNAPSHOT", "1.0", "1.0-sp1", "1.0-foo", "1.0-1", "1.0.1", "1.1"]),
+        ("RubyGems", ["1.0.a", "1.0.a.2", "1.0.b1", "1.0.b10", "1.0.pre", "1.0-1", "1.0.rc1", "1.0", "1.0.0.1", "1.0.1", "1.9", "1.10"]),
+        ("composer", ["1.0-dev", "1.0-alpha", "1.0.0-alpha2", "1.0beta1", "1.0-RC1", "1.0-RC10", "1.0", "1.0-patch1", "1.0-p2", "1.0.1"]),
+        ("npm", ["1.0.0-1", "1.0.0-2", "1.0.0-10", "1.0.0-a", "1.0.0-beta10", "1.0.0-beta2", "1.0.0"]), ("nuget", ["1.0.0-ALPHA", "1.0.0-beta", "1.0.0-RC.1", "1.0.0", "1.0.0.1"]),
+    ])
+    def test_order_of_ecosystems(self, spark, ecosystem, order):
+        df = spark.createDataFrame([(i, x, ecosystem) for i, x in enumerate(order)], "i int, v string, e string")
+        assert [r[0] for r in df.orderBy(version_key(F.col("v"), F.col("e")), F.desc("i")).collect()] == list(range(len(order)))
+
+    @pytest.mark.parametrize("ecosystem,a,b", [
+        ("pypi", "1.0-ALPHA.1", "1a1"), ("pypi", "v1.0.0", "1"), ("pypi", "1.0-1", "1.0.post1"), ("pypi", "1.0c1", "1.0rc1"), ("pypi", "0!1.0", "1.0"), ("maven", "1.0-final", "1"), ("maven", "1.0.0-ga", "1.0"),
+        ("maven", "1.0-cr2", "1.0-rc2"), ("maven", "1.0-a1", "1.0-alpha-1"), ("gem", "1.0.a.0", "1.0.0.a"), ("gem", "1.0-x", "1.0.pre.x"), ("packagist", "1.0-stable", "v1.0.0"), ("NuGet", "1.0.0-RC", "1.0-rc"),
+    ])
+    def test_equal_in_ecosystems(self, spark, ecosystem, a, b):
+        e = F.lit(ecosystem)
+        assert spark.createDataFrame([(a, b)], "a string, b string").select(version_key(F.col("a"), e) == version_key(F.col("b"), e)).first()[0]
+
+    @pytest.mark.parametrize("ecosystem,x", [("pypi", "1.0-sp1"), ("pypi", "2020.1-final"), ("maven", "LATEST"), ("gem", "1..2"), ("composer", "dev-main"), ("pypi", None), ("maven", "")])
+    def test_no_version_of_the_ecosystem(self, spark, ecosystem, x):
+        assert spark.createDataFrame([(x,)], "v string").select(version_key(F.col("v"), F.lit(ecosystem)).isNull()).first()[0]
+
+    def test_ranks(self, spark):
+        df = spark.createDataFrame([("pypi", "a", v) for v in ("1.0", "1.0.0", "1.0rc1", "2.0.dev1", "odd", None, "1.0")] + [("maven", "a", "1.0-sp1")], "ecosystem string, name string, version string")
+        got = rows(policy.version_ranks(df), "ecosystem", "version", "rank")
+        assert got == [("maven", "1.0-sp1", 1), ("pypi", "1.0", 2), ("pypi", "1.0.0", 2), ("pypi", "1.0rc1", 1), ("pypi", "2.0.dev1", 3)]
+
+
 class TestCheckpoints:
     def test_numbered_in_parts(self, spark, monkeypatch):
         monkeypatch.setattr(state, "PART", 4)
@@ -193,6 +222,29 @@ class TestAdvisories:
         df = spark.createDataFrame([(version, lo, hi, inclusive)], "v string, lo string, hi string, i boolean")
         assert df.select(adv.in_range(F.col("v"), F.col("lo"), F.col("hi"), F.col("i"))).first()[0] is want
 
+    def test_sweep_of_a_hot_package(self, spark):
+        """3,000 versions and 400 advisories of one package: the rows of a plain comparison, and no join that makes more than comes out."""
+        versions = spark.range(3000).select(F.lit("PyPI").alias("ecosystem"), F.lit("Hot").alias("name"), F.concat(F.floor(F.col("id") / 50).cast("string"), F.lit("."), (F.col("id") % 50).cast("string"), F.when(F.col("id") % 7 == 0, "rc1").otherwise("")).alias("version"))
+        versions = versions.unionAll(versions.limit(0)).unionAll(spark.createDataFrame([("pypi", "hot", "odd"), ("pypi", "hot", None), ("pypi", "cold", "1.0")], "ecosystem string, name string, version string"))
+        k = F.col("id")
+        low = F.when(k % 9 == 0, "0").when(k % 11 == 0, F.lit(None)).otherwise(F.concat((k % 60).cast("string"), F.lit(".3rc1")))
+        high = F.when(k % 10 == 0, F.lit(None)).when(k % 13 == 0, "x").otherwise(F.concat((k % 60 + k % 3).cast("string"), F.lit(".7")))
+        entries = spark.range(400).select(
+            F.concat(F.lit("V"), F.floor(k / 2).cast("string")).alias("id"), F.lit("PyPI").alias("ecosystem"), F.lit("hot").alias("name"), low.alias("lo"), high.alias("hi"), (k % 2 == 0).alias("hi_inclusive"),
+            F.when(k % 50 == 0, F.array(F.lit("odd"), F.lit("1.0"))).alias("versions"), F.lit("high").alias("severity"), F.lit(7.5).alias("cvss_score"))
+        got = rows(adv.affected(versions, entries), "ecosystem", "name", "version", "id")
+        e = entries.select("id", "lo", "hi", "hi_inclusive", F.col("versions").alias("listed"))
+        plain = versions.filter("lower(name) = 'hot' and version is not null").crossJoin(e).filter(adv.in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive"), F.col("listed"), F.lit("pypi")))
+        assert got == rows(plain.select("ecosystem", "name", "version", "id").distinct()) and len(got) > 10_000
+
+    def test_sweep_makes_no_pairs(self, spark):
+        """100,000 versions and 1,000 short intervals: the join of runs and versions has as many rows as come out."""
+        versions = spark.range(100_000).select(F.lit("npm").alias("__e"), F.lit("hot").alias("__n"), F.concat(F.lit("1."), F.col("id").cast("string")).alias("version"))
+        k = F.col("id") * 100
+        entries = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.lit("npm").alias("__e"), F.lit("hot").alias("__n"), F.concat(F.lit("1."), k.cast("string")).alias("lo"), F.concat(F.lit("1."), (k + 3).cast("string")).alias("hi"), F.lit(False).alias("hi_inclusive"))
+        found = adv.swept(versions, entries)
+        assert found.count() == 3000 and found.agg(F.countDistinct("version")).first()[0] == 3000
+
     def test_record(self, spark):
         record = """{"id": "X", "severity": [{"type": "CVSS_V3", "score": "CVSS:3.1/AV:N"}], "database_specific": {"severity": "MODERATE"}, "affected": [
           {"package": {"ecosystem": "npm", "name": "a"}, "ranges": [{"type": "GIT", "events": [{"introduced": "0"}]}, {"type": "SEMVER", "events": [{"introduced": "0"}, {"fixed": "1.2"}, {"introduced": "2.0"}, {"last_affected": "2.3"}, {"introduced": "4.0"}]}]},
