@@ -91,15 +91,17 @@ def in_range(
     version: Column, lo: Column, hi: Column, inclusive: Column, listed: Column | None = None, ecosystem: Column | None = None
 ) -> Column:
     """Whether a version is affected: it is listed, or in the interval; without interval and list every version is."""
-    key, low, high = version_key(version, ecosystem), version_key(lo, ecosystem), version_key(hi, ecosystem)
-    above = F.coalesce(lo, F.lit("0")).isin("0", "") | (key >= low)
-    below = hi.isNull() | (key < high) | (inclusive & (key == high))
-    free = lo.isNull() & hi.isNull()
-    if listed is None:
-        return F.coalesce(free | (above & below & key.isNotNull()), F.lit(False))
-    some = F.coalesce(F.size(listed) > 0, F.lit(False))
-    inside = F.when(free, ~some).otherwise(F.coalesce(above & below & key.isNotNull(), F.lit(False)))
-    return inside | F.coalesce(F.array_contains(listed, version), F.lit(False))
+    keys = F.struct(version_key(version, ecosystem).alias("key"), version_key(lo, ecosystem).alias("low"), version_key(hi, ecosystem).alias("high"))
+    none, some = lo.isNull() & hi.isNull(), F.coalesce(F.size(listed) > 0, F.lit(False)) if listed is not None else F.lit(False)
+
+    def inside(k: Column) -> Column:
+        above = F.coalesce(lo, F.lit("0")).isin("0", "") | (k["key"] >= k["low"])
+        below = hi.isNull() | (k["key"] < k["high"]) | (inclusive & (k["key"] == k["high"]))
+        return F.coalesce(above & below & k["key"].isNotNull(), F.lit(False))
+
+    # an array of one, so that each version is parsed once
+    held = F.when(none, ~some).otherwise(F.transform(F.array(keys), inside)[0])
+    return held | F.coalesce(F.array_contains(listed, version), F.lit(False)) if listed is not None else held
 
 
 def fixed_version(fixed_versions: Column) -> Column:
@@ -155,19 +157,21 @@ def affected(rows: DataFrame, advisories: DataFrame) -> DataFrame:
 
     Rows of packages without advisories are left out first; the distinct versions of the others are swept (``swept``), and rows meet
     their hits by (package, version). ``id`` and the advisory's severity are added. The list ``versions`` of an advisory counts where there is such a
-    column; an entry without interval and list means all versions, those that no order knows too. A null version is affected by nothing.
+    column; an entry without interval and list means all versions, those that no order knows and null too.
     """
     listed = F.col("versions") if "versions" in advisories.columns else F.lit(None).cast("array<string>")
     entries = _of_package(advisories.select("id", "ecosystem", "name", "lo", "hi", "hi_inclusive", listed.alias("listed"), "severity", "cvss_score"))
     known = entries.groupBy("id", *PACKAGE).agg(F.max("severity").alias("severity"), F.max("cvss_score").alias("cvss_score"))
     own = written(_of_package(rows).join(known.select(*PACKAGE).distinct(), PACKAGE, "left_semi"), "affected")
-    versions = own.select(*PACKAGE, "version").filter("version IS NOT NULL").distinct()
+    versions = own.select(*PACKAGE, "version").distinct()
     some = F.coalesce(F.size("listed") > 0, F.lit(False))
     every = entries.filter(F.col("lo").isNull() & F.col("hi").isNull() & ~some).select(*PACKAGE, "id").distinct()
     named = entries.filter(some).select(*PACKAGE, "id", F.explode("listed").alias("version")).distinct()
     columns = [*PACKAGE, "version", "id"]
     hits = swept(versions, entries).select(columns).unionAll(versions.join(every, PACKAGE).select(columns)).unionAll(versions.join(named, [*PACKAGE, "version"]).select(columns))
-    return own.join(hits.distinct().join(known, ["id", *PACKAGE]), [*PACKAGE, "version"]).select(*rows.columns, "id", "severity", "cvss_score")
+    found = hits.distinct().join(known, ["id", *PACKAGE]).withColumnsRenamed({"__e": "__he", "__n": "__hn", "version": "__hv"})
+    same = (F.col("__e") == F.col("__he")) & (F.col("__n") == F.col("__hn")) & F.col("version").eqNullSafe(F.col("__hv"))
+    return own.join(found, same).select(*rows.columns, "id", "severity", "cvss_score")
 
 
 def stored_vuln_count(advisories: DataFrame) -> DataFrame:

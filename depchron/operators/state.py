@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depchron.functions.names import same_text
 from depchron.functions.order import numbered
+from depchron.operators.changes import KEY
+from depchron.sources.work import written
 
 STATE = ("branch_id", "path", "name", "ecosystem", "kind", "version", "scope", "integrity")
 #: Positions per bucket where many references meet intervals.
 BUCKET = 1024
+#: References up to which they are broadcast, and intervals are read once and never shuffled.
+FEW = 1000
 
 
 def open_at(pos: Column) -> Column:
@@ -23,22 +27,28 @@ def latest_state(intervals: DataFrame) -> DataFrame:
     return intervals.filter("pos_to IS NULL")
 
 
-def open_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], bucket: int = BUCKET) -> DataFrame:
+def open_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """Each of ``points`` (keys, at, ...) with the intervals of its key that are open there.
 
-    Points and intervals meet by (key, bucket of positions), so the join is an equi-join with the range as its residue,
+    The points are written once and counted. Up to ``few`` go to all tasks, and intervals are filtered where they are, in one pass. More meet
+    intervals by (key, bucket of positions), so the join is an equi-join with the range as its residue,
     and a hot key is split over as many buckets as it has. The buckets of a key that are asked for are numbered, and two
     joins tell an interval the first and last number that it touches: it is dealt into these alone, so the work
     goes by the rows that come out and not by the length of the history.
     """
+    points = written(points, "points")
+    if points.count() <= few:
+        return intervals.join(F.broadcast(points), keys).filter(open_at(F.col("at")))
     asked = points.withColumn("__b", F.floor(F.col("at") / bucket))
     first, after = F.floor(F.col("pos_from") / bucket), F.floor((F.col("pos_to") - 1) / bucket) + 1
     # a row per bucket that is asked for, or that an interval begins in or ends before
-    marks = asked.select(*keys, "__b", F.lit(1).alias("n")).unionAll(intervals.select(*keys, first.alias("__b"), F.lit(0)))
-    marks = marks.unionAll(intervals.filter("pos_to IS NOT NULL").select(*keys, after.alias("__b"), F.lit(0))).groupBy(*keys, "__b").agg(F.max("n").alias("n"))
+    ends = F.array(F.struct(first.alias("b")), F.struct(after.alias("b")))
+    touched = intervals.select(*keys, F.explode(ends).alias("e")).select(*keys, F.col("e.b").alias("__b"), F.lit(0).alias("n")).filter("__b IS NOT NULL")
+    marks = asked.select(*keys, "__b", F.lit(1).alias("n")).unionAll(touched).groupBy(*keys, "__b").agg(F.max("n").alias("n"))
     by_key = Window.partitionBy(*keys)
     before = by_key.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     marks = marks.select(*keys, "__b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__k"), F.sum("n").over(by_key).alias("__all"))
+    marks = written(marks, "marks")
     low = marks.select(*keys, F.col("__b").alias("__first"), F.col("__k").alias("__low"), "__all")
     high = marks.select(*keys, F.col("__b").alias("__after"), F.col("__k").alias("__high"))
     placed = intervals.withColumns({"__first": first, "__after": after}).join(low, [*keys, "__first"]).join(high, [*keys, "__after"], "left")
@@ -50,9 +60,9 @@ def open_intervals(intervals: DataFrame, points: DataFrame, keys: list[str], buc
     return dealt.join(asked.join(numbers, [*keys, "__b"]).drop("__b"), [*keys, "__k"]).filter(open_at(F.col("at"))).drop("__k")
 
 
-def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def state_at(intervals: DataFrame, refs: DataFrame, bucket: int = BUCKET, few: int = FEW) -> DataFrame:
     """State at each reference (ref, branch_id, pos): the intervals open at its position ``at``."""
-    return open_intervals(intervals, refs.select("ref", "branch_id", F.col("pos").alias("at")), ["branch_id"], bucket)
+    return open_intervals(intervals, refs.select("ref", "branch_id", F.col("pos").alias("at")), ["branch_id"], bucket, few)
 
 
 #: Positions of a branch whose changed commits are numbered in one task.
@@ -92,6 +102,34 @@ def snapshot_asof(snapshots: DataFrame, refs: DataFrame, stored: DataFrame | Non
     return snapshots.join(nearest, ["branch_id", "at"])
 
 
+def store_snapshots(intervals: DataFrame, events: DataFrame, path: str, every: int = 100) -> None:
+    """Writes the snapshots as a table of files by branch and position. A second run replaces those that it makes anew and leaves the others."""
+    made = snapshot_materialize(intervals, events, every)
+    dealt = made.repartition("branch_id", "at").sortWithinPartitions("branch_id", "at", "path", "name")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch_id", "at").parquet(path)
+
+
+def stored_state_at(spark: SparkSession, path: str, events: DataFrame, refs: DataFrame) -> DataFrame:
+    """State at each reference (ref, branch_id, pos) from stored snapshots: the nearest one at or before it, and the events since then replayed.
+
+    Which snapshots there are is told by the names of the folders; only those that are needed are read (partitions are pruned by a broadcast of
+    the needed positions, a row for each reference). Of the events, those between a snapshot and its reference count, the last of each key. A reference
+    before the first snapshot is replayed from the beginning.
+    """
+    snapshots = spark.read.parquet(path).withColumns({"branch_id": F.col("branch_id").cast("long"), "at": F.col("at").cast("long")})
+    there = snapshots.select("branch_id", F.col("at").alias("stored")).distinct()
+    asked = refs.select("ref", "branch_id", "pos")
+    near = there.join(asked, "branch_id").filter("stored <= pos").groupBy("ref", "branch_id", "pos").agg(F.max("stored").alias("stored"))
+    near = written(asked.join(near, ["ref", "branch_id", "pos"], "left").select("ref", "branch_id", "pos", F.coalesce("stored", F.lit(0)).alias("stored")), "nearest")
+    columns = [c for c in STATE if c not in KEY]
+    base = snapshots.join(F.broadcast(near.withColumn("at", F.col("stored"))), ["branch_id", "at"])
+    since = events.join(near.hint("broadcast"), "branch_id").filter((events["pos"] > near["stored"]) & (events["pos"] <= near["pos"]))
+    base = base.select("ref", *KEY, *columns, F.col("stored").alias("__at"), F.lit(True).alias("__there"), F.col("pos").alias("at"))
+    since = since.select("ref", *KEY, *columns, events["pos"].alias("__at"), (F.col("change_type") != "removed").alias("__there"), near["pos"].alias("at"))
+    last = base.unionByName(since).groupBy("ref", "at", *KEY).agg(F.max_by(F.struct("__there", *columns), "__at").alias("__s"))
+    return last.filter("__s.__there").select("ref", "at", *KEY, *[f"__s.{c}" for c in columns])
+
+
 def list_filtered(state: DataFrame, ecosystem: str | None = None, manifest: str | None = None, scope: str | None = None) -> DataFrame:
     """State of an ecosystem and a dependency type, both in either case, in manifests whose path contains a text."""
     if ecosystem:
@@ -126,10 +164,27 @@ def diff_states(before: DataFrame, after: DataFrame, keys: tuple[str, ...] = ("b
     )
 
 
-def diff_refs(intervals: DataFrame, refs: DataFrame, before: str, after: str, ecosystem: str | None = None) -> DataFrame:
-    """Differences between two references of each branch."""
-    of = lambda name: state_at(intervals, refs.filter(F.col("ref") == name))
-    found = diff_states(of(before), of(after))
+def diff_refs(intervals: DataFrame, refs: DataFrame, before: str | None = None, after: str | None = None, ecosystem: str | None = None) -> DataFrame:
+    """Differences between two references of each branch: added, modified and removed; only the version counts.
+
+    ``before`` and ``after`` name references; ``before`` may be a span such as ``a..b`` (``a..`` and ``..b`` leave out the present). Without ``after`` it is the present: the
+    greatest position of the branch in ``refs``; without ``before`` the position just before the later one. Both states come from one pass over
+    the intervals, and meet by one aggregation.
+    """
+    if before and ".." in before:
+        before, after = (x or None for x in before.split("..", 1))
+    named = lambda name: refs.filter(F.col("ref") == name).select("branch_id", "pos")
+    later = named(after) if after else refs.groupBy("branch_id").agg(F.max("pos").alias("pos"))
+    earlier = named(before) if before else later.select("branch_id", (F.col("pos") - 1).alias("pos"))
+    both = earlier.withColumn("ref", F.lit("old")).unionByName(later.withColumn("ref", F.lit("new")))
+    at = state_at(intervals, both)
+    side = lambda c, ref: F.max(F.when(F.col("ref") == ref, F.col(c)))
+    found = at.groupBy(*KEY).agg(
+        side("version", "old").alias("from_version"), side("version", "new").alias("to_version"), F.coalesce(side("ecosystem", "new"), side("ecosystem", "old")).alias("ecosystem"),
+        F.bool_or(F.col("ref") == "old").alias("__old"), F.bool_or(F.col("ref") == "new").alias("__new")
+    )
+    kind = F.when(~F.col("__old"), "added").when(~F.col("__new"), "removed").when(~F.col("from_version").eqNullSafe(F.col("to_version")), "modified")
+    found = found.withColumn("change", kind).filter("change IS NOT NULL").select(*KEY, "ecosystem", "change", "from_version", "to_version")
     return found.filter(same_text(F.col("ecosystem"), ecosystem)) if ecosystem else found
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depchron.operators import changes as ch
-from depchron.operators import history, ingest, manifests, state, stats
+from depchron.operators import history, ingest, manifests, reach, state, stats
 from depchron.plans.registry import query
-from depchron.sources.binding import AS_OF, Views
+from depchron.sources.binding import AS_OF, PRELUDE, Views
+from depchron.sources.work import new_folder, written
 
 EVENT = ("branch_id", "pos", "path", "name", "change_type", "requirement", "previous_version")
 STATE = ("branch_id", "path", "name", "ecosystem", "kind", "version", "scope")
@@ -37,6 +38,42 @@ def commit_log_without_merges(v: Views) -> DataFrame:
     return log.select("branch_id", F.col("pos").cast("long").alias("pos"), "sha")
 
 
+@query(PRELUDE.replace("WITH commits", "WITH RECURSIVE commits", 1) + """
+, edges AS MATERIALIZED (
+  SELECT c.sha, p.sha AS parent FROM commits c JOIN commits p ON p.branch_id = c.branch_id AND p.pos = c.pos - 3
+  UNION ALL SELECT c.sha, p.sha FROM commits c JOIN commits p ON p.branch_id = (c.branch_id + 1) % 5 AND p.pos = c.pos - 1 WHERE c.message = '1-URGENT'),
+reached(branch_id, sha) AS (
+  SELECT branch_id, arg_max(sha, pos) FROM commits GROUP BY branch_id UNION SELECT r.branch_id, e.parent FROM reached r JOIN edges e ON e.sha = r.sha),
+known(branch_id, sha) AS (SELECT branch_id, sha FROM commits WHERE pos = 100 UNION SELECT k.branch_id, e.parent FROM known k JOIN edges e ON e.sha = k.sha)
+SELECT branch_id, sha, pos FROM (
+  SELECT r.branch_id, r.sha, row_number() OVER (PARTITION BY r.branch_id ORDER BY committed_at, r.sha)::BIGINT AS pos FROM reached r JOIN commits c ON c.sha = r.sha)
+ANTI JOIN known USING (branch_id, sha)""", False)
+def commit_log_reachable(v: Views) -> DataFrame:
+    """What the last commit of each branch reaches in a graph with merges, without what its hundredth reaches."""
+    graph = written(v.graph, "graph")
+    tips = graph.groupBy("branch_id").agg(F.max_by("sha", "pos").alias("sha"))
+    log = reach.branch_log(graph.select("sha", "parents", "committed_at"), tips, graph.filter("pos = 100").select("branch_id", "sha"))
+    return log.select("branch_id", "sha", F.col("pos").cast("long").alias("pos"))
+
+
+@query("""
+WITH f AS (
+  SELECT user_id AS c, event_type || '/d' || event_id % 7 || '/f' || event_id % 28 || CASE WHEN event_id % 2 = 0 THEN '/lock' ELSE '/manifest' END AS path,
+         max('b' || (event_id % 3 + CASE WHEN value > 60 THEN 1 ELSE 0 END)) AS blob FROM events GROUP BY ALL),
+p AS (SELECT DISTINCT user_id AS c, nullif(user_id, 0) - 1 AS parent FROM events),
+n AS (SELECT c, path, blob FROM f), o AS (SELECT p.c, path, blob FROM p JOIN f ON f.c = p.parent)
+SELECT coalesce(n.c, o.c) AS commit, coalesce(n.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'A' WHEN n.path IS NULL THEN 'D' ELSE 'M' END AS status,
+       CASE WHEN coalesce(n.path, o.path) LIKE '%/lock' THEN 'lockfile' ELSE 'manifest' END AS kind
+FROM n FULL JOIN o ON n.c = o.c AND n.path = o.path WHERE n.blob IS DISTINCT FROM o.blob""", False)
+def tree_statuses(v: Views) -> DataFrame:
+    """Added, modified and deleted manifests from the trees of each commit and the one before it."""
+    roots, nodes = reach.tree_nodes(v.folders)
+    commits = v.folders.select("commit").distinct()
+    pairs = commits.select("commit", F.when(F.col("commit") > 0, F.col("commit") - 1).alias("parent"))
+    files = reach.tree_changes(written(roots, "roots"), written(nodes, "nodes"), pairs)
+    return ingest.file_change_classify(files, {"^lock$": ("npm", "lockfile"), "^manifest$": ("pypi", "manifest")}).select("commit", "path", "status", "kind")
+
+
 @query("""
 SELECT branch_id, pos, path, name, raw_version AS version, raw_integrity AS integrity
 FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, path, name ORDER BY l_linenumber DESC, l_quantity DESC, raw_version DESC,
@@ -226,6 +263,15 @@ def snapshot_asof(v: Views) -> DataFrame:
     return state.snapshot_asof(snapshots, v.refs, state.checkpoints(v.changes)).select("ref", "branch_id", "at", "path", "name", "version")
 
 
+@query("SELECT ref, branch_id, path, name, ecosystem, kind, version, scope, integrity FROM at_refs")
+def state_from_snapshots(v: Views) -> DataFrame:
+    """The state at each reference from stored snapshots and the events since."""
+    path = new_folder(v.spark, "snapshots")
+    events = written(v.changes, "changes")
+    state.store_snapshots(ch.state_intervals(events), events, path, every=250)
+    return state.stored_state_at(v.spark, path, events, v.refs).drop("at")
+
+
 @query("SELECT branch_id, path, name, version FROM latest WHERE ecosystem = 'npm' AND contains(path, 'lock') AND scope = 'runtime'")
 def list_filtered(v: Views) -> DataFrame:
     return state.list_filtered(v.latest, "NPM", "lock", "Runtime").select("branch_id", "path", "name", "version")
@@ -248,7 +294,19 @@ FROM (SELECT * FROM at_refs WHERE ref = 'v100') a
 FULL JOIN (SELECT * FROM at_refs WHERE ref = 'v200') b ON a.branch_id = b.branch_id AND a.path = b.path AND a.name = b.name
 WHERE a.version IS DISTINCT FROM b.version""")
 def diff_refs(v: Views) -> DataFrame:
-    return state.diff_refs(v.intervals, v.refs, "v100", "v200").drop("ecosystem")
+    return state.diff_refs(v.intervals, v.refs, "v100..v200").drop("ecosystem")
+
+
+@query("""
+, head AS (SELECT branch_id, max(pos) AS pos FROM commits GROUP BY branch_id),
+n AS (SELECT i.* FROM intervals i JOIN head h ON i.branch_id = h.branch_id WHERE pos_from <= pos AND (pos_to IS NULL OR pos_to > pos)),
+o AS (SELECT i.* FROM intervals i JOIN head h ON i.branch_id = h.branch_id WHERE pos_from <= pos - 1 AND (pos_to IS NULL OR pos_to > pos - 1))
+SELECT coalesce(n.branch_id, o.branch_id) AS branch_id, coalesce(n.path, o.path) AS path, coalesce(n.name, o.name) AS name,
+       CASE WHEN o.name IS NULL THEN 'added' WHEN n.name IS NULL THEN 'removed' ELSE 'modified' END AS change, o.version AS from_version, n.version AS to_version
+FROM n FULL JOIN o ON n.branch_id = o.branch_id AND n.path = o.path AND n.name = o.name WHERE n.version IS DISTINCT FROM o.version""")
+def diff_previous(v: Views) -> DataFrame:
+    """The present of each branch against the position before it, which is what a difference without references means."""
+    return state.diff_refs(v.intervals, v.refs).drop("ecosystem")
 
 
 NEWEST = ", newest AS (SELECT branch_id, max(pos) AS pos FROM changes GROUP BY ALL) "

@@ -61,6 +61,26 @@ class Views:
     def commits(self) -> DataFrame:
         return ch.commit_log(self.unnumbered)
 
+    @cached_property
+    def graph(self) -> DataFrame:
+        """The commits as a graph: the third before it in its branch is a parent, and for urgent ones the last before it in the next branch too."""
+        c = self.commits.select("branch_id", "pos", "sha", "message", "committed_at")
+        of = lambda back, name: c.select(F.col("branch_id").alias("__b"), (F.col("pos") + back).alias("__p"), F.col("sha").alias(name))
+        other = F.when(F.col("message") == "1-URGENT", (F.col("branch_id") + 1) % 5)
+        first = c.join(of(3, "first"), (F.col("branch_id") == F.col("__b")) & (F.col("pos") == F.col("__p")), "left").drop("__b", "__p")
+        both = first.join(of(1, "second"), (other == F.col("__b")) & (F.col("pos") == F.col("__p")), "left").drop("__b", "__p")
+        return both.select("branch_id", "pos", "sha", "committed_at", F.array_compact(F.array("first", "second")).alias("parents"))
+
+    @cached_property
+    def folders(self) -> DataFrame:
+        """Every user's events as the files of a commit, three folders deep; most files have the same content at all commits."""
+        path = F.concat_ws(
+            "/", "event_type", F.concat(F.lit("d"), (F.col("event_id") % 7).cast("string")), F.concat(F.lit("f"), (F.col("event_id") % 28).cast("string")),
+            F.when(F.col("event_id") % 2 == 0, "lock").otherwise("manifest")
+        )
+        blob = F.concat(F.lit("b"), (F.col("event_id") % 3 + (F.col("value") > 60).cast("int")).cast("string"))
+        return self.table("events").select(F.col("user_id").alias("commit"), path.alias("path"), blob.alias("blob"))
+
     def _manifest(self, m: Column) -> dict[str, Column]:
         return {
             "path": F.concat(F.lit("app"), m.cast("string"), F.when(m % 2 == 0, "/lock").otherwise("/manifest")),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 
 import pytest
 from conftest import rows
@@ -13,7 +13,7 @@ from depchron.functions import names
 from depchron.functions.versions import update_type, version_key
 from depchron.operators import advisories as adv
 from depchron.operators import changes as ch
-from depchron.operators import history, ingest, manifests, policy, sbom, sinks, state, stats, vulns
+from depchron.operators import history, ingest, manifests, policy, reach, sbom, sinks, state, stats, vulns
 from depchron.sources.binding import Views
 from depchron.streaming import changes as stream
 
@@ -223,19 +223,19 @@ class TestAdvisories:
         assert df.select(adv.in_range(F.col("v"), F.col("lo"), F.col("hi"), F.col("i"))).first()[0] is want
 
     def test_sweep_of_a_hot_package(self, spark):
-        """3,000 versions and 400 advisories of one package: the rows of a plain comparison, and no join that makes more than comes out."""
-        versions = spark.range(3000).select(F.lit("PyPI").alias("ecosystem"), F.lit("Hot").alias("name"), F.concat(F.floor(F.col("id") / 50).cast("string"), F.lit("."), (F.col("id") % 50).cast("string"), F.when(F.col("id") % 7 == 0, "rc1").otherwise("")).alias("version"))
-        versions = versions.unionAll(versions.limit(0)).unionAll(spark.createDataFrame([("pypi", "hot", "odd"), ("pypi", "hot", None), ("pypi", "cold", "1.0")], "ecosystem string, name string, version string"))
+        """500 versions and 120 intervals of one package: the rows of a plain comparison."""
+        versions = spark.range(500).select(F.lit("PyPI").alias("ecosystem"), F.lit("Hot").alias("name"), F.concat(F.floor(F.col("id") / 9).cast("string"), F.lit("."), (F.col("id") % 9).cast("string"), F.when(F.col("id") % 7 == 0, "rc1").otherwise("")).alias("version"))
+        versions = versions.unionAll(spark.createDataFrame([("pypi", "hot", "odd"), ("pypi", "hot", None), ("pypi", "cold", "1.0")], "ecosystem string, name string, version string"))
         k = F.col("id")
         low = F.when(k % 9 == 0, "0").when(k % 11 == 0, F.lit(None)).otherwise(F.concat((k % 60).cast("string"), F.lit(".3rc1")))
         high = F.when(k % 10 == 0, F.lit(None)).when(k % 13 == 0, "x").otherwise(F.concat((k % 60 + k % 3).cast("string"), F.lit(".7")))
-        entries = spark.range(400).select(
+        entries = spark.range(120).select(
             F.concat(F.lit("V"), F.floor(k / 2).cast("string")).alias("id"), F.lit("PyPI").alias("ecosystem"), F.lit("hot").alias("name"), low.alias("lo"), high.alias("hi"), (k % 2 == 0).alias("hi_inclusive"),
             F.when(k % 50 == 0, F.array(F.lit("odd"), F.lit("1.0"))).alias("versions"), F.lit("high").alias("severity"), F.lit(7.5).alias("cvss_score"))
         got = rows(adv.affected(versions, entries), "ecosystem", "name", "version", "id")
         e = entries.select("id", "lo", "hi", "hi_inclusive", F.col("versions").alias("listed"))
-        plain = versions.filter("lower(name) = 'hot' and version is not null").crossJoin(e).filter(adv.in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive"), F.col("listed"), F.lit("pypi")))
-        assert got == rows(plain.select("ecosystem", "name", "version", "id").distinct()) and len(got) > 10_000
+        plain = versions.filter("lower(name) = 'hot'").crossJoin(e).filter(adv.in_range(F.col("version"), F.col("lo"), F.col("hi"), F.col("hi_inclusive"), F.col("listed"), F.lit("pypi")))
+        assert got == rows(plain.select("ecosystem", "name", "version", "id").distinct()) and len(got) > 3000
 
     def test_sweep_makes_no_pairs(self, spark):
         """100,000 versions and 1,000 short intervals: the join of runs and versions has as many rows as come out."""
@@ -446,3 +446,54 @@ def test_profiles(spark):
     df = spark.createDataFrame([("npm",), ("",), (None,)], "ecosystem string")
     assert rows(stats.ecosystems(df, df)) == [("npm",)]
     assert rows(stats.table_profile({"t": df})) == [("t", 3)]
+
+
+class TestReach:
+    def graph(self, spark):
+        """A main line of 40, a branch from 10 merged at 20, one from 15 never merged, a merge of an unknown parent, and a child dated before its parent."""
+        parents = {f"m{i}": [f"m{i - 1}"] if i else [] for i in range(40)}
+        parents |= {"a0": ["m10"], "a1": ["a0"], "m20": ["m19", "a1"], "b0": ["m15"], "b1": ["b0", "lost"], "m30": ["m29", "early"], "early": ["m25"], "root2": None}
+        day = {s: i for i, s in enumerate(sorted(parents, key=lambda s: (int(s.strip("mabeorlyt") or 0), s)))} | {"early": -5}
+        rows_ = [(s, p, datetime(2020, 1, 1) + timedelta(days=day[s])) for s, p in parents.items()]
+        return parents, spark.createDataFrame([*rows_, rows_[0]], "sha string, parents array<string>, committed_at timestamp_ntz")
+
+    @pytest.mark.parametrize("size", [4, 1000])
+    def test_closure(self, spark, size):
+        parents, commits = self.graph(spark)
+
+        def closure(tip):
+            out, todo = set(), [tip]
+            while todo:
+                s = todo.pop()
+                if s in parents and s not in out:
+                    out.add(s)
+                    todo += parents[s] or []
+            return out
+
+        tips = [(1, "m39"), (2, "b1"), (2, "a1"), (3, "root2"), (4, "nowhere")]
+        got = rows(reach.reachable(commits, spark.createDataFrame(tips, "branch_id long, sha string"), size), "branch_id", "sha")
+        assert got == sorted({(b, s) for b, t in tips for s in closure(t)}, key=repr)
+        if size == 1000:
+            since = spark.createDataFrame([(1, "m20")], "branch_id long, sha string")
+            log = rows(reach.branch_log(commits.dropDuplicates(["sha"]), spark.createDataFrame(tips[:1], "branch_id long, sha string"), since), "sha", "pos")
+            assert {s for s, _ in log} == closure("m39") - closure("m20") and max(p for _, p in log) == len(closure("m39"))
+
+    def test_tree_changes(self, spark):
+        trees = {
+            1: {"a/x": "1", "a/y": "2", "b/c/d/e": "3", "b/c/f": "4", "top": "5", "same/" + "deep/" * 4 + "z": "6"},
+            2: {"a/x": "1", "a/y": "9", "b/c/d/e": "3", "new/n": "4", "top": "5", "same/" + "deep/" * 4 + "z": "6", "a/w/v": "1"},
+            3: {"a": "1", "b/c/d/e": "3"}, 4: {},
+        }
+        files = spark.createDataFrame([(c, p, b, "mine") for c, t in trees.items() for p, b in t.items()] + [(1, "top", "5", "mine")], "commit long, path string, blob string, node string")
+        pairs = [(1, None), (2, 1), (3, 2), (4, 3)]
+        roots, nodes = reach.tree_nodes(files)
+        want = []
+        for c, p in pairs:
+            new, old = trees[c], trees.get(p, {})
+            want += [(c, x, "A" if x not in old else "D" if x not in new else "M") for x in {*new, *old} if new.get(x) != old.get(x)]
+        assert rows(reach.tree_changes(roots, nodes, spark.createDataFrame(pairs, "commit long, parent long")), "commit", "path", "status") == sorted(want, key=repr)
+        odd = rows(reach.tree_changes(roots, nodes, spark.createDataFrame([(1, 1), (3, 77)], "commit long, parent long")), "commit", "path", "status")
+        assert odd == [(3, "a", "A"), (3, "b/c/d/e", "A")]
+        shared = rows(nodes.filter("name = 'deep'"))
+        assert len(shared) == 4  # the chain of equal folders is kept once for both commits
+        assert rows(reach.tree_changes(*reach.tree_nodes(files.limit(0)), spark.createDataFrame([(1, None)], "commit long, parent long"))) == []
