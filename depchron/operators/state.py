@@ -113,7 +113,7 @@ def stored_state_at(spark: SparkSession, path: str, events: DataFrame, refs: Dat
     """State at each reference (ref, branch_id, pos) from stored snapshots: the nearest one at or before it, and the events since then replayed.
 
     Which snapshots there are is told by the names of the folders; only those that are needed are read (partitions are pruned by a broadcast of
-    the needed positions, a row for each reference). Of the events, those between a snapshot and its reference count, the last of each key. A reference
+    the needed positions, a row for each reference, up to ``FEW`` of them). Of the events, those between a snapshot and its reference count, the last of each key. A reference
     before the first snapshot is replayed from the beginning.
     """
     snapshots = spark.read.parquet(path).withColumns({"branch_id": F.col("branch_id").cast("long"), "at": F.col("at").cast("long")})
@@ -122,8 +122,11 @@ def stored_state_at(spark: SparkSession, path: str, events: DataFrame, refs: Dat
     near = there.join(asked, "branch_id").filter("stored <= pos").groupBy("ref", "branch_id", "pos").agg(F.max("stored").alias("stored"))
     near = written(asked.join(near, ["ref", "branch_id", "pos"], "left").select("ref", "branch_id", "pos", F.coalesce("stored", F.lit(0)).alias("stored")), "nearest")
     columns = [c for c in STATE if c not in KEY]
-    base = snapshots.join(F.broadcast(near.withColumn("at", F.col("stored"))), ["branch_id", "at"])
-    since = events.join(near.hint("broadcast"), "branch_id").filter((events["pos"] > near["stored"]) & (events["pos"] <= near["pos"]))
+    small = F.broadcast if near.count() <= FEW else lambda df: df
+    # Spark prunes partitions by a side that is filtered: this filter keeps all rows
+    needed = near.withColumn("at", F.col("stored")).filter(F.col("at") >= 0)
+    base = snapshots.join(small(needed), ["branch_id", "at"])
+    since = events.join(small(near), "branch_id").filter((events["pos"] > near["stored"]) & (events["pos"] <= near["pos"]))
     base = base.select("ref", *KEY, *columns, F.col("stored").alias("__at"), F.lit(True).alias("__there"), F.col("pos").alias("at"))
     since = since.select("ref", *KEY, *columns, events["pos"].alias("__at"), (F.col("change_type") != "removed").alias("__there"), near["pos"].alias("at"))
     last = base.unionByName(since).groupBy("ref", "at", *KEY).agg(F.max_by(F.struct("__there", *columns), "__at").alias("__s"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from datetime import datetime, timedelta
 
@@ -497,3 +498,49 @@ class TestReach:
         shared = rows(nodes.filter("name = 'deep'"))
         assert len(shared) == 4  # the chain of equal folders is kept once for both commits
         assert rows(reach.tree_changes(*reach.tree_nodes(files.limit(0)), spark.createDataFrame([(1, None)], "commit long, parent long"))) == []
+
+
+class TestStored:
+    def events(self, spark):
+        r = random.Random(5)
+        rows_ = []
+        for b in (1, 2):
+            for name in "abcdefgh":
+                there = False
+                for pos in sorted(r.sample(range(1, 60), 12)):
+                    kind = "removed" if there and r.random() < 0.4 else "modified" if there else "added"
+                    there = kind != "removed"
+                    rows_.append((b, pos, "m", name, "npm", "lockfile", f"{pos}" if there else None, "runtime", None, kind))
+        columns = "branch_id long, pos long, path string, name string, ecosystem string, kind string, version string, scope string, integrity string, change_type string"
+        return spark.createDataFrame(rows_, columns)
+
+    def test_replayed(self, spark, tmp_path):
+        events = self.events(spark)
+        intervals = ch.state_intervals(events)
+        refs = spark.createDataFrame([(f"r{p}", b, p) for b in (1, 2) for p in (0, 1, 7, 30, 31, 59, 99)], "ref string, branch_id long, pos long")
+        state.store_snapshots(intervals, events, f"{tmp_path}/s", every=5)
+        files = lambda b: {(p, p.stat().st_mtime_ns) for p in tmp_path.glob(f"s/branch_id={b}/*/*.parquet")}
+        before = files(1), files(2)
+        want = rows(state.state_at(intervals, refs), "ref", "at", *state.STATE)
+        found = state.stored_state_at(spark, f"{tmp_path}/s", events, refs)
+        assert rows(found, "ref", "at", *state.STATE) == want and len(want) > 30
+        assert rows(state.state_at(intervals, refs, bucket=8, few=0), "ref", "at", *state.STATE) == want
+        state.store_snapshots(intervals.filter("branch_id = 1"), events.filter("branch_id = 1"), f"{tmp_path}/s", every=5)
+        assert files(2) == before[1] and not files(1) & before[0]
+        assert rows(state.stored_state_at(spark, f"{tmp_path}/s", events, refs), "ref", "at", *state.STATE) == want
+        assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+    def test_spans(self, spark):
+        events = self.events(spark)
+        intervals = ch.state_intervals(events)
+        refs = spark.createDataFrame([(n, b, p) for b in (1, 2) for n, p in (("a", 10), ("b", 30), ("head", 59))], "ref string, branch_id long, pos long")
+        of = lambda n: state.state_at(intervals, refs.filter(F.col("ref") == n))
+        for given, (old, new) in {("a", "b"): ("a", "b"), ("a..b",): ("a", "b"), ("a..",): ("a", "head"), ("b",): ("b", "head"), ("b..a",): ("b", "a")}.items():
+            assert rows(state.diff_refs(intervals, refs, *given)) == rows(state.diff_states(of(old), of(new)))
+        before = refs.filter("ref = 'head'").withColumn("pos", F.col("pos") - 1)
+        assert rows(state.diff_refs(intervals, refs)) == rows(state.diff_states(state.state_at(intervals, before), of("head")))
+
+    def test_few_references_shuffle_no_intervals(self, v):
+        at = state.state_at(v.intervals, v.refs.filter("ref <> 'head'"))._jdf.queryExecution().executedPlan().toString()
+        alone = v.intervals._jdf.queryExecution().executedPlan().toString()
+        assert at.count("Exchange hash") == alone.count("Exchange hash") < 8
