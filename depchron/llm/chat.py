@@ -110,7 +110,11 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def from_turns(rows: DataFrame) -> DataFrame:
-    """A table of finished turns as an event log: every row opens a message of its own, in order of turn, role and text."""
+    """A table of finished turns as an event log: every row opens a message of its own, in order of turn, role and text.
+
+    Rows of a null conversation are one conversation; a null turn, role or text comes first among its like. Repeated rows are messages each; other
+    columns are dropped; an empty table gives no rows.
+    """
     at = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text")).cast("long")
     return rows.select("conv_id", at.alias("msg"), at.alias("seq"), F.lit("message").alias("kind"), "role", "text")
 

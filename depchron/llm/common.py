@@ -24,6 +24,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, or what it takes to differ from all of ``columns`` in either case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def order_key(seed: str, *cols: Column) -> Column:
     """A seeded pseudo-random key in [0, 2^60), the same in any run and on any cluster."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("null")) for c in cols])

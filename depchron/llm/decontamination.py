@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from depchron.llm import common
 from depchron.sources.work import shipped, table, written
 
 N = 13
@@ -112,8 +113,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "tex
     """``docs`` as struct ``row`` with n_words, ``hits`` (merged stretches of words, in order) and ``items`` (sorted ids).
 
     A null text has no words. Benchmark rows without words have no windows; the windows of rows without an id hit, but are
-    in no list of items; rows that share an id are one item. Repeated documents are scanned each. Empty tables on
-    either side give no hits.
+    in no list of items; rows that share an id are one item. Repeated documents are scanned each, whole texts of any length. Columns of ``docs``
+    stand in the struct, whatever their names. Empty tables on either side give no hits.
     """
     spark = shipped(docs.sparkSession)
     items = benchmark.filter(F.col("text").isNotNull()).select(F.col("item_id").cast("string").alias("item"), "text")
@@ -122,7 +123,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text_col: str = "tex
     rows = docs.select(row.alias("row"), F.col(text_col).cast("string").alias("__text"))
 
     def part(frame: DataFrame, i: int) -> DataFrame:
-        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(parts)) == i)
+        own = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == i)
         windows = spark.sparkContext.broadcast(Windows([(r["item"], r["text"]) for r in own.collect()], n))
         return frame.mapInArrow(_scanner(windows), T.StructType([*frame.schema.fields[:-1], *FOUND.fields]))
 
@@ -188,7 +189,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
     Null and empty texts stay as they are, and columns of any other name; an empty table gives no rows.
     """
-    found = hits(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("hits").alias("__hits"))
+    found = hits(docs, benchmark, text_col=text_col, **options).select("row.*", F.col("hits").alias(common.free_name(docs.columns, "hits")))
     return found.mapInArrow(_cutter(docs.columns.index(text_col)), docs.schema)
 
 

@@ -28,6 +28,8 @@ from depchron.sources.work import shipped, table
 SAMPLE = 4000
 #: Most frequent n-grams kept per language.
 GRAMS = 6000
+#: Most languages of one model; their filter takes 256 MB.
+MOST = 8192
 #: Bits of a cell's address, and cells per n-gram.
 ADDRESS, MIXERS = 18, (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Bytes looked at at a time.
@@ -108,11 +110,14 @@ def learn(labelled: DataFrame, sample: int = SAMPLE, keep: int = GRAMS) -> Model
     """A model from (id, text, lang). Rows without text or language are passed over; no rows give a model without languages.
 
     The sample is taken by a hash of the id and text, so it is the same in any run. What reaches the driver is one
-    row per language and ``keep`` n-grams of each, some languages at a time. All languages are learned.
+    row per language and ``keep`` n-grams of each, some languages at a time. All languages are learned, up to ``MOST``; more are an error, since they are
+    hardly languages: the model goes to all tasks, and takes 2 MB for every 64.
     """
     shipped(labelled.sparkSession)
     rows = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("id", "lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST + 1).collect()
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages to learn: the model would pass {MOST // 64 * (8 << ADDRESS) >> 20} MB")
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
         return Model([], "und", np.zeros((0, 1 << ADDRESS), np.uint64), np.zeros(0))
@@ -161,7 +166,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep_text: b
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1). A text that is null or has no letter is ``und`` with score 0.
 
     A text whose n-grams are all unknown gets the model's most frequent language with score 0; ties go to the
-    language that is first by name. Columns of ``docs`` with the two names are replaced. Whole texts are read.
+    language that is first by name. Columns of ``docs`` with the two names are replaced. Whole texts are read, of any length; repeated rows are each
+    predicted, alike; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c.lower() not in ("lang_pred", "score") and (keep_text or c != text_col)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("__text"))

@@ -1,18 +1,19 @@
 """Mixing sources to target weights by weighted fair queueing.
 
-Every source is a flow that sends its documents in a seeded random order, up to ``epochs`` times over. A document's
-virtual finish time is the source's tokens sent so far, itself included, divided by the source's weight. In the queue
-of all sources, sorted by finish time, the budget is spent at one level of virtual time: up to it each source has sent
-tokens in proportion to its weight. A source that has sent all its epochs leaves, and the others share what it leaves by
-weight, which raises the level.
-
-The level follows from the totals of the sources alone, so the queue is cut there by comparing finish times, without
-sorting it. A document that is being sent when the level is reached counts with the words sent until then, so
-each source meets its target to less than a word. ``in_order`` sorts what was taken by ranges of finish time.
+Every source is a flow that sends its documents in a seeded random order, up to ``epochs`` times over. A sending's virtual finish time
+is the source's tokens sent until its end, divided by the source's weight. All sendings of all sources form one queue,
+sorted by finish time over ranges of it, and the queue is cut where what has been sent reaches the budget: up to a finish time, a source has
+sent its weight times that time, or all it has if its last sending has left the queue before; then the others share what it leaves, by weight.
+
+The cut is one virtual time for all. A document whose sending ends before it is taken whole; the one that each source is sending then counts
+with the words sent until then, so each source meets its target to less than a word.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,45 +23,63 @@ from depchron.sources.work import table, written
 
 #: Weights by the source's place in code point order, repeating.
 WEIGHTS = (3, 1, 2)
-#: Most rounds of resharing; every round but the last fills at least one source, and nearly always many.
-ROUNDS = 10_000
 
 
-def levels(sizes: DataFrame, weights: tuple[int, ...], per_cent: int, epochs: int) -> DataFrame:
-    """(source, none, size) -> weight, source_size, target and ``send``, the target in whole tokens; one row per source.
-
-    Sources are ranked by ranges of their names, and the level is found by sums over all sources, a row a round: those whose
-    cap, ``epochs`` times their size, lies below it leave, until none does. All comparisons are between whole numbers.
-    Targets are cut to whole tokens, and what that leaves of the budget goes to those that lost most, a token each.
-    """
+def weighed(sizes: DataFrame, weights: tuple[int, ...]) -> DataFrame:
+    """(source, none, size) with ``rank``, the source's place in code point order, null last, and its ``weight``; sources are ranked by ranges of their names."""
     n = common.ranges(sizes.sparkSession)
     dealt = written(sizes.repartitionByRange(n, "none", "source").withColumn("__part", F.spark_partition_id()).withColumn("__all", F.lit(0)), "mix-sources")
     ranked = common.running_sum(dealt, ["__all"], "__part", ["none", "source"], F.lit(1), "rank", "__n")
     weight = F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int")).cast("long")
-    ranked = written(ranked.select("__all", "source", "none", "rank", "size", weight.alias("weight"), (epochs * F.col("size")).alias("cap")), "mix-sources")
-    total = ranked.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("size")).first()["size"]
-    over = under = 0  # 100 x the level is over / under
-    full = F.lit(False)
-    for _ in range(ROUNDS):
-        r = ranked.agg(
-            F.coalesce(F.sum(F.when(full, F.col("cap"))), F.lit(0)).alias("caps"),
-            F.coalesce(F.sum(F.when(~full, F.col("weight"))), F.lit(0)).alias("weights")
-        ).first()
-        found = (per_cent * total - 100 * r["caps"], r["weights"])
-        if found == (over, under):
-            break
-        over, under = found
-        # decimals of scale 0: these products pass 2^63
-        full = F.col("cap").cast("decimal(38,0)") * F.lit(100 * under).cast("decimal(38,0)") <= F.col("weight").cast("decimal(38,0)") * F.lit(over).cast("decimal(38,0)") if under else F.lit(True)
-    target = F.when(full, F.col("cap").cast("double")).otherwise((F.col("weight") * F.lit(over).cast("long")).cast("double") / F.lit(100.0 * (under or 1)))
-    whole = written(ranked.select("*", full.alias("full"), target.alias("target")).withColumn("lost", F.col("target") - F.floor("target")), "mix-targets")
+    return written(ranked.select("source", "none", "rank", "size", weight.alias("weight")), "mix-sources")
+
+
+def queue(sent: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame:
+    """All sendings of documents (cum, weight, source_size, size), range-sorted by finish time: (finish, leaves, weight, part).
+
+    ``finish`` is the virtual finish time as a whole number, times the least common multiple of the weights; ``leaves`` is all that the source has sent, at its
+    last sending, else null. ``part`` is the range, which rises with the finish time.
+    """
+    sendings = sent.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
+    ends = F.col("epoch") * F.col("source_size") + F.col("cum")
+    last = (F.col("epoch") == epochs - 1) & (F.col("cum") == F.col("source_size"))
+    whole = math.lcm(*weights)
+    rows = sendings.select((ends * (F.lit(whole) / F.col("weight")).cast("long")).alias("finish"), F.when(last, ends).alias("leaves"), "weight")
+    n = common.ranges(sent.sparkSession)
+    return written(rows.repartitionByRange(n, "finish").sortWithinPartitions("finish").withColumn("part", F.spark_partition_id()), "mix-queue")
+
+
+def cut(queued: DataFrame, total: int, flows: int, weights: tuple[int, ...], per_cent: int) -> tuple[int, int]:
+    """(over, under): the virtual time at which ``per_cent`` of ``total`` tokens have been sent is over / under / 100; ``flows`` is the sum of all weights.
+
+    At a row's finish time, what has been sent is what the sources that have left had, and the time times the weights of the others: two running sums
+    over the queue, each range on its own with the sums of earlier ranges as offsets. The rows within the budget tell the cut. If all sources leave, under is 0.
+    """
+    gone = {"caps": F.coalesce("leaves", F.lit(0)), "weights": F.when(F.col("leaves").isNotNull(), F.col("weight")).otherwise(0)}
+    of_part = queued.groupBy("part").agg(*[F.sum(c).alias(k) for k, c in gone.items()])
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = of_part.select("part", *[F.coalesce(F.sum(k).over(earlier), F.lit(0)).alias(f"{k}_before") for k in gone])
+    inside = Window.partitionBy("part").orderBy("finish").rangeBetween(Window.unboundedPreceding, 0)
+    at = queued.join(offsets, "part").select("finish", *[(F.col(f"{k}_before") + F.sum(c).over(inside)).alias(k) for k, c in gone.items()])
+    big = lambda x: x.cast("decimal(38,0)") if not isinstance(x, int) else F.lit(x).cast("decimal(38,0)")
+    whole = math.lcm(*weights)
+    sent = big(F.col("caps")) * big(whole) + big(F.col("finish")) * (big(flows) - big(F.col("weights")))
+    within = at.filter(sent * big(100) <= big(per_cent * total * whole)).agg(F.max("caps").alias("caps"), F.max("weights").alias("weights")).first()
+    return per_cent * total - 100 * int(within["caps"] or 0), flows - int(within["weights"] or 0)
+
+
+def targets(sources: DataFrame, over: int, under: int, per_cent: int, epochs: int, total: int) -> DataFrame:
+    """``sources`` with source_size, target and ``send``, the target in whole tokens: cut, and what that leaves goes to those that lost most, a token each."""
+    n = common.ranges(sources.sparkSession)
+    cap = epochs * F.col("size")
+    full = F.lit(True) if not under else cap.cast("decimal(38,0)") * F.lit(100 * under).cast("decimal(38,0)") <= F.col("weight").cast("decimal(38,0)") * F.lit(over).cast("decimal(38,0)")
+    target = F.when(full, cap.cast("double")).otherwise((F.col("weight") * F.lit(over).cast("long")).cast("double") / F.lit(100.0 * (under or 1)))
+    whole = written(sources.select("*", full.alias("full"), target.alias("target")).withColumn("lost", F.col("target") - F.floor("target")), "mix-targets")
     spare = per_cent * total // 100 - (whole.agg(F.sum(F.floor("target"))).first()[0] or 0)
-    by_loss = common.running_sum(
-        whole.withColumn("__part", F.floor((1 - F.col("lost")) * n)), ["__all"], "__part", [F.desc("lost"), "rank"], F.lit(1), "place",
-        "__n"
-    )
+    by_loss = whole.withColumns({"__part": F.floor((1 - F.col("lost")) * n), "__all": F.lit(0)})
+    by_loss = common.running_sum(by_loss, ["__all"], "__part", [F.desc("lost"), "rank"], F.lit(1), "place", "__n")
     send = F.floor("target") + (~F.col("full") & (F.col("place") <= spare)).cast("long")
-    return by_loss.select("source", "none", "weight", F.col("size").alias("source_size"), "target", send.alias("send"))
+    return by_loss.select("source", "none", "target", send.alias("send"))
 
 
 def mix(
@@ -73,7 +92,7 @@ def mix(
     more than ``epochs`` times its size. ``finish`` is the virtual finish time when the document is first sent. A null
     source is a source of its own, last in order; a null or empty text has size 0, stays, and is taken 0 times. A null id
     is like any value. Repeated rows are documents of their own; of equal ids the smaller size is sent first. Columns
-    of ``docs`` with these five names are replaced. An empty table gives no rows.
+    of ``docs`` with these five names are replaced; others may have any name. An empty table gives no rows.
     """
     n, out = common.ranges(docs.sparkSession), ("size", "source_size", "target", "taken", "finish")
     rows = docs.select(
@@ -85,12 +104,20 @@ def mix(
         common.order_key(seed, F.col(id_col)).alias("__key"),
     ).withColumn("__part", common.key_range(F.col("__key"), n))
     rows = written(rows, "mix-rows")
-    plan = levels(rows.groupBy("source", "none").agg(F.sum("size").cast("long").alias("size")), weights, per_cent, epochs)
-    sent = common.running_sum(rows, ["source", "none"], "__part", ["__key", "__id", "size"], F.col("size"), "__cum", "__sent", plan)
-    rest = F.pmod(F.col("send"), F.greatest("source_size", F.lit(1))) - (F.col("__cum") - F.col("size"))
-    times = F.floor(F.col("send") / F.greatest("source_size", F.lit(1)))
-    taken = times * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest))
-    return sent.select("__row.*", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("__cum") / F.col("weight")).alias("finish"))
+    sources = weighed(rows.groupBy("source", "none").agg(F.sum("size").cast("long").alias("size")), weights)
+    sums = sources.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total"), F.coalesce(F.sum("weight"), F.lit(0)).alias("flows")).first()
+    of_source = sources.select("source", "none", "weight", F.col("size").alias("source_size"))
+    sent = common.running_sum(rows, ["source", "none"], "__part", ["__key", "__id", "size"], F.col("size"), "cum", "__sent", of_source)
+    sent = written(sent.select("__row", "source", "none", "size", "source_size", "weight", "cum", "__part"), "mix-sent")
+    over, under = cut(queue(sent, weights, epochs), sums["total"], sums["flows"], weights, per_cent)
+    plan = targets(sources, over, under, per_cent, epochs, sums["total"])
+    # a source's target meets its rows by (source, range), so no row meets it under a hot key
+    each = plan.join(sent.select("source", "none", "__part").distinct(), ["source", "none"])
+    unsent = lambda e: e * F.col("source_size") + F.col("cum") - F.col("send")
+    part = lambda e: F.col("size") - F.least(F.col("size"), F.greatest(F.lit(0), unsent(e)))
+    taken = reduce(lambda a, b: a + b, [part(e) for e in range(epochs)])
+    done = sent.join(each, ["source", "none", "__part"])
+    return done.select("__row.*", "size", "source_size", "target", taken.cast("long").alias("taken"), (F.col("cum") / F.col("weight")).alias("finish"))
 
 
 def token_count(text: Column) -> Column:
@@ -105,15 +132,20 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", t
     numbers go through the queues; the texts move once, when the repeats are joined back. Columns of any other name are
     carried along, whatever they are called. An empty table gives no rows.
     """
-    narrow = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__s"), token_count(F.col(text_col)).alias("__n")).filter("__id IS NOT NULL")
-    taken = mix(narrow, F.col("__n"), id_col="__id", source_col="__s", **options).filter("taken > 0")
-    times = written(taken.groupBy("__id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times")), "mix-repeats")
-    joined = docs.join(times.hint("merge"), docs[id_col] == times["__id"])
-    return joined.withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    packed = docs.select(row, F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("flow"), F.col(f"`{text_col}`").alias("text")).filter("id IS NOT NULL")
+    narrow = packed.select("id", "flow", token_count(F.col("text")).alias("n"))
+    taken = mix(narrow, F.col("n"), id_col="id", source_col="flow", **options).filter("taken > 0")
+    times = written(taken.groupBy("id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("times")), "mix-repeats")
+    joined = packed.select("row", "id").join(times.hint("merge"), "id")
+    return joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def in_order(taken: DataFrame, partitions: int | None = None) -> DataFrame:
-    """What ``mix`` took as one queue: rows with taken words, sorted over all partitions by ranges of finish time."""
+    """What ``mix`` took as one queue: rows with taken words, sorted over all partitions by ranges of finish time.
+
+    Rows that nothing is taken of (null and empty texts) are left out; ties stand in any order; repeated rows and other columns stay as they are.
+    """
     rows = taken.filter("taken > 0")
     return (rows.repartitionByRange(partitions, "finish") if partitions else rows.repartitionByRange("finish")).sortWithinPartitions("finish")
 

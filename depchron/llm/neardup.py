@@ -452,15 +452,20 @@ def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", t
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """One document of each class, the one with the smallest id, with its own columns; of rows that share that id, one."""
+    """One document of each class, the one with the smallest id, with its own columns; of rows that share that id, one.
+
+    Rows with a null id or text stay, all of them. Whole texts of any length are compared; equal texts are one class. Columns may have any
+    name. An empty table gives no rows.
+    """
     found = classes(docs, id_col=id_col, **options)
-    drop = written(found.filter("id != class_id").select(F.col("id").alias("__id")).distinct(), "dropped")
-    kept = docs.join(drop.hint("merge"), F.col(id_col).cast("long") == F.col("__id"), "left_anti")
-    twice = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).count().filter("count > 1")
+    drop = written(found.filter("id != class_id").select("id").distinct(), "dropped")
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"))
+    kept = packed.join(drop.hint("merge"), "id", "left_anti")
+    twice = packed.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select("id")
     if twice.isEmpty():
-        return kept
-    again = kept.join(twice.select(id_col), id_col, "left_semi").dropDuplicates([id_col])
-    return kept.join(twice.select(id_col), id_col, "left_anti").unionByName(again)
+        return kept.select("row.*")
+    again = kept.join(twice, "id", "left_semi").dropDuplicates(["id"])
+    return kept.join(twice, "id", "left_anti").unionByName(again).select("row.*")
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,7 +88,9 @@ def tail(a: Column, b: Column, limit: Column) -> Column:
     at = F.transform(F.sequence(F.lit(-STEPS), F.lit(STEPS)), lambda k: middle + k * STEP * width)
     points = F.transform(at, lambda t: F.struct(t.alias("t"), F.exp(density(t) - density(middle)).alias("p")))
     total = lambda v, of: F.aggregate(v, F.lit(0.0), lambda s, x: s + of(x))
-    beyond = lambda x: F.when(x["t"] > F.log(limit / (1 - limit)), x["p"]).otherwise(0.0)
+    # each point stands for a cell of a step around it; of the cell that holds the limit, the part beyond it counts
+    share = lambda t: F.least(F.lit(1.0), F.greatest(F.lit(0.0), (t - F.log(limit / (1 - limit))) / (STEP * width) + 0.5))
+    beyond = lambda x: x["p"] * share(x["t"])
     return common.let(points, lambda v: total(v, beyond) / total(v, lambda x: x["p"]))
 
 
@@ -119,24 +121,17 @@ def host_verdicts(marked: DataFrame, odds: float = ODDS, least: float = LEAST, s
     return hosts.select("__host", "__none", worst.alias("worst_rate"), risk.alias("risk")).withColumn("host_failed", F.col("risk") > sure)
 
 
-def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", drop_text: bool = False, thin: bool = False, **limits) -> DataFrame:
-    """``docs`` with the measures, ``base_failed``, ``worst_rate`` and ``risk`` (the host's) and ``kept``.
-
-    ``thin`` leaves the columns of ``docs`` null where a document fails by itself, so that its text isn't carried on.
-    A null or empty text has no words and fails; a null host is a host of its own; repeated rows each count.
-    Columns of ``docs`` with the names of added ones are replaced. An empty table gives no rows.
-    """
-    added = {*MEASURES, "n_lines", "base_failed", "worst_rate", "risk", "kept"}
-    row = [c for c in docs.columns if c.lower() not in added]
-    narrow = [c for c in row if not (drop_text and c == text_col)]
-    marked = measured(docs.select(*[F.col(f"`{c}`") for c in row]), text_col).select(
-        F.struct(*[F.col(f"`{c}`") for c in narrow]).alias("__row"),
-        F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("__host"), F.col(host_col).isNull().alias("__none"),
-        "__w.*", "__l.*", "word_chars", "n_symbols", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in narrow]), F.lit(SALTS)).cast("int").alias("__salt"),
-    )
+def _judged(docs: DataFrame, columns: list[str], text_col: str, host_col: str, thin: bool, **limits) -> DataFrame:
+    """The struct ``row`` of the ``columns`` of ``docs``, beside the measures and verdicts, so that no two names can meet."""
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")
+    host = F.col(f"`{host_col}`")
+    packed = docs.select(row, F.coalesce(host.cast("string"), F.lit("")).alias("__host"), host.isNull().alias("__none"), F.col(f"`{text_col}`").alias("text"))
+    marked = measured(packed).select(
+        "row", "__host", "__none", "__w.*", "__l.*", "word_chars", "n_symbols", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("__salt")
+    )
     failed = F.col("__f_few_words") | F.col("__f_repeats")
     marked = marked.withColumns({f"__f_{k}": v for k, v in failures().items()})
-    marked = written(marked.withColumn("__row", F.when(~failed, F.col("__row"))) if thin else marked, "quality")
+    marked = written(marked.withColumn("row", F.when(~failed, F.col("row"))) if thin else marked, "quality")
     hosts = written(host_verdicts(marked, **limits), "hosts")
     if hosts.count() <= BROADCAST_HOSTS:
         joined = marked.join(F.broadcast(hosts), ["__host", "__none"], "left")
@@ -144,13 +139,28 @@ def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", dro
         salted = hosts.withColumn("__salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
         joined = marked.join(salted, ["__host", "__none", "__salt"], "left")
     return joined.select(
-        "__row.*", *MEASURES, "n_lines", failed.alias("base_failed"), "worst_rate", "risk", (~failed & ~F.col("host_failed")).alias("kept")
+        "row", *MEASURES, "n_lines", failed.alias("base_failed"), "worst_rate", "risk", (~failed & ~F.col("host_failed")).alias("kept")
     )
 
 
-def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that pass, with their own columns."""
-    return judge(docs, thin=True, **options).filter("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+def judge(docs: DataFrame, text_col: str = "text", host_col: str = "source", drop_text: bool = False, **limits) -> DataFrame:
+    """``docs`` with the measures, ``base_failed``, ``worst_rate`` and ``risk`` (the host's) and ``kept``.
+
+    A null or empty text has no words and fails; a null host is a host of its own; repeated rows each count; whole texts are measured, of any
+    length. Columns of ``docs`` with the names of added ones are replaced, and no other name clashes. An empty table gives no rows.
+    """
+    added = {*MEASURES, "n_lines", "base_failed", "worst_rate", "risk", "kept"}
+    columns = [c for c in docs.columns if c.lower() not in added and not (drop_text and c == text_col)]
+    return _judged(docs, columns, text_col, host_col, False, **limits).select("row.*", *MEASURES, "n_lines", "base_failed", "worst_rate", "risk", "kept")
+
+
+def keep(docs: DataFrame, text_col: str = "text", host_col: str = "source", **limits) -> DataFrame:
+    """The documents that pass, with all their own columns as they are, whatever their names.
+
+    A null or empty text fails; a null host is a host of its own; of repeated rows all pass or none; whole texts are measured, of any length.
+    Texts that fail by themselves aren't carried on. An empty table gives no rows.
+    """
+    return _judged(docs, docs.columns, text_col, host_col, True, **limits).filter("kept").select("row.*")
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,8 +193,8 @@ y AS (SELECT source, x, x + mean * strength AS a, n - x + (1 - mean) * strength
   greatest(0.1, 4.0 * mean / (1 - mean + 4.0 * mean)) AS top FROM h JOIN p ON h.rule = p.rule),
 o AS (SELECT *, ln(a / b) AS middle, 1 / sqrt(a / (a + b) * b) AS width, ln(top / (1 - top)) AS cut FROM y WHERE x > 0 AND mean < 1),
 q AS (SELECT *, list_transform(range(-120, 121), lambda k: middle + k * 0.1 * width) AS points FROM o),
-z AS (SELECT source, list_sum(list_transform(points, lambda t: CASE
-  WHEN t > cut THEN exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))) ELSE 0 END))
+z AS (SELECT source, list_sum(list_transform(points, lambda t: least(1, greatest(0, (t - cut) / (0.1 * width) + 0.5))
+                     * exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle)))))
                      / list_sum(list_transform(points, lambda t: exp(a * t - (a + b) * ln(1 + exp(t)) - a * middle + (a + b) * ln(1 + exp(middle))))) AS risk FROM q),
 v AS (SELECT h.source, coalesce(max(risk), 0) > 0.95 AS host_failed FROM (SELECT DISTINCT source FROM h) h
   LEFT JOIN z ON h.source IS NOT DISTINCT FROM z.source GROUP BY h.source)

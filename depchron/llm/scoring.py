@@ -309,7 +309,11 @@ def _sum(head):
 
 
 def lexicon(docs: DataFrame, path: str | None = None, rounds: int = ROUNDS) -> DataFrame:
-    """(train, text) -> every word of the corpus with c (count in training texts), n (in all) and p, its log10 likelihood."""
+    """(train, text) -> every word of the corpus with c (count in training texts), n (in all) and p, its log10 likelihood.
+
+    A null text is empty, and is counted with its end alone; repeated rows count each; words may be as long as a text. Other columns of ``docs`` don't matter. An
+    empty table has no words. Without training words the likelihood is that of the pieces' first weights.
+    """
     spark = shipped(docs.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
     counts = docs.select("train", "text").mapInArrow(_count, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
@@ -333,8 +337,9 @@ def score(docs: DataFrame, train: str = "train", text_col: str = "text", path: s
     """``docs`` without the text, with n_tokens, n_known, train_tokens, base_score and score.
 
     ``train`` names a boolean column, true for the rows to learn from. A null text is empty: it has one token, its
-    end. Repeated rows count each. With nothing to learn from, N = V = 0. Columns of those names are replaced. Sums
-    of floats come in no fixed order, so reruns agree to rounding.
+    end. Repeated rows count each. With nothing to learn from, N = V = 0. Columns of those names are replaced; others may have
+    any name. Whole texts are scored, of any length; equal texts score alike; an empty table gives no rows. Sums of floats come in no fixed order, so
+    reruns agree to rounding.
     """
     added = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
     kept = [c for c in docs.columns if c != text_col and c.lower() not in added]

@@ -198,7 +198,7 @@ def token_counts(docs: DataFrame, path: str | None = None, text_col: str = "text
     """``docs`` with ``n_tokens``; a null or empty text has none. A column ``n_tokens`` of ``docs`` is replaced.
 
     ``path`` is the vocabulary file on every node; the public one by default. Whole texts are counted, whatever
-    their length, and repeated rows each.
+    their length, and repeated rows each; an empty table gives no rows.
     """
     kept = [c for c in docs.columns if c.lower() != "n_tokens" and (keep_text or c != text_col)]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.col(text_col).cast("string").alias("__text"))
