@@ -36,9 +36,10 @@ def append_history(commits: DataFrame, links: DataFrame, batch: DataFrame) -> tu
     return new, insert_ignore(links, batch.select("branch_id", "sha", "pos"), ["branch_id", "sha"])
 
 
-def write_history(table: DataFrame, path: str) -> None:
-    """Appends rows as files by branch."""
-    table.write.mode("append").partitionBy("branch_id").parquet(path)
+def write_history(table: DataFrame, path: str, batch: int) -> None:
+    """Adds rows as files by branch and batch. A batch that is written again replaces what it wrote before, so a rerun leaves nothing twice."""
+    rows = table.withColumn("batch", F.lit(batch))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("branch_id", "batch").parquet(path)
 
 
 def high_water_mark(events: DataFrame) -> DataFrame:

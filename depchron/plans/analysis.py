@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depchron.functions import names
 from depchron.operators import advisories as adv
-from depchron.operators import policy, sbom, sinks, state, vulns
+from depchron.operators import kept, policy, sbom, sinks, state, vulns
 from depchron.plans.core import day
 from depchron.plans.registry import query
 from depchron.sources.binding import AS_OF, PRERELEASES, SUFFIXES, Views
@@ -469,19 +469,25 @@ SELECT purl, CASE WHEN k % 3 = 0 AND k % 6 <> 0 THEN 'Relicensed' ELSE license E
 FROM (SELECT *, string_split(name, '-')[2]::BIGINT AS k FROM packages)
 UNION ALL SELECT purl || '-new', license FROM packages WHERE name = 'pkg-1'""")
 def upsert_latest(v: Views) -> DataFrame:
-    return sinks.upsert_latest(v.packages.select("purl", "license", "enriched_at"), _updates(v), ["purl"], "enriched_at").select("purl", "license")
+    """The packages as a kept table, into which the updates are put twice."""
+    path, columns = new_folder(v.spark, "packages"), ("purl", "license", "enriched_at")
+    kept.upsert_table(v.packages.select(*columns), path, ["purl"], "enriched_at", parts=16)
+    for _ in range(2):
+        kept.upsert_table(_updates(v), path, ["purl"], "enriched_at", parts=16)
+    return v.spark.read.parquet(path).select("purl", "license")
 
 
 @query("""
 SELECT id, ecosystem, name FROM advisories WHERE ecosystem <> 'npm' UNION ALL SELECT id || '-R', ecosystem, name FROM advisories
 WHERE ecosystem = 'npm' AND severity = 'low'""")
 def replace_partition(v: Views) -> DataFrame:
-    base = v.advisories.select("id", "ecosystem", "name")
+    """The advisories as files by ecosystem, of which those of one are replaced."""
+    path, columns = new_folder(v.spark, "advisories"), ("id", "ecosystem", "name")
+    kept.replace_partitions(v.advisories.select(*columns), path, ["ecosystem"])
     npm = v.advisories.filter("ecosystem = 'npm'")
-    return sinks.replace_keys(
-        base, npm.filter("severity = 'low'").select(F.concat("id", F.lit("-R")).alias("id"), "ecosystem", "name"), ["ecosystem", "name"],
-        touched=npm
-    )
+    new = npm.filter("severity = 'low'").select(F.concat("id", F.lit("-R")).alias("id"), "ecosystem", "name")
+    kept.replace_partitions(new, path, ["ecosystem"], touched=npm)
+    return v.spark.read.parquet(path).select(*columns)
 
 
 @query("SELECT path, kind FROM manifests UNION ALL SELECT DISTINCT path || '.new', 'manifest' FROM manifests")
@@ -501,8 +507,14 @@ def append_history(v: Views) -> DataFrame:
     of = lambda branch, number, sha: v.commits.filter(F.col("branch_id") == branch).select(
         F.lit(number).cast("long").alias("branch_id"), "pos", sha.alias("sha"), "author_name"
     )
-    commits, linked = sinks.append_history(known, links, of(0, 99, F.col("sha")).unionByName(of(1, 98, F.md5("sha"))))
-    return linked.join(commits, "sha").select("branch_id", "pos", "sha", "author_name")
+    path = new_folder(v.spark, "links")
+    sinks.write_history(links, path, 0)
+    for _ in range(2):  # a batch that is run again leaves nothing twice
+        before = written(v.spark.read.parquet(path).filter("batch = 0").select("branch_id", "sha", "pos"), "links")
+        commits, linked = sinks.append_history(known, before, of(0, 99, F.col("sha")).unionByName(of(1, 98, F.md5("sha"))))
+        sinks.write_history(linked.join(before, ["branch_id", "sha"], "left_anti"), path, 1)
+    stored = v.spark.read.parquet(path).select(F.col("branch_id").cast("long").alias("branch_id"), "sha", "pos")
+    return stored.join(commits, "sha").select("branch_id", "pos", "sha", "author_name")
 
 
 @query("""
@@ -515,9 +527,28 @@ def incremental_update(v: Views) -> DataFrame:
     return sinks.incremental_update(known, v.observations, mark).select("branch_id", "pos", "path", "name", "change_type", "requirement", "previous_version")
 
 
+@query("SELECT branch_id, path, name, pos, change_type, requirement, previous_version FROM changes")
+def kept_history(v: Views) -> DataFrame:
+    """A history kept in three runs, of which the second is run twice and the third fails before its end and is run again."""
+    path, seen = new_folder(v.spark, "history"), written(v.observations, "observations")
+    until = lambda part: seen.join(top, "branch_id").filter(F.col("pos") <= F.floor(F.col("top") * part)).drop("top")
+    top = seen.groupBy("branch_id").agg(F.max("pos").alias("top"))
+    kept.update_history(until(0.5), path, 8)
+    for _ in range(2):
+        kept.update_history(until(0.9), path, 8)
+    version = kept.update_history(seen, path, 8)
+    kept.delete(v.spark, f"{path}/marks/version={version}")
+    kept.update_history(seen, path, 8)
+    return kept.history(v.spark, path).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
+
+
 @query("SELECT branch_id, sha, pos FROM commits WHERE branch_id <> 1")
 def branch_remove(v: Views) -> DataFrame:
-    return sinks.branch_remove(v.commits.select("branch_id", "sha", "pos"), v.branches.filter("branch_id = 1"))
+    """The links as files by branch, of which those of one are removed."""
+    path = new_folder(v.spark, "links")
+    sinks.write_history(v.commits.select("branch_id", "sha", "pos"), path, 0)
+    kept.drop_partitions(v.spark, path, [{"branch_id": 1}])
+    return v.spark.read.parquet(path).select(F.col("branch_id").cast("long").alias("branch_id"), "sha", "pos")
 
 
 @query("SELECT branch_id, path, name, version, scope FROM latest")

@@ -14,7 +14,7 @@ from depchron.functions import names
 from depchron.functions.versions import update_type, version_key
 from depchron.operators import advisories as adv
 from depchron.operators import changes as ch
-from depchron.operators import history, ingest, manifests, policy, reach, sbom, sinks, state, stats, vulns
+from depchron.operators import history, ingest, kept, manifests, policy, reach, sbom, sinks, state, stats, vulns
 from depchron.sources.binding import Views
 from depchron.streaming import changes as stream
 
@@ -411,9 +411,47 @@ class TestSinks:
 
     def test_append(self, spark, tmp_path):
         df = observations(spark, (1, "G", "a", "1"))
+        for batch in (0, 1, 1):
+            sinks.write_history(df, str(tmp_path / "h"), batch)
+        assert rows(spark.read.parquet(str(tmp_path / "h")).groupBy("batch").count()) == [(0, 1), (1, 1)]
+
+    def test_partitions_and_upserts(self, spark, tmp_path):
+        path, df = f"{tmp_path}/t", spark.createDataFrame([(i, f"k {i % 4}" if i % 5 else None) for i in range(40)], "i int, k string")
+        files = lambda: {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("t/*/*.parquet")}
+        kept.replace_partitions(df, path, ["k"])
+        before = files()
+        kept.replace_partitions(spark.read.parquet(path).filter("k = 'k 1'").limit(2).select("i", "k"), path, ["k"], touched=df.filter("k in ('k 1', 'k 2') or k is null").select("k"))
+        left = rows(spark.read.parquet(path).groupBy("k").count())
+        assert left == [("k 0", 8), ("k 1", 2), ("k 3", 8)]
+        assert {f: t for f, t in before.items() if "k%200" in f or "k 0" in f or "k 3" in f or "k%203" in f}.items() <= files().items()
+        kept.drop_partitions(spark, path, [{"k": "k 0"}, {"k": "none"}])
+        assert rows(spark.read.parquet(path).groupBy("k").count()) == [("k 1", 2), ("k 3", 8)]
+        path, row = f"{tmp_path}/u", "k string, t int, v string"
+        kept.upsert_table(spark.createDataFrame([(f"k{i}", 1, "old") for i in range(50)] + [("k1", 0, "older")], row), path, ["k"], "t", 8)
+        before = {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("u/*/*.parquet")}
         for _ in range(2):
-            sinks.write_history(df, str(tmp_path / "h"))
-        assert spark.read.parquet(str(tmp_path / "h")).count() == 2
+            kept.upsert_table(spark.createDataFrame([("k1", 2, "new"), ("k2", 0, "late"), ("new", None, "new")], row), path, ["k"], "t", 8)
+        got = {r["k"]: r["v"] for r in spark.read.parquet(path).collect()}
+        assert len(got) == 51 and (got["k1"], got["k2"], got["new"]) == ("new", "old", "new") and spark.read.parquet(path).count() == 51
+        assert len(before.items() & {str(p): p.stat().st_mtime_ns for p in tmp_path.glob("u/*/*.parquet")}.items()) >= 5
+
+    def test_history_is_not_shuffled(self, spark, tmp_path):
+        path = f"{tmp_path}/h"
+        seen = observations(spark, *[(p, "G", n, str(p)) for p in range(1, 6) for n in "abc"], (6, "G", "a", None))
+        assert kept.update_history(seen.filter("pos <= 3"), path, 4) == 0 == kept.update_history(seen.filter("pos <= 3"), path, 4)
+        assert kept.update_history(seen, path, 4) == 1
+        kept.delete(spark, f"{path}/marks/version=1")  # as if it had failed before its end
+        assert rows(kept.history(spark, path).agg(F.max("pos"))) == [(3,)]
+        assert kept.update_history(seen, path, 4) == 1 == kept.update_history(seen, path, 4)
+        columns = ("branch_id", "pos", "path", "name", "change_type", "requirement", "previous_version")
+        assert rows(kept.history(spark, path), *columns) == rows(ch.changes(seen), *columns)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            last = kept.last_events(spark, path, 1, seen.schema, 4)
+            plan = kept.fresh_events(last, seen, 4)[1]._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert plan.count("Exchange") == 1 and "Bucketed: true" in plan  # the one of the fresh rows
 
     def test_increment_equals_full_build(self, v):
         mark = v.commits.groupBy("branch_id").agg((F.max("pos") - 50).alias("pos"))
