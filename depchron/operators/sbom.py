@@ -29,9 +29,15 @@ def sbom_cyclonedx(parts: DataFrame, created: str, form: str = "json") -> DataFr
         F.lit("CycloneDX").alias("bomFormat"), F.lit("1.5").alias("specVersion"), F.lit(1).alias("version"), meta.alias("metadata"), F.transform("all", lambda x: x["c"]).alias("components")
     )
     if form == "xml":
+        # names with an underscore are attributes; a null is left out
+        licensed = lambda c: F.when(c["licenses"].isNotNull(), F.struct(F.transform(c["licenses"], lambda x: x["license"]).alias("license")))
+        part = lambda c: F.struct(
+            c["type"].alias("_type"), c["bom-ref"].alias("_bom-ref"), c["name"].alias("name"), c["version"].alias("version"), licensed(c).alias("licenses"),
+            c["purl"].alias("purl")
+        )
         flat = F.struct(
-            F.lit("1.5").alias("specVersion"),
-            F.struct(F.transform("all", lambda x: x["c"].dropFields("licenses")).alias("component")).alias("components")
+            F.lit("http://cyclonedx.org/schema/bom/1.5").alias("_xmlns"), F.lit(1).alias("_version"),
+            F.struct(meta["timestamp"].alias("timestamp")).alias("metadata"), F.struct(F.transform("all", lambda x: part(x["c"])).alias("component")).alias("components")
         )
         return listed.select("branch_id", F.to_xml(flat, {"rowTag": "bom"}).alias("document"))
     return listed.select("branch_id", F.to_json(document).alias("document"))

@@ -151,6 +151,18 @@ def sbom_cyclonedx(v: Views) -> DataFrame:
     return listed.select("branch_id", "c.name", "c.version", "c.purl", F.get("c.licenses", F.lit(0))["license"]["id"].alias("license"))
 
 
+@query("""
+SELECT branch_id, l.name, version, 'pkg:' || l.ecosystem || '/' || l.name AS purl, license, 'library' AS type
+FROM latest l LEFT JOIN packages p ON l.ecosystem = p.ecosystem AND l.name = p.name""")
+def sbom_cyclonedx_xml(v: Views) -> DataFrame:
+    """The components as read back from the XML documents."""
+    documents = sbom.sbom_cyclonedx(sbom.components(v.latest, v.packages), f"{AS_OF}T00:00:00Z", "xml")
+    one = "struct<_type:string,name:string,version:string,purl:string,licenses:struct<license:struct<id:string>>>"
+    read = F.from_xml("document", f"components struct<component:array<{one}>>", {"rowTag": "bom"})
+    listed = documents.select("branch_id", F.explode(read["components"]["component"]).alias("c"))
+    return listed.select("branch_id", "c.name", "c.version", "c.purl", F.col("c.licenses.license.id").alias("license"), F.col("c._type").alias("type"))
+
+
 @query("""
 SELECT branch_id, 'SPDXRef-Package-' || (row_number() OVER (PARTITION BY branch_id ORDER BY path, l.name) - 1) AS id, l.name, version,
   coalesce(license, 'NOASSERTION') AS license, 'DEPENDS_ON' AS relationship
@@ -357,16 +369,17 @@ def vuln_log(v: Views) -> DataFrame:
     return found.select("branch_id", "pos", "sha", "author_name", day("committed_at", "committed_on"), "introduced", "fixed", text.alias("events"))
 
 
-@query(EVENTS.format(keys="branch_id, id, name, version").replace("FROM hits))", "FROM hits WHERE ecosystem <> 'cargo' AND rank <= 2))") + """
+@query(EVENTS.format(keys="branch_id, id, name, version").replace("FROM hits))", "FROM hits WHERE ecosystem = 'npm' AND rank <= 2))") + """
 , chosen AS (SELECT e.*, sha FROM events e JOIN commits c ON e.branch_id = c.branch_id AND e.pos = c.pos
-  WHERE event = 'introduced' AND committed_at >= TIMESTAMP '1993-01-01' AND committed_at <= TIMESTAMP '2000-12-31'),
+  WHERE event = 'introduced' AND committed_at >= TIMESTAMP '1993-01-01' AND committed_at <= TIMESTAMP '2000-12-31'
+    AND (author_name ILIKE '%1%' OR author_email ILIKE '%1%')),
 top AS (SELECT DISTINCT branch_id, pos FROM chosen ORDER BY pos DESC, branch_id LIMIT 40)
 SELECT c.branch_id, c.pos, sha, count(*)::BIGINT AS introduced,
   string_agg(id || ' ' || name || ' ' || version, ',' ORDER BY id, name, version) AS events FROM chosen c
   JOIN top t ON c.branch_id = t.branch_id AND c.pos = t.pos GROUP BY ALL""")
 def vuln_log_filtered(v: Views) -> DataFrame:
-    hit = vulns.hits(v.intervals.filter("ecosystem <> 'cargo'"), v.advisories)
-    found = vulns.vuln_log(hit, v.commits, min_severity="medium", since="1993-01-01", until="2000-12-31", only="introduced", limit=40)
+    given = {"ecosystem": "NPM", "min_severity": "medium", "author": "1", "since": "1993-01-01", "until": "2000-12-31"}
+    found = vulns.vuln_log(vulns.hits(v.intervals, v.advisories), v.commits, **given, only="introduced", limit=40)
     text = F.array_join(F.transform("events", lambda e: F.concat_ws(" ", e["id"], e["name"], e["version"])), ",")
     return found.select("branch_id", "pos", "sha", "introduced", text.alias("events"))
 
@@ -572,31 +585,65 @@ def export_csv(v: Views) -> DataFrame:
 # Streams
 
 
+def _delivered(v: Views, rows: DataFrame, source: str) -> None:
+    """Adds rows to a source as one micro-batch of files; a key's rows are in one file."""
+    rows.repartition(v.spark.sparkContext.defaultParallelism, "branch_id", "path", "name").write.mode("append").parquet(source)
+
+
 @query("SELECT branch_id, path, name, pos, change_type, requirement, previous_version FROM changes")
 def changes_stream(v: Views) -> DataFrame:
-    """All observations as three batches of files in order of position, drained as a stream."""
-    source = new_folder(v.spark, "observations")
+    """All observations as two deliveries in order of position, drained as a stream that is begun anew for each."""
+    source, path, checkpoint = new_folder(v.spark, "observations"), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")
     rows = written(v.observations.select("branch_id", "path", "name", "pos", "version", "scope"), "observations")
     top = rows.agg(F.max("pos")).first()[0] or 0
-    files = v.spark.sparkContext.defaultParallelism
-    for k in range(3):
-        # a key's rows of a batch are in one file, so they come in order however files meet in triggers
-        part = rows.filter((F.col("pos") > top * k // 3) & (F.col("pos") <= top * (k + 1) // 3))
-        part.repartition(files, "branch_id", "path", "name").write.mode("append").parquet(source)
-    read = v.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(source)
-    return stream.drained(
-        stream.changes_stream(read), new_folder(v.spark, "events"), new_folder(v.spark, "checkpoint")
-    ).select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
-
-
-@query("SELECT committed_at::DATE AS day, change_type, count(*)::BIGINT AS changes FROM changes c JOIN commits m ON c.commit_id = m.commit_id GROUP BY ALL")
+    for k in range(2):
+        _delivered(v, rows.filter((F.col("pos") > top * k // 2) & (F.col("pos") <= top * (k + 1) // 2)), source)
+        events = stream.changes_stream(v.spark.readStream.schema(rows.schema).parquet(source))
+        done = stream.drained(events, path, checkpoint)
+    return done.filter("NOT late").select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
+
+
+DELIVERED = """
+, first AS (SELECT branch_id, path, name, max(pos) AS top FROM observations WHERE pos % 37 <> 0 GROUP BY ALL),
+late AS (SELECT o.* FROM observations o JOIN first f ON o.branch_id = f.branch_id AND o.path = f.path AND o.name = f.name WHERE pos % 37 = 0 AND pos <= top),
+seen_in_time AS (SELECT *, lag(version) OVER w AS pv, lag(scope) OVER w AS ps FROM (SELECT * FROM observations EXCEPT SELECT * FROM late)
+  WINDOW w AS (PARTITION BY branch_id, path, name ORDER BY pos)),
+newest AS (
+  SELECT branch_id, path, name, max(pos) AS pos, arg_max(CASE WHEN version IS NULL THEN 'removed' WHEN pv IS NULL THEN 'added' ELSE 'modified' END, pos) AS change_type
+  FROM seen_in_time WHERE (version IS DISTINCT FROM pv OR scope IS DISTINCT FROM ps) AND (version IS NOT NULL OR pv IS NOT NULL) GROUP BY ALL)
+"""
+
+
+@query(DELIVERED + "SELECT branch_id, path, name, pos, version, 'late' AS what FROM late UNION ALL SELECT branch_id, path, name, pos, NULL, change_type FROM newest")
+def changes_stream_late(v: Views) -> DataFrame:
+    """Every 37th position is delivered after all others: the rows that come late, and the last event of each key, as the stream keeps them."""
+    source, path, checkpoint = new_folder(v.spark, "observations"), new_folder(v.spark, "kept"), new_folder(v.spark, "checkpoint")
+    rows = written(v.observations.select("branch_id", "path", "name", "pos", "version", "scope"), "observations")
+    for held in (False, True):
+        _delivered(v, rows.filter((F.col("pos") % 37 == 0) == held), source)
+        stream.keep_changes(stream.changes_stream(v.spark.readStream.schema(rows.schema).parquet(source)), path, checkpoint)
+    late = v.spark.read.parquet(f"{path}/late").select("branch_id", "path", "name", "pos", "version", F.lit("late").alias("what"))
+    latest = v.spark.read.parquet(f"{path}/latest").select("branch_id", "path", "name", "pos", F.lit(None).cast("string").alias("version"), F.col("change_type").alias("what"))
+    return late.unionByName(latest)
+
+
+@query("""
+, timed AS (SELECT committed_at, change_type, committed_at >= TIMESTAMP '1998-01-01' OR c.pos % 37 = 0 AS second FROM changes c JOIN commits m ON c.commit_id = m.commit_id),
+marks AS (SELECT max(committed_at) FILTER (NOT second) - INTERVAL 7 DAYS AS w1, max(committed_at) - INTERVAL 7 DAYS AS w2 FROM timed)
+SELECT committed_at::DATE AS day, change_type, count(*)::BIGINT AS changes FROM timed, marks
+WHERE (NOT second OR committed_at::DATE + INTERVAL 1 DAY > w1) AND committed_at::DATE + INTERVAL 1 DAY <= w2 GROUP BY ALL""")
 def changes_per_window(v: Views) -> DataFrame:
-    """Changes per day and type, counted by a stream over files of changes."""
+    """Changes per day and type, as a stream gives them once a day is closed: what comes for a day after that is dropped, and the last days stay open.
+
+    The changes before 1998 are delivered first, but for every 37th position, which comes with those after.
+    """
     rows = v.changes.join(v.commits.select("commit_id", "committed_at"), "commit_id").select(
-        F.col("committed_at").cast("timestamp").alias("committed_at"), "change_type"
+        F.col("committed_at").cast("timestamp").alias("committed_at"), "change_type", "pos"
     )
-    source = new_folder(v.spark, "changes")
-    rows.write.mode("append").parquet(source)
-    counted = stream.changes_per_window(v.spark.readStream.schema(rows.schema).parquet(source))
-    done = stream.drained(counted, new_folder(v.spark, "windows"), new_folder(v.spark, "checkpoint"), mode="complete")
+    rows = written(rows, "changes")
+    source, path, checkpoint = new_folder(v.spark, "changes"), new_folder(v.spark, "windows"), new_folder(v.spark, "checkpoint")
+    second = (F.col("committed_at") >= F.lit("1998-01-01").cast("timestamp")) | (F.col("pos") % 37 == 0)
+    for part in (~second, second):
+        rows.filter(part).write.mode("append").parquet(source)
+        done = stream.drained(stream.changes_per_window(v.spark.readStream.schema(rows.schema).parquet(source)), path, checkpoint)
     return done.select(F.col("window_start").cast("date").alias("day"), "change_type", "changes")

@@ -1,4 +1,4 @@
-"""Change events from a stream of observations."""
+"""Change events from a stream of observations, and counts per window."""
 
 from __future__ import annotations
 
@@ -7,62 +7,103 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from depchron.operators import kept
 from depchron.operators.changes import KEY
-from depchron.sources.work import shipped
-
-EVENTS = "branch_id long, path string, name string, pos long, change_type string, requirement string, previous_version string"
-STATE = "pos long, version string, scope string, late long"
-
-
-def _step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, version, scope, late = state.get if state.exists else (-1, None, None, 0)
-    rows = [x for f in frames for x in zip(f["pos"].tolist(), f["version"].tolist(), f["scope"].tolist(), strict=True)]
-    out = []
-    for pos, now, of in sorted(rows, key=lambda x: x[0]):
-        if pos <= last:
-            late += 1
-            continue
-        if (now, of) != (version, scope) and (now is not None or version is not None):
-            kind = "removed" if now is None else "added" if version is None else "modified"
-            out.append((*key, pos, kind, now if now is not None else version, version if kind == "modified" else None))
-        last, version, scope = pos, now, of
-    state.update((last, version, scope, late))
-    if out:
-        yield pd.DataFrame(out, columns=["branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version"])
-
-
-def changes_stream(observations: DataFrame) -> DataFrame:
-    """The events of ``operators.changes.changes`` from a streaming frame (branch_id, path, name, pos, version, scope).
-
-    The state of a key is its last position, version and scope. Positions are a total order, so a row at or before
-    the last position is late, and is dropped and counted in the state.
+from depchron.sources.work import shipped, written
+
+EVENTS = "branch_id long, path string, name string, pos long, change_type string, requirement string, previous_version string, late boolean"
+STATE = "pos long, version string, scope string"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class LastSeen(StatefulProcessor):
+    """The last position, version and scope of a key as a value that is forgotten after ``ttl`` milliseconds without a row, if there is such a time."""
+
+    def __init__(self, ttl: int | None = None):
+        self.ttl = ttl
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", STATE, self.ttl)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, version, scope = self.last.get() if self.last.exists() else (-1, None, None)
+        known, out = last, []
+        for pos, now, of in sorted((x for f in rows for x in zip(f["pos"].tolist(), f["version"].tolist(), f["scope"].tolist(), strict=True)), key=lambda x: x[0]):
+            if pos <= last:
+                out.append((*key, pos, "late", now, None, True))
+                continue
+            if (now, of) != (version, scope) and (now is not None or version is not None):
+                kind = "removed" if now is None else "added" if version is None else "modified"
+                out.append((*key, pos, kind, now if now is not None else version, version if kind == "modified" else None, False))
+            last, version, scope = pos, now, of
+        if last > known:
+            self.last.update((last, version, scope))
+        yield pd.DataFrame(out, columns=[*KEY, "pos", "change_type", "requirement", "previous_version", "late"], dtype=object)
+
+    def close(self) -> None:
+        pass
+
+
+def changes_stream(observations: DataFrame, ttl: int | None = None) -> DataFrame:
+    """The events of ``operators.changes.changes`` from a streaming frame (branch_id, path, name, pos, version, scope), and the rows that came late.
+
+    The state of a key is its last position, version and scope; with ``ttl`` it is forgotten after so many milliseconds without a row. Positions are a
+    total order, so a row at or before the last position is late: it comes out with ``late`` true, type ``late`` and its version, and changes nothing. Of rows of one
+    key and position in a batch, the first counts.
     """
-    shipped(observations.sparkSession)
-    return observations.groupBy(*KEY).applyInPandasWithState(_step, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    spark = shipped(observations.sparkSession)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = observations.select(*KEY, "pos", "version", "scope")
+    mode = "None" if ttl is None else "ProcessingTime"
+    return rows.groupBy(*KEY).transformWithStateInPandas(LastSeen(ttl), EVENTS, "Append", mode)
 
 
 def changes_per_window(events: DataFrame, lateness: str = "7 days", width: str = "1 day") -> DataFrame:
-    """Changes per window of ``committed_at`` and type; the same code for a stream and a batch."""
+    """Changes per window of ``committed_at`` and type; the same code for a stream and a batch.
+
+    A stream in append mode gives a window once it is closed: when a time has come that lies ``lateness`` after its end. Rows of closed windows are dropped.
+    """
     timed = events.withColumn("committed_at", F.col("committed_at").cast("timestamp"))
     timed = timed.withWatermark("committed_at", lateness) if events.isStreaming else timed
     counted = timed.groupBy(F.window("committed_at", width).alias("w"), "change_type").agg(F.count(F.lit(1)).alias("changes"))
     return counted.select(F.col("w.start").alias("window_start"), "change_type", "changes")
 
 
+def _run(stream: DataFrame, put, checkpoint: str, mode: str) -> None:
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+
+
 def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over what its source holds now and returns what it wrote.
+    """Runs a stream over what its source holds now and returns what it wrote, now and in earlier runs with this checkpoint.
 
     Each micro-batch replaces the folder of its own number, so a batch that is run again after a failure leaves no
     repeats; in complete mode only the last one counts.
     """
-    spark = stream.sparkSession
 
     def put(batch: DataFrame, number: int) -> None:
         target = path if mode == "complete" else f"{path}/batch={number}"
         batch.write.mode("overwrite").parquet(target)
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(path)
+    _run(stream, put, checkpoint, mode)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def keep_changes(stream: DataFrame, path: str, checkpoint: str) -> None:
+    """Runs a stream of ``changes_stream`` over what its source holds now, into three kept tables below ``path``.
+
+    ``events`` and ``late`` have a folder for each micro-batch, which a rerun replaces; ``latest`` is the last event of each key, upserted, so a batch that
+    is put in twice changes nothing.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = written(batch, "micro-batch")
+        events = batch.filter("NOT late").drop("late")
+        events.write.mode("overwrite").parquet(f"{path}/events/batch={number}")
+        batch.filter("late").select(*KEY, "pos", F.col("requirement").alias("version")).write.mode("overwrite").parquet(f"{path}/late/batch={number}")
+        if not events.isEmpty():
+            kept.upsert_table(events, f"{path}/latest", list(KEY), "pos", parts=16)
+
+    _run(stream, put, checkpoint, "append")

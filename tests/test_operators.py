@@ -305,7 +305,8 @@ class TestPolicy:
     def test_documents(self, spark):
         parts = spark.createDataFrame([(1, "G", "a", "1.0", "pkg:gem/a", "MIT"), (1, "G", "b", "2.0", None, None)], "branch_id long, path string, name string, version string, purl string, license string")
         xml = sbom.sbom_cyclonedx(parts, "2001-12-31T00:00:00Z", form="xml").first()["document"]
-        assert "<name>a</name>" in xml and "<purl>pkg:gem/a</purl>" in xml
+        assert "<name>a</name>" in xml and "<purl>pkg:gem/a</purl>" in xml and 'xmlns="http://cyclonedx.org/schema/bom/1.5"' in xml and 'type="library"' in xml
+        assert len(re.findall(r"<licenses>\s*<license>\s*<id>MIT</id>\s*</license>\s*</licenses>", xml)) == 1
         assert '"licenses":[{"license":{"id":"MIT"}}]' in sbom.sbom_cyclonedx(parts, "x").first()["document"]
         assert '"licenseDeclared":"NOASSERTION"' in sbom.sbom_spdx(parts, "p", "x").first()["document"]
 
@@ -468,13 +469,27 @@ class TestSinks:
 
 
 class TestStreams:
-    def test_late_rows_are_dropped(self, spark, tmp_path):
-        source = str(tmp_path / "in")
-        for batch in ([(2, "G", "a", "1"), (1, "G", "a", "0")], [(2, "G", "a", "9"), (3, "G", "a", None)], [(1, "G", "b", "1")]):
+    def test_late_rows_come_out_and_restarts_go_on(self, spark, tmp_path):
+        """Three deliveries, each drained by a stream begun anew; the second is put in twice, as after a failure."""
+        source, kept_ = str(tmp_path / "in"), str(tmp_path / "kept")
+        for batch in ([(2, "G", "a", "1"), (1, "G", "a", "0")], [(2, "G", "a", "9"), (3, "G", "a", None)], [(1, "G", "b", "1"), (1, "G", "b", "2")]):
             observations(spark, *batch).coalesce(1).write.mode("append").parquet(source)
-        read = spark.readStream.schema(OBS).option("maxFilesPerTrigger", 1).parquet(source)
-        got = stream.drained(stream.changes_stream(read), str(tmp_path / "out"), str(tmp_path / "cp"))
-        assert rows(got, "name", "pos", "change_type", "requirement", "previous_version") == [("a", 1, "added", "0", None), ("a", 2, "modified", "1", "0"), ("a", 3, "removed", "1", None), ("b", 1, "added", "1", None)]
+            read = spark.readStream.schema(OBS).parquet(source)
+            stream.keep_changes(stream.changes_stream(read), kept_, str(tmp_path / "cp"))
+        columns = ("name", "pos", "change_type", "requirement", "previous_version")
+        assert rows(spark.read.parquet(f"{kept_}/events"), *columns) == [("a", 1, "added", "0", None), ("a", 2, "modified", "1", "0"), ("a", 3, "removed", "1", None), ("b", 1, "added", "1", None)]
+        assert rows(spark.read.parquet(f"{kept_}/late"), "name", "pos", "version") == [("a", 2, "9"), ("b", 1, "2")]
+        again = spark.read.parquet(f"{kept_}/events").filter("batch = 1").select("branch_id", "path", "name", "pos", "change_type", "requirement", "previous_version")
+        kept.upsert_table(again, f"{kept_}/latest", list(ch.KEY), "pos", parts=16)
+        assert rows(spark.read.parquet(f"{kept_}/latest"), *columns) == [("a", 3, "removed", "1", None), ("b", 1, "added", "1", None)]
+
+    def test_late_rows_of_closed_windows_are_dropped(self, spark, tmp_path):
+        source, day = str(tmp_path / "in"), lambda d: (datetime(2001, 1, d, 5), "added")
+        for batch in ([day(1), day(1), day(20)], [day(1), day(15), day(31)]):
+            spark.createDataFrame(batch, "committed_at timestamp, change_type string").coalesce(1).write.mode("append").parquet(source)
+            read = spark.readStream.schema("committed_at timestamp, change_type string").parquet(source)
+            got = stream.drained(stream.changes_per_window(read), str(tmp_path / "out"), str(tmp_path / "cp"))
+        assert [(r[0].day, r[2]) for r in rows(got)] == [(1, 2), (15, 1), (20, 1)]
 
     def test_windows_in_batch(self, spark):
         df = spark.createDataFrame([(datetime(2001, 1, 1, h), "added") for h in (1, 5)] + [(datetime(2001, 1, 2), "added")], "committed_at timestamp_ntz, change_type string")
