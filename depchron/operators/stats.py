@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from depchron.functions.names import same_text
+from depchron.functions.order import numbered
 from depchron.operators.history import filtered, with_commits
 
 
@@ -57,6 +59,69 @@ def author_stats(events: DataFrame, commits: DataFrame, **filters) -> DataFrame:
     )
 
 
+TYPES = ("added", "modified", "removed")
+
+
+def numbered_commits(commits: DataFrame) -> DataFrame:
+    """(commit_id, number): commits numbered from 0 by time, each once, so that those of a day lie close together; a day is numbered on its own."""
+    once = commits.groupBy("commit_id").agg(F.min("committed_at").alias("committed_at"))
+    placed = numbered(once.withColumns({"__all": F.lit(0), "__day": F.to_date("committed_at")}), ["__all"], "__day", ["committed_at", "commit_id"], "__n")
+    return placed.select("commit_id", (F.col("__n") - 1).alias("number"))
+
+
+def daily_rollup(events: DataFrame, commits: DataFrame) -> DataFrame:
+    """Changes by day, branch, ecosystem and author, with the commits they come from as bitmaps, to be kept and merged.
+
+    (day, branch_id, ecosystem, author_name, author_email, bucket, commits, changes, added, modified, removed): ``commits`` has a bit for each
+    commit number of the bucket. Bitmaps of any days and groups merge by ``or``, so distinct commits over any range are exact without its changes.
+    """
+    rows = with_commits(events, commits).join(numbered_commits(commits), "commit_id")
+    of = lambda t: F.count_if(F.col("change_type") == t).alias(t)
+    return rows.groupBy(
+        F.to_date("committed_at").alias("day"), "branch_id", "ecosystem", "author_name", "author_email", F.bitmap_bucket_number("number").alias("bucket")
+    ).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("commits"), F.count(F.lit(1)).alias("changes"), *map(of, TYPES)
+    )
+
+
+def _days(rollup: DataFrame, ecosystem: str | None, author: str | None, since: str | None, until: str | None) -> DataFrame:
+    """The rows of a rollup from the day ``since`` to the day ``until``, both included, of an ecosystem and an author (part of name or email)."""
+    conditions: list[Column] = []
+    if since:
+        conditions.append(F.col("day") >= F.lit(since).cast("date"))
+    if until:
+        conditions.append(F.col("day") <= F.lit(until).cast("date"))
+    if ecosystem:
+        conditions.append(same_text(F.col("ecosystem"), ecosystem))
+    if author:
+        conditions.append(F.col("author_name").ilike(f"%{author}%") | F.col("author_email").ilike(f"%{author}%"))
+    for c in conditions:
+        rollup = rollup.filter(c)
+    return rollup
+
+
+def _distinct(rows: DataFrame, keys: list[str], name: str, sums: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct commits by ``keys``: the bitmaps of each bucket are merged, their bits counted and added up."""
+    merged = rows.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("commits").alias("commits"), *[F.sum(c).alias(c) for c in sums])
+    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("commits")).alias(name), *[F.sum(c).alias(c) for c in sums])
+
+
+def rolled_author_stats(
+    rollup: DataFrame, ecosystem: str | None = None, author: str | None = None, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """``author_stats`` for whole days, from a daily rollup: no change is read."""
+    return _distinct(_days(rollup, ecosystem, author, since, until), ["author_name", "author_email"], "commits", ("changes", *TYPES))
+
+
+def rolled_commit_counts(
+    rollup: DataFrame, commits: DataFrame, ecosystem: str | None = None, author: str | None = None, since: str | None = None, until: str | None = None
+) -> DataFrame:
+    """``commit_counts`` for whole days, from a daily rollup and the commits."""
+    changed = _distinct(_days(rollup, ecosystem, author, since, until), ["branch_id"], "with_changes")
+    every = commits.groupBy("branch_id").agg(F.count(F.lit(1)).alias("commits"))
+    return every.join(changed, "branch_id", "left").select("branch_id", "commits", F.coalesce("with_changes", F.lit(0)).alias("with_changes"))
+
+
 def manifest_change_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("path", "ecosystem").agg(F.count(F.lit(1)).alias("changes"))
 

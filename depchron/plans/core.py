@@ -477,6 +477,24 @@ def author_stats_filtered(v: Views) -> DataFrame:
     return stats.author_stats(v.changes, v.commits, **FILTERS)
 
 
+@query(f"""
+SELECT author_name, author_email, count(DISTINCT c.commit_id)::BIGINT AS commits, count(*)::BIGINT AS changes, count_if(change_type = 'added')::BIGINT AS added,
+       count_if(change_type = 'modified')::BIGINT AS modified, count_if(change_type = 'removed')::BIGINT AS removed
+FROM changes c JOIN commits m ON c.commit_id = m.commit_id WHERE {FILTERED} GROUP BY ALL""")
+def author_stats_rolled(v: Views) -> DataFrame:
+    """The statistics of authors from a daily rollup that is written and read back."""
+    return stats.rolled_author_stats(written(stats.daily_rollup(v.changes, v.commits), "rollup"), **FILTERS)
+
+
+@query("""
+SELECT c.branch_id, count(*)::BIGINT AS commits,
+  count(*) FILTER (c.commit_id IN (SELECT commit_id FROM changes WHERE ecosystem = 'npm') AND committed_at >= TIMESTAMP '1996-01-01')::BIGINT AS with_changes
+FROM commits c GROUP BY ALL""")
+def stats_commit_counts_rolled(v: Views) -> DataFrame:
+    rollup = written(stats.daily_rollup(v.changes, v.commits), "rollup")
+    return stats.rolled_commit_counts(rollup, v.commits, ecosystem="npm", since="1996-01-01")
+
+
 @query("SELECT path, ecosystem, count(*)::BIGINT AS changes FROM changes GROUP BY ALL")
 def manifest_change_counts(v: Views) -> DataFrame:
     return stats.manifest_change_counts(v.changes)

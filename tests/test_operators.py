@@ -16,6 +16,7 @@ from depchron.operators import advisories as adv
 from depchron.operators import changes as ch
 from depchron.operators import history, ingest, kept, manifests, policy, reach, sbom, sinks, state, stats, vulns
 from depchron.sources.binding import Views
+from depchron.sources.work import written
 from depchron.streaming import changes as stream
 
 OBS = "branch_id long, commit_id long, pos long, path string, ecosystem string, kind string, name string, version string, scope string, integrity string"
@@ -496,6 +497,18 @@ class TestStreams:
         assert [r[2] for r in rows(stream.changes_per_window(df))] == [2, 1]
 
 
+def test_rollups_count_distinct_commits_of_any_range(v):
+    rollup = written(stats.daily_rollup(v.changes, v.commits), "rollup")
+    columns = ("author_name", "author_email", "commits", "changes", "added", "modified", "removed")
+    for given in ({}, {"since": "1995-03-01", "until": "1997-11-30"}, {"ecosystem": "pypi", "author": "7", "until": "1996-01-01"}, {"since": "2030-01-01"}):
+        assert rows(stats.rolled_author_stats(rollup, **given), *columns) == rows(stats.author_stats(v.changes, v.commits, **given), *columns)
+        assert rows(stats.rolled_commit_counts(rollup, v.commits, **given)) == rows(stats.commit_counts(v.changes, v.commits, **given))
+    shared = v.commits.withColumn("branch_id", F.lit(99).cast("long"))  # commits that are in two branches count once
+    events = v.changes.unionByName(v.changes.withColumn("branch_id", F.lit(99).cast("long")))
+    both = stats.daily_rollup(events, v.commits.unionByName(shared))
+    assert rows(stats.rolled_author_stats(both), *columns[:3]) == rows(stats.author_stats(v.changes, v.commits), *columns[:3])
+
+
 def test_profiles(spark):
     df = spark.createDataFrame([("npm",), ("",), (None,)], "ecosystem string")
     assert rows(stats.ecosystems(df, df)) == [("npm",)]
