@@ -316,6 +316,9 @@ class TestDecontamination:
         df = docs(spark, "x short one here y", "clean").withColumn("hits", F.lit(1)).withColumn("row", F.lit(2))
         assert rows(decontamination.remove_documents(df, self.bench(spark)), "doc_id", "hits", "row") == [(1, 1, 2)]
         assert rows(decontamination.remove_spans(df, self.bench(spark)), "text") == [("clean",), ("x  y",)]
+        clash = df.withColumns({"__hits": F.lit(3), "hits_": F.lit(4), "__text": F.lit(5)})
+        got = decontamination.remove_spans(clash, self.bench(spark))
+        assert got.columns == clash.columns and rows(got, "text", "hits", "row", "__hits", "hits_", "__text") == [("clean", 1, 2, 3, 4, 5), ("x  y", 1, 2, 3, 4, 5)]
         assert rows(decontamination.remove_documents(df, self.bench(spark).limit(0)), "doc_id") == [(0,), (1,)]
         assert rows(decontamination.remove_spans(df.limit(0), self.bench(spark))) == []
 

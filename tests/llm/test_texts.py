@@ -247,6 +247,11 @@ class TestLanguage:
         got = language.identify(df.filter("lang >= 'l256'"), model)
         assert model.languages == sorted(words) and got.filter("lang = lang_pred").count() == 44
 
+    def test_more_languages_than_a_model_may_have_are_an_error(self, spark, monkeypatch):
+        monkeypatch.setattr(language, "MOST", 2)
+        with pytest.raises(ValueError, match="more than 2 languages"):
+            language.learn(self.labelled(spark))
+
     def test_long_texts(self, spark):
         words = " ".join(self.WORDS["bb"]) + " "
         df = docs(spark, words * 150_000, "e" * 5_000_000, "1 2 " * 1_000_000, " " * 4_000_000 + "les une pour")
