@@ -10,10 +10,13 @@ occurs w times costs log2(w) processes and not w, and texts with different w sti
 Candidates: texts that agree in all registers of a band share a bucket. The most central texts of a bucket (those whose
 buckets are the fullest) become pivots, and every member is compared to these first. Then the members that are still in
 different classes are compared with each other, every pair of them, so what the pivots leave is found as well; pairs
-in one class need no further link. Buckets are cut into tiles of bounded numbers and bytes. A pair is looked at in the
-first band that it shares and in no other: signatures first, then, for the members of a tile that are likely alike, the
-exact multisets. A tile hands on only links that join what it has not joined yet, so no group of texts ever becomes
-rows of pairs. Classes are the connected components of the links.
+in one class need no further link. A bucket in which many members are outside its largest class, as texts of one template
+that aren't alike make it, is first refined: its members must share a second band too, and where that leaves large
+buckets, a third. Buckets are cut into tiles of bounded numbers and bytes. A pair is looked at in the
+first band (or bands) that it shares and in no other: signatures first, then, for the members of a tile that are likely alike, the
+exact multisets. A tile hands on only what joins texts that it has not joined yet, so no group of texts ever becomes
+rows of pairs, and names one of its own members in all of them, so no text is in more links than it has tiles or a tile has
+members. Classes are the connected components of the links.
 
 Copies of a text are signed once as long as a task remembers them, and are collapsed before all else.
 """
@@ -38,6 +41,9 @@ REGISTERS = BANDS * ROWS
 PIVOTS = 4
 #: Members of a bucket on each side of a tile, bytes of their texts, and pairs whose signatures are compared at a time.
 CHUNK, CHUNK_BYTES, PAIRS = 512, 4 << 20, 1 << 15
+#: Members outside its largest class from which on a bucket is refined, and the most bands that its members must then share. A pair of
+#: similarity 0.8 misses two bands in 1 case of 10^6 and three in 1 of 10^5.
+FINE, DEPTH = 1024, 3
 #: Share of equal registers below which a pair is dropped unverified: over four standard deviations under SIMILAR.
 LIKELY = 0.64
 #: Bytes of text worked on at a time, and signatures of texts that a task remembers.
@@ -46,6 +52,7 @@ SALTS = 8
 #: Sides of a tile that a row is on.
 LEFT, RIGHT, BOTH = 0, 1, 2
 
+BITS = 1 << np.arange(BANDS, dtype=np.int64)
 M64 = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
@@ -225,8 +232,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-#: Rows of tiles: a member of a bucket in band ``band``, in the tile (i, j), with its class so far. The bucket's key is in ``sig``.
-MEMBER = "band int, i int, j int, role int, id long, class long, sig binary"
+#: Rows of tiles: a member of a bucket in the bands ``bands`` (bits), in the tile (i, j), with its class so far. The bucket's key is in ``sig``.
+MEMBER = "bands long, i int, j int, role int, id long, class long, sig binary"
 
 
 class Tiles:
@@ -234,13 +241,14 @@ class Tiles:
 
     def __init__(self, batch: pa.RecordBatch):
         self.batch = batch
-        self.band, i, j, self.role, self.id, self.label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("band", "i", "j", "role", "id", "class"))
+        self.bands, i, j, self.role, self.id, self.label = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("bands", "i", "j", "role", "id", "class"))
         self.sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
-        key = self.sig.view("<i8")[np.arange(len(self.band)), self.band]
-        self.place = np.cumsum(np.append(False, np.any([c[1:] != c[:-1] for c in (self.band, key, i, j)], axis=0)))
+        key = np.where(self.bands[:, None] & BITS, self.sig.view("<i8"), 0)
+        changed = [c[1:] != c[:-1] for c in (self.bands, i, j)] + [(key[1:] != key[:-1]).any(1)]
+        self.place = np.cumsum(np.append(False, np.any(changed, axis=0)))
 
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Likely pairs (left, right) of rows of one tile and different classes, in the first band that they share, by left."""
+        """Likely pairs (left, right) of rows of one tile and different classes, in the first bands that they share, by left."""
         place, role = self.place, self.role
         left, right = np.flatnonzero(role != RIGHT), np.flatnonzero(role != LEFT)
         count = np.bincount(place[right], minlength=place[-1] + 1)
@@ -254,8 +262,9 @@ class Tiles:
             x, y = x[ok], y[ok]
             same = self.sig[x] == self.sig[y]
             like = np.flatnonzero(np.count_nonzero(same, axis=1) >= LIKELY * REGISTERS)
-            bands = same[like].reshape(-1, BANDS, ROWS).all(2)
-            like = like[bands.argmax(1) == self.band[x[like]]]
+            shared, bands = same[like].reshape(-1, BANDS, ROWS).all(2), self.bands[x[like]]
+            first = shared & (np.cumsum(shared, axis=1) <= np.bitwise_count(bands)[:, None])
+            like = like[first @ BITS == bands]
             yield x[like], y[like]
 
 
@@ -300,16 +309,36 @@ def joining(sets: Multisets, label: np.ndarray, pairs: Iterator[tuple[np.ndarray
                 label[np.isin(label, found)] = label[x]
 
 
+def stars(links: list[tuple[int, int]], role: np.ndarray) -> np.ndarray:
+    """Links that join the same rows as ``links`` do, all of a component with one row, which isn't on the right side if any is not.
+
+    Rows on the right side, pivots among them, are in many tiles; named in all links of each, they would become hubs.
+    """
+    up = np.arange(len(role))
+
+    def top(x: int) -> int:
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for x, y in links:
+        x, y = sorted((top(x), top(y)), key=lambda r: (role[r] == RIGHT, r))
+        up[y] = x
+    some = np.unique(np.array(links, np.int64))
+    tops = np.array([top(x) for x in some.tolist()], np.int64)
+    return np.stack((tops, some), axis=1)[tops != some]
+
+
 def _verify(similar: float):
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Members of tiles with their texts -> links (a, b), a tree for what is joined in each tile."""
+        """Members of tiles with their texts -> links (a, b): what is joined in each tile, each with the first of the tile's own members."""
         hasher = Hasher()
         for tiles in _whole_tiles(batches):
             edges = [*np.searchsorted(tiles.place, np.arange(tiles.place[-1] + 1)), len(tiles.place)]
             for a, b in itertools.pairwise(edges):
                 tile = Tiles(tiles.batch.slice(a, b - a))
                 sets = Multisets.of(hasher, _bytes(tile.batch.column("text")))
-                found = np.array([*joining(sets, tile.label.copy(), tile.pairs(), similar)], np.int64).reshape(-1, 2)
+                found = stars([*joining(sets, tile.label.copy(), tile.pairs(), similar)], tile.role)
                 if len(found):
                     yield pa.RecordBatch.from_arrays([pa.array(tile.id[found].min(1)), pa.array(tile.id[found].max(1))], names=["a", "b"])
 
@@ -351,68 +380,109 @@ def _chunks(count: Column, size: Column) -> Column:
 def _to_pivots(member: DataFrame) -> DataFrame:
     """Tiles in which all members of a bucket meet its pivots; a tile has one chunk of the members."""
     central = member.groupBy("id").agg(F.sum("m").alias("weight"))
-    rank = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("weight"), "id"))
-    pivots = member.join(central, "id").select("band", "key", "m", "bytes", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS)
+    rank = F.row_number().over(Window.partitionBy("bands", "key").orderBy(F.desc("weight"), "id"))
+    pivots = member.join(central, "id").select("bands", "key", "m", "bytes", "id", rank.alias("rank")).filter(F.col("rank") <= PIVOTS)
     n = _chunks(F.col("m"), F.col("bytes"))
-    row = lambda i, role: ("band", "key", i.alias("i"), F.lit(0).alias("j"), F.lit(role).alias("role"), "id", F.col("id").alias("class"))
+    row = lambda i, role: ("bands", "key", i.alias("i"), F.lit(0).alias("j"), F.lit(role).alias("role"), "id", F.col("id").alias("class"))
     return member.select(*row(_chunk(n), LEFT)).unionAll(pivots.select(*row(F.explode(F.sequence(F.lit(0), n - 1)), RIGHT)))
 
 
-def _between_classes(member: DataFrame, labels: DataFrame) -> DataFrame:
+def _unresolved(labelled: DataFrame) -> DataFrame:
+    """Members of buckets (bands, key, id, size, class) of more than one class, with the bucket's largest class, the numbers of members
+    and bytes outside it (``n``, ``bytes``) and its own (``main_n``, ``main_bytes``)."""
+    bucket = ["bands", "key"]
+    by_class = labelled.groupBy(*bucket, "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
+    sizes = by_class.groupBy(*bucket).agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("m"), F.sum("bytes").alias("all"))
+    split = sizes.filter("main.n < m").select(
+        *bucket, F.col("main.class").alias("main"), (F.col("m") - F.col("main.n")).alias("n"), (F.col("all") - F.col("main.bytes")).alias("bytes"),
+        F.col("main.n").alias("main_n"), F.col("main.bytes").alias("main_bytes"),
+    )
+    return labelled.join(split, bucket)
+
+
+def _refined(rows: DataFrame, sig: DataFrame) -> DataFrame:
+    """Members of ``rows`` in buckets that share one more band, after those that they share already."""
+    later = F.filter(
+        F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(_bit(b).alias("bit"), _band_key(b).alias("next"))),
+        lambda x: x["bit"] > F.col("bands"),
+    )
+    each = rows.select("bands", "key", "id", "size", "class").join(sig, "id").select("bands", "key", "id", "size", "class", F.explode(later).alias("x"))
+    return each.select((F.col("bands") + F.col("x.bit")).alias("bands"), F.concat("key", "x.next").alias("key"), "id", "size", "class")
+
+
+def _between_classes(member: DataFrame, labels: DataFrame, sig: DataFrame) -> DataFrame:
     """Tiles in which members of a bucket that are in different classes meet.
 
     Members of the bucket's largest class are only dealt to those of others, and not to each other.
     """
-    labelled = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select(
-        "band", "key", "id", "size", F.coalesce("class", "id").alias("class")
+    rows = member.filter(F.col("m") > PIVOTS + 1).join(labels.hint("merge"), "id", "left").select(
+        "bands", "key", "id", "size", F.coalesce("class", "id").alias("class")
     )
-    by_class = labelled.groupBy("band", "key", "class").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
-    sizes = by_class.groupBy("band", "key").agg(F.max(F.struct("n", "class", "bytes")).alias("main"), F.sum("n").alias("m"), F.sum("bytes").alias("bytes"))
-    split = sizes.filter("main.n < m").select(
-        "band", "key", F.col("main.class").alias("main"),
-        _chunks(
-            F.col("m") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")
-        ).alias("others"), _chunks(F.col("main.n"), F.col("main.bytes")).alias("mains"),
-    )
-    rows = written(labelled.join(split, ["band", "key"]), "unresolved")
+    dealt = None
+    for depth in range(1, DEPTH + 1):
+        rows = written(_unresolved(rows), "unresolved")
+        large = (F.col("n") > FINE) & F.lit(depth < DEPTH)
+        now = _dealt(rows.filter(~large))
+        dealt = now if dealt is None else dealt.unionAll(now)
+        if rows.filter(large).isEmpty():
+            break
+        rows = _refined(rows.filter(large), sig)
+    return dealt
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The tiles of unresolved buckets."""
+    rows = rows.withColumns({"others": _chunks(F.col("n"), F.col("bytes")), "mains": _chunks(F.col("main_n"), F.col("main_bytes"))})
     tile = F.col("t")
     other = rows.filter("class != main").withColumn("c", _chunk(F.col("others"))).withColumn(
         "t", F.explode(F.sequence(F.lit(0), F.col("others") + F.col("mains") - 1))
     )
     role = F.when(tile == F.col("c"), BOTH).when(tile > F.col("c"), LEFT).otherwise(RIGHT)
-    other = other.select("band", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), role.alias("role"), "id", "class")
+    other = other.select("bands", "key", F.least("c", tile).alias("i"), F.greatest("c", tile).alias("j"), role.alias("role"), "id", "class")
     main = rows.filter("class = main").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     return other.unionAll(
-        main.select("band", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class")
+        main.select("bands", "key", tile.alias("i"), (F.col("others") + _chunk(F.col("mains"))).alias("j"), F.lit(RIGHT).alias("role"), "id", "class")
     )
 
 
+def _band_key(band: Column) -> Column:
+    """The registers of one band."""
+    return F.substring("sig", 8 * band + 1, F.lit(8))
+
+
+def _bit(band: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), band)
+
+
 def _linked(dealt: DataFrame, sig: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """Links (a, b) among the rows of each tile of ``dealt`` (band, key, i, j, role, id, class)."""
-    tile = ["band", "key", "i", "j"]
-    by_tile = lambda df, *more: df.repartition(*tile).sortWithinPartitions(*tile).select("band", "i", "j", "role", "id", "class", "sig", *more)
+    """Links (a, b) among the rows of each tile of ``dealt`` (bands, key, i, j, role, id, class)."""
+    tile = ["bands", "key", "i", "j"]
+    by_tile = lambda df, *more: df.repartition(*tile).sortWithinPartitions(*tile).select("bands", "i", "j", "role", "id", "class", "sig", *more)
     likely = written(by_tile(dealt.join(sig, "id")).mapInArrow(_likely, MEMBER), "likely")
-    key = F.substring("sig", 8 * F.col("band") + 1, F.lit(8))
+    has = lambda b: F.col("bands").bitwiseAND(F.lit(1 << b)) != 0
+    key = F.concat(*[F.when(has(b), _band_key(F.lit(b))).otherwise(F.lit(b"")) for b in range(BANDS)])
     both = likely.withColumn("key", key).join(texts, "id")
     return written(by_tile(both, "text").mapInArrow(_verify(similar), "a long, b long"), "links")
 
 
 def links(nodes: DataFrame, texts: DataFrame, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) between ids of ``nodes`` (id, size, sig) that are alike; ``texts`` (id, text) has the texts, at least of all nodes.
+    """Links (a, b) that join the ids of ``nodes`` (id, size, sig) that are alike; ``texts`` (id, text) has the texts, at least of all nodes.
 
-    Pairs that share a bucket are all compared, but for those that others join in one class already.
+    Pairs that share a bucket (in a large bucket of many classes: DEPTH buckets) are all compared, but for those that others join in one class
+    already. A link joins two of one class, which others may have made alike.
     """
     sig = nodes.select("id", "sig")
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.substring("sig", 8 * b + 1, F.lit(8)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), _band_key)
     member = nodes.select("id", "size", F.posexplode(keys).alias("band", "key"))
-    full = member.groupBy("band", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
-    member = written(member.join(full, ["band", "key"]), "members")
+    member = member.select("id", "size", _bit(F.col("band")).alias("bands"), "key")
+    full = member.groupBy("bands", "key").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("bytes")).filter("m > 1")
+    member = written(member.join(full, ["bands", "key"]), "members")
     # by merge at every size: the ids are no bounded set
     own = written(texts.join(member.select("id").distinct().hint("merge"), "id").dropDuplicates(["id", "text"]), "texts")
     found = _linked(_to_pivots(member), sig, own, similar)
     if member.filter(F.col("m") > PIVOTS + 1).isEmpty():
         return found
-    return found.unionAll(_linked(_between_classes(member, components(found)), sig, own, similar))
+    return found.unionAll(_linked(_between_classes(member, components(found), sig), sig, own, similar))
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

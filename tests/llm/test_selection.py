@@ -250,8 +250,10 @@ class TestNearDuplicates:
         texts = [" ".join(base[:p] + [f"n{r.randrange(10**6)}"] + base[p + 1 :]) for p in (r.randrange(200) for _ in range(400))]
         assert len({c for _, c in rows(neardup.classes(docs(spark, *texts)), "id", "class_id")}) == 1
 
-    def test_links_that_meet_no_pivot(self, spark, monkeypatch):
+    @pytest.mark.parametrize("fine", [1024, 4])
+    def test_links_that_meet_no_pivot(self, spark, monkeypatch, fine):
         monkeypatch.setattr(neardup, "CHUNK", 50)
+        monkeypatch.setattr(neardup, "FINE", fine)
         r, base, texts = random.Random(4), prose(1, 400, 10**6), []
         for k in range(120):  # few are alike, but all share buckets
             at = set(r.sample(range(0, 360, 5), 6))
@@ -260,6 +262,25 @@ class TestNearDuplicates:
         got = [c for _, c in sorted(rows(neardup.classes(docs(spark, *texts)), "id", "class_id"))]
         assert got == brute_classes(texts)
 
+    def test_a_template_is_refined_and_loses_no_pair(self, spark, monkeypatch):
+        monkeypatch.setattr(neardup, "FINE", 8)
+        dealt, plain = [], neardup._dealt
+        monkeypatch.setattr(neardup, "_dealt", lambda df: dealt.append(df) or plain(df))
+        template, texts = prose(2, 150), []
+        for k in range(200):  # a pair is alike by a third, copies by 0.85
+            own = prose(1000 + k, 140)
+            texts += [" ".join(template + own)] + [" ".join(template + own[:-20] + [f"z{k}-{p}" for p in range(20)])] * (k % 3 == 0)
+        df = docs(spark, *texts)
+        assert [c for _, c in sorted(rows(neardup.classes(df), "id", "class_id"))] == brute_classes(texts)
+        bands = [{bin(m).count("1") for (m,) in rows(x, "bands")} for x in dealt]
+        assert bands[:2] == [{1}, {2}]
+
+    def test_hubs_are_named_by_their_tiles(self):
+        role = neardup.np.array([neardup.RIGHT, neardup.LEFT, neardup.LEFT, neardup.LEFT, neardup.RIGHT])
+        assert sorted(map(tuple, neardup.stars([(0, 1), (0, 2), (0, 3)], role).tolist())) == [(1, 0), (1, 2), (1, 3)]
+        assert neardup.stars([(0, 4)], role).tolist() == [[0, 4]]
+        assert len(neardup.stars([], role)) == 0
+
     def test_odd_rows(self, spark):
         a, b = " ".join(prose(1, 50)), " ".join(prose(2, 50))
         df = spark.createDataFrame([(1, a), (1, a), (2, a), (None, a), (3, None), (4, None), (5, b), (2, b)], "doc_id long, text string").withColumn("bands", F.lit(1))
