@@ -36,9 +36,13 @@ KINDS = {
 }
 #: The same matches for patterns whose failing matches can hide no other, with the length inside, so that less is cut.
 FAST = {"access": r"AKIA[A-Z0-9]{12,}+", "hex": r"[0-9a-f]{32,}+"}
+#: What a text that has an ``assign`` span holds, in lower case.
+KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Least length of a candidate.
 LEAST = 16
-CANDIDATE = rf"[A-Za-z0-9+/_-]{{{LEAST},}}+={{0,2}}"
+CANDIDATE = rf"[\w+/-]{{{LEAST},}}+={{0,2}}"
+#: All spans of other kinds than ``assign`` hold so many characters between + and z. Most prose has none, and this one range is cheap to test.
+RUN = rf"[+-z]{{{LEAST}}}"
 #: encoding -> alphabet, in order of preference.
 ALPHABETS = {
     "hex": "0123456789abcdef",
@@ -56,8 +60,11 @@ BANDS = (LEAST, 20, 24, 32, 40, 64, 128)
 STEP, STEPS = 0.02, 1000
 
 
-def _places(text: Column, pattern: str, group: int = 0) -> Column:
-    """(s, e, n, m) of all matches: start and end in code points, length of ``group``, the match. The text between matches tells where they are."""
+def _places(text: Column, may: Column, pattern: str, group: int = 0) -> Column:
+    """(s, e, n, m) of all matches: start and end in code points, length of ``group``, the match. The text between matches tells where they are.
+
+    Where ``may`` is false, the text is known to hold none.
+    """
 
     def of(pieces: Column) -> Column:
         found = common.let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: common.let(_ends(pieces, m), lambda ends: _structs(m, ends)))
@@ -71,14 +78,14 @@ def _places(text: Column, pattern: str, group: int = 0) -> Column:
         return F.transform(m, lambda x, i: F.struct((F.get(ends, i) - F.length(x)).alias("s"), F.get(ends, i).alias("e"), inner(x).alias("n"), x.alias("m")))
 
     empty = F.array().cast("array<struct<s:bigint,e:bigint,n:int,m:string>>")
-    return F.coalesce(common.let(F.split(text, pattern, -1), of), empty)
+    return F.coalesce(F.when(may, common.let(F.split(text, pattern, -1), of)), empty)
 
 
-def base_spans(text: Column) -> Column:
-    """array of (s, o, kind, e), sorted; ``o`` is the kind's place in KINDS."""
+def base_spans(text: Column, named: Column, runs: Column) -> Column:
+    """array of (s, o, kind, e), sorted; ``o`` is the kind's place in KINDS. ``named`` and ``runs``: whether the text has a keyword and a RUN."""
 
     def of(o: int, kind: str, pattern: str, group: int, least: int) -> Column:
-        found = F.filter(_places(text, FAST.get(kind, pattern), group), lambda x: x["n"] >= least)
+        found = F.filter(_places(text, named if kind == "assign" else runs, FAST.get(kind, pattern), group), lambda x: x["n"] >= least)
         return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(o).alias("o"), F.lit(kind).alias("kind"), x["e"].alias("e")))
 
     each = [of(o, kind, *rule) for o, (kind, rule) in enumerate(KINDS.items())]
@@ -91,6 +98,18 @@ def _tail(z: Column) -> Column:
     return F.log10(1 + F.exp(odds))
 
 
+def _equal_pairs(v: Column) -> Column:
+    """Ordered pairs of equal values, that is the sum of the squared counts: in sorted order, twice each value's distance to the first of its kind, plus one."""
+
+    def of(a: Column) -> Column:
+        step = lambda s, x: F.when(x == s["x"], F.struct(x.alias("x"), (s["c"] + 2).alias("c"), (s["t"] + s["c"] + 2).alias("t"))).otherwise(
+            F.struct(x.alias("x"), F.lit(1.0).alias("c"), (s["t"] + 1).alias("t"))
+        )
+        return F.aggregate(a, F.struct(F.lit(-1.0).alias("x"), F.lit(1.0).alias("c"), F.lit(0.0).alias("t")), step)["t"]
+
+    return of(F.sort_array(v))
+
+
 def surprise(token: Column) -> Column:
     """(enc, n, l) of a token: the inferred encoding (null: none), its length, and -log10 of the battery's p-value."""
     return common.let(F.regexp_replace(token, "=++$", ""), _surprise)
@@ -109,9 +128,6 @@ def _surprise(body: Column) -> Column:
         chars = F.filter(F.split(body, ""), lambda c: c != "")
         return common.let(F.transform(chars, lambda c: F.position(c, e["abc"]).cast("double") - 1), lambda v: tests(e, k, F.size(v).cast("double"), v))
 
-    def count(c: Column) -> Column:
-        return (F.length(body) - F.length(F.replace(body, c, F.lit("")))).cast("double")
-
     def tests(e: Column, k: Column, n: Column, v: Column) -> Column:
         def total(a: Column) -> Column:
             return F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
@@ -119,7 +135,7 @@ def _surprise(body: Column) -> Column:
         high = lambda x: (2 * x >= k)
         turns = F.filter(F.transform(v, lambda x, i: (i > 0) & (high(x) != high(F.get(v, F.greatest(i - 1, F.lit(0)))))), lambda t: t)
         sums = F.struct(
-            total(F.transform(F.split(e["abc"], ""), lambda c: F.pow(count(c), F.lit(2.0)))).alias("squares"),
+            _equal_pairs(v).alias("squares"),
             F.size(F.filter(v, high)).cast("double").alias("high"),
             (1 + F.size(turns)).cast("double").alias("runs"),
             total(v).alias("s1"),
@@ -144,9 +160,9 @@ def _surprise(body: Column) -> Column:
     return common.let(enc, lambda e: F.when(e.isNotNull(), battery(e)))
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, runs: Column) -> Column:
     """array of (s, e, enc, n, l): candidates outside the base spans that fit an encoding."""
-    found = F.filter(_places(text, CANDIDATE), lambda x: x["m"].rlike("[A-Za-z]") & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
+    found = F.filter(_places(text, runs, CANDIDATE), lambda x: x["m"].rlike(r"\p{Alpha}") & ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"])))
     tested = F.transform(
         found,
         lambda x: common.let(
@@ -163,10 +179,10 @@ def decoy(text: Column) -> Column:
     def of(h: Column) -> Column:
         n = F.element_at(F.array(*map(F.lit, BANDS)), (F.pmod(h, F.lit(len(BANDS))) + 1).cast("int"))
         start = F.pmod(F.shiftright(h, 8), F.greatest(F.length(text) - 8 * n, F.lit(1))) + 1
-        piece = F.regexp_replace(F.substring(text, start.cast("int"), 8 * n), CANDIDATE, "")
+        piece = common.let(F.substring(text, start.cast("int"), 8 * n), lambda p: F.when(p.rlike(RUN), F.regexp_replace(p, CANDIDATE, "")).otherwise(p))
         styled = common.let(piece, lambda p: F.when(F.pmod(F.shiftright(h, 4), F.lit(2)) == 1, F.initcap(p)).otherwise(p))
-        plain = F.left(F.regexp_replace(styled, "[^A-Za-z0-9]++", ""), n)
-        return common.let(plain, lambda p: F.when((F.length(p) == n) & p.rlike("[A-Za-z]"), surprise(p)))
+        plain = F.left(F.regexp_replace(styled, r"\P{Alnum}++", ""), n)
+        return common.let(plain, lambda p: F.when((F.length(p) == n) & p.rlike(r"\p{Alpha}"), surprise(p)))
 
     return common.let(F.xxhash64(text), of)
 
@@ -213,8 +229,12 @@ def scan(docs: DataFrame, q: float = 0.05, text_col: str = "text", keep_text: bo
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept = [c for c in docs.columns if c.lower() != "found"]
     row = F.struct(*[F.col(f"`{c}`") for c in kept if keep_text or c != text_col]).alias("__row")
-    scanned = common.let(base_spans(text), lambda b: F.struct(b.alias("base"), candidates(text, b).alias("cands"), decoy(text).alias("decoy")))
-    scanned = written(docs.select(row, scanned.alias("__s")).select("__row", "__s.*"), "secrets")
+    # a projection for each step: what it adds is used more than once by the next and computed once
+    lower = docs.select(row, text.alias("__text"), F.lower(text).alias("__lower"), text.rlike(RUN).alias("__runs"))
+    named = reduce(lambda a, b: a | b, [F.contains("__lower", F.lit(k)) for k in KEYWORDS])
+    based = lower.select("__row", "__text", "__runs", base_spans(F.col("__text"), named, F.col("__runs")).alias("base"))
+    found = candidates(F.col("__text"), F.col("base"), F.col("__runs"))
+    scanned = written(based.select("__row", "base", found.alias("cands"), decoy(F.col("__text")).alias("decoy")), "secrets")
     ends = limits(scanned, q)
     known = F.create_map(*[F.lit(x) for kv in ends.items() for x in kv]) if ends else None
     name = lambda x: F.concat_ws(":", _band(x["n"]).cast("string"), x["enc"])
