@@ -20,3 +20,13 @@ def numbered(df: DataFrame, groups: list[str], part: str, order: list[str], name
     offsets = counts.select(*keys, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.join(offsets, keys).withColumn(name, F.col("__before") + inside).drop("__before")
+
+
+def pieces(df: DataFrame, groups: list[str], part: str, order: list[str], size: int) -> DataFrame:
+    """Adds ``number`` (from 0, as ``numbered`` counts), ``piece`` (runs of ``size`` rows of a group in this order, from 0) and ``pieces`` (of the group).
+
+    ``df`` is read three times, so it should be written before.
+    """
+    sizes = df.groupBy(*groups).agg(F.ceil(F.count(F.lit(1)) / size).alias("pieces"))
+    placed = numbered(df, groups, part, order, "number").withColumn("number", F.col("number") - 1)
+    return placed.withColumn("piece", F.floor(F.col("number") / size)).join(sizes, groups)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 from datetime import datetime, timedelta
@@ -311,6 +312,33 @@ class TestPolicy:
         assert '"licenses":[{"license":{"id":"MIT"}}]' in sbom.sbom_cyclonedx(parts, "x").first()["document"]
         assert '"licenseDeclared":"NOASSERTION"' in sbom.sbom_spdx(parts, "p", "x").first()["document"]
 
+    def test_documents_are_bounded(self, spark):
+        own = [(b, f"m{i % 3}", f"n{i:02}", str(i), f"pkg:gem/n{i}", "MIT") for b in (1, 2) for i in range(11 if b == 1 else 2)]
+        parts = spark.createDataFrame(own, "branch_id long, path string, name string, version string, purl string, license string")
+        want = sorted((b, p, n) for b, p, n, *_ in own)
+        of = lambda df: [(r["branch_id"], r["piece"], r["document"]) for r in df.orderBy("branch_id", "piece").collect()]
+        made = of(sbom.sbom_cyclonedx(parts, "x", size=4))
+        assert [(b, p) for b, p, _ in made] == [(1, 0), (1, 1), (1, 2), (2, 0)]
+        whole = [json.loads(d) for _, _, d in made]
+        assert [(b, c["name"]) for (b, _, _), d in zip(made, whole, strict=True) for c in d["components"]] == [(b, n) for b, _, n in want]
+        assert whole[1]["metadata"]["properties"] == [{"name": "depchron:piece", "value": "2 of 3"}] and "properties" not in whole[3]["metadata"]
+        xml = of(sbom.sbom_cyclonedx(parts, "x", "xml", size=4))
+        assert [d.count("<component ") for _, _, d in xml] == [4, 4, 3, 2] and '<property name="depchron:piece">3 of 3</property>' in xml[2][2]
+        spdx = [json.loads(d) for _, _, d in of(sbom.sbom_spdx(parts, "p", "x", size=4))]
+        assert [p["SPDXID"] for d in spdx[:3] for p in d["packages"]] == [f"SPDXRef-Package-{i}" for i in range(11)]
+        assert all([p["SPDXID"] for p in d["packages"]] == [r["relatedSpdxElement"] for r in d["relationships"]] for d in spdx)
+
+    def test_reports_are_bounded(self, spark):
+        own = [(1, f"V{i % 3}", "high", f"n{i:02}", "1", f"m{i % 2}") for i in range(10)] + [(2, "V0", "low", "n", "1", "m")]
+        found = spark.createDataFrame(own, "branch_id long, id string, severity string, name string, version string, path string")
+        made = [(r["branch_id"], json.loads(r["document"])["runs"][0]) for r in vulns.sarif_report(found, size=4).orderBy("branch_id", "piece").collect()]
+        assert [(b, len(run["results"])) for b, run in made] == [(1, 4), (1, 4), (1, 2), (2, 1)]
+        for _, run in made:
+            assert [r["id"] for r in run["tool"]["driver"]["rules"]] == sorted({r["ruleId"] for r in run["results"]})
+        got = [(b, r["ruleId"], r["message"]["text"]) for b, run in made for r in run["results"]]
+        assert sorted(got) == sorted((b, i, f"{n}@{v} is vulnerable") for b, i, _, n, v, _ in own)
+        assert made[2][1]["properties"] == {"piece": 3, "pieces": 3} and "properties" not in made[3][1]
+
 
 class TestIngest:
     def test_lines(self, spark):
