@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from depchron.functions.names import REPORT_SCORES, SEVERITIES, looked_up, same_text, severity_rank
+from depchron.functions.order import pieces
 from depchron.operators.advisories import affected
 from depchron.operators.history import blame, filtered
 from depchron.operators.state import open_intervals
+from depchron.sources.work import written
 
 
 def scan(state: DataFrame, advisories: DataFrame, min_severity: str | None = None) -> DataFrame:
@@ -177,15 +179,22 @@ def sarif_results(found: DataFrame) -> DataFrame:
     )
 
 
-def sarif_report(found: DataFrame) -> DataFrame:
-    """(branch_id, document): SARIF 2.1.0 with each rule once and each hit as a result."""
-    rows = sarif_results(found)
-    rules = rows.groupBy("branch_id").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("rule").alias("id"), F.struct(F.col("score").alias("security-severity")).alias("properties")))).alias("rules")
-    )
+#: Results of one SARIF document.
+SIZE = 1000
+
+
+def sarif_report(found: DataFrame, size: int = SIZE) -> DataFrame:
+    """(branch_id, piece, document): SARIF 2.1.0 with each hit as a result, and each rule of the document's results once.
+
+    A document holds up to ``size`` results, by rule; a branch with more has several, whose run properties say which of how many each is.
+    """
+    rows = written(sarif_results(found).withColumn("__part", F.struct("rule", "uri")), "results")
+    dealt = pieces(rows, ["branch_id"], "__part", ["rule", "uri", "level", "message"], size)
+    rule = F.struct(F.col("rule").alias("id"), F.struct(F.col("score").alias("security-severity")).alias("properties"))
     location = F.array(F.struct(F.struct(F.struct("uri").alias("artifactLocation")).alias("physicalLocation")))
     result = F.struct(F.col("rule").alias("ruleId"), "level", F.struct(F.col("message").alias("text")).alias("message"), location.alias("locations"))
-    results = rows.groupBy("branch_id").agg(F.array_sort(F.collect_list(result)).alias("results"))
+    both = dealt.groupBy("branch_id", "piece", "pieces").agg(F.array_sort(F.collect_set(rule)).alias("rules"), F.array_sort(F.collect_list(result)).alias("results"))
     driver = F.struct(F.struct(F.lit("depchron").alias("name"), F.lit("1.0.0").alias("version"), "rules").alias("driver"))
-    document = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), "results")).alias("runs"))
-    return rules.join(results, "branch_id").select("branch_id", F.to_json(document).alias("document"))
+    which = F.when(F.col("pieces") > 1, F.struct((F.col("piece") + 1).alias("piece"), "pieces"))
+    document = F.struct(F.lit("2.1.0").alias("version"), F.array(F.struct(driver.alias("tool"), "results", which.alias("properties"))).alias("runs"))
+    return both.select("branch_id", "piece", F.to_json(document).alias("document"))
