@@ -82,6 +82,11 @@ class TestChanges:
     def test_empty(self, spark):
         assert rows(ch.state_intervals(ch.changes(observations(spark).limit(0)))) == []
 
+    def test_observations_are_dealt_by_commit_alone(self, v):
+        plan = v.changes._jdf.queryExecution().executedPlan().toString()
+        dealt = re.findall(r"Exchange hashpartitioning\((l_orderkey#\d+L, \w+)", plan)
+        assert dealt and all(re.fullmatch(r"l_orderkey#\d+L, \d+", x) for x in dealt)
+
 
 class TestState:
     def test_bounds(self, spark):
