@@ -2,81 +2,111 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depchron.functions.order import numbered
-from depchron.sources.work import shipped, written
+from depchron.sources.work import new_folder, shipped, written
 
 #: Commits of a stretch of history that one task walks; a branch takes about as many rounds as its history has stretches.
-STRETCH = 50_000
-
-
-def stretches(commits: DataFrame, size: int = STRETCH) -> DataFrame:
-    """Commits with ``stretch``: consecutive runs of about ``size`` commits by time, so that most parents lie in the same one or the one before."""
-    days = commits.withColumn("__all", F.lit(0)).withColumn("__day", F.to_date("committed_at"))
-    placed = numbered(days, ["__all"], "__day", ["committed_at", "sha"], "__place")
-    return placed.withColumn("stretch", F.floor(F.col("__place") / size)).drop("__all", "__day", "__place")
-
-
-def _walked(commits: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-    """New commits of a stretch for one branch (``here``), and the parents that lie elsewhere."""
-    branch = asked["branch_id"].iloc[0]
-    parents = dict(zip(commits["sha"], commits["parents"], strict=True))
-    done = set(asked.loc[asked["done"], "sha"])
-    heap, new, away = [s for s in asked.loc[~asked["done"], "sha"] if s not in done], set(), set()
-    while heap:
-        sha = heap.pop()
-        if sha in done or sha in new or sha not in parents:
-            continue
-        new.add(sha)
-        for parent in parents[sha] if parents[sha] is not None else ():
-            if parent in parents:
-                heap.append(parent)
+STRETCH = 500_000
+
+
+def placed(commits: DataFrame, size: int = STRETCH) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of a commit graph: each commit once with ``place``, its number by time, and (place, parent, stretch) by numbers alone.
+
+    A stretch is a run of ``size`` places, so most parents lie in the same one or the one before. Edges are files by stretch: a round reads only those it walks.
+    """
+    once = commits.dropDuplicates(["sha"]).withColumns({"__all": F.lit(0), "__day": F.to_date("committed_at")})
+    nodes = written(numbered(once, ["__all"], "__day", ["committed_at", "sha"], "place").drop("__all", "__day"), "nodes")
+    named = nodes.select("place", F.explode("parents").alias("sha")).join(nodes.select("sha", F.col("place").alias("parent")), "sha")
+    path = new_folder(commits.sparkSession, "edges")
+    edges = named.select("place", "parent", F.floor(F.col("place") / size).alias("stretch"))
+    edges.repartition("stretch").write.partitionBy("stretch").parquet(path)
+    return nodes, commits.sparkSession.read.schema(edges.schema).parquet(path)
+
+
+def _walker(size: int):
+    def walked(edges: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        """New commits of a stretch for one branch (``here``), and the parents that lie elsewhere."""
+        branch, first = asked["branch_id"].iloc[0], int(asked["stretch"].iloc[0]) * size
+        order = np.argsort(edges["place"].to_numpy(), kind="stable")
+        starts = np.searchsorted(edges["place"].to_numpy()[order] - first, np.arange(size + 1)).tolist()
+        parents = (edges["parent"].to_numpy()[order] - first).tolist()
+        at, done = (asked["place"].to_numpy() - first).tolist(), asked["done"].to_numpy().tolist()
+        seen, heap, new, away = bytearray(size), [], [], set()
+        for place, known in zip(at, done, strict=True):
+            if known:
+                seen[place] = 1
             else:
-                away.add(parent)
-    rows = [(branch, s, True) for s in new] + [(branch, s, False) for s in away]
-    return pd.DataFrame(rows, columns=["branch_id", "sha", "here"])
+                heap.append(place)
+        while heap:
+            place = heap.pop()
+            if seen[place]:
+                continue
+            seen[place] = 1
+            new.append(place)
+            for parent in parents[starts[place] : starts[place + 1]]:
+                if not 0 <= parent < size:
+                    away.add(parent)
+                elif not seen[parent]:
+                    heap.append(parent)
+        places = np.array([*new, *away], dtype="int64") + first
+        return pd.DataFrame({"branch_id": branch, "place": places, "here": np.arange(len(places)) < len(new)})
+
+    return walked
+
+
+def _reached(nodes: DataFrame, edges: DataFrame, tips: DataFrame, size: int) -> DataFrame:
+    """(branch_id, place, stretch) of what the tips of each branch reach.
+
+    In each round, the stretches that a branch newly asks for are walked, one (branch, stretch) a task and within it to the end; what their commits
+    name outside is asked for in the next round, until nothing is. What is found is kept as files by stretch, so a round reads the stretches that it
+    walks, and never the whole graph or all that was found.
+    """
+    spark, kind = shipped(nodes.sparkSession), dict(tips.dtypes)["branch_id"]
+    path, stretch = new_folder(spark, "reached"), F.floor(F.col("place") / size).alias("stretch")
+    asked = written(tips.select("branch_id", "sha").distinct().join(nodes.select("sha", "place"), "sha").select("branch_id", "place", stretch), "asked")
+    found = asked.select("branch_id", "place", "stretch")
+    visited: set[int] = set()
+    # a number for each stretch at most
+    while now := [r["stretch"] for r in asked.select("stretch").distinct().collect()]:
+        own = asked.withColumn("done", F.lit(False))
+        if again := [s for s in now if s in visited]:
+            before = spark.read.schema(found.schema).parquet(path).filter(F.col("stretch").isin(again))
+            own = own.unionByName(before.join(F.broadcast(asked.select("branch_id", "stretch").distinct()), ["branch_id", "stretch"], "left_semi").withColumn("done", F.lit(True)))
+        pairs = asked.select(F.col("branch_id").alias("b"), F.col("stretch")).distinct()
+        wanted = edges.filter(F.col("stretch").isin(now)).join(F.broadcast(pairs), "stretch").withColumnRenamed("stretch", "s")
+        walked = wanted.groupBy("b", "s").cogroup(own.groupBy("branch_id", "stretch")).applyInPandas(_walker(size), f"branch_id {kind}, place long, here boolean")
+        walked = written(walked.select("*", stretch), "walked")
+        walked.filter("here").drop("here").write.mode("append").partitionBy("stretch").parquet(path)
+        visited.update(now)
+        asked = walked.filter("NOT here").select("branch_id", "place", "stretch")
+    return spark.read.schema(found.schema).parquet(path) if visited else found
 
 
 def reachable(commits: DataFrame, tips: DataFrame, size: int = STRETCH) -> DataFrame:
     """(branch_id, sha): the commits (sha, parents, committed_at) that can be reached from the tips (branch_id, sha) of each branch, tips included.
 
-    History is cut into stretches of time. In each round, the stretches that a branch newly asks for are walked, one (branch, stretch) a task and
-    within it to the end; what their commits name outside is asked for in the next round, until nothing is. A parent that is dated after its child
+    History is cut into stretches of time (``placed``) and walked from stretch to stretch. A parent that is dated after its child
     only costs a round more. Parents that are not in the table end a way; a tip that isn't there reaches nothing. A commit comes once for each branch.
     """
-    shipped(commits.sparkSession)
-    graph = written(stretches(commits.select("sha", "parents", "committed_at").dropDuplicates(["sha"]), size).drop("committed_at"), "graph")
-    where = graph.select("sha", "stretch")
-    found, asked = None, written(tips.select("branch_id", "sha").distinct().join(where, "sha"), "asked")
-    while not asked.isEmpty():
-        # what a branch has of these stretches already, so that nothing is walked twice
-        own = asked.select("branch_id", "sha", "stretch", F.lit(False).alias("done"))
-        if found is not None:
-            own = own.unionByName(found.join(asked.select("branch_id", "stretch").distinct(), ["branch_id", "stretch"]).select("branch_id", "sha", "stretch", F.lit(True).alias("done")))
-        wanted = graph.join(asked.select("branch_id", "stretch").distinct(), "stretch").select(
-            F.col("branch_id").alias("b"), F.col("stretch").alias("s"), "sha", "parents"
-        )
-        walked = wanted.groupBy("b", "s").cogroup(own.groupBy("branch_id", "stretch")).applyInPandas(
-            _walked, f"branch_id {dict(tips.dtypes)['branch_id']}, sha string, here boolean"
-        )
-        walked = written(walked.distinct().join(where, "sha"), "walked")
-        new = walked.filter("here").select("branch_id", "sha", "stretch")
-        found = new if found is None else found.unionAll(new)
-        asked = written(walked.filter("NOT here").select("branch_id", "sha", "stretch").join(found, ["branch_id", "sha"], "left_anti"), "asked")
-    return (asked if found is None else found).select("branch_id", "sha")
+    nodes, edges = placed(commits.select("sha", "parents", "committed_at"), size)
+    return _reached(nodes, edges, tips, size).join(nodes.select("place", "sha"), "place").select("branch_id", "sha")
 
 
 def branch_log(commits: DataFrame, tips: DataFrame, since: DataFrame | None = None, size: int = STRETCH) -> DataFrame:
     """The commits of each branch with ``branch_id`` and ``pos``: all that its tip reaches, numbered from 1 by time, oldest first.
 
-    ``since`` (branch_id, sha) leaves out these commits and all that they reach; numbers stay.
+    ``since`` (branch_id, sha) leaves out these commits and all that they reach; numbers stay. Commits are numbered by their places, and get their other columns last.
     """
-    own = reachable(commits, tips, size).join(commits, "sha").withColumn("__day", F.to_date("committed_at"))
-    log = numbered(own, ["branch_id"], "__day", ["committed_at", "sha"], "pos").drop("__day")
-    return log if since is None else log.join(reachable(commits, since, size), ["branch_id", "sha"], "left_anti")
+    nodes, edges = placed(commits, size)
+    log = numbered(_reached(nodes, edges, tips, size), ["branch_id"], "stretch", ["place"], "pos")
+    if since is not None:
+        log = log.join(_reached(nodes, edges, since, size).select("branch_id", "place"), ["branch_id", "place"], "left_anti")
+    return log.drop("stretch").join(nodes, "place").drop("place")
 
 
 # Trees
