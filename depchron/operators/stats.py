@@ -60,6 +60,8 @@ def author_stats(events: DataFrame, commits: DataFrame, **filters) -> DataFrame:
 
 
 TYPES = ("added", "modified", "removed")
+#: Commit numbers of a bucket of a rollup: the bits of a long.
+WORD = 64
 
 
 def numbered_commits(commits: DataFrame) -> DataFrame:
@@ -72,15 +74,16 @@ def numbered_commits(commits: DataFrame) -> DataFrame:
 def daily_rollup(events: DataFrame, commits: DataFrame) -> DataFrame:
     """Changes by day, branch, ecosystem and author, with the commits they come from as bitmaps, to be kept and merged.
 
-    (day, branch_id, ecosystem, author_name, author_email, bucket, commits, changes, added, modified, removed): ``commits`` has a bit for each
-    commit number of the bucket. Bitmaps of any days and groups merge by ``or``, so distinct commits over any range are exact without its changes.
+    (day, branch_id, ecosystem, author_name, author_email, bucket, commits, changes, added, modified, removed): ``commits`` is a word with a bit for each
+    of the 64 commit numbers of the bucket. Words of any days and groups merge by ``or``, so distinct commits over any range are exact without its changes;
+    an author of one commit has a word and not a bitmap of 4 KB.
     """
     rows = with_commits(events, commits).join(numbered_commits(commits), "commit_id")
     of = lambda t: F.count_if(F.col("change_type") == t).alias(t)
     return rows.groupBy(
-        F.to_date("committed_at").alias("day"), "branch_id", "ecosystem", "author_name", "author_email", F.bitmap_bucket_number("number").alias("bucket")
+        F.to_date("committed_at").alias("day"), "branch_id", "ecosystem", "author_name", "author_email", F.floor(F.col("number") / WORD).alias("bucket")
     ).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("commits"), F.count(F.lit(1)).alias("changes"), *map(of, TYPES)
+        F.bit_or(F.expr(f"shiftleft(1L, CAST(number % {WORD} AS INT))")).alias("commits"), F.count(F.lit(1)).alias("changes"), *map(of, TYPES)
     )
 
 
@@ -101,9 +104,9 @@ def _days(rollup: DataFrame, ecosystem: str | None, author: str | None, since: s
 
 
 def _distinct(rows: DataFrame, keys: list[str], name: str, sums: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct commits by ``keys``: the bitmaps of each bucket are merged, their bits counted and added up."""
-    merged = rows.groupBy(*keys, "bucket").agg(F.bitmap_or_agg("commits").alias("commits"), *[F.sum(c).alias(c) for c in sums])
-    return merged.groupBy(*keys).agg(F.sum(F.bitmap_count("commits")).alias(name), *[F.sum(c).alias(c) for c in sums])
+    """Distinct commits by ``keys``: the words of each bucket are merged, their bits counted and added up."""
+    merged = rows.groupBy(*keys, "bucket").agg(F.bit_or("commits").alias("commits"), *[F.sum(c).alias(c) for c in sums])
+    return merged.groupBy(*keys).agg(F.sum(F.bit_count("commits")).alias(name), *[F.sum(c).alias(c) for c in sums])
 
 
 def rolled_author_stats(
