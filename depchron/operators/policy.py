@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from depchron.functions import names
 from depchron.functions.versions import update_type, version_key
+from depchron.sources.work import written
 
 
 def with_purl(state: DataFrame) -> DataFrame:
@@ -32,25 +33,78 @@ def version_ranks(versions: DataFrame) -> DataFrame:
     return keyed.filter("__k IS NOT NULL").withColumn("rank", rank).drop("__k")
 
 
-def latest_versions(versions: DataFrame) -> DataFrame:
-    """(ecosystem, name, latest_version, n_versions): the greatest version of each package, of equal ones the greatest text; texts that are no version don't count."""
-    keyed = versions.select("ecosystem", "name", "version", version_key(F.col("version"), F.col("ecosystem")).alias("__k")).filter("__k IS NOT NULL")
-    return keyed.groupBy("ecosystem", "name").agg(
-        F.max_by("version", F.struct("__k", "version")).alias("latest_version"), F.count(F.lit(1)).alias("n_versions")
-    )
+#: Distinct texts of versions up to which each is parsed once and sent to all tasks; more are parsed where they are.
+TEXTS = 100_000
+
+
+def version_texts(versions: DataFrame, most: int = TEXTS) -> DataFrame | None:
+    """(ecosystem, version, place, rank, epoch, major, minor): the distinct texts of an ecosystem, each parsed once; none if there are more than ``most``.
+
+    Texts compare by ``rank``, which equal versions share; ``place`` is a number of their own in the same order, of equal versions by text. Both are null where a text is no version.
+    """
+    once = written(versions.select("ecosystem", "version").filter("ecosystem IS NOT NULL AND version IS NOT NULL").distinct(), "texts")
+    if once.count() > most:
+        return None
+    by_ecosystem = Window.partitionBy("ecosystem", F.col("k").isNull())
+    number = lambda i: F.coalesce(F.get("k.numbers", F.lit(i)), F.lit(0))
+    placed = once.withColumn("k", version_key(F.col("version"), F.col("ecosystem"))).select(
+        "ecosystem", "version", F.when(F.col("k").isNotNull(), F.row_number().over(by_ecosystem.orderBy("k", "version"))).alias("place"),
+        F.when(F.col("k").isNotNull(), F.dense_rank().over(by_ecosystem.orderBy("k"))).alias("rank"), F.col("k.epoch").alias("epoch"), number(0).alias("major"), number(1).alias("minor")
+    )
+    return F.broadcast(written(placed, "texts"))
+
+
+def _keyed(versions: DataFrame) -> DataFrame:
+    return versions.withColumn("__k", version_key(F.col("version"), F.col("ecosystem"))).filter("__k IS NOT NULL")
+
 
+def _named(latest: DataFrame, texts: DataFrame) -> DataFrame:
+    """The text of each package's greatest ``place``."""
+    return latest.join(texts.select("ecosystem", "place", F.col("version").alias("latest_version")), ["ecosystem", "place"]).drop("place")
 
-def latest_at(versions: DataFrame, date: str) -> DataFrame:
-    """The version of each package published last on or before a date; of equals the greatest."""
+
+def latest_versions(versions: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+    """(ecosystem, name, latest_version, n_versions): the greatest version of each package, of equal ones the greatest text; texts that are no version don't count.
+
+    With ``texts`` (``version_texts`` of these versions or more), versions compare as integers.
+    """
+    if texts is None:
+        return _keyed(versions).groupBy("ecosystem", "name").agg(
+            F.max_by("version", F.struct("__k", "version")).alias("latest_version"), F.count(F.lit(1)).alias("n_versions")
+        )
+    placed = versions.join(texts.select("ecosystem", "version", "place"), ["ecosystem", "version"]).filter("place IS NOT NULL")
+    latest = placed.groupBy("ecosystem", "name").agg(F.max("place").alias("place"), F.count(F.lit(1)).alias("n_versions"))
+    return _named(latest, texts).select("ecosystem", "name", "latest_version", "n_versions")
+
+
+def latest_at(versions: DataFrame, date: str, texts: DataFrame | None = None) -> DataFrame:
+    """The version of each package published last on or before a date; of equals the greatest. ``texts`` as in ``latest_versions``."""
     past = versions.filter(F.col("published_at") <= F.lit(date).cast("timestamp_ntz"))
-    last = F.struct("published_at", version_key(F.col("version"), F.col("ecosystem")), "version")
-    return past.groupBy("ecosystem", "name").agg(F.max_by("version", last).alias("latest_version"))
+    if texts is None:
+        last = F.struct("published_at", version_key(F.col("version"), F.col("ecosystem")), "version")
+        return past.groupBy("ecosystem", "name").agg(F.max_by("version", last).alias("latest_version"))
+    # a text that is no version comes before those that are, of several the greatest: it has no place, so it goes by its own text
+    own = past.join(texts.select("ecosystem", "version", "place"), ["ecosystem", "version"], "left")
+    last = F.max(F.struct("published_at", "place", F.when(F.col("place").isNull(), F.col("version")).alias("version"))).alias("l")
+    found = own.groupBy("ecosystem", "name").agg(last).select("ecosystem", "name", "l.place", F.col("l.version").alias("text"))
+    of = texts.select("ecosystem", "place", "version")
+    return found.join(of, ["ecosystem", "place"], "left").select("ecosystem", "name", F.coalesce("version", "text").alias("latest_version"))
+
 
+def outdated(state: DataFrame, latest: DataFrame, major_only: bool = False, minor_up: bool = False, texts: DataFrame | None = None) -> DataFrame:
+    """Lockfile dependencies, every one, whose latest version is greater in its ecosystem's order, with ``update`` as major, minor or patch.
 
-def outdated(state: DataFrame, latest: DataFrame, major_only: bool = False, minor_up: bool = False) -> DataFrame:
-    """Lockfile dependencies, every one, whose latest version is greater in its ecosystem's order, with ``update`` as major, minor or patch."""
+    With ``texts`` (``version_texts``), a version that is among them isn't parsed again.
+    """
     rows = state.filter("kind = 'lockfile'").join(latest.select("ecosystem", "name", "latest_version"), ["ecosystem", "name"])
-    rows = rows.withColumn("update", update_type(F.col("version"), F.col("latest_version"), F.col("ecosystem"))).filter("update IS NOT NULL")
+    update = update_type(F.col("version"), F.col("latest_version"), F.col("ecosystem"))
+    if texts is not None:
+        of = lambda column, name: texts.select("ecosystem", F.col("version").alias(column), F.struct("rank", "epoch", "major", "minor").alias(name))
+        rows = rows.join(of("version", "__a"), ["ecosystem", "version"], "left").join(of("latest_version", "__b"), ["ecosystem", "latest_version"], "left")
+        a, b = F.col("__a"), F.col("__b")
+        step = F.when((b["epoch"] > a["epoch"]) | (b["major"] > a["major"]), "major").when(b["minor"] > a["minor"], "minor").otherwise("patch")
+        update = F.when(a.isNotNull() & b.isNotNull(), F.when(b["rank"] > a["rank"], step)).otherwise(update)
+    rows = rows.withColumn("update", update).drop("__a", "__b").filter("update IS NOT NULL")
     if major_only:
         rows = rows.filter("update = 'major'")
     return rows.filter("update <> 'patch'") if minor_up else rows
