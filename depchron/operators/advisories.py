@@ -115,6 +115,18 @@ def _of_package(df: DataFrame) -> DataFrame:
     return df.withColumns({"__e": ecosystem_key(F.col("ecosystem")), "__n": F.lower("name")})
 
 
+#: Packages with advisories up to which their hashes go to all tasks; with more, no row is left out beforehand.
+PACKAGES = 2_000_000
+
+
+def of_known_packages(rows: DataFrame, advisories: DataFrame, ecosystem: Column, name: Column, most: int = PACKAGES) -> DataFrame:
+    """Rows without those of packages that no advisory names, where they lie: a hash of 8 bytes tells, and what it lets through beyond that has no hits later."""
+    known = written(_of_package(advisories.select("ecosystem", "name")).select(F.xxhash64(*PACKAGE).alias("__h")).distinct(), "packages")
+    if known.count() > most:
+        return rows
+    return rows.withColumn("__h", F.xxhash64(ecosystem_key(ecosystem), F.lower(name))).join(F.broadcast(known), "__h", "left_semi").drop("__h")
+
+
 def swept(versions: DataFrame, entries: DataFrame) -> DataFrame:
     """(package, version, id): which of the distinct ``versions`` of a package lie in which of its intervals, by one sweep for each package.
 

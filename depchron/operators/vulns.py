@@ -137,13 +137,17 @@ def vuln_show(state: DataFrame, advisories: DataFrame, ids: DataFrame | None = N
     )
 
 
-def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame, packages: DataFrame | None = None) -> DataFrame:
-    """For every package, or those in ``packages`` (name), at every commit that changed it: each manifest's version there and the advisories that affect it."""
+def vuln_history(intervals: DataFrame, changes: DataFrame, advisories: DataFrame, packages: DataFrame | None = None, exposed: DataFrame | None = None) -> DataFrame:
+    """For every package, or those in ``packages`` (name), at every commit that changed it: each manifest's version there and the advisories that affect it.
+
+    ``exposed`` are the intervals that can have hits, if they are known without the others.
+    """
+    exposed = intervals if exposed is None else exposed
     if packages is not None:
-        intervals, changes = (df.join(packages.select("name").distinct(), "name", "left_semi") for df in (intervals, changes))
+        intervals, changes, exposed = (df.join(packages.select("name").distinct(), "name", "left_semi") for df in (intervals, changes, exposed))
     points = changes.select("branch_id", "name", F.col("pos").alias("at")).distinct()
-    at = open_intervals(intervals, points, ["branch_id", "name"])
-    hit = hits(intervals, advisories).groupBy("branch_id", "path", "name", "pos_from").agg(F.array_sort(F.collect_set("id")).alias("ids"))
+    at = open_intervals(intervals.select("branch_id", "name", "path", "version", "pos_from", "pos_to"), points, ["branch_id", "name"])
+    hit = hits(exposed, advisories).groupBy("branch_id", "path", "name", "pos_from").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     return at.join(hit, ["branch_id", "path", "name", "pos_from"], "left").select(
         "branch_id", "name", "at", "path", "version", F.coalesce("ids", F.array().cast("array<string>")).alias("ids")
     )
