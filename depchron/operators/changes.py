@@ -47,14 +47,21 @@ def deduplicated(observations: DataFrame, order: list[str]) -> DataFrame:
     return observations.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
 
 
-def changes(observations: DataFrame, track_integrity: bool = False) -> DataFrame:
+def changes(observations: DataFrame, track_integrity: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Observations that change something, with ``change_type`` (added, modified, removed) and ``previous_version``.
 
     Modified means that version or scope differ; a change of the integrity alone counts only with
-    ``track_integrity``. ``requirement`` is the version, and for removals the one that was removed.
+    ``track_integrity``. ``requirement`` is the version, and for removals the one that was removed. ``known`` has the last
+    observation of keys before these, of which those at or before it are left out.
     """
-    before = {c: F.lag(c).over(by_pos()) for c in ("version", "scope", *(["integrity"] if track_integrity else []))}
-    seen = observations.withColumns({f"__{c}": v for c, v in before.items()})
+    compared = ("version", "scope", *(["integrity"] if track_integrity else []))
+    before, seen = {c: F.lag(c).over(by_pos()) for c in compared}, observations
+    if known is not None:
+        seen = seen.join(known.select(*KEY, *[F.col(c).alias(f"__known_{c}") for c in ("pos", *compared)]), list(KEY), "left")
+        seen = seen.filter("__known_pos IS NULL OR pos > __known_pos")
+        first = F.row_number().over(by_pos()) == 1
+        before = {c: F.when(first, F.col(f"__known_{c}")).otherwise(v) for c, v in before.items()}
+    seen = seen.withColumns({f"__{c}": v for c, v in before.items()})
     moved = differs(F.col("version"), F.col("__version")) | differs(F.col("scope"), F.col("__scope"))
     if track_integrity:
         moved = moved | differs(F.col("integrity"), F.col("__integrity"))

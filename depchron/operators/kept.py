@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from depchron.operators.changes import KEY, changes
 from depchron.operators.sinks import high_water_mark, upsert_latest
-from depchron.sources.work import written
+from depchron.sources.work import new_folder, written
 
-#: Buckets of the last events; a table keeps the number that it began with.
+#: Parts of a table that is upserted, which keeps the number that it began with, and the least number of buckets of the last events.
 BUCKETS = 64
+#: Rows per bucket of the last events that a history is dealt for.
+ROWS = 500_000
 
 
 def _files(spark: SparkSession, path: str):
@@ -113,41 +115,59 @@ def fresh_events(last: DataFrame, fresh: DataFrame, buckets: int = BUCKETS) -> t
 
     ``fresh`` is dealt by key into as many partitions as ``last`` has buckets, and sorted; ``last`` is read bucket by bucket and never shuffled.
     """
-    columns = last.columns
-    dealt = fresh.select(*columns).repartition(buckets, *KEY)
-    newest = dealt.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in columns if c not in KEY]), "pos").alias("__new"))
-    both = last.join(newest, list(KEY), "full_outer")
-    of = lambda c: F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
-    kept = both.select(*KEY, *[of(c) for c in columns if c not in KEY])
-    touched = both.filter("__new IS NOT NULL AND pos IS NOT NULL").select(*columns)
-    seen = changes(touched.unionByName(dealt))
-    return seen.join(touched.select(*KEY, F.col("pos").alias("__pos")), list(KEY), "left").filter("__pos IS NULL OR pos > __pos").drop("__pos"), kept.select(*columns)
-
-
-def update_history(observations: DataFrame, path: str, buckets: int = BUCKETS) -> int:
+    return _after(last, fresh.select(*last.columns).repartition(buckets, *KEY))
+
+
+def _newest(dealt: DataFrame) -> DataFrame:
+    return dealt.groupBy(*KEY).agg(F.max_by(F.struct(*[c for c in dealt.columns if c not in KEY]), "pos").alias("__new"))
+
+
+def _after(last: DataFrame, dealt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    both = last.join(_newest(dealt), list(KEY), "full_outer")
+    newer = F.col("pos").isNull() | (F.col("__new.pos") > F.col("pos"))
+    of = lambda c: F.when(newer, F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c)
+    kept = both.select(*KEY, *[of(c) for c in last.columns if c not in KEY])
+    return changes(dealt, known=last), kept.select(*last.columns)
+
+
+def update_history(observations: DataFrame, path: str, buckets: int = BUCKETS, size: int = ROWS) -> int:
     """Adds the observations after the known positions to the history at ``path``, which may be new; returns the version that counts then.
 
     A version has its events under ``events/batch``, the last observation of each key under ``last/version`` and, written last, the positions under
     ``marks/version``. What an earlier, failed run left of this version is replaced. Without new observations the version stays.
+
+    There are ``buckets`` at least, and more where they would have over ``size`` rows. The new observations are dealt into them once, by a shuffle, and are read from there;
+    the last ones are dealt anew only when a bucket has come to over twice ``size``.
     """
     spark = observations.sparkSession
     known = versions(spark, path)
     version = known[-1] + 1 if known else 0
     fresh = observations
     if known:
-        marks = spark.read.parquet(f"{path}/marks/version={known[-1]}").withColumnRenamed("pos", "__mark")
-        fresh = fresh.join(marks, "branch_id", "left").filter(F.col("pos") > F.coalesce("__mark", F.lit(0))).drop("__mark")
+        marks = spark.read.parquet(f"{path}/marks/version={known[-1]}")
+        buckets = marks.first()["buckets"] if "buckets" in marks.columns else buckets
+        marks = marks.select("branch_id", "pos")
+        fresh = fresh.join(marks.withColumnRenamed("pos", "__mark"), "branch_id", "left").filter(F.col("pos") > F.coalesce("__mark", F.lit(0))).drop("__mark")
     fresh = written(fresh, "fresh")
     if known and fresh.isEmpty():
         return known[-1]
-    last = last_events(spark, path, known[-1], fresh.schema, buckets) if known else written(fresh.limit(0), "none")
-    events, kept = fresh_events(last, fresh, buckets)
+    count, last = fresh.count(), last_events(spark, path, known[-1], fresh.schema, buckets) if known else None
+    if known:
+        count += last.count()
+    if count > size * buckets * (2 if known else 1):
+        buckets = -(-count // size)
+        last = last.repartition(buckets, *KEY) if known else None
+    folder = new_folder(spark, "dealt")
+    _write_bucketed(fresh.repartition(buckets, *KEY), folder, buckets)
+    dealt = _bucketed(spark, folder, fresh.schema, buckets)
+    events, kept = _after(last, dealt) if known else (changes(dealt), _newest(dealt).select(*KEY, "__new.*").select(*fresh.columns))
     events.write.mode("overwrite").parquet(f"{path}/events/batch={version}")
     _write_bucketed(kept, f"{path}/last/version={version}", buckets)
     top = high_water_mark(fresh)
     if known:
-        top = high_water_mark(top.unionByName(spark.read.parquet(f"{path}/marks/version={known[-1]}")))
-    top.write.mode("overwrite").parquet(f"{path}/marks/version={version}")
+        top = high_water_mark(top.unionByName(marks))
+    top.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/marks/version={version}")
+    delete(spark, folder)
     for old in known[:-1]:
         delete(spark, f"{path}/last/version={old}")
     return version
