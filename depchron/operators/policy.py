@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,9 +167,17 @@ def hash_value(text: Column) -> Column:
     return F.when(text.contains("-"), F.regexp_replace(text, r"^[^-]*-", "")).otherwise(F.regexp_replace(text, r"^[^:]*:", ""))
 
 
-def integrity_registry_check(state: DataFrame, versions: DataFrame) -> DataFrame:
-    """Each distinct (ecosystem, name, version, hash) of the state against the registry: ok, mismatch or skipped."""
-    own = state.filter("integrity <> '' AND version IS NOT NULL").select("ecosystem", "name", "version", "integrity").distinct()
-    rows = own.join(versions.select("ecosystem", "name", "version", F.col("integrity").alias("registry_integrity")), ["ecosystem", "name", "version"], "left")
+def integrity_registry_check(state: DataFrame, versions: DataFrame, hashed: Callable[[str], Column] | None = None) -> DataFrame:
+    """Each distinct (ecosystem, name, version, hash) of the state against the registry: ok, mismatch or skipped.
+
+    Each side is dealt by version once, for the distinct rows and the join alike. ``hashed`` makes the text of a hash of the column named, where
+    both sides keep something shorter that it follows from; it is made after the join.
+    """
+    of = hashed or F.col
+    keys = ["ecosystem", "name", "version"]
+    there = state.filter("version IS NOT NULL" if hashed else "integrity <> '' AND version IS NOT NULL")
+    own = there.select(*keys, "integrity").repartition(*keys).distinct()
+    rows = own.join(versions.select(*keys, F.col("integrity").alias("registry_integrity")), keys, "left")
+    rows = rows.withColumns({c: of(c) for c in ("integrity", "registry_integrity")})
     same = hash_value(F.col("integrity")) == hash_value(F.col("registry_integrity"))
     return rows.withColumn("outcome", F.when(F.coalesce("registry_integrity", F.lit("")) == "", "skipped").when(same, "ok").otherwise("mismatch"))
