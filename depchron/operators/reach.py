@@ -6,24 +6,45 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from depchron.functions.order import numbered
 from depchron.sources.work import new_folder, shipped, written
 
-#: Commits of a stretch of history that one task walks; a branch takes about as many rounds as its history has stretches.
-STRETCH = 500_000
+#: Places of a stretch of history that one task walks, of which half or more are free; a branch takes about as many rounds as its history has stretches.
+STRETCH = 2_000_000
+
+
+#: Places whose edges are one row.
+CHUNK = 4096
 
 
 def placed(commits: DataFrame, size: int = STRETCH) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) of a commit graph: each commit once with ``place``, its number by time, and (place, parent, stretch) by numbers alone.
+    """(nodes, edges) of a commit graph: each commit once with ``place``, its number by time, and (place, parent, stretch) by numbers alone."""
+    nodes, packed = _packed(commits, size)
+    edge = F.explode(F.arrays_zip("place", "parent")).alias("e")
+    return nodes, packed.select("stretch", edge).select("e.place", "e.parent", "stretch")
+
+
+def _packed(commits: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``placed`` with the edges of ``CHUNK`` places as two arrays, so a round passes few rows on.
 
     A stretch is a run of ``size`` places, so most parents lie in the same one or the one before. Edges are files by stretch: a round reads only those it walks.
+
+    Commits of one time are in no order of their own, so a way that goes through them would cross a border among them again and again, with a round for each crossing. A stretch
+    thus takes about ``size`` / 2 commits and ends between two times; its other places stay free. Only a time of more commits than that is cut.
     """
+    half, same = max(1, size // 2), ["__all", "__day", "committed_at"]
     once = commits.dropDuplicates(["sha"]).withColumns({"__all": F.lit(0), "__day": F.to_date("committed_at")})
-    nodes = written(numbered(once, ["__all"], "__day", ["committed_at", "sha"], "place").drop("__all", "__day"), "nodes")
+    nodes = numbered(once, ["__all"], "__day", ["committed_at", "sha"], "place")
+    first = F.col("place") - F.row_number().over(Window.partitionBy(*same).orderBy("sha")) + 1
+    nodes = nodes.withColumns({"__first": first, "__same": F.count(F.lit(1)).over(Window.partitionBy(*same))})
+    stretch = F.floor(F.when(F.col("__same") <= half, F.col("__first")).otherwise(F.col("place")) / half)
+    nodes = written(nodes.withColumn("place", F.col("place") + stretch * (size - half)).drop("__all", "__day", "__first", "__same"), "nodes")
     named = nodes.select("place", F.explode("parents").alias("sha")).join(nodes.select("sha", F.col("place").alias("parent")), "sha")
     path = new_folder(commits.sparkSession, "edges")
-    edges = named.select("place", "parent", F.floor(F.col("place") / size).alias("stretch"))
+    edges = named.groupBy(F.floor(F.col("place") / size).alias("stretch"), F.floor(F.col("place") / CHUNK)).agg(F.collect_list(F.struct("place", "parent")).alias("e"))
+    edges = edges.select("e.place", "e.parent", "stretch")
     edges.repartition("stretch").write.partitionBy("stretch").parquet(path)
     return nodes, commits.sparkSession.read.schema(edges.schema).parquet(path)
 
@@ -32,16 +53,15 @@ def _walker(size: int):
     def walked(edges: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         """New commits of a stretch for one branch (``here``), and the parents that lie elsewhere."""
         branch, first = asked["branch_id"].iloc[0], int(asked["stretch"].iloc[0]) * size
-        order = np.argsort(edges["place"].to_numpy(), kind="stable")
-        starts = np.searchsorted(edges["place"].to_numpy()[order] - first, np.arange(size + 1)).tolist()
-        parents = (edges["parent"].to_numpy()[order] - first).tolist()
-        at, done = (asked["place"].to_numpy() - first).tolist(), asked["done"].to_numpy().tolist()
-        seen, heap, new, away = bytearray(size), [], [], set()
-        for place, known in zip(at, done, strict=True):
-            if known:
-                seen[place] = 1
-            else:
-                heap.append(place)
+        whole = lambda c: np.concatenate([np.empty(0, dtype="int64"), *edges[c]])
+        place, parents = whole("place"), whole("parent")
+        order = np.argsort(place, kind="stable")
+        starts = np.searchsorted(place[order] - first, np.arange(size + 1)).tolist()
+        parents = (parents[order] - first).tolist()
+        at, done = asked["place"].to_numpy() - first, asked["done"].to_numpy().astype(bool)
+        known = np.zeros(size, dtype="uint8")
+        known[at[done]] = 1
+        seen, heap, new, away = bytearray(known), at[~done].tolist(), [], set()
         while heap:
             place = heap.pop()
             if seen[place]:
@@ -63,28 +83,30 @@ def _reached(nodes: DataFrame, edges: DataFrame, tips: DataFrame, size: int) ->
     """(branch_id, place, stretch) of what the tips of each branch reach.
 
     In each round, the stretches that a branch newly asks for are walked, one (branch, stretch) a task and within it to the end; what their commits
-    name outside is asked for in the next round, until nothing is. What is found is kept as files by stretch, so a round reads the stretches that it
-    walks, and never the whole graph or all that was found.
+    name outside is asked for in the next round, until nothing is. What is found is kept as files by round and stretch, so a round reads the stretches that it
+    walks, and never the whole graph or all that was found. A round is one write and one small read.
     """
     spark, kind = shipped(nodes.sparkSession), dict(tips.dtypes)["branch_id"]
     path, stretch = new_folder(spark, "reached"), F.floor(F.col("place") / size).alias("stretch")
     asked = written(tips.select("branch_id", "sha").distinct().join(nodes.select("sha", "place"), "sha").select("branch_id", "place", stretch), "asked")
     found = asked.select("branch_id", "place", "stretch")
+    kept = f"branch_id {kind}, place long, here boolean, stretch long"
     visited: set[int] = set()
+    number = 0
     # a number for each stretch at most
     while now := [r["stretch"] for r in asked.select("stretch").distinct().collect()]:
         own = asked.withColumn("done", F.lit(False))
         if again := [s for s in now if s in visited]:
-            before = spark.read.schema(found.schema).parquet(path).filter(F.col("stretch").isin(again))
+            before = spark.read.schema(f"{kept}, round int").parquet(path).filter(F.col("here") & F.col("stretch").isin(again)).select("branch_id", "place", "stretch")
             own = own.unionByName(before.join(F.broadcast(asked.select("branch_id", "stretch").distinct()), ["branch_id", "stretch"], "left_semi").withColumn("done", F.lit(True)))
         pairs = asked.select(F.col("branch_id").alias("b"), F.col("stretch")).distinct()
         wanted = edges.filter(F.col("stretch").isin(now)).join(F.broadcast(pairs), "stretch").withColumnRenamed("stretch", "s")
         walked = wanted.groupBy("b", "s").cogroup(own.groupBy("branch_id", "stretch")).applyInPandas(_walker(size), f"branch_id {kind}, place long, here boolean")
-        walked = written(walked.select("*", stretch), "walked")
-        walked.filter("here").drop("here").write.mode("append").partitionBy("stretch").parquet(path)
+        walked.select("branch_id", "place", "here", stretch).write.partitionBy("here", "stretch").parquet(f"{path}/round={number}")
         visited.update(now)
-        asked = walked.filter("NOT here").select("branch_id", "place", "stretch")
-    return spark.read.schema(found.schema).parquet(path) if visited else found
+        asked = spark.read.schema(kept).parquet(f"{path}/round={number}").filter("NOT here").select("branch_id", "place", "stretch")
+        number += 1
+    return spark.read.schema(f"{kept}, round int").parquet(path).filter("here").select(*found.columns) if visited else found
 
 
 def reachable(commits: DataFrame, tips: DataFrame, size: int = STRETCH) -> DataFrame:
@@ -93,7 +115,7 @@ def reachable(commits: DataFrame, tips: DataFrame, size: int = STRETCH) -> DataF
     History is cut into stretches of time (``placed``) and walked from stretch to stretch. A parent that is dated after its child
     only costs a round more. Parents that are not in the table end a way; a tip that isn't there reaches nothing. A commit comes once for each branch.
     """
-    nodes, edges = placed(commits.select("sha", "parents", "committed_at"), size)
+    nodes, edges = _packed(commits.select("sha", "parents", "committed_at"), size)
     return _reached(nodes, edges, tips, size).join(nodes.select("place", "sha"), "place").select("branch_id", "sha")
 
 
@@ -102,7 +124,7 @@ def branch_log(commits: DataFrame, tips: DataFrame, since: DataFrame | None = No
 
     ``since`` (branch_id, sha) leaves out these commits and all that they reach; numbers stay. Commits are numbered by their places, and get their other columns last.
     """
-    nodes, edges = placed(commits, size)
+    nodes, edges = _packed(commits, size)
     log = numbered(_reached(nodes, edges, tips, size), ["branch_id"], "stretch", ["place"], "pos")
     if since is not None:
         log = log.join(_reached(nodes, edges, since, size).select("branch_id", "place"), ["branch_id", "place"], "left_anti")
